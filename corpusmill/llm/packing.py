@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.llm.common import as_text, cut, importable, text_pass
 
@@ -189,7 +190,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 
     names = [c for c in pieces.columns if c != "whole"]
     ranked = ranked.select(*names, "whole", "rank")
-    fields = ranked.select(*names).schema.add("sequence_id", "bigint").add("offset", "bigint")
+    fields = ranked.select(*names).schema.add("sequence_id", T.LongType()).add("offset", T.LongType())
     packed = ranked.mapInArrow(place, fields)
     return packed.unionByName(table.where("whole is not null").select(*names, F.col("whole").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")))
 

@@ -22,10 +22,10 @@ from corpusmill.llm.common import as_bytes, held_out, importable, text_pass, tra
 MOST_TRAINING_ROWS = 15_000
 #: Hash space of the features; bounds the weights.
 SPACE_BITS = 20
-ALPHA, BETA, L2 = 1.0, 1.0, 0.1
+ALPHA, BETA, L2 = 4.0, 1.0, 0.1
 #: L1 is this times the square root of the rows: so grows what chance adds up to in a coordinate.
 L1_PER_ROOT = 0.12
-EPOCHS = 5
+EPOCHS = 8
 #: Bytes of a word that count as its stem, a further word feature; words of one stem share what is learnt.
 STEM = 5
 

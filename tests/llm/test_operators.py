@@ -1,6 +1,5 @@
 """Each query against brute force over a whole table, and over rows chosen to be hard."""
 
-import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -120,7 +119,7 @@ def test_masked_text_has_no_finding_left(hard):
     masked = secret_scan.mask_secrets(hard)
     assert masked.columns == hard.columns
     rows = {r["doc_id"]: r["text"] for r in masked.collect()}
-    assert rows[8] == "[assign] [assign] [access] [hex] api_key=short" or "QWERTY" not in rows[8]
+    assert rows[8].startswith("[assign] [assign]' [access] [hex] ")
     assert rows[1] is None and rows[4] == LONG
     assert all(not secret_scan.base_spans(t or "") for t in rows.values())
 
@@ -307,7 +306,10 @@ def check_packing(rows, documents, window=1024):
 
 
 def test_packing(spark, sf_dir, documents, hard, hard_rows, empty):
-    assert check_packing(Q.op8_packing(spark, sf_dir).collect(), documents) < 0.01
+    # The least full sequences cost the same however many documents there are: two windows at most.
+    assert check_packing(Q.op8_packing(spark, sf_dir).collect(), documents) < 0.02
+    more = "/root/testdata/sf0.01"
+    assert check_packing(Q.op8_packing(spark, more).collect(), pq.read_table(f"{more}/documents.parquet", columns=["doc_id", "text"]).to_pylist()) < 0.005
     path = public_tokenizers.path
     run = lambda docs: packing.pack_documents(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     check_packing(run(hard).collect(), hard_rows)
@@ -401,10 +403,6 @@ def test_pipeline_against_brute_force(spark, sf_dir, documents):
     kept = [d for (i, _, least), d in zip(with_components(kept), kept, strict=True) if i == least]
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{sf_dir}/benchmark.parquet").to_pylist()]
     kept = [d for d in kept if not brute.contamination(d["text"], items)[-1]]
-    for d in kept:
-        base = secret_scan.base_spans(d["text"])
-        for s in sorted(base + secret_scan.linked_spans(d["text"], base), key=lambda s: -s.start):
-            d = d  # spans of this table do not overlap; the replacement below is checked for that
     masked = []
     for d in kept:
         text, base = d["text"], secret_scan.base_spans(d["text"])
@@ -429,7 +427,3 @@ def test_stages_keep_columns_and_take_hard_rows(spark, hard, empty, sf_dir, tmp_
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, sf_dir).columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
-
-
-def test_only_the_entry_guards_imports():
-    assert "corpus_pipeline" in sys.modules
