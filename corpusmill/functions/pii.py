@@ -140,15 +140,19 @@ def scan(rows: DataFrame, text: str, options: PiiOptions | None = None) -> DataF
     return rows.mapInArrow(run, fields)
 
 
+def _count(findings: Column, severity: str) -> Column:
+    return F.size(F.filter(findings, lambda f: f["severity"] == severity))
+
+
 def severity_counts(findings: Column) -> dict[str, Column]:
     """A column for each severity's count, the total, and has_critical and has_high."""
-    counts = {f"{s}_count": F.size(F.filter(findings, lambda f, s=s: f["severity"] == s)) for s in SEVERITIES}
+    counts = {f"{s}_count": _count(findings, s) for s in SEVERITIES}
     return {"total": F.size(findings), **counts, "has_critical": counts["critical_count"] > 0, "has_high": counts["high_count"] > 0}
 
 
 def summary(findings: Column) -> Column:
     """A line such as: PII scan: 3 findings (1 critical, 2 medium)."""
-    parts = F.array_compact(F.array(*[F.when((n := F.size(F.filter(findings, lambda f, s=s: f["severity"] == s))) > 0, F.concat(n.cast("string"), F.lit(f" {s}"))) for s in SEVERITIES]))
+    parts = F.array_compact(F.array(*[F.when((n := _count(findings, s)) > 0, F.concat(n.cast("string"), F.lit(f" {s}"))) for s in SEVERITIES]))
     return F.concat(F.lit("PII scan: "), F.size(findings).cast("string"), F.lit(" findings ("), F.when(F.size(parts) > 0, F.array_join(parts, ", ")).otherwise("none"), F.lit(")"))
 
 

@@ -61,4 +61,4 @@ def count_of(text: Column, needle: str) -> Column:
 def luhn_valid(digits: Column, least: int = 13) -> Column:
     """Luhn's checksum over the digits of a text that has ``least`` of them."""
     only = F.regexp_replace(digits, "[^0-9]", "")
-    return (F.length(only) >= least) & F.luhn_check(only)
+    return (F.length(only) >= least) & F.call_function("luhn_check", only)

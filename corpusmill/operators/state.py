@@ -25,17 +25,17 @@ def latest(entries: DataFrame, key: str = "cache_key", by: str = "accessed_at")
 
 def lookup(items: DataFrame, cache: DataFrame, now: Column, ttl_days: int = 30, key: str = "cache_key") -> DataFrame:
     """Items with the cached columns and ``hit``: created within the time to live."""
-    live = cache.where(F.col("created_at").cast("double") >= now.cast("timestamp").cast("double") - ttl_days * DAY).withColumn("hit", F.lit(True))
+    live = cache.where(F.col("created_at").cast("timestamp").cast("double") >= now.cast("timestamp").cast("double") - ttl_days * DAY).withColumn("hit", F.lit(True))
     return items.join(live, key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def misses(items: DataFrame, cache: DataFrame, now: Column, ttl_days: int = 30, key: str = "cache_key") -> DataFrame:
-    live = cache.where(F.col("created_at").cast("double") >= now.cast("timestamp").cast("double") - ttl_days * DAY)
+    live = cache.where(F.col("created_at").cast("timestamp").cast("double") >= now.cast("timestamp").cast("double") - ttl_days * DAY)
     return items.join(live.select(key), key, "left_anti")
 
 
 def expired(cache: DataFrame, now: Column, ttl_days: int = 30) -> DataFrame:
-    return cache.where(F.col("created_at").cast("double") < now.cast("timestamp").cast("double") - ttl_days * DAY)
+    return cache.where(F.col("created_at").cast("timestamp").cast("double") < now.cast("timestamp").cast("double") - ttl_days * DAY)
 
 
 def cache_stats(cache: DataFrame) -> DataFrame:

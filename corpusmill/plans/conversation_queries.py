@@ -354,10 +354,10 @@ def eval_gate(spark, d):
     return r.select("total", F.col("valid").cast("bigint").alias("valid"), F.round("valid_rate", 6).alias("valid_rate"), F.round("mean_confidence", 6).alias("mean_confidence"), F.round("mean_judge_overall", 6).alias("mean_judge_overall"), "failures", "passed")
 
 
-@query("""WITH s AS (SELECT event_id, value, value / 3 - 5 AS second FROM events)
-SELECT event_id, round_even(greatest(0, least(10, value)), 2) AS accuracy, round_even(greatest(0, least(10, second)), 2) AS clarity, round_even((greatest(0, least(10, value)) + greatest(0, least(10, second))) / 2, 2) AS overall FROM s""")
+@query("""WITH s AS (SELECT event_id, value / 3 + 0.0013 AS first, value / 7 - 1.00037 AS second FROM events)
+SELECT event_id, round(greatest(0, least(10, first)), 2) AS accuracy, round(greatest(0, least(10, second)), 2) AS clarity, round((greatest(0, least(10, first)) + greatest(0, least(10, second))) / 2, 2) AS overall FROM s""")
 def judge_normalize(spark, d):
-    scores = A.table(spark, d, "events").select("event_id", E.normalize_scores(F.create_map(F.lit("accuracy"), F.col("value"), F.lit("clarity"), F.col("value") / 3 - 5)).alias("s"))
+    scores = A.table(spark, d, "events").select("event_id", E.normalize_scores(F.create_map(F.lit("accuracy"), F.col("value") / 3 + 0.0013, F.lit("clarity"), F.col("value") / 7 - 1.00037)).alias("s"))
     return scores.select("event_id", *[F.col("s")[k].alias(k) for k in ("accuracy", "clarity", "overall")])
 
 

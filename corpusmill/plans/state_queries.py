@@ -77,7 +77,7 @@ def _cache(spark, d):
 _CACHE = """cache AS (SELECT user_id || '-' || event_type AS cache_key, min(ts) AS created_at, max(ts) AS accessed_at, count(*) - 1 AS access_count, event_type AS model, arg_max(floor(abs(value))::BIGINT, (ts, event_id)) AS tokens_used FROM events GROUP BY user_id, event_type)"""
 
 
-@query(f"WITH {_CACHE} SELECT cache_key, epoch(created_at)::BIGINT AS created, epoch(accessed_at)::BIGINT AS accessed, access_count, model, tokens_used FROM cache")
+@query(f"WITH {_CACHE} SELECT cache_key, floor(epoch(created_at))::BIGINT AS created, floor(epoch(accessed_at))::BIGINT AS accessed, access_count, model, tokens_used FROM cache")
 def cache_upsert(spark, d):
     return _cache(spark, d).select("cache_key", F.unix_timestamp("created_at").alias("created"), F.unix_timestamp("accessed_at").alias("accessed"), "access_count", "model", "tokens_used")
 
@@ -139,7 +139,7 @@ def job_progress(spark, d):
     return H.jobs(_job_items(spark, d), spark.range(50).select(F.col("id").alias("job_id"), F.lit(40).cast("bigint").alias("total")))
 
 
-@query("SELECT user_id AS job_id, epoch(max(ts))::BIGINT AS created FROM events WHERE event_type = 'error' GROUP BY user_id ORDER BY created DESC, job_id LIMIT 20")
+@query("SELECT user_id AS job_id, floor(epoch(max(ts)))::BIGINT AS created FROM events WHERE event_type = 'error' GROUP BY user_id ORDER BY created DESC, job_id LIMIT 20")
 def job_list_topk(spark, d):
     log = A.table(spark, d, "events").groupBy(F.col("user_id").alias("job_id"), F.col("event_type").alias("status")).agg(F.unix_timestamp(F.max("ts")).alias("created_at"))
     return H.list_jobs(log, status="error", limit=20).select("job_id", F.col("created_at").alias("created"))

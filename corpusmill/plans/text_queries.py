@@ -211,7 +211,7 @@ def scan_ignore(spark, d):
     return A.table(spark, d, "documents").select("doc_id", path.alias("path"), D.scanned(path).alias("scanned"))
 
 
-@query("SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title FROM pages WHERE html LIKE '%<title>%'")
+@query("SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages WHERE html LIKE '%<title>%'")
 def html_title(spark, d):
     return pages_to_text(A.table(spark, d, "pages").where(F.contains("html", F.lit("<title>")))).select("page_id", "title")
 

@@ -13,6 +13,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions.text import is_blank, strip
 from corpusmill.operators.shared import importable
@@ -177,12 +178,13 @@ def _parsed(files: DataFrame, kind: str) -> DataFrame:
     importable(files.sparkSession)
     ddl = "file_path string, file_name string, content string, title string, author string, language string, section_headers array<string>, custom_tags map<string,string>, error string"
 
+    fields = T.StructType.fromDDL(ddl)
+
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
-        from pyspark.sql import types as T
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema, parse = to_arrow_schema(T.StructType.fromDDL(ddl)), PARSERS[kind]
+        schema, parse = to_arrow_schema(fields), PARSERS[kind]
         for batch in batches:
             rows = []
             for path, name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -200,7 +202,7 @@ def _parsed(files: DataFrame, kind: str) -> DataFrame:
                 rows.append({n: row.get(n) for n in schema.names})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select("file_path", "file_name", "content").mapInArrow(run, ddl)
+    return files.select("file_path", "file_name", "content").mapInArrow(run, fields)
 
 
 def _shape(rows: DataFrame, source_type: str, **columns: Column) -> DataFrame:
