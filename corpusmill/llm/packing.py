@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 from corpusmill.llm.common import as_text, cut, importable, text_pass
 
 WINDOW = 1024
-#: Rests of one length that are ranked in one task.
+#: Rests of one length that are ranked in one group: at most this many, or a ``GROUPS``-th of all where that is less.
 RANKED = 50_000
+GROUPS = 1000
 #: Sequence ids of packed rests start here; whole windows have ids below.
 PACKED = 1 << 62
 
@@ -159,7 +160,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Sequences are gapless from offset 0; one that is not full is padded to the window, but
     where its tokens are a power of two.  Rests of one length are ranked in salted
-    groups of about ``RANKED``, so no length lands in one task however many have it.
+    groups, so no length lands in one task however many have it.
     """
     spark = pieces.sparkSession
     importable(spark)
@@ -167,8 +168,10 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     table = cut(pieces, "pieces")
     rests = table.where("whole is null")
     counts = {r["length"]: r["n"] for r in rests.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    salts = max(1, -(-max(counts.values(), default=0) // RANKED))
-    salted = rests.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    # A row for each length: fewer than the window has tokens.
+    group = max(1, min(RANKED, -(-sum(counts.values()) // GROUPS)))
+    salts = F.broadcast(spark.createDataFrame([(k, -(-n // group)) for k, n in counts.items()], "length bigint, salts bigint"))
+    salted = rests.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts"))).drop("salts")
     by_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = by_salt.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     local = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "ids_crc32", "doc_tokens")) - 1
