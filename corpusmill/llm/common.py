@@ -11,6 +11,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,9 @@ from pyspark.sql import types as T
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-#: Documents handled at once inside a batch, so that a batch of long texts stays small.
+#: Documents, and bytes of text, handled at once inside a batch, so that long texts do not add up.
 SLICE = 256
+SLICE_BYTES = 8_000_000
 
 
 def importable(spark: SparkSession) -> None:
@@ -40,10 +42,17 @@ def as_text(column: pa.Array) -> list[str]:
     return pc.fill_null(column, "").to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with at most ``size`` rows and ``most`` bytes in a text column, or one row."""
     for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            yield batch.slice(at, size)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            n = int(np.searchsorted(ends, before + most, "right")) - at
+            n = max(1, min(n, size, batch.num_rows - at))
+            yield batch.slice(at, n)
+            at += n
 
 
 def text_pass(docs: DataFrame, ddl: str, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
@@ -61,7 +70,7 @@ def text_pass(docs: DataFrame, ddl: str, work: Callable[[Iterator[pa.RecordBatch
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(fields)
-        for columns in work(slices(batches)):
+        for columns in work(slices(batches, 1)):
             arrays = [x if isinstance(x := columns[n], pa.Array) else pa.array(x, schema.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -71,7 +80,8 @@ def text_pass(docs: DataFrame, ddl: str, work: Callable[[Iterator[pa.RecordBatch
 def row_pass(docs: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """A narrow pass over all columns that drops or rewrites rows; the columns stay as they are."""
     importable(docs.sparkSession)
-    return docs.mapInArrow(lambda batches: work(slices(batches)), docs.schema)
+    at = docs.columns.index("text")
+    return docs.mapInArrow(lambda batches: work(slices(batches, at)), docs.schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -119,11 +129,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     label; null labels do not count.  Only ids and labels of the chosen rows are
     broadcast: ``most`` bounds them.
     """
-    chosen = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-        .groupBy("doc_id")
-        .agg(F.max(F.col(label).cast("int")).alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
-    )
+    usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    turn = F.xxhash64("doc_id")
+    if (n := usable.count()) > most:
+        # Few rows beyond the smallest ``most`` reach the sort, however many partitions labels have.
+        usable = usable.where(turn < int((1.2 * most / n) * (1 << 64)) - (1 << 63))
+    chosen = usable.orderBy(turn, "doc_id").limit(most)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")

@@ -13,15 +13,16 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusmill.llm.common import as_bytes, row_pass, text_pass
+from corpusmill.llm.common import as_bytes, fresh, importable, slices
 
 SPAN = 13
 K = 8
@@ -153,26 +154,48 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> list[Broadcast]:
     return [*out, context.broadcast(block)]
 
 
-def _measured(texts: list[bytes], indexes: Iterator[Index]) -> list[tuple[int, int, list[str]]]:
-    """(words, hit words, sorted names of items) of each text, held against one block after another."""
-    split = [words(t) for t in texts]
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[set[str]] = [set() for _ in texts]
-    for index in indexes:
-        for i, doc in enumerate(split):
-            if doc:
-                found, numbers = index.hits(doc)
-                spans[i] += found
-                items[i].update(index.names[n] for n in numbers)
-    return [(len(d), covered(s), sorted(names)) for d, s, names in zip(split, spans, items, strict=True)]
+def _hit(ends: list[int]) -> int:
+    """Words in spans, given as starts and ends in turn."""
+    return covered(list(zip(ends[::2], ends[1::2], strict=True)))
 
 
-def _indexes(shared: list[Broadcast]):
-    """A function that gives the blocks' indexes in turn; where there are more, only one of them is held."""
-    if len(shared) == 1:
-        only = Index(shared[0].value)
-        return lambda: iter((only,))
-    return lambda: (Index(block.value) for block in shared)
+def _past_blocks(docs: DataFrame, shared: list[Broadcast], finish: Callable, schema: T.StructType) -> DataFrame:
+    """``docs`` past one block of the benchmark after another: a narrow pass for each, so that a worker holds one block's index.
+
+    Between passes two more columns carry word spans that are hit, as starts and ends in
+    turn, and names of the items.  The last pass gives finish(batch, words, spans, names).
+    """
+    at, width = docs.columns.index("text"), len(docs.columns)
+    carried = T.StructType([*docs.schema.fields, T.StructField(fresh(docs, "spans"), T.ArrayType(T.LongType())), T.StructField(fresh(docs, "items"), T.ArrayType(T.StringType()))])
+    names_of = carried.fieldNames()
+    importable(docs.sparkSession)
+
+    def with_block(block: Broadcast, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = None
+            for batch in slices(batches, at):
+                index = index or Index(block.value)
+                split = [words(t) for t in as_bytes(batch.column(at))]
+                ends, names = (batch.column(i).to_pylist() for i in (width, width + 1)) if batch.num_columns > width else ([[] for _ in split] for _ in range(2))
+                for row, doc in enumerate(split):
+                    found, numbers = index.hits(doc) if doc else ((), ())
+                    if found:
+                        ends[row] = [*ends[row], *(x for span in found for x in span)]
+                        names[row] = sorted({*names[row], *(index.names[n] for n in numbers)})
+                if last:
+                    yield finish(batch.select(range(width)), [len(w) for w in split], ends, names)
+                else:
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(ends, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], names=names_of)
+
+        return run
+
+    for block in shared[:-1]:
+        docs = docs.mapInArrow(with_block(block, False), carried)
+    return docs.mapInArrow(with_block(shared[-1], True), schema)
+
+
+def _contaminated(n: list[int], ends: list[list[int]]) -> list[bool]:
+    return [bool(e) and 20 * _hit(e) >= k for k, e in zip(n, ends, strict=True)]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -182,33 +205,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     none.  A null or empty text has no words and is clean, as is every text where the
     benchmark is empty.  Repeated rows give repeated results.
     """
-    shared = blocks(benchmark, block_bytes)
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    more = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+    schema = T.StructType([source.schema["doc_id"], *T.StructType.fromDDL(more).fields])
+    columns = schema.fieldNames()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        indexes = _indexes(shared)
-        for batch in batches:
-            rows = _measured(as_bytes(batch.column(1)), indexes())
-            yield {
-                "doc_id": batch.column(0),
-                "n_words": [n for n, _, _ in rows],
-                "n_hit": [h for _, h, _ in rows],
-                "n_items": [len(names) for _, _, names in rows],
-                "items_sha256": [hashlib.sha256(",".join(names).encode()).hexdigest() for _, _, names in rows],
-                "contaminated": [h > 0 and 20 * h >= n for n, h, _ in rows],
-            }
+    def finish(batch: pa.RecordBatch, n: list[int], ends: list[list[int]], names: list[list[str]]) -> pa.RecordBatch:
+        hashes = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
+        numbers = (pa.array(x, pa.int64()) for x in (n, map(_hit, ends), map(len, names)))
+        return pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(hashes, pa.string()), pa.array(_contaminated(n, ends), pa.bool_())], names=columns)
 
-    return text_pass(docs, "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean", work)
+    return _past_blocks(source, blocks(benchmark, block_bytes), finish, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns as they are."""
-    shared = blocks(benchmark, block_bytes)
-    at = docs.columns.index("text")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = _indexes(shared)
-        for batch in batches:
-            rows = _measured(as_bytes(batch.column(at)), indexes())
-            yield batch.filter(pa.array([not (h > 0 and 20 * h >= n) for n, h, _ in rows], pa.bool_()))
+    def finish(batch: pa.RecordBatch, n: list[int], ends: list[list[int]], names: list[list[str]]) -> pa.RecordBatch:
+        return batch.filter(pa.array([not c for c in _contaminated(n, ends)], pa.bool_()))
 
-    return row_pass(docs, work)
+    return _past_blocks(docs, blocks(benchmark, block_bytes), finish, docs.schema)
