@@ -31,10 +31,12 @@ BYTES = 8
 #: Bits that two linked fingerprints may differ in.
 BITS = 4
 SHINGLE = 4
-#: Positional bytes in a list's key.
-KEY_BYTES = 3
+#: A list's key has as many positional bytes as make lists of uniform fingerprints this long at most.
+LIST = 32
 #: Fingerprints of a list that one task compares at most with one another.
 BLOCK = 4096
+#: A fingerprint with more than this part of the documents is joined by broadcast; there are fewer of them than this.
+HOT = 1000
 
 
 def fingerprints(texts: list[bytes], words: int = SHINGLE) -> np.ndarray:
@@ -197,9 +199,18 @@ def _edges_of_blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def links(prints: DataFrame, bits: int = BITS, key_bytes: int = KEY_BYTES, block: int = BLOCK) -> DataFrame:
+def key_size(n: int, bits: int = BITS) -> int:
+    """Positional bytes in a key for n fingerprints: more make shorter lists, of which each fingerprint is in more.
+
+    Any number from 1 to 8 - bits finds the same links.
+    """
+    return next((k for k in range(1, BYTES - bits) if n <= LIST << (8 * k)), BYTES - bits)
+
+
+def links(prints: DataFrame, bits: int = BITS, key_bytes: int | None = None, block: int = BLOCK) -> DataFrame:
     """(a, b): edges that connect just what all links between the distinct fingerprints ``fp`` connect."""
     importable(prints.sparkSession)
+    key_bytes = key_bytes or key_size(prints.count(), bits)
     postings = prints.select("fp", _keys(F.col("fp"), bits, key_bytes).alias("key"))
     found = cut(postings.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _edges_of_lists(it, bits, block), "a bigint, b bigint, key bigint"), "links")
     edges, long = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("fp"))
@@ -214,7 +225,7 @@ def links(prints: DataFrame, bits: int = BITS, key_bytes: int = KEY_BYTES, block
     return edges.unionByName(more)
 
 
-def near_duplicates(docs: DataFrame, bits: int = BITS, key_bytes: int = KEY_BYTES, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, bits: int = BITS, key_bytes: int | None = None, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     ``component_id`` is the smallest doc_id that links reach, the document's own
@@ -223,13 +234,26 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, key_bytes: int = KEY_BYTE
     ids are.  Repeated rows give repeated results; an empty table gives none.
     """
     prints = cut(with_fingerprints(docs), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     roots = cut(components(links(nodes.select("fp"), bits, key_bytes, block)), "components")
     classes = nodes.join(roots, nodes.fp == roots.node, "inner").groupBy("root").agg(F.min("least").alias("component_id"))
     # Most fingerprints have no link: those need no row here, their component is their own least id.
     linked = roots.join(classes, "root").select(F.col("node").alias("fp"), "component_id")
-    each = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(each, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    each = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "copies")
+    return _joined(prints, cut(each, "classes")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _joined(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each document's row with its fingerprint's class.
+
+    Fingerprints that hold more than a ``HOT``-th of all documents, of which there are
+    fewer than ``HOT``, are broadcast, so that their copies are joined where they lie;
+    the others meet in a shuffle.
+    """
+    total = prints.count()
+    hot = F.broadcast(classes.where(F.col("copies") * HOT > total).select("fp", "component_id"))
+    rest = prints.join(hot.select("fp"), "fp", "left_anti").join(classes.where(F.col("copies") * HOT <= total).select("fp", "component_id"), "fp")
+    return prints.join(hot, "fp").select("doc_id", "fp", "component_id").unionByName(rest.select("doc_id", "fp", "component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
