@@ -164,7 +164,7 @@ def test_pruning(spark):
     got = {r["conv_id"]: [(t["role"], t["content"]) for t in r["turns"]] for r in V.prune(rows).collect()}
     assert got[0] == TRIPLE
     assert got[1][1] == ("assistant", "Rows move.\n\nBy key.")
-    assert got[2] == [("system", "Sure!"), ("user", "q"), ("assistant", "a")] or [r for r, _ in got[2]] == ["user", "assistant"]
+    assert [r for r, _ in got[2]] == ["user", "assistant"]
     assert 3 not in got and 4 not in got
     assert got[5][1] == ("assistant", "know if this helps you")
 
@@ -197,7 +197,7 @@ def test_layouts(spark):
     assert X.kto(rows).where("conv_id = 1").count() == 3
     assert set(X.FORMATS) == set(X.REQUIRED)
     for name, layout in X.FORMATS.items():
-        assert X.format_valid(layout(rows), name).first()["invalid"] == (0 if name not in ("x",) else 1)
+        assert X.format_valid(layout(rows), name).first()["invalid"] == 0
 
 
 def test_split_sizes(spark):
@@ -342,3 +342,57 @@ def test_stream_export_equals_batch(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out/chatml")).count() == X.chatml(V.prune(rows)).count() == 20
     with pytest.raises(ValueError):
         streaming.export(stream, ["grpo"], str(tmp_path / "o2"), str(tmp_path / "c2"))
+
+
+# Web, jobs, scripts, command line
+
+
+def test_fetch_checks_every_hop(spark):
+    from corpusmill.sources import web
+
+    pages = {"http://a.com/": web.Response(302, b"", "/b"), "http://a.com/b": web.Response(200, b"<p>hello</p>"), "http://c.com/": web.Response(302, b"", "http://inner.local/"), "http://d.com/": web.Response(302, b"", "http://d.com/"), "http://e.com/": web.Response(404, b"")}
+    where = lambda host, port: ["10.0.0.1"] if host.endswith("local") else ["93.184.216.34"]
+    assert web.fetch("http://a.com/", pages.__getitem__, where) == "hello"
+    for bad, message in (("http://c.com/", "blocked"), ("http://d.com/", "redirects"), ("http://e.com/", "404"), ("ftp://a.com/", "not an http")):
+        with pytest.raises(ValueError, match=message):
+            web.fetch(bad, pages.__getitem__, where)
+    rows = web.load_urls(spark.createDataFrame([(1, "ftp://x/"), (2, None)], "id int, url string"))
+    assert all(r["error"] and r["content"] is None for r in rows.collect())
+
+
+def test_job_log(spark, tmp_path):
+    from corpusmill.operators.jobs import JobLog
+
+    log = JobLog(spark, str(tmp_path))
+    job = log.create("synthesize", spark.createDataFrame([("a",), ("b",), ("c",)], "item_id string"))
+    log.record(job, "started")
+    log.record_items(job, spark.createDataFrame([("a", None), ("b", "down")], "item_id string, error string"))
+    assert {r["item_id"] for r in log.todo(job).collect()} == {"b", "c"}
+    assert {r["item_id"] for r in log.todo(job, retry_failed=False).collect()} == {"c"}
+    log.record_items(job, spark.createDataFrame([("b", None)], "item_id string, error string"))
+    log.record(job, "completed")
+    row = log.jobs().first()
+    assert (row["status"], row["total"], row["processed"], row["failed"]) == ("completed", 3, 2, 0)
+    with pytest.raises(ValueError):
+        log.record(job, "none")
+
+
+@pytest.mark.parametrize("method", ["sft", "dpo", "orpo", "kto", "grpo"])
+def test_training_scripts_compile(method):
+    from corpusmill.plans.scripts import targets, training_script
+
+    compile(training_script(method, "Qwen/Qwen3-8B", "data.json"), "script", "exec")
+    assert "qkv_proj" in targets("microsoft/phi-4")
+
+
+def test_command_line(spark, folder, tmp_path):
+    from corpusmill.__main__ import main
+
+    at = str(tmp_path)
+    assert main(["ingest", folder, f"{at}/chunks", "--size", "100", "--overlap", "10"], spark) == 0
+    assert main(["synthesize", f"{at}/chunks", f"{at}/conv", "--mode", "qa"], spark) == 0
+    assert main(["validate", f"{at}/conv"], spark) == 0
+    assert main(["export", f"{at}/conv", f"{at}/out", "--formats", "chatml,alpaca", "--split"], spark) == 0
+    assert main(["evaluate", f"{at}/conv"], spark) == 1
+    with pytest.raises(SystemExit):
+        main(["export", f"{at}/conv", f"{at}/out", "--formats", "none"], spark)
