@@ -25,6 +25,10 @@ STOP_WORDS = (
 ).split()
 
 
+#: A text this short may lack stop words by chance.
+LEAD = 40
+
+
 class Rule(NamedTuple):
     """Broken where ``top`` > ``bound`` * ``bottom`` (sign ">") or ``top`` < ``bound`` * ``bottom`` (sign "<")."""
 
@@ -46,8 +50,8 @@ RULES = (
     Rule("short_words", "word_chars", "<", 2, "n_words"),
     Rule("long_words", "word_chars", ">", 15, "n_words"),
     Rule("symbols", "n_symbols", ">", 0.1, "n_words"),
-    Rule("duplicate_lines", "n_dup_lines", ">", 0.3, "n_lines"),
-    Rule("no_stop_words", "n_stop_words", "<", 0.01, "n_words"),
+    Rule("duplicate_lines", "n_dup_lines", ">", 0.5, "n_lines"),
+    Rule("no_stop_words", "n_stop_words", "<", 0.01, "later_words"),
 )
 
 
@@ -102,6 +106,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         repeat_words(F.col("words"), F.col("n")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.greatest(F.col("n") - LEAD, F.lit(0)).cast("long").alias("later_words"),
         F.lit(1).cast("long").alias("one"),
     )
 
@@ -154,6 +159,7 @@ WITH split AS (
          CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
          CAST(len(lines) AS BIGINT) AS n_lines,
          CAST(len(list_filter(words, lambda w: lower(w) IN ({stop}))) AS BIGINT) AS n_stop_words,
+         CAST(greatest(len(words) - {LEAD}, 0) AS BIGINT) AS later_words,
          1 AS one
   FROM counted LEFT JOIN repeats USING (rid)
 ), judged AS (
