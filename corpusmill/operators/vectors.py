@@ -15,10 +15,13 @@ DIM = 256
 BLOCK = 2048
 
 
-def gram_counts(text: Column, dim: int = DIM) -> Column:
-    """Map from bucket to count of the lower-cased text's character trigrams, native; a text of under 3 characters is one gram."""
+def gram_buckets(text: Column, dim: int = DIM) -> Column:
+    """Bucket of each character trigram of the lower-cased text, native; a text of under 3 characters is one gram."""
     low = F.lower(text)
-    grams = F.when(F.length(low) >= 3, F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))).when(F.length(low) > 0, F.array(low)).otherwise(F.array().cast("array<string>"))
+    # Split once: a substring would walk the text from its start for every gram.
+    chars = F.split(low, "")
+    made = F.transform(F.array(chars), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2))))
+    grams = F.when(F.length(low) >= 3, F.get(made, F.lit(0))).when(F.length(low) > 0, F.array(low)).otherwise(F.array().cast("array<string>"))
     if dim != 256:
         raise ValueError("the native form has 256 buckets: the last byte of the hash")
     return F.transform(grams, lambda g: F.conv(F.right(F.md5(g), F.lit(2)), 16, 10).cast("int"))

@@ -251,7 +251,7 @@ def vector_dedup_keep(spark, d):
 
 @query("SELECT doc_id, CAST(('0x' || right(md5(lower(substr(text, i, 3))), 2)) AS INT) AS bucket, count(*) AS n FROM (SELECT doc_id, text, unnest(range(1, length(text) - 1)) AS i FROM documents WHERE length(text) >= 3) GROUP BY ALL")
 def hash_embed_nonzero(spark, d):
-    docs = A.table(spark, d, "documents").where("length(text) >= 3").select("doc_id", F.explode(V.gram_counts(F.col("text"))).alias("bucket"))
+    docs = A.table(spark, d, "documents").where("length(text) >= 3").select("doc_id", F.explode(V.gram_buckets(F.col("text"))).alias("bucket"))
     return docs.groupBy("doc_id", "bucket").agg(F.count("*").alias("n"))
 
 
