@@ -108,6 +108,12 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores where it lies in fewer files than there are cores; as it is otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a variant that ``df`` has no column of."""
     taken = {c.lower() for c in df.columns}

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from corpusmill.llm import decontamination, license_scan, packing, pii_scan, quality_classifier, quality_rules, secret_scan, simhash_dedup, token_counts, toxicity
 
+from corpusmill.llm.common import spread
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name == "documents" else table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from corpusmill.llm.common import as_text, text_pass
@@ -77,15 +78,21 @@ class Counter:
             self.words[word] = sum(frequent[p] if p in frequent else rare[p] for p in split)
 
     def count(self, texts: list[str]) -> list[int]:
-        split = [[] if self.special(t) else self.split_words(t) for t in texts]
-        missing = set(chain.from_iterable(split)) - self.words.keys()
-        if missing:
-            if len(self.words) + len(missing) > self.entries:
-                missing = set(chain.from_iterable(split))
-            self._learn(missing)
-        length = self.words.__getitem__
         # A special string inside a text is one token by the library's default; such texts go to it whole.
-        return [sum(map(length, words)) if words or not self.special(t) else self._encode([t])[0] for t, words in zip(texts, split, strict=True)]
+        whole = {i for i, t in enumerate(texts) if self.special(t)}
+        split = [[] if i in whole else self.split_words(t) for i, t in enumerate(texts)]
+        words = list(chain.from_iterable(split))
+        lengths = np.fromiter(map(self.words.get, words, repeat(0)), np.int64, len(words))
+        unknown = np.flatnonzero(lengths == 0).tolist()
+        if unknown:
+            self._learn({words[i] for i in unknown})
+            lengths[unknown] = [self.words[words[i]] for i in unknown]
+        ends = np.cumsum([len(x) for x in split])
+        sums = np.concatenate(([0], np.cumsum(lengths)))
+        out = (sums[ends] - sums[np.concatenate(([0], ends[:-1]))]).tolist() if texts else []
+        for i in whole:
+            out[i] = self._encode([texts[i]])[0]
+        return out
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, entries: int = CACHE_ENTRIES) -> DataFrame:
