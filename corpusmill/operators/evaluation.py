@@ -52,13 +52,12 @@ def ngram_overlap(docs: DataFrame, references: DataFrame, n: int = 8) -> DataFra
     counted = lambda df, name: df.select(name, "text", F.size(split_words(F.lower(F.col("text")))).alias("words"))
     d, r = counted(docs, "doc_id").where("words > 0"), counted(references, "ref_id").where("words > 0")
     sizes = F.array(*[F.lit(k) for k in range(1, n + 1)])
-    # The n of a pair is the least of n and both numbers of words: a text of k < n words has size k only, but meets longer
-    # ones at size k.  Those need a size below n only where the other side has a text of just that many words.
+    # The n of a pair is the least of n and both numbers of words.  So a document needs its own size, and those of shorter
+    # references; the few references have every size.
     ref = r.select("ref_id", F.col("words").alias("r_words"), F.explode(F.filter(sizes, lambda k: k <= F.col("words"))).alias("k"), "text").select("ref_id", "r_words", "k", F.explode(grams(F.col("text"), F.col("k"))).alias("g"))
-    short = d.where(F.col("words") < n).select(F.col("words").alias("k")).distinct()
-    # At most n numbers.
-    needed = sorted({row["k"] for row in r.select(F.least(F.lit(n), "words").alias("k")).distinct().unionByName(short).collect()} | {n})
-    d_sizes = F.filter(F.array(*[F.lit(k) for k in needed]), lambda k: k <= F.col("words"))
+    short = sorted(row["words"] for row in r.where(F.col("words") < n).select("words").distinct().collect())  # fewer than n numbers
+    own = F.array(F.least(F.lit(n), F.col("words")))
+    d_sizes = F.array_distinct(F.concat(own, F.filter(F.array(*[F.lit(k) for k in short]), lambda k: k <= F.col("words")))) if short else own
     doc = d.select("doc_id", F.col("words").alias("d_words"), F.explode(d_sizes).alias("k"), "text")
     doc = doc.select("doc_id", "d_words", "k", grams(F.col("text"), F.col("k")).alias("gs")).select("doc_id", "d_words", "k", F.size("gs").alias("n_grams"), F.explode("gs").alias("g"))
     pairs = doc.join(ref, ["k", "g"]).where(F.col("k") == F.least(F.lit(n), F.col("d_words"), F.col("r_words")))

@@ -141,7 +141,7 @@ def conversation_turns(response: Column, content: Column) -> Column:
     """Turns from a reply's JSON, or two turns that ask for the content to be explained."""
     parsed = F.from_json(extract_json_column(response), f"conversation {TURNS}, reasoning string")
     fallback = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("Explain the following:\n\n"), F.substring(content, 1, FALLBACK_LIMIT)).alias("content")), F.struct(F.lit("assistant").alias("role"), strip_code_fences(F.coalesce(response, F.lit(""))).alias("content")))
-    return F.when(F.size(parsed["conversation"]) > 0, parsed["conversation"]).otherwise(fallback)
+    return F.get(F.transform(F.array(parsed), lambda p: F.when(F.size(p["conversation"]) > 0, p["conversation"]).otherwise(fallback)), F.lit(0))
 
 
 def synthesize(chunks: DataFrame, mode: str = "teach", model: str = "offline", generator: Generator | None = None, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -66,7 +66,9 @@ class HashEmbedder:
         for text in texts:
             low = text.lower()
             grams = [low[i : i + 3] for i in range(len(low) - 2)] if len(low) >= 3 else [low] if low else []
-            counts = np.bincount([self.bucket(g) for g in grams], minlength=self.dim).astype(float) if grams else np.zeros(self.dim)
+            known = self._bucket.get
+            buckets = [b if (b := known(g)) is not None else self.bucket(g) for g in grams]
+            counts = np.bincount(buckets, minlength=self.dim).astype(float) if grams else np.zeros(self.dim)
             norm = np.sqrt((counts * counts).sum())
             out.append((counts / norm if norm else counts).tolist())
         return out

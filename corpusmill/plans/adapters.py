@@ -9,7 +9,10 @@ from corpusmill.operators.conversations import assemble
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that lie in fewer files than there are cores are dealt over all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in ("documents", "pages") and len(rows.inputFiles()) < cores else rows
 
 
 def _scored(conv: DataFrame) -> DataFrame:
