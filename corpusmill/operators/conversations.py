@@ -66,9 +66,9 @@ def prune(conversations: DataFrame) -> DataFrame:
     All other columns stay, scores included.
     """
     cleaned = F.filter(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), clean(t["content"]).alias("content"))), lambda t: ~is_blank(t["content"]))
-    # As a generator over one bound value: a filter would be pushed below and clean every turn again for each of its terms.
-    kept = F.explode(F.filter(F.array(cleaned), lambda t: (F.size(t) >= 2) & structure_valid(t))).alias("turns")
-    return conversations.select(*[kept if c == "turns" else c for c in conversations.columns])
+    # Bound once, null where it fails: a filter on its terms would be pushed below and clean every turn again for each of them.
+    kept = F.get(F.transform(F.array(cleaned), lambda t: F.when((F.size(t) >= 2) & structure_valid(t), t)), F.lit(0))
+    return conversations.withColumn("turns", kept).where(F.col("turns").isNotNull())
 
 
 def heuristic_valid(turns: Column) -> Column:

@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import strip_code_fences
-from corpusmill.operators.shared import importable
+from corpusmill.operators.shared import cut, importable
 from corpusmill.operators.state import item_key
 from corpusmill.schema import TURNS
 
@@ -102,39 +102,119 @@ class OfflineGenerator:
         return json.dumps({"conversation": [{"role": "user", "content": "What does this say?"}, {"role": "assistant", "content": content.strip()[:FALLBACK_LIMIT]}], "reasoning": "offline"})
 
 
-def generate(rows: DataFrame, key: str, system: Column, user: Column, generator: Generator | None = None, attempts: int = 5, sleep: bool = False) -> DataFrame:
-    """``key``, response, error, attempts: one call per row, retried with backoff; an error is its row's own.
+_REGISTRY: dict[str, Callable[[], Generator]] = {}
+_ALIASES: dict[str, str] = {}
 
-    Limit calls by the number of partitions: each makes one at a time.
+
+def register_generator(name: str, factory: Callable[[], Generator], aliases: tuple[str, ...] = ()) -> None:
+    _REGISTRY[name] = factory
+    _ALIASES.update(dict.fromkeys(aliases, name))
+
+
+def get_generator(name: str) -> Generator:
+    name = _ALIASES.get(name, name)
+    if name not in _REGISTRY:
+        raise ValueError(f"unknown generator: {name}; known: {', '.join(sorted(_REGISTRY))}")
+    return _REGISTRY[name]()
+
+
+register_generator("offline", OfflineGenerator, ("mock", "none"))
+
+
+class Limiter:
+    """At least ``60 / rpm`` seconds between calls; one per partition, so give it a partition's share."""
+
+    def __init__(self, rpm: float | None) -> None:
+        self.gap, self.last = 60 / rpm if rpm else 0.0, float("-inf")
+
+    def wait(self) -> None:
+        import time
+
+        if self.gap:
+            time.sleep(max(0.0, self.last + self.gap - time.monotonic()))
+            self.last = time.monotonic()
+
+
+def _answer(generator: Generator, limiter: Limiter, system: str, user: str, attempts: int, sleep: bool) -> tuple[str | None, str | None, int]:
+    """(response, error, attempts used): retried with growing pauses."""
+    import time
+
+    error = None
+    for tried in range(1, attempts + 1):
+        limiter.wait()
+        try:
+            return generator.generate(system, user), None, tried
+        except Exception as failure:  # noqa: BLE001 - reported in the row
+            error = f"{type(failure).__name__}: {failure}"
+            if sleep and tried < attempts:
+                time.sleep(2.0 ** (tried - 1))
+    return None, error, attempts
+
+
+def generate(rows: DataFrame, key: str, system: Column, user: Column, generator: Generator | None = None, attempts: int = 5, sleep: bool = False, rpm: float | None = None) -> DataFrame:
+    """``key``, response, error, attempts, tokens_in, tokens_out: one call per row; an error is its row's own.
+
+    Tokens are estimates.  Each partition makes one call at a time, ``rpm`` a minute at most.
     """
     importable(rows.sparkSession)
     generator = generator or OfflineGenerator()
     source = rows.select(key, system.alias("system"), user.alias("user"))
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
-        import time
+        import pyarrow as pa
+
+        limiter = Limiter(rpm)
+        for batch in batches:
+            asked = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            got = [_answer(generator, limiter, s, u, attempts, sleep) for s, u in asked]
+            tokens_in = [max(1, len((s or "") + (u or "")) // 4) * n for (s, u), (_, _, n) in zip(asked, got, strict=True)]
+            tokens_out = [max(1, len(r) // 4) if r else 0 for r, _, _ in got]
+            columns = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.int32()), pa.array(tokens_in, pa.int64()), pa.array(tokens_out, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "response", "error", "attempts", "tokens_in", "tokens_out"])
+
+    return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, response string, error string, attempts int, tokens_in bigint, tokens_out bigint")
 
+
+def scaffold(conversations: DataFrame, generator: Generator | None = None, attempts: int = 5) -> DataFrame:
+    """Each assistant turn rewritten in steps by the generator; a turn whose call fails stays as it is.
+
+    One pass over conversations; all other columns stay, scores included.
+    """
+    importable(conversations.sparkSession)
+    generator = generator or OfflineGenerator()
+    at = conversations.columns.index("turns")
+    ask = "Rewrite this answer so that each step is set out before its result:\n\n"
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
+        limiter = Limiter(None)
         for batch in batches:
-            answers, errors, used = [], [], []
-            for s, u in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                answer = error = None
-                tried = 0
-                while answer is None and tried < attempts:
-                    try:
-                        answer, error = generator.generate(s, u), None
-                    except Exception as failure:  # noqa: BLE001 - reported in the row
-                        error = f"{type(failure).__name__}: {failure}"
-                        if sleep:
-                            time.sleep(2.0**tried)
-                    tried += 1
-                answers.append(answer)
-                errors.append(error)
-                used.append(tried)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(answers, pa.string()), pa.array(errors, pa.string()), pa.array(used, pa.int32())], names=[key, "response", "error", "attempts"])
-
-    return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, response string, error string, attempts int")
+            turns = batch.column(at).to_pylist()
+            for turn in (t for row in turns for t in row or () if t["role"] == "assistant"):
+                turn["content"] = _answer(generator, limiter, "", ask + (turn["content"] or ""), attempts, False)[0] or turn["content"]
+            columns = batch.columns
+            columns[at] = pa.array(turns, batch.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return conversations.mapInArrow(run, conversations.schema)
+
+
+def judge(conversations: DataFrame, source: Column, generator: Generator, rubrics: tuple[str, ...] = LEGACY_RUBRICS) -> DataFrame:
+    """conv_id, judge_scores (map), judge_overall, confidence_score, judge_error.
+
+    Scores are clamped and the overall is their mean where the judge gives none; a reply
+    without scores is an error of its own row.
+    """
+    from corpusmill.operators.evaluation import confidence, normalize_scores
+
+    replies = generate(conversations, "conv_id", F.lit("You rate conversations."), judge_prompt(source, F.col("turns"), rubrics), generator)
+    text = extract_json_column(F.col("response"))
+    scores = F.map_filter(F.from_json(text, "map<string,string>"), lambda k, _: ~k.isin("explanation", "error"))
+    numbers = normalize_scores(F.transform_values(scores, lambda _, v: v.try_cast("double")))
+    read = replies.select("conv_id", numbers.alias("judge_scores"), F.get_json_object(text, "$.error").alias("said"), "error")
+    overall = F.element_at("judge_scores", "overall")
+    return read.select("conv_id", "judge_scores", overall.alias("judge_overall"), confidence(overall).alias("confidence_score"), F.when(overall.isNull(), F.coalesce("error", "said", F.lit("no scores in the reply"))).alias("judge_error"))
 
 
 def conversation_turns(response: Column, content: Column) -> Column:
@@ -153,7 +233,8 @@ def synthesize(chunks: DataFrame, mode: str = "teach", model: str = "offline", g
     keyed = chunks.withColumn("cache_key", item_key(F.struct("chunk_id", "content"), F.lit(model), F.lit(mode)))
     missing = keyed if cache is None else keyed.join(cache.select("cache_key"), "cache_key", "left_anti")
     prompt = mode_prompt(F.col("content"), F.col("title"), F.col("source_type"), F.lit(mode))
-    made = generate(missing, "cache_key", F.lit(MODES[mode]), prompt, generator)
+    # Written once: later steps must not call the generator again.
+    made = cut(generate(missing, "cache_key", F.lit(MODES[mode]), prompt, generator), "generated")
     have = made.select("cache_key", "response", "error") if cache is None else made.select("cache_key", "response", "error").unionByName(cache.select("cache_key", "response", "error"))
     answered = keyed.join(have.where("error is null"), "cache_key")
     conversations = answered.select(

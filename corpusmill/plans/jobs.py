@@ -9,6 +9,7 @@ from corpusmill.functions.pii import PiiOptions
 from corpusmill.operators import chunks as C
 from corpusmill.operators import conversations as V
 from corpusmill.operators import evaluation, formats, splits, synthesis, vectors
+from corpusmill.operators.shared import cut
 from corpusmill.schema import EvalThresholds, IngestConfig, SplitConfig
 from corpusmill.sources.documents import read_folder
 
@@ -40,7 +41,8 @@ def export(conversations: DataFrame, layouts: list[str], folder: str, split: Spl
 
     With a split every part is written to its own folder.
     """
-    kept = V.deduplicate(conversations, order)
+    conversations = cut(conversations, "export")  # every layout and split starts from it
+    kept = cut(V.deduplicate(conversations, order), "export-kept")
     parts = {"": kept}
     if split is not None:
         named = splits.random_split(kept, order, split)
@@ -62,6 +64,13 @@ def validate_export(spark: SparkSession, folder: str, layouts: list[str]) -> dic
     return out
 
 
+def export_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """layout, files, bytes of what an export wrote; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    part = F.regexp_extract("path", f"/{folder.rstrip('/').rpartition('/')[2]}/([^/]+)/", 1)
+    return files.where(F.regexp_like("path", F.lit("/part-[^/]*$"))).groupBy(part.alias("layout")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
 def evaluate(conversations: DataFrame, references: DataFrame | None = None, thresholds: EvalThresholds | None = None) -> DataFrame:
     return evaluation.evaluate(conversations, references, thresholds)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -265,16 +266,20 @@ def read_folder(spark: SparkSession, path: str, recursive: bool = True, kinds: t
 
     Files over the size limit, and kinds whose parser is missing, become error rows.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    # Only components below the folder are held against the ignore list.
-    base = F.regexp_replace("path", "^file:/+", "/")
-    below = F.when(base.startswith(path.rstrip("/") + "/"), F.substring(base, F.lit(len(path.rstrip("/")) + 2), F.length(base))).otherwise(base)
-    named = files.select(base.alias("file_path"), F.substring_index("path", "/", -1).alias("file_name"), "length", "content", below.alias("below")).where(~dispatch.ignored(F.col("below")))
-    kind = dispatch.loader(F.col("file_path"))
+    root = path.rstrip("/") + "/"
+
+    def found(kind: str) -> DataFrame:
+        """Files of one kind, by a glob on their names, so that each file is read by its own loader only."""
+        names = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in dispatch.LOADERS[kind])
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", f"*.{{{names}}}").load(path)
+        base = F.regexp_replace("path", "^file:/+", "/")
+        # Only components below the folder are held against the ignore list.
+        below = F.when(base.startswith(root), F.substring(base, F.lit(len(root) + 1), F.length(base))).otherwise(base)
+        return files.select(base.alias("file_path"), F.substring_index("path", "/", -1).alias("file_name"), "length", "content", below.alias("below")).where(~dispatch.ignored(F.col("below")))
+
     fits = F.col("length") <= dispatch.MAX_FILE_BYTES
-    parts = [load(named.where(fits & (kind == k)), k) for k in kinds]
-    large = _shape(named.where(~fits & kind.isin(list(kinds))).select("file_path", "file_name"), "text", error=F.lit("file too large"))
-    out = large
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    parts = []
+    for kind in kinds:
+        files = found(kind)
+        parts += [load(files.where(fits), kind), _shape(files.where(~fits).select("file_path", "file_name"), "text", error=F.lit("file too large"))]
+    return reduce(DataFrame.unionByName, parts)

@@ -18,6 +18,7 @@ from corpusmill.operators import preferences as P
 from corpusmill.operators import splits as S
 from corpusmill.operators import synthesis as G
 from corpusmill.operators import vectors as W
+from corpusmill.operators.shared import cut
 from corpusmill.plans import jobs
 from corpusmill.schema import ChunkConfig, EvalThresholds, IngestConfig, SplitConfig
 from corpusmill.sources import dispatch as D
@@ -287,6 +288,7 @@ def test_folder_is_loaded_and_failures_stay_apart(spark, folder):
 def test_ingest_synthesize_export(spark, folder, tmp_path):
     chunks, failed = jobs.ingest(spark, folder, IngestConfig(context_prefix=True, embed=True, pii=True))
     assert failed.count() == 1
+    chunks = cut(chunks, "test")
     rows = chunks.collect()
     assert rows and all(r["content"].startswith("[Context:") and len(r["chunk_id"]) == 16 and len(r["embedding"]) == 256 for r in rows)
     source = chunks.withColumn("source_type", F.lit("text"))
@@ -396,3 +398,48 @@ def test_command_line(spark, folder, tmp_path):
     assert main(["evaluate", f"{at}/conv"], spark) == 1
     with pytest.raises(SystemExit):
         main(["export", f"{at}/conv", f"{at}/out", "--formats", "none"], spark)
+
+
+# Generators
+
+
+class Scripted:
+    def generate(self, system, user):
+        if "fail" in user:
+            raise RuntimeError("down")
+        if user.startswith("Rate"):
+            return '{"accuracy": 12, "clarity": 6, "explanation": "fine"}' if "shuffle" in user else "no"
+        return "step by step"
+
+
+def test_scaffold_and_judge(spark):
+    rows = conv(spark, (TRIPLE, 1, 9.0), ([("user", "q"), ("assistant", "will fail")], 2))
+    done = {r["conv_id"]: r for r in G.scaffold(rows, Scripted(), attempts=2).collect()}
+    assert done[0]["turns"][2]["content"] == "step by step" and done[0]["judge_overall"] == 9.0
+    assert done[1]["turns"][1]["content"] == "will fail"
+    judged = {r["conv_id"]: r for r in G.judge(conv(spark, (TRIPLE,), ([("user", "q"), ("assistant", "a")],)), F.lit("s"), Scripted()).collect()}
+    assert judged[0]["judge_scores"] == {"accuracy": 10.0, "clarity": 6.0, "overall": 8.0} and judged[0]["confidence_score"] == 0.8 and judged[0]["judge_error"] is None
+    assert judged[1]["judge_overall"] is None and judged[1]["judge_error"]
+
+
+def test_registry_and_limiter():
+    import time
+
+    G.register_generator("scripted", Scripted, ("s",))
+    assert isinstance(G.get_generator("s"), Scripted)
+    with pytest.raises(ValueError):
+        G.get_generator("none such")
+    limiter = G.Limiter(1200)
+    began = time.monotonic()
+    for _ in range(3):
+        limiter.wait()
+    assert time.monotonic() - began >= 0.09
+
+
+def test_presets_and_export_stats(spark, tmp_path):
+    from corpusmill.plans.presets import PRESETS
+
+    assert all(set(p.layouts) <= set(X.FORMATS) and p.mode in G.MODES for p in PRESETS.values())
+    jobs.export(conv(spark, (TRIPLE, 1)), ["chatml", "kto"], str(tmp_path / "x"))
+    stats = {r["layout"]: r for r in jobs.export_stats(spark, str(tmp_path / "x")).collect()}
+    assert set(stats) == {"chatml", "kto"} and stats["chatml"]["bytes"] > 0
