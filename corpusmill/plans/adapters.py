@@ -63,6 +63,14 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("doc_id", F.regexp_replace("file_path", "txt$", "py").alias("file_path"), content.alias("content"), F.lit("code").alias("source_type"), F.lit("python").alias("language"))
 
 
+def whole_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Python files of two definitions that hold the whole text, each on one line."""
+    body = F.replace(F.col("content"), F.lit("\n"), F.lit(" "))
+    name = F.col("doc_id").cast("string")
+    content = F.concat(F.lit("def f_"), name, F.lit("(x):\n    '''"), body, F.lit("'''\n\nclass C_"), name, F.lit(":\n    y = '''"), body, F.lit("'''\n"))
+    return files(spark, sf_dir).select("doc_id", F.regexp_replace("file_path", "txt$", "py").alias("file_path"), content.alias("content"), F.lit("code").alias("source_type"), F.lit("python").alias("language"))
+
+
 # The same in DuckDB, each as a common table expression.
 _SCORES = """conv_id // 2 AS source_chunk_id, CAST(NULL AS VARCHAR) AS reasoning_trace,
   CASE WHEN conv_id % 5 <> 0 THEN (conv_id * 53 % 101) / 10.0::DOUBLE END AS judge_overall,
@@ -78,3 +86,4 @@ HEADED = """headed AS (SELECT doc_id, source || '/' || doc_id || '.md' AS file_p
   lambda x, i: CASE WHEN i = 1 THEN '# ' || x WHEN (i - 1) % 5 = 0 THEN '## ' || x ELSE x END), chr(10)) AS content FROM documents)"""
 CODE = """code AS (SELECT doc_id, source || '/' || doc_id || '.py' AS file_path,
   'def f_' || doc_id || '(x):' || chr(10) || '    ''''''' || replace(substr(text, 1, 200), chr(10), ' ') || '''''''' || chr(10) || chr(10) || 'class C_' || doc_id || ':' || chr(10) || '    y = ''''''' || replace(substr(text, 1, 200), chr(10), ' ') || '''''''' || chr(10) AS content FROM documents)"""
+WHOLE_CODE = CODE.replace("code AS", "whole_code AS", 1).replace("substr(text, 1, 200)", "text")

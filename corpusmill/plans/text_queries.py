@@ -100,6 +100,21 @@ def chunk_code(spark, d):
     return C.chunk(A.code(spark, d)).select("file_path", F.col("tags")["definition"].alias("definition"), "content", F.col("tags")["line_start"].alias("line_start"), F.col("tags")["line_end"].alias("line_end"))
 
 
+_AT_CLASS = "instr(content, chr(10) || 'class C_' || doc_id || ':' || chr(10))"
+
+
+@query(f"""WITH RECURSIVE {A.WHOLE_CODE}, piece AS (SELECT file_path, 'f_' || doc_id AS definition, {_STRIP.format(f"substr(content, 1, {_AT_CLASS})")} AS content, '1' AS line_start, '4' AS line_end FROM whole_code
+UNION ALL SELECT file_path, 'C_' || doc_id, {_STRIP.format(f"substr(content, {_AT_CLASS})")}, '4', '6' FROM whole_code),
+long AS (SELECT file_path, definition, content FROM piece WHERE length(content) > 1000),
+{_windows('long', 'file_path, definition', 1000, 200, (chr(10),))},
+cut AS (SELECT file_path, a, b, content, {_STRIP.format('substr(content, a + 1, b - a)')} AS part FROM spans)
+SELECT file_path, definition, content, line_start, line_end FROM piece WHERE length(content) <= 1000
+UNION ALL SELECT file_path, NULL, part, CAST(length(substr(content, 1, a)) - length(replace(substr(content, 1, a), chr(10), '')) + 1 AS VARCHAR),
+  CAST(length(substr(content, 1, b)) - length(replace(substr(content, 1, b), chr(10), '')) + 1 AS VARCHAR) FROM cut WHERE part <> ''""")
+def chunk_code_whole(spark, d):
+    return C.chunk(A.whole_code(spark, d)).select("file_path", F.col("tags")["definition"].alias("definition"), "content", F.col("tags")["line_start"].alias("line_start"), F.col("tags")["line_end"].alias("line_end"))
+
+
 @query()
 def chunk_semantic(spark, d):
     return C.chunk(A.files(spark, d), ChunkConfig(mode="semantic")).select("file_path", "i", "chunk_id", F.length("content").alias("n_chars"))
@@ -116,6 +131,12 @@ def definition_names(spark, d):
     return A.code(spark, d).select("file_path", F.coalesce(F.nullif(name, F.lit("")), F.lit("unknown")).alias("name"))
 
 
+@query(f"WITH {A.WHOLE_CODE} SELECT file_path, coalesce(nullif(regexp_extract(content, '\\A(?:class|def)\\s+(\\w+)', 1), ''), 'unknown') AS name FROM whole_code")
+def definition_names_whole(spark, d):
+    name = F.regexp_extract("content", r"(?U)\A(?:class|def)\s+(\w+)", 1)
+    return A.whole_code(spark, d).select("file_path", F.coalesce(F.nullif(name, F.lit("")), F.lit("unknown")).alias("name"))
+
+
 @query("""WITH named AS (SELECT p_partkey, ['name', 'brand', 'type', 'size'] AS h, [p_name, CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE p_brand END, p_type, CAST(p_size AS VARCHAR)] AS c FROM part)
 SELECT p_partkey, array_to_string(list_filter(list_transform(h, lambda x, i: CASE WHEN trim(c[i]) <> '' THEN x || ': ' || trim(c[i]) END), lambda x: x IS NOT NULL), '; ') || '.' AS sentence FROM named""")
 def table_row_sentences(spark, d):
@@ -167,6 +188,12 @@ def load_code_defs(spark, d):
     return A.code(spark, d).select("file_path", names("def").alias("functions"), names("class").alias("classes"))
 
 
+@query(f"WITH {A.WHOLE_CODE} SELECT file_path, 'f_' || doc_id AS functions, 'C_' || doc_id AS classes FROM whole_code")
+def load_code_defs_whole(spark, d):
+    names = lambda w: F.array_join(L.code_definitions(F.col("content"), w), ",")
+    return A.whole_code(spark, d).select("file_path", names("def").alias("functions"), names("class").alias("classes"))
+
+
 @query("""SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i, '[Row ' || row_number() OVER (ORDER BY c_custkey) || ']' || chr(10) || 'c_name: ' || c_name || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE chr(10) || 'c_mktsegment: ' || c_mktsegment END || chr(10) || 'c_nationkey: ' || c_nationkey AS row_text FROM customer""")
 def load_csv_text(spark, d):
     rows = A.table(spark, d, "customer").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.col("c_mktsegment")))

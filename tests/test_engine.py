@@ -68,6 +68,33 @@ def test_definitions_carry_names_and_lines():
     assert len(long) > 1 and all(len(p.content) <= 100 for p in long)
 
 
+def test_code_queries_hold_whole_texts(spark, tmp_path):
+    from corpusmill.plans.queries import QUERIES
+
+    texts = {1: "short", 2: "word " * 30 + "\nlast", 3: "".join(f"{i:05d} " for i in range(700)) + "end", 4: "é\n" * 900}
+    spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want, seen = [], set()
+    for i, text in texts.items():
+        body = text.replace("\n", " ")
+        for name, first, last, section in ((f"f_{i}", "1", "4", f"def f_{i}(x):\n    '''{body}'''"), (f"C_{i}", "4", "6", f"class C_{i}:\n    y = '''{body}'''")):
+            if len(section) <= 1000:
+                want.append((f"s/{i}.py", name, section, first, last))
+                continue
+            seen.add(name)
+            start = 0
+            while start < len(section):
+                end = start + 1000
+                at = section[start:end].rfind("\n") if end < len(section) else 0
+                end = start + at + 1 if at > 0 else end
+                if section[start:end].strip():
+                    want.append((f"s/{i}.py", None, section[start:end].strip(), str(section[:start].count("\n") + 1), str(section[:end].count("\n") + 1)))
+                start = end - 200 if end - 200 > start else end
+    got = [tuple(r) for r in QUERIES["chunk_code_whole"](spark, str(tmp_path)).collect()]
+    assert seen == {"f_3", "C_3", "f_4", "C_4"} and sorted(got, key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, QUERIES["definition_names_whole"](spark, str(tmp_path)).collect())) == [(f"s/{i}.py", f"f_{i}") for i in texts]
+    assert sorted(map(tuple, QUERIES["load_code_defs_whole"](spark, str(tmp_path)).collect())) == [(f"s/{i}.py", f"f_{i}", f"C_{i}") for i in texts]
+
+
 @pytest.mark.parametrize("mode,expected", [("fixed", {1}), ("percentile", {0, 1, 2}), ("gradient", {1})])
 def test_cuts(mode, expected):
     assert chunking.cuts([0.9, 0.1, 0.5, 0.95], mode, {"fixed": 30, "percentile": 50, "gradient": 0}[mode]) == expected
