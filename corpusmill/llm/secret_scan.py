@@ -3,9 +3,9 @@
 Strong findings stand alone: assignments, access identifiers and hexadecimal runs.
 Weak candidates (a user or client name, a short value, a base64 run, an endpoint)
 are common in clean text, so a weak candidate is reported only where parts that
-complement it lie in the same scope: scopes are the paragraphs of a text, at most
-``SCOPE`` code points apart, and identifiers, secrets and endpoints within a scope are
-joined as intervals by a sweep over their sorted starts.
+complement it lie in the same scope: on another line of the same paragraph, or on the
+same line with a gap of at most ``SCOPE`` code points.  The nearest starts and ends among
+the sorted ones of identifiers, secrets and endpoints answer that.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ BASE = ("assign", "access", "hex")
 WEAK = ("identifier", "secret", "endpoint")
 KINDS = BASE + tuple(f"linked_{k}" for k in WEAK)
 
-#: Parts further apart than this, from start to start, are not one credential.
+#: Parts of one line with a wider gap, from one's end to the other's start, are not one credential.
 SCOPE = 400
 
 _ASSIGN = re.compile(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -34,10 +34,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 
 _WEAK = {
-    "identifier": re.compile(r"""(?ai)\b(?:access_?key_?id|client_?id|user_?name|login|account_?id|user|uid)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9_.@-]{3,}|\bA[SRG][IO]A[A-Z0-9]{12,}"""),
-    "secret": re.compile(r"""(?ai)\b(?:pwd|pass|secret|password|passwd|token|api_?key|client_?secret|private_?key)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9+/_.=-]{4,}|(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{0,38}[0-9])(?=[A-Za-z0-9+/]{0,38}[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])"""),
-    "endpoint": re.compile(r"""(?ai)\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|s3)://[^\s"'<>]{4,}|\b(?:host|endpoint|server|database_?url)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9_.:/-]{4,}"""),
+    "identifier": re.compile(r"""(?ai)(?<![A-Za-z0-9])(?:access_?key_?id|client_?id|user_?name|login|account_?id|user|uid)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9_.@-]{3,}|\bA[SRG][IO]A[A-Z0-9]{12,}"""),
+    "secret": re.compile(r"""(?ai)(?<![A-Za-z0-9])(?:pwd|pass|secret|password|passwd|token|api_?key|client_?secret|private_?key)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9+/_.=-]{4,}|(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{0,38}[0-9])(?=[A-Za-z0-9+/]{0,38}[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])"""),
+    "endpoint": re.compile(r"""(?ai)\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|s3)://[^\s"'<>]{4,}|(?<![A-Za-z0-9])(?:host|endpoint|server|database_?url)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9_.:/-]{4,}"""),
 }
+#: The only identifier that needs neither ":" nor "=", as endpoints do.
+_BARE = re.compile(r"(?ai)\bA[SRG][IO]A[A-Z0-9]{12,}")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 
 
@@ -57,22 +59,29 @@ def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
     A weak identifier or endpoint needs a secret (weak or strong) in its scope; a weak
     secret needs an identifier or an endpoint.  Candidates inside a base span add nothing.
     """
-    if ":" not in text and "=" not in text and not any(s.kind == "access" for s in base):
+    if ":" not in text and "=" not in text and not any(s.kind == "access" for s in base) and not _BARE.search(text):
         return []
     weak = [Span(kind, m.start(), m.end()) for kind, pattern in _WEAK.items() for m in pattern.finditer(text)]
     if not weak:
         return []
     strong = [Span("identifier" if s.kind == "access" else "secret", s.start, s.end) for s in base]
-    breaks = [m.start() for m in _PARAGRAPH.finditer(text)]
-    parts = {kind: sorted((s.start, s.end) for s in (*weak, *strong) if s.kind == kind) for kind in WEAK}
+    breaks = [-1, *(m.start() for m in _PARAGRAPH.finditer(text)), len(text)]
+    lines = [-1, *(m.start() for m in re.finditer("\n", text)), len(text)]
+    starts_of = {kind: sorted(s.start for s in (*weak, *strong) if s.kind == kind) for kind in WEAK}
+    ends_of = {kind: sorted(s.end for s in (*weak, *strong) if s.kind == kind) for kind in WEAK}
 
     def meets(span: Span, kind: str) -> bool:
-        """Whether a part of this kind, other than the span's own text, lies in the span's scope."""
-        paragraph = bisect_right(breaks, span.start)
-        low = max(span.start - scope, breaks[paragraph - 1] if paragraph else 0)
-        high = min(span.start + scope, breaks[paragraph] if paragraph < len(breaks) else len(text))
-        near = parts[kind]
-        return any(end <= span.start or start >= span.end for start, end in near[bisect_left(near, (low,)) : bisect_right(near, (high,))])
+        """Whether a part of this kind, other than the span's own text, lies in the span's scope; no part crosses lines."""
+        paragraph, line = bisect_right(breaks, span.start), bisect_right(lines, span.start)
+        starts, ends = starts_of[kind], ends_of[kind]
+        # The nearest part on this line, then the nearest on another line, on either side.
+        for limit, least in ((span.start, max(lines[line - 1], span.start - scope - 1)), (lines[line - 1], breaks[paragraph - 1])):
+            if (i := bisect_right(ends, limit)) and ends[i - 1] > least:
+                return True
+        for limit, most in ((span.end, min(lines[line], span.end + scope + 1)), (lines[line], breaks[paragraph])):
+            if (i := bisect_left(starts, limit)) < len(starts) and starts[i] < most:
+                return True
+        return False
 
     needs = {"identifier": ("secret",), "secret": ("identifier", "endpoint"), "endpoint": ("secret",)}
     starts = sorted(base, key=lambda s: s.start)
