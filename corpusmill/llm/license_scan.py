@@ -2,7 +2,8 @@
 
 Texts are reduced to lower-cased words joined by single spaces, which hold the license
 wordings whatever their line breaks and punctuation.  An Aho-Corasick automaton finds
-the rules' keywords in one reading; only rules whose keyword occurs are matched.
+the rules' keywords in one reading; only rules of which a keyword occurs are matched, and
+whatever a rule matches has one of its keywords at a word's start.
 Overlapping detections are resolved by priority: one that lies within the interval of a
 stronger one is suppressed.  Detections of the base phrases are never suppressed.
 """
@@ -23,16 +24,16 @@ _WORD_BYTES = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 i
 #: The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Label, keyword that every title has, title as a pattern over normalised words, SPDX id as normalised words.
+#: Label, keywords of which every title and id has one (by commas), title as a pattern over normalised words, SPDX id as normalised words.
 LICENSES = (
-    ("0bsd", "bsd", r"(?:zero clause bsd|bsd zero clause|0bsd)(?: license)?", "0bsd"),
+    ("0bsd", "bsd,0bsd", r"(?:zero clause bsd|bsd zero clause|0bsd)(?: license)?", "0bsd"),
     ("afl", "academic free", r"academic free license(?: (?:version |v)?[123] \d)?", "afl 3 0"),
     ("agpl", "affero", r"(?:gnu )?affero general public license(?: (?:version |v)?[13](?: 0)?)?", "agpl 3 0(?: only| or later)?"),
     ("apache-1.1", "apache", r"apache (?:software )?license (?:version |v)?1 1", "apache 1 1"),
     ("apache-2.0", "apache", r"apache (?:software )?license (?:version |v)?2(?: 0)?", "apache 2 0"),
     ("artistic", "artistic", r"(?:perl )?artistic license(?: (?:version |v)?[12] 0)?", "artistic [12] 0"),
     ("blueoak", "blue oak", r"blue oak model license(?: 1 0 0)?", "blueoak 1 0 0"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?", "bsd 2 clause"),
+    ("bsd-2-clause", "bsd,freebsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: license)?", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: license)?", "bsd 4 clause"),
     ("bsl-1.0", "boost", r"boost software license(?: version)?(?: 1 0)?", "bsl 1 0"),
@@ -53,10 +54,10 @@ LICENSES = (
     ("fdl", "free documentation", r"(?:gnu )?free documentation license(?: (?:version )?1 [123])?", "gfdl 1 [123](?: only| or later)?"),
     ("gpl-2.0", "general public", r"(?:gnu )?general public license (?:as published by the free software foundation either )?(?:version |v)?2(?: 0)?", "gpl 2 0(?: only| or later)?"),
     ("gpl-3.0", "general public", r"(?:gnu )?general public license (?:as published by the free software foundation either )?(?:version |v)?3(?: 0)?", "gpl 3 0(?: only| or later)?"),
-    ("isc", "isc", r"(?:internet systems consortium|isc) license", "isc"),
+    ("isc", "isc,internet systems consortium", r"(?:internet systems consortium|isc) license", "isc"),
     ("lgpl-2.1", "lesser general", r"(?:gnu )?lesser general public license (?:version |v)?2 1", "lgpl 2 1(?: only| or later)?"),
     ("lgpl-3.0", "lesser general", r"(?:gnu )?lesser general public license (?:version |v)?3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
-    ("lgpl", "lesser general", r"(?:gnu )?(?:lesser|library) general public license", "lgpl 2 0(?: only| or later)?"),
+    ("lgpl", "lesser general,library general", r"(?:gnu )?(?:lesser|library) general public license", "lgpl 2 0(?: only| or later)?"),
     ("lppl", "latex project", r"latex project public license(?: (?:version )?1 \d)?", r"lppl 1 \d"),
     ("mit-0", "mit no attribution", r"mit no attribution(?: license)?", "mit 0"),
     ("mpl-1.1", "mozilla", r"mozilla public license (?:version |v)?1 1", "mpl 1 1"),
@@ -99,20 +100,20 @@ SENTENCES = (
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
 )
 
-#: How a license is named: a rule for each title, priority and weight. A keyword narrows the rule further.
+#: How a license is named: a rule for each title, priority and weight. Keywords replace those of the title.
 FORMS = (
     (r"spdx license identifier {spdx}", "spdx license identifier", 9, 1.0),
     (r"(?:re|dual )?licensed under (?:the )?(?:terms of )?(?:the )?{title}", None, 8, 0.98),
     (r"(?:released|distributed|available|published|covered|governed|provided) (?:\S+ ){{0,3}}under (?:the )?(?:terms of )?(?:the )?{title}", None, 7, 0.95),
     (r"(?:see|under|with|subject to|according to) the {title}", None, 6, 0.9),
     (r"{title}", None, 5, 0.8),
-    (r"licen[cs]e (?:is )?{spdx}", "license", 4, 0.8),
+    (r"licen[cs]e (?:is )?{spdx}", "license,licence", 4, 0.8),
 )
 
 
 class Rule(NamedTuple):
     label: str
-    keyword: str
+    keywords: str
     pattern: re.Pattern
     priority: int
     weight: float
@@ -126,8 +127,8 @@ def _pattern(words: str) -> re.Pattern:
 def rules() -> list[Rule]:
     """All signature rules, in order of priority: the base phrases, every form of every license, the sentences."""
     out = [Rule(label, phrase, _pattern(phrase), 3, 0.7, True) for phrase, label in BASE]
-    for label, keyword, title, spdx in LICENSES:
-        out += [Rule(label, need or keyword, _pattern(form.format(title=title, spdx=f"(?:{spdx})")), priority, weight) for form, need, priority, weight in FORMS]
+    for label, keywords, title, spdx in LICENSES:
+        out += [Rule(label, need or keywords, _pattern(form.format(title=title, spdx=f"(?:{spdx})")), priority, weight) for form, need, priority, weight in FORMS]
     for phrase, label in BASE:
         out += [Rule(label, phrase, _pattern(form.format(title=phrase, spdx=label)), priority - 1, weight - 0.05) for form, need, priority, weight in FORMS[1:4]]
     out += [Rule(label, keyword, _pattern(sentence), 2, 0.75) for label, keyword, sentence in SENTENCES]
@@ -150,14 +151,15 @@ class Scanner:
         by_keyword: dict[str, list[int]] = {}
         self.rules = rules()
         for i, rule in enumerate(self.rules):
-            by_keyword.setdefault(rule.keyword, []).append(i)
+            for keyword in rule.keywords.split(","):
+                by_keyword.setdefault(keyword, []).append(i)
         self.automaton = ahocorasick.Automaton()
         for keyword, numbers in by_keyword.items():
             self.automaton.add_word(f" {keyword}", numbers)
         self.automaton.make_automaton()
 
     def detections(self, normalised: str) -> list[Detection]:
-        """Matches of the rules whose keyword occurs, in order of rules; ``normalised`` begins and ends with a space."""
+        """Matches of the rules of which a keyword occurs, in order of rules; ``normalised`` begins and ends with a space."""
         gated: set[int] = set()
         for _, numbers in self.automaton.iter(normalised):
             gated.update(numbers)

@@ -399,6 +399,49 @@ def test_license_scan(spark, sf_dir, documents, hard, hard_rows, empty):
         assert (r["score"] > 0) == bool(r["labels"])
 
 
+def wordings(parsed):
+    """Texts of a parsed pattern: every branch, options with and without, few repeats, first and last of a class."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            kind, value = arg[0]
+            more = [chr(value), chr(arg[-1][1])] if str(kind) == "LITERAL" else [chr(value[0])] if str(kind) == "RANGE" else ["1" if "DIGIT" in str(value) and "NOT" not in str(value) else "x"]
+        elif name == "SUBPATTERN":
+            more = wordings(arg[-1])
+        elif name == "BRANCH":
+            more = [w for branch in arg[1] for w in wordings(branch)]
+        elif name == "MAX_REPEAT":
+            low, high, inner = arg
+            more = [w * n for n in sorted({low, min(int(high), low + 1)}) for w in wordings(inner)]
+        else:
+            assert name in ("ASSERT", "AT"), name
+            more = [""]
+        out = [a + b for a in out for b in dict.fromkeys(more)]
+    return out
+
+
+def test_license_keywords_let_every_wording_through():
+    from re import _parser
+
+    scanner = license_scan.Scanner()
+    ungated = lambda t: [license_scan.Detection(*m.span(), r) for r in scanner.rules for m in r.pattern.finditer(t)]
+    lost, texts = set(), {}
+    for number, rule in enumerate(scanner.rules):
+        every = wordings(_parser.parse(rule.pattern.pattern))
+        assert any(rule.pattern.search(f" {w} ") for w in every)
+        for w in every:
+            if rule.pattern.fullmatch(f" {w} ", 1, len(w) + 1) or rule.pattern.search(f" {w} "):
+                if not any(number in numbers for _, numbers in scanner.automaton.iter(f" {w} ")):
+                    lost.add((rule.label, w))
+        texts.update(dict.fromkeys(every[:: max(1, len(every) // 4)]))
+    assert not lost
+    for w in [*texts, "0bsd license", "freebsd license", "internet systems consortium license", "gnu library general public license", "licence mpl 2 0"]:
+        assert scanner.detections(f" {w} ") == ungated(f" {w} ") != []
+
+
 def test_license_rules_by_priority_and_containment():
     scanner = license_scan.Scanner()
     assert 200 <= len(scanner.rules) < 1000
