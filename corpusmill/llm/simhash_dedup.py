@@ -69,14 +69,20 @@ def fingerprints(texts: list[bytes], words: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a long."""
+def with_fingerprints(docs: DataFrame, hashes: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint's 64 bits as a long; with ``hashes`` also text_hash, Spark's xxhash64 of the text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
-            yield {"doc_id": batch.column(0), "fp": pa.array(fingerprints(as_bytes(batch.column(1))).view(np.int64))}
+            texts = as_bytes(batch.column(1))
+            out = {"doc_id": batch.column(0), "fp": pa.array(fingerprints(texts).view(np.int64))}
+            if hashes:
+                out["text_hash"] = pa.array(np.array([xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64))
+            yield out
 
-    return text_pass(docs, "fp bigint", work)
+    return text_pass(docs, "fp bigint, text_hash bigint" if hashes else "fp bigint", work)
 
 
 def _keys(fp: Column, bits: int, key_bytes: int) -> Column:
@@ -234,13 +240,18 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, key_bytes: int | None = N
     ids are.  Repeated rows give repeated results; an empty table gives none.
     """
     prints = cut(with_fingerprints(docs), "fingerprints")
+    return _classified(prints, bits, key_bytes, block).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classified(prints: DataFrame, bits: int, key_bytes: int | None, block: int) -> DataFrame:
+    """``prints`` with component_id and root, a fingerprint that names the component."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     roots = cut(components(links(nodes.select("fp"), bits, key_bytes, block)), "components")
     classes = nodes.join(roots, nodes.fp == roots.node, "inner").groupBy("root").agg(F.min("least").alias("component_id"))
     # Most fingerprints have no link: those need no row here, their component is their own least id.
-    linked = roots.join(classes, "root").select(F.col("node").alias("fp"), "component_id")
-    each = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "copies")
-    return _joined(prints, cut(each, "classes")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = roots.join(classes, "root").select(F.col("node").alias("fp"), "component_id", "root")
+    each = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"), "copies")
+    return _joined(prints, cut(each, "classes"))
 
 
 def _joined(prints: DataFrame, classes: DataFrame) -> DataFrame:
@@ -251,22 +262,25 @@ def _joined(prints: DataFrame, classes: DataFrame) -> DataFrame:
     the others meet in a shuffle.
     """
     total = prints.count()
-    hot = F.broadcast(classes.where(F.col("copies") * HOT > total).select("fp", "component_id"))
-    rest = prints.join(hot.select("fp"), "fp", "left_anti").join(classes.where(F.col("copies") * HOT <= total).select("fp", "component_id"), "fp")
-    return prints.join(hot, "fp").select("doc_id", "fp", "component_id").unionByName(rest.select("doc_id", "fp", "component_id"))
+    hot = F.broadcast(classes.where(F.col("copies") * HOT > total).drop("copies"))
+    rest = prints.join(hot.select("fp"), "fp", "left_anti").join(classes.where(F.col("copies") * HOT <= total).drop("copies"), "fp")
+    return prints.join(hot, "fp").unionByName(rest)
 
 
 def drop_near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id.
 
-    Of rows that repeat a kept doc_id the first by text stays.  Rows with a null doc_id
+    Of a component's rows with that doc_id the first by text stays, so a doc_id that
+    repeats stays in every component of which it is the smallest.  Rows with a null doc_id
     can't be told apart and all stay.  Columns are as before, whatever their names.
     """
     from pyspark.sql import Window
 
-    key = fresh(docs, "kept_id")
-    place = fresh(docs, "place")
-    kept = near_duplicates(docs, bits).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col(key), "left_semi")
-    first = named.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(place) == 1).drop(place)
+    key, text_hash, root, place = (fresh(docs, n) for n in ("kept_id", "text_hash", "kept_root", "place"))
+    prints = cut(with_fingerprints(docs, True), "fingerprints")
+    least = _classified(prints, bits, None, BLOCK).where("doc_id = component_id")
+    kept = least.select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), F.col("root").alias(root)).distinct()
+    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    named = docs.where(F.col("doc_id").isNotNull()).join(kept, (F.col("doc_id") == F.col(key)) & (own == F.col(text_hash)))
+    first = named.withColumn(place, F.row_number().over(Window.partitionBy(root).orderBy("text"))).where(F.col(place) == 1).drop(key, text_hash, root, place)
     return first.unionByName(docs.where(F.col("doc_id").isNull()))

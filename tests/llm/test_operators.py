@@ -274,6 +274,19 @@ def test_drop_near_duplicates_keeps_one_of_each(hard):
 
 
 # 6, 7
+def test_drop_near_duplicates_keeps_every_component_where_ids_repeat(spark):
+    words = lambda seed: " ".join(f"{seed}{i * i % 9973}" for i in range(400))
+    near = words("b") + " end"
+    a, b, rare = words("a"), words("b"), "ß 中 " + words("u")
+    got = lambda rows: sorted(map(tuple, simhash_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    prints = dict(simhash_dedup.with_fingerprints(spark.createDataFrame([(1, b), (2, near), (3, a)], "doc_id bigint, text string")).collect())
+    assert (prints[1] ^ prints[2]).bit_count() <= 4 < min((prints[3] ^ prints[1]).bit_count(), (prints[3] ^ prints[2]).bit_count())
+    assert got([(5, a), (5, b)]) == [(5, a), (5, b)]
+    assert got([(5, a), (5, b), (3, near)]) == [(3, near), (5, a)]
+    assert got([(5, b), (5, near), (5, b), (6, rare), (7, rare)]) == [(5, min(b, near)), (6, rare)]
+    assert got([(1, None), (1, ""), (None, a), (2, a)]) == sorted([(1, None), (None, a), (2, a)], key=str)
+
+
 def held_out_rows(df, sf_dir, label):
     labels = {r["doc_id"]: r[label] for r in pq.read_table(f"{sf_dir}/labels.parquet").to_pylist()}
     rows = df.collect()
