@@ -103,21 +103,25 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id
         ids, home = table["id"].to_numpy(), table["own"].to_numpy()
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
         rows = table["v"].to_pylist()
-        width = max(map(len, rows), default=0)
-        keep = np.array([len(r) == width and width > 0 for r in rows])
-        matrix = np.array([r for r, k in zip(rows, keep, strict=True) if k], float).reshape(-1, width)
-        ids, home = ids[keep], home[keep]
-        norm = np.sqrt((matrix * matrix).sum(axis=1))
-        ok = norm > 0
-        matrix, ids, home = matrix[ok] / norm[ok, None], ids[ok], home[ok]
-        left, right = home == low, home == high
-        sims = matrix[left] @ matrix[right].T
-        i, j = np.nonzero(sims >= threshold)
-        a, b, s = ids[left][i], ids[right][j], sims[i, j]
-        if low == high:
-            once = a < b
-            a, b, s = a[once], b[once], s[once]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": s})
+        widths = np.array([len(r) for r in rows])
+        out = []
+        # Vectors of unequal width have similarity 0: each width is a matrix of its own.
+        for width in np.unique(widths[widths > 0]):
+            at = np.nonzero(widths == width)[0]
+            matrix = np.array([rows[i] for i in at], float).reshape(-1, width)
+            norm = np.sqrt((matrix * matrix).sum(axis=1))
+            ok = norm > 0
+            matrix, at = matrix[ok] / norm[ok, None], at[ok]
+            left, right = home[at] == low, home[at] == high
+            sims = matrix[left] @ matrix[right].T
+            i, j = np.nonzero(sims >= threshold)
+            a, b, s = ids[at][left][i], ids[at][right][j], sims[i, j]
+            if low == high:
+                once = a < b
+                a, b, s = a[once], b[once], s[once]
+            out.append((np.minimum(a, b), np.maximum(a, b), s))
+        a, b, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (ids[:0], ids[:0], np.zeros(0))
+        return pa.table({"a": a, "b": b, "similarity": s})
 
     return dealt.groupBy("low", "high").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
 

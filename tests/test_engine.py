@@ -329,6 +329,13 @@ def test_similar_pairs_by_blocks(spark, block):
     assert got == {(i, j) for i, a in rows[:30] for j, b in rows[:30] if i < j and cos(a, b) >= 0.8}
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+def test_similar_pairs_of_each_width(spark, block):
+    rows = [(i, [1.0, float(i % 2)] + [0.0] * (i % 3)) for i in range(12)] + [(12, []), (13, [0.0, 0.0])]
+    got = {(r["a"], r["b"]) for r in W.similar_pairs(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 0.9, block=block).collect()}
+    assert got == {(i, j) for i in range(12) for j in range(i + 1, 12) if i % 3 == j % 3 and i % 2 == j % 2}
+
+
 # Files
 
 
