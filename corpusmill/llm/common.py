@@ -1,15 +1,19 @@
 """What the operators of this folder share: text passes, tables in the shared folder, labels.
 
 Every operator reads ``doc_id`` and ``text`` (others as named) and ignores further
-columns, whatever their names.  Rows are never dropped for a null: a null text
-counts as an empty one and a null ``doc_id`` stays null in the result.
+columns, whatever their names, those that differ in case only included.  Rows are never
+dropped for a null: a null text counts as an empty one and a null ``doc_id`` stays null
+in the result.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,13 +59,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE, mo
             at += n
 
 
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, found by their exact names: a further ``DOC_ID`` makes no ``doc_id`` ambiguous."""
+    places = [df.columns.index(n) for n in names]
+    return df.toDF(*[f"column{i}" for i in range(len(df.columns))]).select(*[F.col(f"column{i}").alias(n) for i, n in zip(places, names, strict=True)])
+
+
+def id_and_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), the text as a string."""
+    return pick(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
+
+
 def text_pass(docs: DataFrame, ddl: str, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
     """One narrow pass over (doc_id, text): no shuffle.
 
     ``work`` gets small batches of the two columns and yields, for each, a dict of
     column name to values; ``ddl`` names the columns that follow ``doc_id``.
     """
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    source = id_and_text(docs)
     importable(docs.sparkSession)
     fields = T.StructType([source.schema["doc_id"], *T.StructType.fromDDL(ddl).fields])
     names = fields.fieldNames()
@@ -77,41 +92,111 @@ def text_pass(docs: DataFrame, ddl: str, work: Callable[[Iterator[pa.RecordBatch
     return source.mapInArrow(run, fields)
 
 
+def plain_names(docs: DataFrame) -> DataFrame:
+    """``docs`` with names of its columns that no two share, ``doc_id`` and ``text`` as they are; ``toDF(*docs.columns)`` turns back."""
+    kept = {docs.columns.index(n) for n in ("doc_id", "text")}
+    return docs.toDF(*[n if i in kept else f"column{i}" for i, n in enumerate(docs.columns)])
+
+
 def row_pass(docs: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """A narrow pass over all columns that drops or rewrites rows; the columns stay as they are."""
     importable(docs.sparkSession)
-    at = docs.columns.index("text")
-    return docs.mapInArrow(lambda batches: work(slices(batches, at)), docs.schema)
+    plain, at = plain_names(docs), docs.columns.index("text")
+    return plain.mapInArrow(lambda batches: work(slices(batches, at)), plain.schema).toDF(*docs.columns)
+
+
+#: A key that holds more than this part of all rows is hot; there are fewer hot keys than this.
+HOT = 1000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, copies: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has each ``key`` once and in ``copies`` how many of ``total`` rows have it.
+
+    Rows of hot keys are joined by broadcast where they lie, so that they do not meet in
+    one task; the others meet in a shuffle.
+    """
+    hot = F.broadcast(table.where(F.col(copies) * HOT > total).drop(copies))
+    rest = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(copies) * HOT <= total).drop(copies), key)
+    return rows.join(hot, key).unionByName(rest)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder of its own; on a cluster
+    there is none that all could read, which is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = _local_folder()
+    return folder
+
+
+@cache
+def _local_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+#: Paths of tables cut inside the open ``spent_tables`` blocks, the innermost last.
+_spent: list[list[str]] = []
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Later steps then start from files that survive a lost executor, and the work
-    before is done once.
+    Later steps then start from files that survive a lost executor, and the work before is
+    done once.  A ``spent_tables`` block around this deletes the table, but where ``keep``.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/corpusmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _spent and not keep:
+        _spent[-1].append(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table made by ``cut`` that nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.cut_path)
+    for paths in _spent:
+        if df.cut_path in paths:
+            paths.remove(df.cut_path)
+
+
+@contextmanager
+def spent_tables(spark: SparkSession) -> Iterator[None]:
+    """At the block's end, delete the tables cut inside it."""
+    _spent.append([])
+    try:
+        yield
+    finally:
+        for path in _spent.pop():
+            _delete(spark, path)
+
+
+#: A table of up to this many bytes may be dealt over all cores.
+SMALL_TABLE = 64_000_000
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt over all cores where it lies in fewer files than there are cores; as it is otherwise."""
+    """``df``, dealt over all cores where it is a small table that its scan reads with fewer tasks than that.
+
+    A small file is one group of rows and cannot be read in parts.  What this
+    shuffles is bounded whatever the input; larger tables are split by their scan.
+    """
+    plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > SMALL_TABLE:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -127,18 +212,33 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``most`` labelled rows outside the held-out third.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, ddl: str, measure: Callable[[list[bytes]], list]) -> DataFrame:
+    """(doc_id, label, measured) of at most ``most`` labelled documents outside the held-out third, one row each.
 
-    The rows with the smallest hash of doc_id are taken, so the choice does not depend
-    on the order or the number of partitions.  A document labelled twice has the larger
-    label; null labels do not count.  Only ids and labels of the chosen rows are
-    broadcast: ``most`` bounds them.
+    The ids with the smallest hash are taken, so the choice does not depend on the order
+    or the number of partitions; only they and their labels are broadcast, which ``most``
+    bounds.  A document labelled twice has the larger label; null labels do not count.
+    ``measure`` turns texts into values of type ``ddl`` where the texts lie, so texts are
+    not shuffled; of rows that share a doc_id the one whose text has the smallest hash
+    counts, picked before the shuffle.
     """
-    usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    usable = pick(labels, "doc_id", label).toDF("doc_id", "label").where("label is not null and doc_id is not null")
+    usable = usable.where(~held_out()).groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     turn = F.xxhash64("doc_id")
     if (n := usable.count()) > most:
         # Few rows beyond the smallest ``most`` reach the sort, however many partitions labels have.
         usable = usable.where(turn < int((1.2 * most / n) * (1 << 64)) - (1 << 63))
     chosen = usable.orderBy(turn, "doc_id").limit(most)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    source = id_and_text(docs).withColumn("order", F.xxhash64("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "order", "text")
+    importable(docs.sparkSession)
+    fields = T.StructType([*source.schema.fields[:3], *T.StructType.fromDDL(f"measured {ddl}").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kind = to_arrow_schema(fields).field("measured").type
+        for batch in slices(batches, 3):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(measure(as_bytes(batch.column(3))), kind)], names=fields.fieldNames())
+
+    first = F.min_by(F.struct("label", "measured"), "order").alias("first")
+    return source.mapInArrow(run, fields).groupBy("doc_id").agg(first).select("doc_id", "first.label", "first.measured")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import as_bytes, cut, held_out, importable, row_pass, text_pass, training_rows
+from corpusmill.llm.common import as_bytes, cut, drop_cut, held_out, importable, row_pass, text_pass, training_rows
 from corpusmill.llm.document_statistics import NAMES, statistics
 
 #: Labelled documents that the classifier is fitted on at most; the bound is on rows, whichever they are.
@@ -75,20 +75,16 @@ def _solve(cells: np.ndarray, size: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_TRAINING_ROWS, seed: int = 7) -> Model:
-    """Fit on labelled rows outside the held-out third, at most ``most``.
+    """Fit on at most ``most`` labelled documents outside the held-out third, one row each.
 
-    With no such rows, or one class only, every score is the mean label, or 1/2.
+    Texts are measured where they lie.  With no such rows, or one class only, every score
+    is the mean label, or 1/2.
     """
     spark = docs.sparkSession
     importable(spark)
-    chosen = training_rows(docs, labels, label, most).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stats = pa.array([statistics(t) for t in as_bytes(batch.column(0))], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([stats, batch.column(1), batch.column(2)], names=["stats", "label", "fold"])
-
-    train = cut(chosen.select("text", "label", "fold").mapInArrow(measure, "stats array<double>, label int, fold int"), "quality")
+    chosen = training_rows(docs, labels, label, most, "array<double>", lambda texts: [statistics(t) for t in texts])
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    train = cut(chosen.select(F.col("measured").alias("stats"), "label", fold), "quality")
     stat = [F.get("stats", i) for i in range(len(NAMES))]
     first = train.agg(F.count("*"), F.avg("label"), *[F.avg(s) for s in stat], *[F.stddev_pop(s) for s in stat]).first()
     n, share, k = first[0], first[1], len(NAMES)
@@ -97,6 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     scale = np.array([x if x and x > 1e-6 else 1.0 for x in first[2 + k :]])
     blank = Model(mean, scale, random.normal(size=(k, FEATURES)) * np.sqrt(2 * GAMMA), random.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + 1), np.zeros(1), np.array([0.5 if share is None else float(share)]))
     if not n or share in (0, 1):
+        drop_cut(train)
         return blank
 
     size = FEATURES + 1
@@ -128,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
             yield pa.RecordBatch.from_arrays([pa.array(np.clip(np.round(raw * BINS), -BINS, 2 * BINS).astype(np.int32)), batch.column(1)], names=["bin", "label"])
 
     bins = train.mapInArrow(unseen, "bin int, label int").groupBy("bin").agg(F.sum("label").alias("total"), F.count("*").alias("n")).toArrow().sort_by("bin")
+    drop_cut(train)
     raw, calibrated = isotonic(bins["bin"].to_numpy() / BINS, bins["total"].to_numpy().astype(float), bins["n"].to_numpy().astype(float))
     return Model(mean, scale, blank.frequencies, blank.phases, weights, raw, np.clip(calibrated, 0, 1))
 
@@ -141,6 +139,7 @@ def quality_scores(docs: DataFrame, model: Model, threshold: float = 0.5) -> Dat
 
     Whole texts are measured, in one narrow pass.  A null or empty text has a score like
     any other text of its statistics, which are zeros.  A null doc_id is not held out.
+    Repeated rows give repeated results; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -153,7 +152,11 @@ def quality_scores(docs: DataFrame, model: Model, threshold: float = 0.5) -> Dat
 
 
 def keep_quality(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all their columns as they are."""
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns as they are.
+
+    A null or empty text is judged by its statistics, zeros, and stays or goes as a whole;
+    repeated rows stay or go together; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

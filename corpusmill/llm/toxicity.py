@@ -16,16 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import as_bytes, held_out, importable, text_pass, training_rows
+from corpusmill.llm.common import as_bytes, held_out, text_pass, training_rows
 
-#: Labelled documents that the classifier is fitted on at most; one task reads them in a fixed order.
+#: Labelled documents that the classifier is fitted on at most, and distinct features of theirs: what the one task that learns holds.
 MOST_TRAINING_ROWS = 15_000
+MOST_TRAINING_FEATURES = 40_000_000
 #: Hash space of the features; bounds the weights.
 SPACE_BITS = 20
 ALPHA, BETA, L2 = 4.0, 1.0, 0.1
 #: L1 is this times the square root of the rows: so grows what chance adds up to in a coordinate.
 L1_PER_ROOT = 0.12
 EPOCHS = 8
+#: Documents whose gradients are taken at the same weights; their steps are then made together.
+STEP = 16
 #: Bytes of a word that count as its stem, a further word feature; words of one stem share what is learnt.
 STEM = 5
 
@@ -79,51 +82,101 @@ def scores(texts: list[bytes], table: np.ndarray, model: Model) -> np.ndarray:
 class Ftrl:
     """FTRL-proximal with a per-coordinate rate, L1 and L2; the last coordinate is the constant and has no L1."""
 
-    def __init__(self, bits: int, l1: float) -> None:
+    def __init__(self, size: int, l1: float) -> None:
         self.l1 = l1
-        self.z = np.zeros((1 << bits) + 1)
-        self.n = np.zeros((1 << bits) + 1)
-
-    def weights(self, at: np.ndarray | slice) -> np.ndarray:
+        self.z = np.zeros(size + 1)
+        self.n = np.zeros(size + 1)
+
+    def weights(self, z: np.ndarray, n: np.ndarray, constant: np.ndarray) -> np.ndarray:
+        """Of coordinates whose z has passed L1."""
+        return (np.copysign(np.where(constant, 0.0, self.l1), z) - z) / ((BETA + np.sqrt(n)) / ALPHA + L2)
+
+    def passed(self, z: np.ndarray, last: int) -> np.ndarray:
+        """Places where z has passed L1, and ``last``, the constant's."""
+        out = np.abs(z) > self.l1
+        out[last] = True
+        return np.flatnonzero(out)
+
+    def learn(self, at: np.ndarray, place: np.ndarray, owner: np.ndarray, label: np.ndarray) -> None:
+        """One step on a few documents.
+
+        ``at`` are their distinct coordinates, the constant's last; each entry is a
+        document's (``owner``) use of one of them (``place``).  Only coordinates that have
+        passed L1 have a weight, so the others only add up.
+        """
+        last = len(at) - 1
         z, n = self.z[at], self.n[at]
-        l1 = np.full(len(z), self.l1)
-        l1[-1] = 0
-        return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
-
-    def learn(self, at: np.ndarray, label: int) -> None:
-        """One step on a document's distinct features; ``at`` ends with the constant's coordinate."""
-        w = self.weights(at)
-        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
-        n = self.n[at]
-        grown = n + g * g
-        self.z[at] += g - (np.sqrt(grown) - np.sqrt(n)) / ALPHA * w
-        self.n[at] = grown
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_TRAINING_ROWS, bits: int = SPACE_BITS) -> Model:
-    """Fit on labelled rows outside the held-out third, at most ``most``.
-
-    One task learns from them in the order of a hash of doc_id.  With no such rows every
-    score is 1/2.
+        live = self.passed(z, last)
+        w = self.weights(z[live], n[live], live == last)
+        dense = np.zeros(len(at))
+        dense[live] = w
+        g = 1 / (1 + np.exp(-np.clip(np.bincount(owner, dense[place], len(label)), -35, 35))) - label
+        grown = n + np.bincount(place, (g * g)[owner], len(at))
+        z += np.bincount(place, g[owner], len(at))
+        z[live] -= (np.sqrt(grown[live]) - np.sqrt(n[live])) / ALPHA * w
+        self.z[at], self.n[at] = z, grown
+
+    def model(self) -> tuple[np.ndarray, np.ndarray]:
+        """Coordinates with a weight, and the weights; the constant's come last."""
+        last = len(self.z) - 1
+        live = self.passed(self.z, last)
+        return live, self.weights(self.z[live], self.n[live], live == last)
+
+
+def learned(rows: list[tuple[np.ndarray, int]], bits: int = SPACE_BITS, epochs: int = EPOCHS, step: int = STEP) -> tuple[np.ndarray, np.ndarray, float]:
+    """Features, their weights and the constant's, from rows of distinct features and a label, learnt from in their order.
+
+    A gradient is under 1, so a feature of k documents has |z| < k * epochs: where that
+    cannot pass L1, its weight stays zero throughout, and it is left out beforehand.
+    """
+    l1 = L1_PER_ROOT * len(rows) ** 0.5
+    count = np.zeros(1 << bits, np.int64)
+    for feature, _ in rows:
+        count[feature] += 1
+    names = np.flatnonzero(count * epochs > l1)
+    place_of = np.full(1 << bits, -1, np.int32)
+    place_of[names] = np.arange(len(names))
+    steps = []
+    for i in range(0, len(rows), step):
+        some = rows[i : i + step]
+        places = [np.append(p[p >= 0], len(names)) for f, _ in some for p in (place_of[f],)]
+        at, place = np.unique(np.concatenate(places), return_inverse=True)
+        owner = np.repeat(np.arange(len(some), dtype=np.int16), list(map(len, places)))
+        steps.append((at, place.astype(np.int32), owner, np.array([y for _, y in some], float)))
+    model = Ftrl(len(names), l1)
+    for _ in range(epochs):
+        for at, place, owner, label in steps:
+            model.learn(at, place, owner, label)
+    live, w = model.model()
+    return names[live[:-1]], w[:-1], float(w[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_TRAINING_ROWS, bits: int = SPACE_BITS, most_features: int = MOST_TRAINING_FEATURES) -> Model:
+    """Fit on labelled documents outside the held-out third, one row each.
+
+    Texts are hashed where they lie.  One task learns from the distinct features of at most
+    ``most`` documents and, of those, of the first in the order of a hash of doc_id whose
+    features number at most ``most_features``.  With no such rows every score is 1/2.
     """
-    importable(docs.sparkSession)
-    chosen = training_rows(docs, labels, label, most).withColumn("turn", F.xxhash64("doc_id", F.lit(1)))
+
+    def measure(texts: list[bytes]) -> list[np.ndarray]:
+        return [np.unique(features([t], bits)[1]) for t in texts]
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[np.ndarray, int]] = []
+        size = 0
         for batch in batches:
-            for text, y in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                at = np.unique(features([text], bits)[1])
-                rows.append((np.append(at, np.int32(1 << bits)), y))
-        model = Ftrl(bits, L1_PER_ROOT * len(rows) ** 0.5)
-        for _ in range(EPOCHS if rows else 0):
-            for at, y in rows:
-                model.learn(at, y)
-        w = model.weights(slice(None))
-        kept = np.append(np.flatnonzero(w[:-1]), 1 << bits)
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(w[kept])], names=["at", "weight"])
-
-    found = chosen.repartition(1).sortWithinPartitions("turn", "doc_id").select("text", "label").mapInArrow(train, "at int, weight double").toArrow()
+            column = batch.column(0)
+            for i, y in enumerate(batch.column(1).to_pylist()):
+                at = column[i].values.to_numpy()
+                size += len(at)
+                if size <= most_features:
+                    rows.append((at, y))
+        at, weight, constant = learned(rows, bits)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, 1 << bits), pa.int32()), pa.array(np.append(weight, constant))], names=["at", "weight"])
+
+    chosen = training_rows(docs, labels, label, most, "array<int>", measure).withColumn("turn", F.xxhash64("doc_id", F.lit(1)))
+    found = chosen.repartition(1).sortWithinPartitions("turn", "doc_id").select("measured", "label").mapInArrow(train, "at int, weight double").toArrow()
     at, weight = found["at"].to_numpy(), found["weight"].to_numpy()
     constant = at == 1 << bits
     return Model(at[~constant], weight[~constant].astype(np.float32), float(weight[constant].sum()), bits)
@@ -132,8 +185,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
 def toxicity_scores(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on).
 
-    Whole texts are scored, in one narrow pass.  A null or empty text has the constant's
-    score.  A null doc_id is not held out.  Repeated rows give repeated results.
+    Whole texts are scored, in one narrow pass and a time that follows their length.  A
+    null or empty text has the constant's score.  A null doc_id is not held out.  Repeated
+    rows give repeated results; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
