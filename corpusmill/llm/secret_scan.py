@@ -3,9 +3,9 @@
 Strong findings stand alone: assignments, access identifiers and hexadecimal runs.
 Weak candidates (a user or client name, a short value, a base64 run, an endpoint)
 are common in clean text, so a weak candidate is reported only where parts that
-complement it lie in the same scope: on another line of the same paragraph, or on the
-same line with a gap of at most ``SCOPE`` code points.  The nearest starts and ends among
-the sorted ones of identifiers, secrets and endpoints answer that.
+complement it lie in the same scope, which is its paragraph.  Scopes and parts are
+intervals; the nearest starts and ends among the sorted ones of identifiers, secrets and
+endpoints answer which of them meet.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,9 +26,6 @@ BASE = ("assign", "access", "hex")
 WEAK = ("identifier", "secret", "endpoint")
 KINDS = BASE + tuple(f"linked_{k}" for k in WEAK)
 
-#: Parts of one line with a wider gap, from one's end to the other's start, are not one credential.
-SCOPE = 400
-
 _ASSIGN = re.compile(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ASSIGN_CUE = re.compile(r"[:=]")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -53,10 +51,10 @@ def base_spans(text: str) -> list[Span]:
     return found + [Span("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
 
 
-def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
+def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak candidates that a complementary part in their scope confirms.
 
-    A weak identifier or endpoint needs a secret (weak or strong) in its scope; a weak
+    A weak identifier or endpoint needs a secret (weak or strong) in its paragraph; a weak
     secret needs an identifier or an endpoint.  Candidates inside a base span add nothing.
     """
     if ":" not in text and "=" not in text and not any(s.kind == "access" for s in base) and not _BARE.search(text):
@@ -66,39 +64,34 @@ def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
         return []
     strong = [Span("identifier" if s.kind == "access" else "secret", s.start, s.end) for s in base]
     breaks = [-1, *(m.start() for m in _PARAGRAPH.finditer(text)), len(text)]
-    lines = [-1, *(m.start() for m in re.finditer("\n", text)), len(text)]
     starts_of = {kind: sorted(s.start for s in (*weak, *strong) if s.kind == kind) for kind in WEAK}
     ends_of = {kind: sorted(s.end for s in (*weak, *strong) if s.kind == kind) for kind in WEAK}
 
     def meets(span: Span, kind: str) -> bool:
-        """Whether a part of this kind, other than the span's own text, lies in the span's scope; no part crosses lines."""
-        paragraph, line = bisect_right(breaks, span.start), bisect_right(lines, span.start)
+        """Whether a part of this kind ends before or starts after the span in its paragraph; no part crosses lines."""
+        paragraph = bisect_right(breaks, span.start)
         starts, ends = starts_of[kind], ends_of[kind]
-        # The nearest part on this line, then the nearest on another line, on either side.
-        for limit, least in ((span.start, max(lines[line - 1], span.start - scope - 1)), (lines[line - 1], breaks[paragraph - 1])):
-            if (i := bisect_right(ends, limit)) and ends[i - 1] > least:
-                return True
-        for limit, most in ((span.end, min(lines[line], span.end + scope + 1)), (lines[line], breaks[paragraph])):
-            if (i := bisect_left(starts, limit)) < len(starts) and starts[i] < most:
-                return True
-        return False
+        before, after = bisect_right(ends, span.start), bisect_left(starts, span.end)
+        return before > 0 and ends[before - 1] > breaks[paragraph - 1] or after < len(starts) and starts[after] < breaks[paragraph]
 
     needs = {"identifier": ("secret",), "secret": ("identifier", "endpoint"), "endpoint": ("secret",)}
-    starts = sorted(base, key=lambda s: s.start)
-    at = [s.start for s in starts]
+    by_start = sorted(base, key=lambda s: s.start)
+    starts = [s.start for s in by_start]
+    furthest = list(accumulate((s.end for s in by_start), max))  # of base spans that start up to here
 
     def inside(span: Span) -> bool:
-        near = starts[max(0, bisect_right(at, span.start) - len(BASE)) : bisect_right(at, span.start)]
-        return any(s.start <= span.start and span.end <= s.end for s in near)
+        at = bisect_right(starts, span.start)
+        return at > 0 and furthest[at - 1] >= span.end
 
     return [Span(f"linked_{s.kind}", s.start, s.end) for s in weak if not inside(s) and any(meets(s, k) for k in needs[s.kind])]
 
 
-def secret_scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+def secret_scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, n_linked, base_sha256, spans.
 
-    Whole texts are scanned.  A null or empty text has no spans: zeros, the hash of the
-    empty string and an empty list.  Repeated rows give repeated results.
+    Whole texts are scanned, in a time that follows their length.  A null or empty text has
+    no spans: zeros, the hash of the empty string and an empty list.  Repeated rows give
+    repeated results; an empty table gives none.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -106,7 +99,7 @@ def secret_scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
             out: dict[str, list] = {n: [] for n in ("n_assign", "n_access", "n_hex", "n_linked", "base_sha256", "spans")}
             for text in as_text(batch.column(1)):
                 base = base_spans(text)
-                linked = linked_spans(text, base, scope)
+                linked = linked_spans(text, base)
                 for kind in BASE:
                     out[f"n_{kind}"].append(sum(s.kind == kind for s in base))
                 out["n_linked"].append(len(linked))
@@ -117,7 +110,7 @@ def secret_scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     return text_pass(docs, "n_assign bigint, n_access bigint, n_hex bigint, n_linked bigint, base_sha256 string, spans string", work)
 
 
-def mask_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+def mask_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every found span replaced by a mark that names its kind.
 
     No document goes.  Texts without a finding, nulls and all other columns stay as
@@ -130,7 +123,7 @@ def mask_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
             column = batch.column(names.index("text"))
             texts, changed = column.to_pylist(), {}
             for i, text in enumerate(texts):
-                if text and (spans := base_spans(text)) + (linked := linked_spans(text, spans, scope)):
+                if text and (spans := base_spans(text)) + (linked := linked_spans(text, spans)):
                     changed[i] = masked(text, spans + linked)
             if changed:
                 texts = [changed.get(i, t) for i, t in enumerate(texts)]
