@@ -35,8 +35,10 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*").match
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+").match
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").match
 _URL = re.compile(r"[^\s<>\"'{}|\\^`]+").match
-_IBAN = re.compile(r"[A-Za-z]*[\s:#=]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])").match
-_ACCOUNT = re.compile(r"[A-Za-z]*[\x20]?(?:no|nr|number|num|id)?\.?[\x20]{0,2}[:#=][\x20]{0,2}([0-9][0-9-]{5,}[0-9])(?![0-9A-Za-z])").match
+#: A cue's word may go on for this many letters: "accounts", "Kontonummer".
+_REST = re.compile(r"[A-Za-z]{0,16}").match
+_IBAN = re.compile(r"[\s:#=]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])").match
+_ACCOUNT = re.compile(r"[\x20]?(?:no|nr|number|num|id)?\.?[\x20]{0,2}[:#=][\x20]{0,2}([0-9][0-9-]{5,38}[0-9])(?![0-9A-Za-z])").match
 
 
 def luhn(digits: str) -> bool:
@@ -66,9 +68,11 @@ class Scanner:
 
         A dotted or a spaced run of digits is maximal from its first digit on, so each
         run is parsed once, at its first anchor, and later anchors inside it are passed by.
+        A cue's word and what follows it are parsed up to a fixed distance, and cues inside
+        that word are passed by, so the time follows the text's length.
         """
         found: list[Span] = []
-        email_end = phone_end = dotted_end = digits_end = url_end = 0
+        email_end = phone_end = dotted_end = digits_end = url_end = cue_end = 0
         for last, (kind, length) in self.automaton.iter(text):
             at = last - length + 1
             if kind == "digit":
@@ -104,11 +108,13 @@ class Scanner:
                     if end > last + 1:
                         found.append(Span("url", at, end))
                         url_end = end
-            elif m := _IBAN(text, last + 1):
-                if _iban_holds(m.group(1)):
-                    found.append(Span("iban", *m.span(1)))
-            elif m := _ACCOUNT(text, last + 1):
-                found.append(Span("account", *m.span(1)))
+            elif at >= cue_end:
+                cue_end = _REST(text, last + 1).end()
+                if m := _IBAN(text, cue_end):
+                    if _iban_holds(m.group(1)):
+                        found.append(Span("iban", *m.span(1)))
+                elif m := _ACCOUNT(text, cue_end):
+                    found.append(Span("account", *m.span(1)))
         return found
 
     @staticmethod
@@ -126,8 +132,9 @@ class Scanner:
 def pii_scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, n_other, base_sha256, spans.
 
-    Whole texts are scanned.  A null or empty text has no spans: zeros, the hash of the
-    empty string and an empty list.  Repeated rows give repeated results.
+    Whole texts are scanned, in a time that follows their length.  A null or empty text has
+    no spans: zeros, the hash of the empty string and an empty list.  Repeated rows give
+    repeated results; an empty table gives none.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
