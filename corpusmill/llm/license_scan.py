@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpusmill.llm.common import as_bytes, text_pass
+from corpusmill.llm.license_clauses import ADDRESSES, CLAUSES
 
 _WORD_BYTES = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 
@@ -79,27 +80,6 @@ LICENSES = (
     ("zpl", "zope", r"zope public license(?: (?:version )?2 [01])?", "zpl 2 [01]"),
 )
 
-#: Sentences that licenses are known by: label, keyword, pattern.
-SENTENCES = (
-    ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("isc", "permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "neither the name of", r"neither the name of (?:\S+ ){1,12}may be used to endorse or promote products"),
-    ("gpl", "gnu", r"gnu general public license"),
-    ("gpl", "free software foundation", r"published by the free software foundation"),
-    ("unlicense", "public domain", r"free and unencumbered software released into the public domain"),
-    ("public-domain", "public domain", r"(?:released into|placed in|dedicated to|in) the public domain"),
-    ("zlib", "as is", r"provided as is without any express or implied warranty in no event will the authors"),
-    ("apache-2.0", "apache org", r"(?:https? )?(?:www )?apache org licenses license 2 0"),
-    ("cc", "creativecommons", r"(?:https? )?(?:www )?creativecommons org licenses [a-z]+(?: [a-z]{2})*(?: \d 0)?"),
-    ("cc", "creative commons", r"creative commons(?: \S+){0,4} licen[cs]e"),
-    ("bsl-1.0", "boost org", r"(?:https? )?(?:www )?boost org license 1 0 txt"),
-    ("mpl-2.0", "mozilla org", r"(?:https? )?(?:www )?mozilla org mpl 2 0"),
-    ("gpl", "gnu org", r"(?:https? )?(?:www )?gnu org licenses(?: gpl)?(?: [23] 0)?"),
-    ("proprietary", "all rights reserved", r"all rights reserved"),
-    ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
-)
-
 #: How a license is named: a rule for each title, priority and weight. Keywords replace those of the title.
 FORMS = (
     (r"spdx license identifier {spdx}", "spdx license identifier", 9, 1.0),
@@ -125,13 +105,16 @@ def _pattern(words: str) -> re.Pattern:
 
 
 def rules() -> list[Rule]:
-    """All signature rules, in order of priority: the base phrases, every form of every license, the sentences."""
+    """All signature rules, in order of priority: base phrases, clauses, addresses, and each title and id in each form.
+
+    Written by hand are the titles, ids, clauses and addresses; forms say how sure a mention of a title is.
+    """
     out = [Rule(label, phrase, _pattern(phrase), 3, 0.7, True) for phrase, label in BASE]
     for label, keywords, title, spdx in LICENSES:
         out += [Rule(label, need or keywords, _pattern(form.format(title=title, spdx=f"(?:{spdx})")), priority, weight) for form, need, priority, weight in FORMS]
     for phrase, label in BASE:
         out += [Rule(label, phrase, _pattern(form.format(title=phrase, spdx=label)), priority - 1, weight - 0.05) for form, need, priority, weight in FORMS[1:4]]
-    out += [Rule(label, keyword, _pattern(sentence), 2, 0.75) for label, keyword, sentence in SENTENCES]
+    out += [Rule(label, keywords, _pattern(clause), 2, 0.75) for label, keywords, clause in (*CLAUSES, *ADDRESSES)]
     out.append(Rule("mit", "spdx license identifier", _pattern("spdx license identifier mit"), 9, 1.0))
     return sorted(out, key=lambda r: -r.priority)
 
@@ -187,37 +170,38 @@ def resolved(found: list[Detection]) -> list[Detection]:
     return kept
 
 
+def scanned(scanner: Scanner, text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
+    """What ``license_scan`` returns of a text."""
+    words = text.translate(_WORD_BYTES).split()
+    normalised = f" {b' '.join(words).decode()} "
+    found = scanner.detections(normalised)
+    kept = resolved(found)
+    base = sorted((d for d in found if d.rule.base), key=lambda d: d.start)
+    first, last = (normalised.count(" ", 0, d.start) - 1 for d in (base[0], base[-1])) if base else (None, None)
+    left = 1.0
+    for d in kept:
+        left *= 1 - d.rule.weight
+    base_labels = {d.rule.label for d in base}
+    labels = base_labels | {d.rule.label for d in kept}
+    return len(words), len(base), first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), 1 - left
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``first_word`` and ``last_word`` are the smallest and largest start of a base phrase,
     in words from 0, null without one.  ``score`` is how sure it is that the text names a
     license: one less the product of what its detections leave open.  A null or empty
-    text has no words, no labels and score 0.  Repeated rows give repeated results.
+    text has no words, no labels and score 0.  The time follows a text's length and how many
+    rules its keywords call.  Repeated rows give repeated results; an empty table gives none.
     """
 
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         scanner = Scanner()
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")}
-            for text in as_bytes(batch.column(1)):
-                words = text.translate(_WORD_BYTES).split()
-                normalised = f" {b' '.join(words).decode()} "
-                found = scanner.detections(normalised)
-                base = [d for d in found if d.rule.base]
-                places = [normalised.count(" ", 0, d.start) - 1 for d in base]
-                kept = resolved(found)
-                left = 1.0
-                for d in kept:
-                    left *= 1 - d.rule.weight
-                base_labels = {d.rule.label for d in base}
-                out["n_words"].append(len(words))
-                out["n_base"].append(len(base))
-                out["first_word"].append(min(places, default=None))
-                out["last_word"].append(max(places, default=None))
-                out["base_labels"].append(",".join(sorted(base_labels)))
-                out["labels"].append(",".join(sorted(base_labels | {d.rule.label for d in kept})))
-                out["score"].append(1 - left)
-            yield out | {"doc_id": batch.column(0)}
+            rows = [scanned(scanner, text) for text in as_bytes(batch.column(1))]
+            yield {"doc_id": batch.column(0), **{n: [r[i] for r in rows] for i, n in enumerate(names)}}
 
     return text_pass(docs, "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double", work)
