@@ -2,11 +2,13 @@
 
 Words are hashed; of every ``SPAN`` - k + 1 neighbouring k-gram hashes the smallest is
 kept.  Two texts that share a span of ``SPAN`` words keep at least one k-gram of it in
-common, so joining the kept ones finds every such span.  Each hit is then extended, word
-for word, to the longest shared span around it, and counts if that has ``SPAN`` words.
+common, so joining the kept ones finds every such span.  Each hit is then extended: of
+the windows of ``SPAN`` words around it those count that an item has, word for word, and
+windows side by side make up the longest shared span.
 
-The benchmark goes to the workers in blocks of bounded size; documents pass by them
-in a narrow stage and are never shuffled or paired with one another.
+The benchmark goes to the workers in blocks of bounded size; documents pass by one block
+after another and are never shuffled or paired with one another.  One block is a narrow
+pass; between two, documents are written, so that a worker holds one block at a time.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import as_bytes, fresh, importable, slices
+from corpusmill.llm.common import as_bytes, cut, fresh, id_and_text, importable, pick, plain_names, slices
 
 SPAN = 13
 K = 8
@@ -61,69 +63,94 @@ def winnow(hashes: np.ndarray, span: int = SPAN, k: int = K) -> tuple[np.ndarray
     return place, g[place]
 
 
+def hashes_of(split: list[bytes]) -> np.ndarray:
+    """A hash of each word, this process's own."""
+    return np.fromiter(map(hash, split), np.int64, len(split)).view(np.uint64)
+
+
 class Index:
-    """Fingerprints of a block of items; word hashes are this process's own, so it is built in each worker."""
+    """Fingerprints and windows of a block of items; word hashes are this process's own, so it is built in each worker."""
 
     def __init__(self, items: list[tuple[object, bytes]], span: int = SPAN, k: int = K) -> None:
         self.span, self.k = span, k
         self.names = [name for name, _ in items]
         self.items = [words(text) for _, text in items]
-        found: list[tuple[int, int, int]] = []
+        kept, windows, owners, starts = ([np.zeros(0, t)] for t in (np.uint64, np.uint64, np.int32, np.int32))
         #: Items of fewer words are one window each: their whole hash, by number of words.
         self.short: dict[int, dict[tuple[bytes, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
         for number, item in enumerate(self.items):
             if 0 < len(item) < span:
                 self.short[len(item)][tuple(item)].append(number)
-                continue
-            place, g = winnow(np.fromiter(map(hash, item), np.int64, len(item)).view(np.uint64), span, k)
-            found += zip(g.tolist(), [number] * len(g), place.tolist(), strict=True)
-        found.sort()
-        self.hashes = np.array([f[0] for f in found], np.uint64)
-        self.places = [f[1:] for f in found]
+            elif item:
+                h = hashes_of(item)
+                kept.append(winnow(h, span, k)[1])
+                windows.append(grams(h, span))
+                owners.append(np.full(len(item) - span + 1, number, np.int32))
+                starts.append(np.arange(len(item) - span + 1, dtype=np.int32))
+        self.kept = np.unique(np.concatenate(kept))
         # A table of the hashes' low bits turns most k-grams away before the search.
         self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.short_hashes = {n: np.unique(np.concatenate([grams(np.fromiter(map(hash, t), np.int64, n).view(np.uint64), n) for t in table])) for n, table in self.short.items()}
+        self.filter[(self.kept & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        #: Each item's distinct windows, sorted by hash: hash, item, place of its first word.
+        window, owner, start = map(np.concatenate, (windows, owners, starts))
+        order = np.lexsort((owner, window))
+        window, owner = window[order], owner[order]
+        first = np.flatnonzero(np.concatenate(([True], (window[1:] != window[:-1]) | (owner[1:] != owner[:-1])))) if len(window) else order
+        self.windows, self.owner, self.start = window[first], owner[first], start[order][first]
+        self.short_hashes = {n: np.unique(np.concatenate([grams(hashes_of(list(t)), n) for t in table])) for n, table in self.short.items()}
 
     def hits(self, doc: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Word spans of ``doc`` inside occurrences of windows, and the numbers of the items that have one."""
-        spans: list[tuple[int, int]] = []
+        """Word spans of ``doc`` inside occurrences of windows, apart and in order, and the numbers of the items that have one.
+
+        The time follows the words of the document and what the index has of its windows,
+        not pairs of places, however often a word is repeated.
+        """
+        hashes = hashes_of(doc)
+        touched = np.zeros(len(doc) + 1, np.int64)
         items: set[int] = set()
-        hashes = np.fromiter(map(hash, doc), np.int64, len(doc)).view(np.uint64)
-        if len(self.hashes):
-            place, g = winnow(hashes, self.span, self.k)
-            likely = np.flatnonzero(self.filter[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            left = np.searchsorted(self.hashes, g[likely])
-            done: dict[tuple[int, int], int] = {}  # (item, shift) to the end of the last extended span
-            for at, where in zip(place[likely].tolist(), left.tolist(), strict=True):
-                value = None
-                while where < len(self.hashes):
-                    value = self.hashes[where] if value is None else value
-                    if self.hashes[where] != value:
-                        break
-                    number, there = self.places[where]
-                    where += 1
-                    if done.get((number, at - there), -1) > at:
-                        continue
-                    item = self.items[number]
-                    if doc[at : at + self.k] != item[there : there + self.k]:
-                        continue
-                    a, b, p, q = at, at + self.k, there, there + self.k
-                    while a and p and doc[a - 1] == item[p - 1]:
-                        a, p = a - 1, p - 1
-                    while b < len(doc) and q < len(item) and doc[b] == item[q]:
-                        b, q = b + 1, q + 1
-                    done[number, at - there] = b
-                    if b - a >= self.span:
-                        spans.append((a, b))
-                        items.add(number)
+        for at in self._windows(doc, hashes, items):
+            touched[at] += 1
+            touched[at + self.span] -= 1
         for n, table in self.short.items():
-            if len(doc) >= n:
-                for at in np.flatnonzero(np.isin(grams(hashes, n), self.short_hashes[n])).tolist():
-                    if numbers := table.get(tuple(doc[at : at + n])):
-                        spans.append((at, at + n))
-                        items.update(numbers)
-        return spans, items
+            known: dict[tuple[bytes, ...], bool] = {}
+            for at in np.flatnonzero(np.isin(grams(hashes, n), self.short_hashes[n])).tolist() if len(doc) >= n else ():
+                window = tuple(doc[at : at + n])
+                if window not in known:
+                    known[window] = window in table
+                    items.update(table.get(window, ()))
+                if known[window]:
+                    touched[at] += 1
+                    touched[at + n] -= 1
+        inside = np.concatenate(([False], np.cumsum(touched)[:-1] > 0, [False]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1]).tolist()
+        return list(zip(edges[::2], edges[1::2], strict=True)), items
+
+    def _windows(self, doc: list[bytes], hashes: np.ndarray, items: set[int]) -> list[int]:
+        """Where windows of ``span`` words start that an item has; adds the items' numbers to ``items``."""
+        if len(doc) < self.span or not len(self.kept):
+            return []
+        place, g = winnow(hashes, self.span, self.k)
+        likely = self.filter[(g & np.uint64((1 << 20) - 1)).astype(np.int64)]
+        place, g = place[likely], g[likely]
+        place = place[self.kept[np.minimum(np.searchsorted(self.kept, g), len(self.kept) - 1)] == g]
+        if not len(place):
+            return []
+        # The windows around a hit are those that contain its k-gram.
+        around = np.zeros(len(doc) + 1, np.int64)
+        np.add.at(around, np.maximum(place - (self.span - self.k), 0), 1)
+        np.add.at(around, place + 1, -1)
+        starts = np.flatnonzero(np.cumsum(around)[: len(doc) - self.span + 1] > 0)
+        g = grams(hashes, self.span)[starts]
+        left = np.minimum(np.searchsorted(self.windows, g), len(self.windows) - 1)
+        same = self.windows[left] == g
+        found = []
+        for at, where in zip(starts[same].tolist(), left[same].tolist(), strict=True):
+            there = self.start[where]
+            if doc[at : at + self.span] == self.items[self.owner[where]][there : there + self.span]:
+                found.append((at, where))
+        for where in {w for _, w in found}:
+            items.update(self.owner[where : np.searchsorted(self.windows, self.windows[where], "right")].tolist())
+        return [at for at, _ in found]
 
 
 def covered(spans: list[tuple[int, int]]) -> int:
@@ -143,7 +170,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> list[Broadcast]:
     """
     context = SparkSession.active().sparkContext
     out, block, size = [], [], 0
-    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where(F.col("text").isNotNull())
+    rows = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("string"), F.col("text").cast("string")).where(F.col("text").isNotNull())
     for name, text in rows.toLocalIterator():
         data = text.encode()
         if size + len(data) > most and block:
@@ -160,7 +187,7 @@ def _hit(ends: list[int]) -> int:
 
 
 def _past_blocks(docs: DataFrame, shared: list[Broadcast], finish: Callable, schema: T.StructType) -> DataFrame:
-    """``docs`` past one block of the benchmark after another: a narrow pass for each, so that a worker holds one block's index.
+    """``docs`` past one block of the benchmark after another, each a pass of its own, so that a worker holds one block's index.
 
     Between passes two more columns carry word spans that are hit, as starts and ends in
     turn, and names of the items.  The last pass gives finish(batch, words, spans, names).
@@ -190,7 +217,7 @@ def _past_blocks(docs: DataFrame, shared: list[Broadcast], finish: Callable, sch
         return run
 
     for block in shared[:-1]:
-        docs = docs.mapInArrow(with_block(block, False), carried)
+        docs = cut(docs.mapInArrow(with_block(block, False), carried), "passed")
     return docs.mapInArrow(with_block(shared[-1], True), schema)
 
 
@@ -201,11 +228,12 @@ def _contaminated(n: list[int], ends: list[list[int]]) -> list[bool]:
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Whole texts are read.  An item of under 13 words is one window; one without words is
-    none.  A null or empty text has no words and is clean, as is every text where the
-    benchmark is empty.  Repeated rows give repeated results.
+    Whole texts are read, in a time that follows their length.  An item of under 13 words is
+    one window; one without words is none.  A null or empty text has no words and is clean,
+    as is every text where the benchmark is empty.  Repeated rows give repeated results; an
+    empty table gives none.
     """
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    source = id_and_text(docs)
     more = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
     schema = T.StructType([source.schema["doc_id"], *T.StructType.fromDDL(more).fields])
     columns = schema.fieldNames()
@@ -219,9 +247,41 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns as they are."""
+    """The rows of ``docs`` that are not contaminated, with all their columns as they are.
+
+    Rows with a null or empty text have no words and stay; repeated rows stay or go together.
+    """
 
     def finish(batch: pa.RecordBatch, n: list[int], ends: list[list[int]], names: list[list[str]]) -> pa.RecordBatch:
         return batch.filter(pa.array([not c for c in _contaminated(n, ends)], pa.bool_()))
 
-    return _past_blocks(docs, blocks(benchmark, block_bytes), finish, docs.schema)
+    plain = plain_names(docs)
+    return _past_blocks(plain, blocks(benchmark, block_bytes), finish, plain.schema).toDF(*docs.columns)
+
+
+def oracle_sql() -> str:
+    """``contamination`` as DuckDB SQL over ``documents`` and ``benchmark``: every window of every text as a string."""
+    split = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, {split} AS w FROM documents
+), items AS (
+  SELECT row_number() OVER () AS iid, coalesce(CAST(item_id AS VARCHAR), '') AS item, {split} AS w FROM benchmark
+), sized AS (
+  SELECT iid, item, w, least({SPAN}, len(w)) AS n FROM items WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT iid, item, n, array_to_string(w[i:i + n - 1], ' ') AS span
+  FROM (SELECT iid, item, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM sized)
+), places AS (
+  SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS span
+  FROM (SELECT rid, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), hits AS (
+  SELECT rid, i, n, item FROM places JOIN windows USING (n, span)
+), covered AS (
+  SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS k FROM hits) GROUP BY rid
+), named AS (
+  SELECT rid, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS names FROM hits GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)"""
