@@ -1,23 +1,25 @@
 """Token counts by a two-tier lookup of pre-token lengths, in one narrow pass.
 
-Tier one is a table of frequent pre-tokens with their lengths, which every worker
-gets by broadcast: the whole words that the tokenizer's own vocabulary lists, since a
-vocabulary lists what is frequent.  Its size is bounded by the vocabulary and does not
-follow the corpus.  Tier two is a bounded cache in each worker for what the table
-lacks; what the cache lacks is encoded by the library.  No pre-token is ever shuffled.
+Tier one is a compact hash table of frequent pre-tokens with their lengths in tokens,
+counted on a bounded sample and given to every worker by broadcast.  Tier two is a bounded
+cache in each worker for what the table lacks; what the cache lacks is encoded by the
+library.  No pre-token is ever shuffled.  The sample decides how many words the table
+answers, never a count: the pass itself covers every whole text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter as Tally
 from collections.abc import Iterator
 from itertools import chain, repeat
 from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from corpusmill.llm.common import as_text, text_pass
+from corpusmill.llm.common import as_text, id_and_text, text_pass
 
 #: Unicode's White_Space characters, which never lie inside a pre-token.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -28,27 +30,41 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CACHE_ENTRIES = 700_000
 
 
-def frequent_lengths(vocabulary: str) -> dict[int, list[str]]:
-    """Token count to the pre-tokens that have it, of the vocabulary's whole words."""
-    from tokenizers import Tokenizer
+#: The sample that frequent pre-tokens are counted on: the first rows that a scan gives, of texts up to this long.
+SAMPLE_ROWS = 400
+SAMPLE_CHARS = 20_000
+#: Entries of the broadcast table, and how long one may be.
+FREQUENT = 20_000
+FREQUENT_CHARS = 40
 
-    tokenizer = Tokenizer.from_file(vocabulary)
-    words = sorted(w[:-4] for w in tokenizer.get_vocab() if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha())
-    table: dict[int, list[str]] = {}
-    for word, encoded in zip(words, tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-        table.setdefault(len(encoded), []).append(word)
-    return table
+
+def frequent_lengths(docs: DataFrame, vocabulary: str, rows: int = SAMPLE_ROWS, most: int = FREQUENT) -> dict[str, int]:
+    """The sample's most frequent words between white space, and pre-tokens in them, with their lengths in tokens.
+
+    ``rows`` texts of bounded length come to the driver, whatever the size of the table,
+    and the scan ends with them.
+    """
+    counter = Counter(vocabulary, {})
+    sample = id_and_text(docs).select("text").where(F.length("text") <= SAMPLE_CHARS).take(rows)
+    words = Tally(chain.from_iterable(counter.split_words(r["text"]) for r in sample))
+    tally = Tally({w: n for w, n in words.items() if len(w) <= FREQUENT_CHARS and not counter.special(w)})
+    for word, n in list(tally.items()):
+        if counter.plain(word) and (parts := counter.split_word(word.lower())) != [word]:
+            for part in parts:
+                tally[part] += n
+    frequent = sorted(tally, key=lambda w: (-tally[w], w))[:most]
+    return dict(zip(frequent, counter.count(frequent), strict=True))
 
 
 class Counter:
     """Counts tokens of texts as the tokenizer in ``vocabulary`` does."""
 
-    def __init__(self, vocabulary: str, frequent: dict[int, list[str]], entries: int = CACHE_ENTRIES) -> None:
+    def __init__(self, vocabulary: str, frequent: dict[str, int], entries: int = CACHE_ENTRIES) -> None:
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.table = {w: n for n, words in frequent.items() for w in words}
+        self.table = frequent
         self.entries = entries
         self.pre_tokens: dict[str, int] = {}
         self.words: dict[str, int] = {}
@@ -82,11 +98,16 @@ class Counter:
         whole = {i for i, t in enumerate(texts) if self.special(t)}
         split = [[] if i in whole else self.split_words(t) for i, t in enumerate(texts)]
         words = list(chain.from_iterable(split))
-        lengths = np.fromiter(map(self.words.get, words, repeat(0)), np.int64, len(words))
-        unknown = np.flatnonzero(lengths == 0).tolist()
-        if unknown:
-            self._learn({words[i] for i in unknown})
-            lengths[unknown] = [self.words[words[i]] for i in unknown]
+        lengths = np.fromiter(map(self.table.get, words, repeat(-1)), np.int64, len(words))
+        rare = np.flatnonzero(lengths < 0)
+        if len(rare):
+            missed = [words[i] for i in rare.tolist()]
+            cached = np.fromiter(map(self.words.get, missed, repeat(-1)), np.int64, len(missed))
+            unknown = np.flatnonzero(cached < 0).tolist()
+            if unknown:
+                self._learn({missed[i] for i in unknown})
+                cached[unknown] = [self.words[missed[i]] for i in unknown]
+            lengths[rare] = cached
         ends = np.cumsum([len(x) for x in split])
         sums = np.concatenate(([0], np.cumsum(lengths)))
         out = (sums[ends] - sums[np.concatenate(([0], ends[:-1]))]).tolist() if texts else []
@@ -99,9 +120,10 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, entries: i
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), one row per document.
 
     Whole texts are counted, with neither begin, end nor padding.  A null text is empty:
-    0 bytes, 0 tokens.  Repeated rows give repeated results; an empty table gives none.
+    0 bytes, 0 tokens.  Very long texts and words take a time that follows their length.
+    Repeated rows give repeated results; an empty table gives none.
     """
-    broadcast = docs.sparkSession.sparkContext.broadcast(frequent_lengths(vocabulary))
+    broadcast = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, vocabulary))
 
     def work(batches: Iterator[Any]) -> Iterator[dict]:
         import os
