@@ -1,9 +1,10 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Each round is two joins' worth of grouped minima over edges; rounds needed grow with the
-logarithm of the longest chain, not with the size of a component.  Edges never leave
-the executors: the driver sees one count a round.  Every round is cut to a table in
-the shared folder.
+logarithm of the longest chain, not with the size of a component.  The hub of a large
+component is a hot key: its edges are joined where they lie.  Edges never leave the
+executors: the driver sees one count a round.  Every round is cut to a table in the
+shared folder.
 """
 
 from __future__ import annotations
@@ -11,21 +12,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, drop_cut
+from corpusmill.llm.common import cut, drop_cut, hot_join
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Link each node's larger neighbours to the smallest of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("copies"))
+    return hot_join(both, least, "a", "copies", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Link each node's smaller neighbours, and itself, to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    linked = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("copies"))
+    linked = hot_join(down, least, "a", "copies", n).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b")
 
 
@@ -36,9 +37,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     table gives an empty result.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    before = (now.count(), None)
     for _ in range(most_rounds):
-        after = cut(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        after = cut(_small_star(_large_star(now, before[0]).distinct(), before[0]).distinct(), "edges")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_cut(now)
         now = after
