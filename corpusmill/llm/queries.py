@@ -1,4 +1,4 @@
-"""The registered queries of this folder's operators and of the pipeline, and their SQL."""
+"""The registered queries of this folder's operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,9 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from corpusmill.llm import decontamination, license_scan, packing, pii_scan, quality_classifier, quality_rules, secret_scan, simhash_dedup, token_counts, toxicity
-
 from corpusmill.llm.common import spread
 
 
@@ -65,9 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_token_counts, op2_secret_scan, op3_quality_rules, op4_pii, op5_simhash_dedup, op6_toxicity, op7_quality_classifier, op8_packing, op9_license_scan, op10_decontamination)
 }
-QUERIES["pipeline"] = corpus_pipeline.run
 
 #: SQL where it can express the whole result; the other queries are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality_rules.oracle_sql()}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality_rules.oracle_sql(), "op10_decontamination": decontamination.oracle_sql()}

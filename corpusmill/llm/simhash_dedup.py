@@ -3,15 +3,19 @@
 A fingerprint has 8 positional bytes.  Two fingerprints that differ in at most d bits
 differ in at most d bytes, so they share at least 8 - d positional bytes: for d = 4 the
 guaranteed minimum is 4 of 8.  A list for one positional byte would hold a 256th of the
-corpus, so postings are kept under several positional bytes at once: two fingerprints
-that share at least t of p positions share at least t - (8 - p) of the p positions
-``POSITIONS`` looks at, and the index has one list for each such set of positions.
-Within a list, a sweep tallies the shared positional bytes of pairs, keeps those that
-reach the minimum and verifies the bits.  It emits only edges that join two groups, a
-spanning forest of the list, so a list of m fingerprints gives at most m - 1 rows.
+corpus, so the index that is shuffled has lists for sets of positional bytes: two
+fingerprints that share at least t of p positions share at least t - (8 - p) of the p
+positions ``_keys`` looks at, and there is one list for each such set of positions.
+
+Within a list, an inverted index of the other positional bytes is built.  Its hits are
+tallied per pair, on top of the bytes that the list itself stands for; pairs whose tally
+reaches the guaranteed minimum are verified by their bits.  A list emits a spanning
+forest of its links, so one of m fingerprints gives at most m - 1 rows.
 
 Exact copies share a fingerprint and are one entry of the index.  A list longer than
-``BLOCK`` is dealt out again as pairs of blocks, each a task of bounded size.
+``BLOCK`` is refined: its rows are listed again under one more positional byte.  What is
+still longer with all guaranteed bytes in its key is dealt out as pairs of blocks, each
+a task of bounded size.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import as_bytes, cut, fresh, importable, text_pass
+from corpusmill.llm.common import as_bytes, cut, drop_cut, hot_join, importable, plain_names, text_pass
 from corpusmill.llm.components import components
 
 BYTES = 8
@@ -35,8 +39,10 @@ SHINGLE = 4
 LIST = 32
 #: Fingerprints of a list that one task compares at most with one another.
 BLOCK = 4096
-#: A fingerprint with more than this part of the documents is joined by broadcast; there are fewer of them than this.
-HOT = 1000
+#: Index hits that are tallied at once.
+HITS = 2_000_000
+#: Words of 64 bits in the filter of documents that may go; bounds what is broadcast.
+FILTER_WORDS = 1 << 19
 
 
 def fingerprints(texts: list[bytes], words: int = SHINGLE) -> np.ndarray:
@@ -85,59 +91,87 @@ def with_fingerprints(docs: DataFrame, hashes: bool = False) -> DataFrame:
     return text_pass(docs, "fp bigint, text_hash bigint" if hashes else "fp bigint", work)
 
 
+def _byte(fp: Column, position: int) -> Column:
+    return F.shiftrightunsigned(fp, 8 * position).bitwiseAND(F.lit(255).cast("long"))
+
+
 def _keys(fp: Column, bits: int, key_bytes: int) -> Column:
-    """A key for each set of positions: the set's number above its bytes."""
-    positions = bits + key_bytes  # of these, at least key_bytes are shared
-    byte = [F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255).cast("long")) for p in range(positions)]
+    """(key, mask) for each set of positions: the set's number above its bytes, and the set as bits."""
     keys = []
-    for number, chosen in enumerate(combinations(range(positions), key_bytes)):
+    for number, chosen in enumerate(combinations(range(bits + key_bytes), key_bytes)):  # of these, at least key_bytes are shared
         key = F.lit(number).cast("long")
         for p in chosen:
-            key = F.shiftleft(key, 8).bitwiseOR(byte[p])
-        keys.append(key)
+            key = F.shiftleft(key, 8).bitwiseOR(_byte(fp, p))
+        keys.append(F.struct(key.alias("key"), F.lit(sum(1 << p for p in chosen)).alias("mask")))
     return F.explode(F.array(*keys))
 
 
-def _linked(x: np.ndarray, bits: int) -> np.ndarray:
-    """Count filter, then verification, on the differences of pairs."""
-    shared = np.zeros(len(x), np.uint8)
-    for p in range(BYTES):
-        shared += (x >> np.uint64(8 * p)) & np.uint64(255) == 0
-    out = shared >= BYTES - bits
-    out[out] = np.bitwise_count(x[out]) <= bits
-    return out
+def _finer(fp: Column, key: Column, mask: Column, bits: int) -> Column:
+    """(key, mask) with one more positional byte, for each of the first bits + 1 positions that are free: linked pairs share one of these."""
+    free = F.filter(F.array(*[F.lit(p) for p in range(BYTES)]), lambda p: F.getbit(mask, p) == 0)
+    byte = F.array(*[_byte(fp, p) for p in range(BYTES)])
+    flag = F.array(*[F.lit(1 << p) for p in range(BYTES)])
+    return F.explode(F.transform(F.slice(free, 1, bits + 1), lambda p: F.struct(F.xxhash64(key, p, F.get(byte, p)).alias("key"), mask.bitwiseOR(F.get(flag, p)).alias("mask"))))
+
+
+def _joined_up(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give rows a and b one label, the smallest row of all they are joined with; ``label`` holds roots before and after."""
+    while len(apart := np.flatnonzero(label[a] != label[b])):
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while not np.array_equal(up := label[label], label):
+            label[:] = up
 
 
-def _sweep(run: np.ndarray, fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside runs of equal ``run``; fp is sorted by it.
+def _forest(run: np.ndarray, mask: np.ndarray, fp: np.ndarray, bits: int, hits: int = HITS) -> np.ndarray:
+    """Pairs of fingerprints that connect what links inside runs of equal ``run`` connect, a row for each.
 
-    Compares each row with the one d places on, for d = 1, 2, ... while any run is that
-    long: memory follows the rows, not the pairs.
+    ``mask`` has the positions that a run's rows are known to share.  Rows are taken some at
+    a time, so that the hits that are tallied at once are bounded.
     """
-    edges: list[tuple[int, int]] = []
-    ends = np.concatenate((np.flatnonzero(run[1:] != run[:-1]) + 1, [len(run)]))
-    lengths = np.diff(np.concatenate(([0], ends)))
-    left = np.repeat(ends, lengths) - np.arange(len(run)) - 1  # rows of the run that follow this one
-    label = np.arange(len(run))
-    active, d = np.flatnonzero(left > 0), 1
-    while len(active):
-        new = active[label[active] != label[active + d]]
-        hit = new[_linked(fp[new] ^ fp[new + d], bits)]
-        for i in hit.tolist():
-            a, b = i, i + d
-            while label[a] != a:
-                a = label[a]
-            while label[b] != b:
-                b = label[b]
-            if a != b:
-                label[max(a, b)] = min(a, b)
-                edges.append((int(fp[i]), int(fp[i + d])))
-        if len(hit):
-            while not np.array_equal(label, up := label[label]):
-                label = up
-        d += 1
-        active = active[left[active] >= d]
-    return edges
+    n = len(fp)
+    first = np.concatenate(([True], run[1:] != run[:-1]))
+    number = np.cumsum(first) - 1
+    known = np.bitwise_count(mask)
+    # Where the key has all guaranteed bytes the list itself is the one index entry.
+    whole = known >= BYTES - bits
+    need = np.where(whole, 1, BYTES - bits - known.astype(np.int64))
+    entries = []
+    for p in range(BYTES + 1):
+        rows = np.flatnonzero(whole) if p == BYTES else np.flatnonzero(~whole & (mask >> p & 1 == 0))
+        code = number[rows] << 8
+        if p < BYTES:
+            code |= ((fp[rows] >> np.uint64(8 * p)) & np.uint64(255)).astype(np.int64)
+        order = np.argsort(code, kind="stable")
+        rows, code = rows[order], code[order]
+        ends = np.append(np.flatnonzero(code[1:] != code[:-1]) + 1, len(code))
+        lengths = np.diff(np.concatenate(([0], ends))) if len(code) else ends[:0]
+        place, left = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        place[rows] = np.arange(len(rows))
+        left[rows] = np.repeat(ends[: len(lengths)], lengths) - np.arange(len(rows)) - 1  # rows of the entry that follow
+        entries.append((rows, place, left))
+    total = np.cumsum(sum(left for _, _, left in entries))
+    label = np.arange(n)
+    at = 0
+    while at < n:
+        done = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, done + hits, "right")))
+        found = [np.zeros(0, np.int64)]
+        for rows, place, left in entries:
+            own, many = np.arange(at, end), left[at:end]
+            a = np.repeat(own, many)
+            b = rows[np.repeat(place[at:end] + 1, many) + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)]
+            new = label[a] != label[b]
+            found.append(a[new] * n + b[new])
+        pair, tally = np.unique(np.concatenate(found), return_counts=True)
+        a, b = np.divmod(pair, n)
+        enough = tally >= need[a]
+        a, b = a[enough], b[enough]
+        linked = np.bitwise_count(fp[a] ^ fp[b]) <= bits
+        _joined_up(label, a[linked], b[linked])
+        at = end
+    moved = np.flatnonzero(label != np.arange(n))
+    return np.column_stack([fp[moved], fp[label[moved]]]).view(np.int64)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], block: int) -> Iterator[tuple[list[np.ndarray], bool]]:
@@ -189,19 +223,17 @@ def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], block: int)
 
 def _edges_of_lists(batches: Iterator[pa.RecordBatch], bits: int, block: int) -> Iterator[pa.RecordBatch]:
     """From postings sorted by key: edges (a, b), and the rows of lists over ``block`` as postings that keep their key."""
-    for (key, fp), long in _runs(batches, ("key", "fp"), block):
+    for (key, mask, fp), long in _runs(batches, ("key", "mask", "fp"), block):
         if long:
-            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.nulls(len(fp), pa.int64()), pa.array(key)], names=["a", "b", "key"])
-        elif edges := _sweep(key, fp.view(np.uint64), bits):
-            pairs = np.array(edges, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], names=["a", "b", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.nulls(len(fp), pa.int64()), pa.array(key), pa.array(mask)], names=["a", "b", "key", "mask"])
+        elif len(pairs := _forest(key, mask, fp.view(np.uint64), bits)):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32())], names=["a", "b", "key", "mask"])
 
 
 def _edges_of_blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """As above, for pairs of blocks of one long list; each has at most two blocks' rows."""
-    for (pair, fp), _ in _runs(batches, ("pair", "fp"), 1 << 62):
-        if edges := _sweep(pair, fp.view(np.uint64), bits):
-            pairs = np.array(edges, np.uint64).view(np.int64)
+    for (pair, mask, fp), _ in _runs(batches, ("pair", "mask", "fp"), 1 << 62):
+        if len(pairs := _forest(pair, mask, fp.view(np.uint64), bits)):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
@@ -217,16 +249,22 @@ def links(prints: DataFrame, bits: int = BITS, key_bytes: int | None = None, blo
     """(a, b): edges that connect just what all links between the distinct fingerprints ``fp`` connect."""
     importable(prints.sparkSession)
     key_bytes = key_bytes or key_size(prints.count(), bits)
-    postings = prints.select("fp", _keys(F.col("fp"), bits, key_bytes).alias("key"))
-    found = cut(postings.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _edges_of_lists(it, bits, block), "a bigint, b bigint, key bigint"), "links")
-    edges, long = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("fp"))
-    if long.isEmpty():
-        return edges
+    postings = prints.select("fp", _keys(F.col("fp"), bits, key_bytes).alias("at")).select("fp", "at.*")
+    edges = None
+    for size in range(key_bytes, BYTES - bits + 1):
+        listed = postings.repartition("key").sortWithinPartitions("key")
+        found = cut(listed.mapInArrow(lambda it: _edges_of_lists(it, bits, block), "a bigint, b bigint, key bigint, mask int"), "links")
+        own, long = found.where("key is null").select("a", "b"), found.where("key is not null").select(F.col("a").alias("fp"), "key", "mask")
+        edges = own if edges is None else edges.unionByName(own)
+        if long.isEmpty():
+            return edges
+        if size < BYTES - bits:
+            postings = long.select("fp", _finer(F.col("fp"), F.col("key"), F.col("mask"), bits).alias("at")).select("fp", "at.*")
     # Deal the rows of a long list over blocks by hash; each pair of blocks meets in one task.
     sizes = long.groupBy("key").agg(F.ceil(F.count("*") / (block / 2)).cast("int").alias("blocks"))
     dealt = long.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     mate = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mate")
-    pairs = dealt.select("key", "fp", "own", mate).select("fp", F.xxhash64("key", F.least("own", "mate"), F.greatest("own", "mate")).alias("pair"))
+    pairs = dealt.select("key", "mask", "fp", "own", mate).select("fp", "mask", F.xxhash64("key", F.least("own", "mate"), F.greatest("own", "mate")).alias("pair"))
     more = pairs.repartition("pair").sortWithinPartitions("pair").mapInArrow(lambda it: _edges_of_blocks(it, bits), "a bigint, b bigint")
     return edges.unionByName(more)
 
@@ -247,40 +285,51 @@ def _classified(prints: DataFrame, bits: int, key_bytes: int | None, block: int)
     """``prints`` with component_id and root, a fingerprint that names the component."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     roots = cut(components(links(nodes.select("fp"), bits, key_bytes, block)), "components")
-    classes = nodes.join(roots, nodes.fp == roots.node, "inner").groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = nodes.join(roots, nodes.fp == roots.node, "inner").groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
     # Most fingerprints have no link: those need no row here, their component is their own least id.
-    linked = roots.join(classes, "root").select(F.col("node").alias("fp"), "component_id", "root")
+    linked = hot_join(roots, classes, "root", "nodes", roots.count()).select(F.col("node").alias("fp"), "component_id", "root")
     each = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"), "copies")
-    return _joined(prints, cut(each, "classes"))
-
-
-def _joined(prints: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each document's row with its fingerprint's class.
-
-    Fingerprints that hold more than a ``HOT``-th of all documents, of which there are
-    fewer than ``HOT``, are broadcast, so that their copies are joined where they lie;
-    the others meet in a shuffle.
-    """
-    total = prints.count()
-    hot = F.broadcast(classes.where(F.col("copies") * HOT > total).drop("copies"))
-    rest = prints.join(hot.select("fp"), "fp", "left_anti").join(classes.where(F.col("copies") * HOT <= total).drop("copies"), "fp")
-    return prints.join(hot, "fp").unionByName(rest)
+    classes = cut(each, "classes")
+    drop_cut(roots)
+    return hot_join(prints, classes, "fp", "copies", prints.count())
 
 
 def drop_near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id.
 
-    Of a component's rows with that doc_id the first by text stays, so a doc_id that
-    repeats stays in every component of which it is the smallest.  Rows with a null doc_id
-    can't be told apart and all stay.  Columns are as before, whatever their names.
-    """
-    from pyspark.sql import Window
+    Of a component's rows with that doc_id the one whose text has the smallest hash stays,
+    and of equal rows one, so a doc_id that repeats stays in every component of which it is
+    the smallest.  Rows with a null doc_id can't be told apart and all stay; null texts are
+    copies of empty ones.  Columns are as before, whatever their names; an empty table
+    stays empty.
 
-    key, text_hash, root, place = (fresh(docs, n) for n in ("kept_id", "text_hash", "kept_root", "place"))
+    Only ids and hashes are shuffled to find who goes.  Documents that a filter of bounded
+    size, broadcast, rules out as ones to go stay where they are; the others, few but for
+    the filter's errors, are looked up by a join, which makes the result exact.
+    """
     prints = cut(with_fingerprints(docs, True), "fingerprints")
-    least = _classified(prints, bits, None, BLOCK).where("doc_id = component_id")
-    kept = least.select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), F.col("root").alias(root)).distinct()
-    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, (F.col("doc_id") == F.col(key)) & (own == F.col(text_hash)))
-    first = named.withColumn(place, F.row_number().over(Window.partitionBy(root).orderBy("text"))).where(F.col(place) == 1).drop(key, text_hash, root, place)
-    return first.unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = _classified(prints.where("doc_id is not null"), bits, None, BLOCK).groupBy("doc_id", "text_hash", "root", "component_id").agg(F.count("*").alias("n"))
+    rows = cut(rows, "rows")
+    kept = rows.where("doc_id = component_id").groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), "text_hash").alias("kept")).select("root", "kept.*", F.lit(True).alias("stays"))
+    judged = rows.join(kept, ["root", "doc_id", "text_hash"], "left").where("stays is null or n > 1")
+    suspects = cut(judged.select("doc_id", "text_hash", F.coalesce("stays", F.lit(False)).alias("stays")), "suspects")
+    drop_cut(prints)
+    drop_cut(rows)
+
+    words = max(1, min(FILTER_WORDS, suspects.count() // 4))
+    word = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(words)).alias("word")
+    other = F.xxhash64("doc_id", "text_hash", F.lit(1))
+    one = F.lit(1).cast("long")
+    marks = [F.call_function("shiftleft", one, F.shiftright(other, 6 * i).bitwiseAND(F.lit(63).cast("long")).cast("int")) for i in range(3)]
+    mark = marks[0].bitwiseOR(marks[1]).bitwiseOR(marks[2]).alias("mark")
+    filled = suspects.select(word, mark).groupBy("word").agg(F.bit_or("mark").alias("filled"))
+
+    plain = plain_names(docs)
+    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash")
+    hashed = plain.select("*", own).select("*", word, mark).join(F.broadcast(filled), "word", "left")
+    suspected = F.coalesce(F.col("doc_id").isNotNull() & (F.col("filled").bitwiseAND(F.col("mark")) == F.col("mark")), F.lit(False))
+    sure = hashed.where(~suspected).select(*plain.columns)
+    looked_up = hashed.where(suspected).select(*plain.columns, "text_hash").join(suspects, ["doc_id", "text_hash"], "left").where("stays is null or stays")
+    single = looked_up.where("stays is null").select(*plain.columns)
+    repeated = looked_up.where("stays").groupBy("doc_id", "text_hash").agg(F.any_value(F.struct(*plain.columns)).alias("row")).select("row.*")
+    return sure.unionByName(single).unionByName(repeated).toDF(*docs.columns)
