@@ -10,7 +10,9 @@ in the shared folder and reads it again for the next one.
 4. secrets: found secrets are masked in the text; no document goes.
 5. packing: what is left is packed into sequences of 1024 tokens.
 
-Rows with a null doc_id or text pass like others; a null text counts as empty.
+Rows with a null doc_id or text pass like others; a null text counts as empty.  Very long
+texts are read whole by every stage.  Of repeated rows near_duplicates keeps one, but for a
+null doc_id.  An empty table gives no sequences.  Further columns are carried along.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import decontamination, packing, quality_classifier, secret_scan, simhash_dedup
-from corpusmill.llm.common import cut, spread
+from corpusmill.llm.common import cut, drop_cut, spent_tables, spread
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +59,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; the rows of the last one."""
+    """All stages over the documents of ``sf_dir``; the rows of the last one.
+
+    Tables that a stage made for itself, and what it read, are deleted once its rows are written.
+    """
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    before = None
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        with spent_tables(spark):
+            docs = cut(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        if before is not None:
+            drop_cut(before)
+        before = docs
     return docs
