@@ -107,6 +107,8 @@ class Finder:
         from bisect import bisect_left, insort
 
         kept: list[tuple[int, int]] = []
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        excluded: dict[tuple[int, int], bool] = {}  # by first and last line
         out: list[tuple[Pattern, int, int]] = []
         # Case folding of the ignoring patterns goes beyond ASCII for these letters.
         low = text.lower().replace("\u017f", "s").replace("\u0131", "i")
@@ -115,8 +117,11 @@ class Finder:
                 continue
             for m in regex.finditer(text):
                 start, end = m.span()
-                line = text[text.rfind("\n", 0, start) + 1 : len(text) if (at := text.find("\n", end)) < 0 else at]
-                if self.safe.search(line):
+                lines = bisect_left(breaks, start), bisect_left(breaks, end)
+                if lines not in excluded:
+                    a, b = lines
+                    excluded[lines] = bool(self.safe.search(text, breaks[a - 1] + 1 if a else 0, breaks[b] if b < len(breaks) else len(text)))
+                if excluded[lines]:
                     continue
                 if pattern.type == "credit_card" and self.options.validate_cards and not luhn(m[0]):
                     continue

@@ -62,3 +62,11 @@ def luhn_valid(digits: Column, least: int = 13) -> Column:
     """Luhn's checksum over the digits of a text that has ``least`` of them."""
     only = F.regexp_replace(digits, "[^0-9]", "")
     return (F.length(only) >= least) & F.call_function("luhn_check", only)
+
+
+def unfenced(text: str) -> str:
+    """``strip_code_fences`` of a plain string."""
+    import re
+
+    fenced = re.fullmatch(r"```[^\n]*(?:\n(.*?))?(?:\n[ \t]*```[^\n]*)?", text.strip(), re.S)
+    return (fenced[1] or "").strip() if fenced else text.strip()

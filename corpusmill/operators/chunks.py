@@ -26,6 +26,17 @@ def _plain(pieces: list[chunking.Piece]) -> list[tuple]:
     return [(p.content, p.headers, list(p.tags.items()), None, None) for p in pieces]
 
 
+def definition_names(files: DataFrame) -> DataFrame:
+    """``files`` with name: what the definition that a file begins with is called, in its language."""
+    importable(files.sparkSession)
+
+    @F.pandas_udf("string")
+    def name(content, language):
+        return content.combine(language, lambda c, k: chunking.definition_name(c or "", k or ""))
+
+    return files.withColumn("name", name("content", "language"))
+
+
 def route(source_type: str, language: str, mode: str) -> str:
     """The chunker that the setting names, or else the one for the source."""
     if mode != "auto":

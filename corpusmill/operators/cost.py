@@ -6,34 +6,69 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import token_estimate
+from corpusmill.operators.catalog import CATALOG, catalog, current_models
+from corpusmill.operators.shared import importable
+
+__all__ = ["CATALOG", "catalog", "current_models"]
 
-#: A small example catalog: model, USD per million input and output tokens, context, status. Pass your own table.
-CATALOG = (
-    ("gpt-4o", 2.5, 10.0, 128_000, "current"),
-    ("gpt-4o-mini", 0.15, 0.6, 128_000, "current"),
-    ("gpt-4.1", 2.0, 8.0, 1_000_000, "current"),
-    ("gpt-4", 30.0, 60.0, 8_192, "legacy"),
-    ("o3-mini", 1.1, 4.4, 200_000, "current"),
-    ("gemini-2.5-pro", 1.25, 10.0, 1_000_000, "current"),
-    ("llama3.1:8b", 0.0, 0.0, 128_000, "current"),
-    ("mistral-large", 2.0, 6.0, 128_000, "current"),
-)
-CATALOG_DDL = "model string, input_price double, output_price double, context bigint, status string"
 #: Model families whose deployment names carry a suffix to strip.
 SUFFIXED = ("gpt-", "o1", "o3", "o4")
 
 
-def catalog(spark) -> DataFrame:
-    return spark.createDataFrame([(m, float(i), float(o), c, s) for m, i, o, c, s in CATALOG], CATALOG_DDL)
+def message_tokens(turns: Column) -> Column:
+    """Estimate over turns, with 4 for each one's framing."""
+    return F.aggregate(turns, F.lit(0).cast("bigint"), lambda a, t: a + token_estimate(t["content"]) + 4)
 
 
-def current_models(models: DataFrame) -> DataFrame:
-    return models.where("status = 'current'")
+class TokenCounter:
+    """Counts tokens by a rank file and the pattern that splits text before it; without one, by the estimate."""
 
+    def __init__(self, ranks: str | None = None, pattern: str = r"\S+|\s+") -> None:
+        self.ranks, self.pattern = ranks, pattern
+        self._encode = None
 
-def message_tokens(turns: Column) -> Column:
-    """Estimate over turns, with 4 for each one's framing."""
-    return F.aggregate(turns, F.lit(0).cast("bigint"), lambda a, t: a + token_estimate(t["content"]) + 4)
+    def count(self, text: str) -> int:
+        if self.ranks is None:
+            return max(1, len(text) // 4)
+        if self._encode is None:
+            import base64
+
+            import tiktoken
+
+            with open(self.ranks, "rb") as lines:
+                table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self._encode = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        return len(self._encode(text))
+
+    def __getstate__(self) -> dict:
+        return {"ranks": self.ranks, "pattern": self.pattern, "_encode": None}
+
+
+def counted_tokens(rows: DataFrame, text: str, counter: TokenCounter) -> DataFrame:
+    """``rows`` with tokens, counted by ``counter``; a null text is empty.  Estimates stay native, counts are one Arrow pass."""
+    if counter.ranks is None:
+        return rows.withColumn("tokens", token_estimate(F.coalesce(F.col(text), F.lit(""))))
+    importable(rows.sparkSession)
+
+    @F.pandas_udf("bigint")
+    def count(texts):
+        return texts.map(lambda t: counter.count(t or ""))
+
+    return rows.withColumn("tokens", count(text))
+
+
+def counted_message_tokens(conversations: DataFrame, counter: TokenCounter, model: str = "") -> DataFrame:
+    """``conversations`` with tokens of their turns as a chat: 3 a message (4 for gpt-3.5), its fields, 1 for the role, and 3 for the reply."""
+    if counter.ranks is None:
+        return conversations.withColumn("tokens", message_tokens(F.col("turns")))
+    importable(conversations.sparkSession)
+    framing = (4 if "gpt-3.5" in model else 3) + 1
+
+    @F.pandas_udf("bigint")
+    def count(turns):
+        return turns.map(lambda row: 3 + sum(framing + counter.count(t["role"] or "") + counter.count(t["content"] or "") for t in row))
+
+    return conversations.withColumn("tokens", count("turns"))
 
 
 def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:

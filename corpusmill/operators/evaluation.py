@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions.text import split_words
 from corpusmill.operators.conversations import contents, heuristic_valid
+from corpusmill.operators.shared import importable
 from corpusmill.schema import EvalThresholds
 
 
 def normalized_score(value: Column) -> Column:
-    """Clamped to 0..10, two decimals."""
-    return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(10.0), value)), 2)
+    """Clamped to 0..10, two decimals; null where there is none."""
+    return F.when(value.isNotNull(), F.bround(F.greatest(F.lit(0.0), F.least(F.lit(10.0), value)), 2))
 
 
 def normalize_scores(scores: Column) -> Column:
@@ -26,7 +31,8 @@ def normalize_scores(scores: Column) -> Column:
 
 
 def confidence(overall: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), overall / 10))
+    """A tenth of the overall, clamped to 0..1; null where there is none."""
+    return F.when(overall.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), overall / 10)))
 
 
 def agreement(one: Column, other: Column) -> Column:
@@ -41,25 +47,77 @@ def grams(text: Column, n: Column) -> Column:
     return F.get(made, F.lit(0))
 
 
+#: Characters of references whose n-grams may be broadcast.
+REFERENCE_CHARS = 8_000_000
+
+
+def _counted(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select(name, "text", F.size(split_words(F.lower(F.col("text")))).alias("words")).where("words > 0")
+
+
+def _exploded(docs: DataFrame, n: int, short: list[int]) -> DataFrame:
+    """doc_id, d_words, k, n_grams, g: all distinct n-grams of the documents, native."""
+    own = F.array(F.least(F.lit(n), F.col("words")))
+    sizes = F.array_distinct(F.concat(own, F.filter(F.array(*[F.lit(k) for k in short]), lambda k: k <= F.col("words")))) if short else own
+    each = _counted(docs, "doc_id").select("doc_id", F.col("words").alias("d_words"), F.explode(sizes).alias("k"), "text")
+    return each.select("doc_id", "d_words", "k", grams(F.col("text"), F.col("k")).alias("gs")).select("doc_id", "d_words", "k", F.size("gs").alias("n_grams"), F.explode("gs").alias("g"))
+
+
+def _shared(docs: DataFrame, references: list[str], n: int, short: list[int]) -> DataFrame:
+    """The same for those n-grams only that a reference has: looked up by hash where the texts lie."""
+    importable(docs.sparkSession)
+    source = docs.select("doc_id", "text")
+    fields = T.StructType([source.schema["doc_id"], *T.StructType.fromDDL("d_words int, k int, n_grams int, g string").fields])
+    shared = docs.sparkSession.sparkContext.broadcast(references)
+
+    def hashed(words: list[str], k: int) -> Any:
+        import numpy as np
+
+        own = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+        out = np.zeros(len(words) - k + 1, np.uint64)
+        for i in range(k):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + own[i : len(words) - k + 1 + i]
+        return out
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import numpy as np
+        import pyarrow as pa
+
+        known: dict[int, Any] = {}  # hashes are this process's own
+        for k in range(1, n + 1):
+            found = [hashed(words, k) for text in shared.value if len(words := text.lower().split()) >= k]
+            known[k] = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        for batch in batches:
+            rows: list[tuple[int, int, int, int, str]] = []
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                words = (text or "").lower().split()
+                for k in {min(n, len(words)), *(x for x in short if x <= len(words))} - {0}:
+                    own, first = np.unique(hashed(words, k), return_index=True)
+                    rows += [(at, len(words), k, len(own), " ".join(words[i : i + k])) for i in first[np.isin(own, known[k])].tolist()]
+            columns = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
+            numbers = [pa.array(c, pa.int32()) for c in columns[1:4]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *numbers, pa.array(columns[4], pa.string())], names=fields.fieldNames())
+
+    return source.mapInArrow(run, fields)
+
+
 def ngram_overlap(docs: DataFrame, references: DataFrame, n: int = 8) -> DataFrame:
     """doc_id, ref_id, overlap: the share of a document's distinct n-grams that a reference has; pairs with some only.
 
-    ``docs`` has doc_id and text, ``references`` ref_id and text.  For texts of fewer than n
-    words n is the shorter one's, so each document meets references at one n for each
-    number of words below n that occurs.  N-grams are joined by hash and text;
-    those of the corpus are reduced first to the ones that references have.
+    ``docs`` has doc_id and text, ``references`` ref_id and text.  The n of a pair is the
+    least of n and both numbers of words, so a document has its n-grams at its own size and
+    at those of shorter references.  Where the references are small, which is counted, their
+    n-grams are broadcast and only shared ones leave the documents; beyond that all meet in
+    a join.
     """
-    counted = lambda df, name: df.select(name, "text", F.size(split_words(F.lower(F.col("text")))).alias("words"))
-    d, r = counted(docs, "doc_id").where("words > 0"), counted(references, "ref_id").where("words > 0")
+    r = _counted(references, "ref_id")
+    size = r.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.array_sort(F.collect_set(F.when(F.col("words") < n, F.col("words")))).alias("short")).first()
     sizes = F.array(*[F.lit(k) for k in range(1, n + 1)])
-    # The n of a pair is the least of n and both numbers of words.  So a document needs its own size, and those of shorter
-    # references; the few references have every size.
     ref = r.select("ref_id", F.col("words").alias("r_words"), F.explode(F.filter(sizes, lambda k: k <= F.col("words"))).alias("k"), "text").select("ref_id", "r_words", "k", F.explode(grams(F.col("text"), F.col("k"))).alias("g"))
-    short = sorted(row["words"] for row in r.where(F.col("words") < n).select("words").distinct().collect())  # fewer than n numbers
-    own = F.array(F.least(F.lit(n), F.col("words")))
-    d_sizes = F.array_distinct(F.concat(own, F.filter(F.array(*[F.lit(k) for k in short]), lambda k: k <= F.col("words")))) if short else own
-    doc = d.select("doc_id", F.col("words").alias("d_words"), F.explode(d_sizes).alias("k"), "text")
-    doc = doc.select("doc_id", "d_words", "k", grams(F.col("text"), F.col("k")).alias("gs")).select("doc_id", "d_words", "k", F.size("gs").alias("n_grams"), F.explode("gs").alias("g"))
+    if size["chars"] <= REFERENCE_CHARS:
+        doc = _shared(docs, [row["text"] for row in r.select("text").collect()], n, size["short"])
+    else:
+        doc = _exploded(docs, n, size["short"])
     pairs = doc.join(ref, ["k", "g"]).where(F.col("k") == F.least(F.lit(n), F.col("d_words"), F.col("r_words")))
     return pairs.groupBy("doc_id", "ref_id").agg((F.count("*") / F.max("n_grams")).alias("overlap"))
 

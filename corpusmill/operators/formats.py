@@ -100,13 +100,25 @@ def score(judge: Column, confidence: Column) -> Column:
     return F.coalesce(F.when(judge.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), judge / 10))), confidence)
 
 
-def grpo(conversations: DataFrame, default_reward: float = 0.5, order: str = "conv_id") -> DataFrame:
-    """prompt, completions[], rewards[] per source: the first conversation's prompt, everyone's first answer; two at least."""
-    entry = F.struct(F.col(order).alias("ord"), first_content(F.col("turns"), "user").alias("prompt"), first_content(F.col("turns"), "assistant").alias("completion"), F.coalesce(F.bround(score(F.col("judge_overall"), F.col("confidence_score")), 4), F.lit(default_reward)).alias("reward"))
-    grouped = conversations.groupBy(F.coalesce(F.col("source_chunk_id").cast("string"), F.col("conv_id").cast("string")).alias("source_chunk_id")).agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    used = F.filter("all", lambda e: e["completion"].isNotNull())
-    rows = grouped.select("source_chunk_id", F.get("all", F.lit(0))["prompt"].alias("prompt"), F.transform(used, lambda e: e["completion"]).alias("completions"), F.transform(used, lambda e: e["reward"]).alias("rewards"))
-    return rows.where((F.size("completions") >= 2) & F.col("prompt").isNotNull())
+#: Answers in a row of the grpo layout at most, about; a source with more gives several rows.
+GROUP = 10_000
+
+
+def grpo(conversations: DataFrame, default_reward: float = 0.5, order: str = "conv_id", most: int = GROUP) -> DataFrame:
+    """prompt, completions[], rewards[] per source: the first conversation's prompt, everyone's first answer; two at least.
+
+    A source of many answers is dealt over rows of about ``most`` by a hash, each with the
+    source's prompt, so that no list grows without bound; none is dropped.
+    """
+    source = F.coalesce(F.col("source_chunk_id").cast("string"), F.col("conv_id").cast("string")).alias("source_chunk_id")
+    reward = F.coalesce(F.bround(score(F.col("judge_overall"), F.col("confidence_score")), 4), F.lit(default_reward)).alias("reward")
+    each = conversations.select(source, F.col(order).alias("ord"), first_content(F.col("turns"), "user").alias("prompt"), first_content(F.col("turns"), "assistant").alias("completion"), reward)
+    sources = each.groupBy("source_chunk_id").agg(F.min_by(F.struct("prompt"), F.struct("ord", "prompt"))["prompt"].alias("prompt"), F.count("completion").alias("n"))
+    wanted = sources.where("n >= 2 and prompt is not null").withColumn("parts", F.ceil(F.col("n") / most).cast("int"))
+    dealt = each.where("completion is not null").drop("prompt").join(wanted.drop("n"), "source_chunk_id")
+    part = F.pmod(F.xxhash64("ord", "completion"), F.col("parts"))
+    grouped = dealt.groupBy("source_chunk_id", "prompt", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("ord", "completion", "reward"))).alias("all"))
+    return grouped.select("source_chunk_id", "prompt", F.transform("all", lambda e: e["completion"]).alias("completions"), F.transform("all", lambda e: e["reward"]).alias("rewards"))
 
 
 def agent(conversations: DataFrame) -> DataFrame:

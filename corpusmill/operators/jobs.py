@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.operators.shared import cut, drop_cut
+
 EVENT = "job_id string, job_type string, event string, item_id string, error string, total bigint, ts timestamp"
 #: Events that set a job's status, and the status.
-STATUS = {"created": "pending", "started": "running", "paused": "paused", "completed": "completed", "failed": "failed", "cancelled": "cancelled"}
+STATUS = {"created": "pending", "started": "running", "paused": "paused", "completed": "completed", "failed": "failed", "cancelled": "cancelled", "deleted": "deleted"}
 
 
 class JobLog:
@@ -59,5 +61,22 @@ class JobLog:
         heads = log.where("event <> 'item'").groupBy("job_id").agg(F.max("job_type").alias("job_type"), F.max_by(status, "ts").alias("status"), F.min("ts").alias("created_at"), F.max("total").alias("total"))
         tried = log.where("event = 'item'").groupBy("job_id", "item_id").agg(F.max_by(F.col("error").isNotNull(), "ts").alias("bad"))
         counts = tried.groupBy("job_id").agg(F.count_if(~F.col("bad")).alias("processed"), F.count_if("bad").alias("failed"))
-        joined = heads.join(counts, "job_id", "left").fillna(0, ["processed", "failed"])
+        joined = heads.where("status <> 'deleted'").join(counts, "job_id", "left").fillna(0, ["processed", "failed"])
         return joined.withColumn("progress", F.when(F.col("total") > 0, (F.col("processed") + F.col("failed")) * 100.0 / F.col("total")).otherwise(0.0))
+
+    def delete(self, job_id: str) -> bool:
+        """Take a job off the list; false where it is not on it."""
+        if self.jobs().where(F.col("job_id") == job_id).isEmpty():
+            return False
+        self.record(job_id, "deleted")
+        return True
+
+    def clean_up(self, older_than_days: float = 30) -> int:
+        """Take jobs off the list that were created longer ago; their number."""
+        limit = F.current_timestamp().cast("double") - older_than_days * 86_400
+        old = self.jobs().where(F.col("created_at").cast("double") < limit).select("job_id", F.lit(None).cast("string").alias("job_type"), F.lit("deleted").alias("event"), F.lit(None).cast("string").alias("item_id"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("bigint").alias("total"), F.current_timestamp().alias("ts"))
+        gone = cut(old, "gone")
+        gone.write.mode("append").parquet(f"{self.folder}/events")
+        n = gone.count()
+        drop_cut(gone)
+        return n

@@ -38,6 +38,26 @@ def expired(cache: DataFrame, now: Column, ttl_days: int = 30) -> DataFrame:
     return cache.where(F.col("created_at").cast("timestamp").cast("double") < now.cast("timestamp").cast("double") - ttl_days * DAY)
 
 
+def hit_rate(looked_up: DataFrame) -> DataFrame:
+    """hits, misses, hit_rate of what ``lookup`` gave; a rate of 0 without lookups."""
+    counted = looked_up.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    return counted.withColumn("hit_rate", F.coalesce(F.try_divide(F.col("hits"), F.col("hits") + F.col("misses")), F.lit(0.0)))
+
+
+def keys_of(cache: DataFrame, model: str | None = None, key: str = "cache_key") -> DataFrame:
+    return (cache if model is None else cache.where(F.col("model") == model)).select(key)
+
+
+def tokens_by_model(cache: DataFrame) -> DataFrame:
+    """model, entries, tokens."""
+    return cache.groupBy("model").agg(F.count("*").alias("entries"), F.coalesce(F.sum("tokens_used"), F.lit(0)).cast("bigint").alias("tokens"))
+
+
+def pruned(cache: DataFrame, now: Column, older_than_days: int = 30) -> DataFrame:
+    """What a pruning leaves: entries created within so many days."""
+    return cache.where(F.col("created_at").cast("timestamp").cast("double") >= now.cast("timestamp").cast("double") - older_than_days * DAY)
+
+
 def cache_stats(cache: DataFrame) -> DataFrame:
     """entries, models, oldest, newest, tokens, accesses."""
     return cache.agg(F.count("*").alias("entries"), F.countDistinct("model").alias("models"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"), F.coalesce(F.sum("tokens_used"), F.lit(0)).cast("bigint").alias("tokens"), F.coalesce(F.sum("access_count"), F.lit(0)).cast("bigint").alias("accesses"))
@@ -69,6 +89,11 @@ def list_jobs(jobs: DataFrame, status: str | None = None, job_type: str | None =
     return jobs.orderBy(F.col("created_at").desc(), "job_id").limit(limit)
 
 
+def recent_jobs(jobs: DataFrame, now: Column, older_than_days: int = 30) -> DataFrame:
+    """What a clean-up leaves: jobs created within so many days."""
+    return jobs.where(F.col("created_at").cast("timestamp").cast("double") >= now.cast("timestamp").cast("double") - older_than_days * DAY)
+
+
 def eta_seconds(elapsed: Column, done: Column, total: Column) -> Column:
     return F.when(done > 0, elapsed / done * (total - done))
 
@@ -77,3 +102,8 @@ def backoff(attempt: Column, kind: Column) -> Column:
     """Seconds before the next attempt: 2^k after a rate limit, half of that after a client error, else none."""
     power = F.pow(F.lit(2.0), attempt)
     return F.when(kind == "rate_limit", power).when(kind == "client_error", 0.5 * power).otherwise(0.0)
+
+
+def pause(attempt: int, kind: str) -> float:
+    """``backoff`` of plain values."""
+    return {"rate_limit": 2.0, "client_error": 1.0}.get(kind, 0.0) * 2.0**attempt / 2.0

@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import strip_code_fences
+from corpusmill.operators.clients import Client, ClientError
 from corpusmill.operators.shared import cut, importable
-from corpusmill.operators.state import item_key
+from corpusmill.operators.state import item_key, pause
 from corpusmill.schema import TURNS
 
 #: Instructions by mode; pass your own table to change them.
@@ -95,11 +96,12 @@ class Generator(Protocol):
 
 
 class OfflineGenerator:
-    """Answers with a two-turn conversation on the prompt's own content."""
+    """Answers with a two-turn conversation on the prompt's own content, as fenced JSON: only so is an object with inner ones read whole."""
 
     def generate(self, system: str, user: str) -> str:
         content = user.partition("Content:\n")[2] or user
-        return json.dumps({"conversation": [{"role": "user", "content": "What does this say?"}, {"role": "assistant", "content": content.strip()[:FALLBACK_LIMIT]}], "reasoning": "offline"})
+        answer = json.dumps({"conversation": [{"role": "user", "content": "What does this say?"}, {"role": "assistant", "content": content.strip()[:FALLBACK_LIMIT]}], "reasoning": "offline"})
+        return f"```json\n{answer}\n```"
 
 
 _REGISTRY: dict[str, Callable[[], Generator]] = {}
@@ -135,26 +137,46 @@ class Limiter:
             self.last = time.monotonic()
 
 
-def _answer(generator: Generator, limiter: Limiter, system: str, user: str, attempts: int, sleep: bool) -> tuple[str | None, str | None, int]:
-    """(response, error, attempts used): retried with growing pauses."""
+def _called(generator: Generator, system: str, user: str) -> tuple[str, int, int]:
+    """(response, tokens in, tokens out); the tokens that a client reports, else estimates."""
+    if isinstance(generator, Client):
+        reply = generator.chat([{"role": "system", "content": system or ""}, {"role": "user", "content": user or ""}])
+        if reply.tokens_in or reply.tokens_out:
+            return reply.content, reply.tokens_in, reply.tokens_out
+        text = reply.content
+    else:
+        text = generator.generate(system, user)
+    return text, max(1, len((system or "") + (user or "")) // 4), max(1, len(text) // 4) if text else 0
+
+
+def _answer(generator: Generator, limiter: Limiter, system: str, user: str, attempts: int, sleep: bool) -> tuple[str | None, str | None, int, int, int]:
+    """(response, error, attempts used, tokens in, tokens out).
+
+    A rate limit is waited out for 2^k seconds, another client error for half of that; any
+    other failure is final.
+    """
     import time
 
     error = None
     for tried in range(1, attempts + 1):
         limiter.wait()
         try:
-            return generator.generate(system, user), None, tried
-        except Exception as failure:  # noqa: BLE001 - reported in the row
+            text, tokens_in, tokens_out = _called(generator, system, user)
+            return text, None, tried, tokens_in, tokens_out
+        except ClientError as failure:
             error = f"{type(failure).__name__}: {failure}"
-            if sleep and tried < attempts:
-                time.sleep(2.0 ** (tried - 1))
-    return None, error, attempts
+            if sleep and (tried < attempts or failure.kind == "rate_limit"):
+                time.sleep(pause(tried - 1, failure.kind))
+        except Exception as failure:  # noqa: BLE001 - reported in the row
+            return None, f"{type(failure).__name__}: {failure}", tried, 0, 0
+    return None, error, attempts, 0, 0
 
 
 def generate(rows: DataFrame, key: str, system: Column, user: Column, generator: Generator | None = None, attempts: int = 5, sleep: bool = False, rpm: float | None = None) -> DataFrame:
     """``key``, response, error, attempts, tokens_in, tokens_out: one call per row; an error is its row's own.
 
-    Tokens are estimates.  Each partition makes one call at a time, ``rpm`` a minute at most.
+    Tokens are those that a client reports, else estimates.  Each partition makes one call
+    at a time, ``rpm`` a minute at most.
     """
     importable(rows.sparkSession)
     generator = generator or OfflineGenerator()
@@ -164,13 +186,11 @@ def generate(rows: DataFrame, key: str, system: Column, user: Column, generator:
         import pyarrow as pa
 
         limiter = Limiter(rpm)
+        names, kinds = ("response", "error", "attempts", "tokens_in", "tokens_out"), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
         for batch in batches:
-            asked = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            got = [_answer(generator, limiter, s, u, attempts, sleep) for s, u in asked]
-            tokens_in = [max(1, len((s or "") + (u or "")) // 4) * n for (s, u), (_, _, n) in zip(asked, got, strict=True)]
-            tokens_out = [max(1, len(r) // 4) if r else 0 for r, _, _ in got]
-            columns = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.int32()), pa.array(tokens_in, pa.int64()), pa.array(tokens_out, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "response", "error", "attempts", "tokens_in", "tokens_out"])
+            got = [_answer(generator, limiter, s, u, attempts, sleep) for s, u in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            columns = [pa.array([g[i] for g in got], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *names])
 
     return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, response string, error string, attempts int, tokens_in bigint, tokens_out bigint")
 

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.shared import cut, importable
+from corpusmill.operators.shared import cut, drop_cut, importable
 
 DIM = 256
 #: Vectors a block holds; a task compares two blocks.
@@ -27,6 +27,22 @@ def gram_buckets(text: Column, dim: int = DIM) -> Column:
     return F.transform(grams, lambda g: F.conv(F.right(F.md5(g), F.lit(2)), 16, 10).cast("int"))
 
 
+def embed(rows: DataFrame, key: str, text: str, embedder: Any) -> DataFrame:
+    """``key``, embedding, tokens, by any embedder: an Arrow pass, one call a batch, no shuffle."""
+    importable(rows.sparkSession)
+    source = rows.select(key, F.col(text).alias("text"))
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            vectors = [[float(x) for x in v] for v in embedder.embed(texts)] if texts else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float64())), pa.array([max(1, len(t) // 4) for t in texts], pa.int32())], names=[key, "embedding", "tokens"])
+
+    return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, embedding array<double>, tokens int")
+
+
 def hash_embed(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
     """``key``, embedding, tokens: trigram counts by md5 modulo ``dim``, of length 1; an Arrow pass, no shuffle."""
     importable(rows.sparkSession)
@@ -38,42 +54,118 @@ def hash_embed(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFram
         embed = HashEmbedder(dim).embed
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(embed(texts), pa.list_(pa.float64())), pa.array([max(1, len(t) // 4) for t in texts], pa.int32())], names=[key, "embedding", "tokens"])
+            vectors = pa.ListArray.from_arrays(pa.array(range(0, (len(texts) + 1) * dim, dim), pa.int32()), pa.array(embed(texts).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors, pa.array([max(1, len(t) // 4) for t in texts], pa.int32())], names=[key, "embedding", "tokens"])
 
     return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, embedding array<double>, tokens int")
 
 
+#: Code points below this have their trigrams' buckets in one table.
+NARROW = 256
+#: Characters that are embedded at once.
+CHARS = 2_000_000
+
+
 class HashEmbedder:
-    """Deterministic embedder without a model; anything with ``embed(list[str])`` can take its place."""
+    """Deterministic embedder without a model; anything with ``embed(list[str])`` can take its place.
+
+    A gram is hashed once: buckets of grams of narrow characters are looked up in a table by
+    their three code points, others in a dictionary.
+    """
 
     def __init__(self, dim: int = DIM) -> None:
+        import numpy as np
+
         self.dim = dim
-        self._bucket: dict[str, int] = {}
+        self._table = np.full(NARROW**3, -1, np.int32)
+        self._wide: dict[str, int] = {}
 
     def bucket(self, gram: str) -> int:
         from hashlib import md5
 
-        if gram not in self._bucket:
-            if len(self._bucket) > 1_000_000:
-                self._bucket.clear()
-            self._bucket[gram] = int(md5(gram.encode()).hexdigest(), 16) % self.dim
-        return self._bucket[gram]
+        return int(md5(gram.encode("utf-8", "surrogatepass")).hexdigest(), 16) % self.dim
 
-    def embed(self, texts: list[str]) -> list[list[float]]:
+    def _wide_bucket(self, gram: str) -> int:
+        if gram not in self._wide:
+            if len(self._wide) > 1_000_000:
+                self._wide.clear()
+            self._wide[gram] = self.bucket(gram)
+        return self._wide[gram]
+
+    def _counts(self, lows: list[str]) -> Any:
+        """Grams by bucket of each text; a text of one or two characters is one gram."""
+        import numpy as np
+
+        joined = "".join(lows)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        lengths = np.array([len(x) for x in lows])
+        grams = np.maximum(lengths - 2, 0)
+        owner = np.repeat(np.arange(len(lows)), grams)
+        first = np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(grams) - grams), grams) + np.arange(len(owner))
+        a, b, c = points[first], points[first + 1], points[first + 2]
+        narrow = np.maximum(np.maximum(a, b), c) < NARROW
+        bucket = np.zeros(len(first), np.int64)
+        code = (a[narrow] * NARROW + b[narrow]) * NARROW + c[narrow]
+        for new in np.unique(code[self._table[code] < 0]).tolist():
+            self._table[new] = self.bucket(chr(new // NARROW**2) + chr(new // NARROW % NARROW) + chr(new % NARROW))
+        bucket[narrow] = self._table[code]
+        bucket[~narrow] = [self._wide_bucket(joined[i : i + 3]) for i in first[~narrow].tolist()]
+        counts = np.bincount(owner * self.dim + bucket, minlength=len(lows) * self.dim).astype(float).reshape(len(lows), self.dim)
+        for i in np.flatnonzero((lengths > 0) & (lengths < 3)).tolist():
+            counts[i, self._wide_bucket(lows[i])] = 1
+        return counts
+
+    def embed(self, texts: list[str]) -> Any:
+        """A row of length 1 for each text; zeros for an empty one."""
         import numpy as np
 
-        out = []
-        for text in texts:
-            low = text.lower()
-            grams = [low[i : i + 3] for i in range(len(low) - 2)] if len(low) >= 3 else [low] if low else []
-            known = self._bucket.get
-            buckets = [b if (b := known(g)) is not None else self.bucket(g) for g in grams]
-            counts = np.bincount(buckets, minlength=self.dim).astype(float) if grams else np.zeros(self.dim)
-            norm = np.sqrt((counts * counts).sum())
-            out.append((counts / norm if norm else counts).tolist())
+        out = np.zeros((len(texts), self.dim))
+        at = 0
+        while at < len(texts):
+            lows: list[str] = []
+            size = 0
+            while at + len(lows) < len(texts) and (not lows or size + len(texts[at + len(lows)]) <= CHARS):
+                lows.append(texts[at + len(lows)].lower())
+                size += len(lows[-1])
+            counts = self._counts(lows)
+            norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            out[at : at + len(lows)] = counts / np.where(norm > 0, norm, 1)
+            at += len(lows)
         return out
 
 
+class RemoteEmbedder:
+    """Embeddings of a service with the usual ``/embeddings`` call; where the call fails, those of the hash embedder."""
+
+    def __init__(self, model: str = "text-embedding-3-small", base_url: str = "https://api.openai.com/v1", key: str | None = None, timeout: float = 60.0) -> None:
+        self.model, self.base_url, self.key, self.timeout = model, base_url.rstrip("/"), key, timeout
+        #: Calls that failed so far.
+        self.failures = 0
+
+    def embed(self, texts: list[str]) -> Any:
+        import logging
+
+        import numpy as np
+
+        from corpusmill.operators.clients import post
+
+        headers = {"Authorization": f"Bearer {self.key}"} if self.key else {}
+        try:
+            data = post(f"{self.base_url}/embeddings", {"model": self.model, "input": texts}, headers, self.timeout)["data"]
+            return np.array([row["embedding"] for row in sorted(data, key=lambda row: row.get("index", 0))], float).reshape(len(texts), -1)
+        except Exception as failure:  # noqa: BLE001 - the fall-back is the contract
+            self.failures += 1
+            logging.getLogger(__name__).warning("embeddings failed (%s): hashed ones are used", failure)
+            return HashEmbedder().embed(texts)
+
+
+def get_embedder(model: str = "", base_url: str | None = None, key: str | None = None) -> HashEmbedder | RemoteEmbedder:
+    """A service's embedder where a model is named, else the hash embedder."""
+    if model in ("", "hash"):
+        return HashEmbedder()
+    return RemoteEmbedder(model, base_url or "https://api.openai.com/v1", key)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in double precision; 0 for empty, unequal or zero vectors."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -81,12 +173,41 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
+def _similar(table: Any, threshold: float) -> Any:
+    """Similar pairs of rows of two blocks, or of any two where the pair of blocks is one: ids, the smaller first, and similarity."""
+    import numpy as np
+    import pyarrow as pa
+
+    ids, rows = table["id"].to_numpy(), table["v"].to_pylist()
+    same = table["low"][0].as_py() == table["high"][0].as_py()
+    home = table["own"].to_numpy() == table["low"][0].as_py()
+    widths = np.array([len(r) if r is not None else 0 for r in rows])
+    out = [(ids[:0], ids[:0], np.zeros(0))]
+    # Vectors of unequal width have similarity 0: each width is a matrix of its own.
+    for width in np.unique(widths[widths > 0]):
+        at = np.nonzero(widths == width)[0]
+        matrix = np.array([rows[i] for i in at], float).reshape(-1, width)
+        norm = np.sqrt((matrix * matrix).sum(axis=1))
+        ok = norm > 0
+        matrix, at = matrix[ok] / norm[ok, None], at[ok]
+        left, right = home[at], home[at] if same else ~home[at]
+        sims = matrix[left] @ matrix[right].T
+        i, j = np.nonzero(sims >= threshold)
+        a, b, s = ids[at][left][i], ids[at][right][j], sims[i, j]
+        if same:
+            once = a < b
+            a, b, s = a[once], b[once], s[once]
+        out.append((np.minimum(a, b), np.maximum(a, b), s))
+    return pa.table(dict(zip(("a", "b", "similarity"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+
 def similar_pairs(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """a, b (a < b), similarity of all pairs at ``threshold`` or more: exact, by blocks.
 
     Vectors are dealt to blocks by hash; each pair of blocks meets in one task as two
     matrices, so a task's memory is two blocks and only similar pairs leave it.  Groups of
-    very similar vectors spread over all blocks.
+    very similar vectors spread over all blocks.  All blocks meet all others: for tables
+    too large for that there is ``approximate_pairs``.
     """
     spark = vectors.sparkSession
     importable(spark)
@@ -96,34 +217,58 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id
     dealt = own.withColumn("mate", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", "own", F.least("own", "mate").alias("low"), F.greatest("own", "mate").alias("high"))
     kind = vectors.schema[key].dataType.simpleString()
 
-    def compare(table: Any) -> Any:
+    return dealt.groupBy("low", "high").applyInArrow(lambda table: _similar(table, threshold), f"a {kind}, b {kind}, similarity double")
+
+
+#: Part of the pairs at the threshold that ``approximate_pairs`` aims to find; pairs above it are found more often.
+RECALL = 0.97
+
+
+def approximate_pairs(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, recall: float = RECALL, seed: int = 1) -> DataFrame:
+    """a, b (a < b), similarity of most pairs at ``threshold`` or more, by random hyperplanes.
+
+    A table of hyperplanes puts vectors on the same sides of all of them into one bucket;
+    two vectors at an angle t agree on one side with probability 1 - t / pi, which gives
+    the number of tables for the wanted ``recall``.  More vectors have more planes a table,
+    so buckets stay about half a block long.  Pairs of a bucket are compared exactly; a
+    bucket over a block is dealt out as pairs of blocks, so none is cut.  What is shuffled
+    follows the vectors times the tables, not their square.
+    """
+    from math import acos, ceil, log, log2, pi
+
+    spark = vectors.sparkSession
+    importable(spark)
+    n = vectors.count()
+    side = 1 - acos(max(-1.0, min(1.0, threshold))) / pi
+    planes = max(2, min(30, ceil(log2(max(n, 2) / (block / 2)))))
+    tables = max(1, ceil(log(1 - recall) / log(max(1e-9, 1 - side**planes))))
+    own = vectors.select(F.col(key).alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def listed(batches: Iterator[Any]) -> Iterator[Any]:
         import numpy as np
         import pyarrow as pa
 
-        ids, home = table["id"].to_numpy(), table["own"].to_numpy()
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        rows = table["v"].to_pylist()
-        widths = np.array([len(r) for r in rows])
-        out = []
-        # Vectors of unequal width have similarity 0: each width is a matrix of its own.
-        for width in np.unique(widths[widths > 0]):
-            at = np.nonzero(widths == width)[0]
-            matrix = np.array([rows[i] for i in at], float).reshape(-1, width)
-            norm = np.sqrt((matrix * matrix).sum(axis=1))
-            ok = norm > 0
-            matrix, at = matrix[ok] / norm[ok, None], at[ok]
-            left, right = home[at] == low, home[at] == high
-            sims = matrix[left] @ matrix[right].T
-            i, j = np.nonzero(sims >= threshold)
-            a, b, s = ids[at][left][i], ids[at][right][j], sims[i, j]
-            if low == high:
-                once = a < b
-                a, b, s = a[once], b[once], s[once]
-            out.append((np.minimum(a, b), np.maximum(a, b), s))
-        a, b, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (ids[:0], ids[:0], np.zeros(0))
-        return pa.table({"a": a, "b": b, "similarity": s})
-
-    return dealt.groupBy("low", "high").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
+        normals: dict[int, Any] = {}
+        for batch in batches:
+            rows = batch.column(1).to_pylist()
+            buckets = []
+            for row in rows:
+                width = len(row or ())
+                if width not in normals:
+                    normals[width] = np.random.default_rng((seed, width)).normal(size=(tables, planes, width))
+                bits = normals[width] @ np.array(row or (), float) > 0
+                # An empty or a zero vector is similar to none.
+                buckets.append(((bits @ (1 << np.arange(planes))) * tables + np.arange(tables)) * 4096 + width % 4096 if width and any(row) else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(buckets, pa.list_(pa.int64()))], names=["id", "v", "buckets"])
+
+    exploded = own.mapInArrow(listed, f"id {kind}, v array<double>, buckets array<bigint>").select("id", "v", F.explode("buckets").alias("bucket"))
+    sizes = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = exploded.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = dealt.select("id", "v", "bucket", "own", F.least("own", "mate").alias("low"), F.greatest("own", "mate").alias("high"))
+
+    pairs = met.groupBy("bucket", "low", "high").applyInArrow(lambda table: _similar(table, threshold), f"a {kind}, b {kind}, similarity double")
+    return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def greedy_keep(vectors: DataFrame, pairs: DataFrame, key: str = "vec_id", most_rounds: int = 1000) -> DataFrame:
@@ -144,8 +289,9 @@ def greedy_keep(vectors: DataFrame, pairs: DataFrame, key: str = "vec_id", most_
         out = cut(edges.join(kept, edges.a == kept.n, "left_semi").select(F.col("b").alias("n")).distinct(), "greedy-out")
         dropped.append(out)
         rest = edges.join(out, edges.a == out.n, "left_anti")
-        rest = rest.join(out, rest.b == out.n, "left_anti")
-        edges = cut(rest, "greedy")
+        rest = cut(rest.join(out, rest.b == out.n, "left_anti"), "greedy")
+        drop_cut(edges)
+        edges = rest
     else:
         raise RuntimeError(f"not decided after {most_rounds} rounds")
     result = vectors.select(key)

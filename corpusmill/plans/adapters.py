@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.conversations import assemble
+from corpusmill.operators.shared import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; texts that lie in fewer files than there are cores are dealt over all cores."""
+    """A table; small ones of texts are dealt over all cores."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if name in ("documents", "pages") and len(rows.inputFiles()) < cores else rows
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def _scored(conv: DataFrame) -> DataFrame:
@@ -56,14 +56,6 @@ def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as Python files of two definitions."""
-    body = F.regexp_replace(F.substring("content", 1, 200), "\n", " ")
-    name = F.col("doc_id").cast("string")
-    content = F.concat(F.lit("def f_"), name, F.lit("(x):\n    '''"), body, F.lit("'''\n\nclass C_"), name, F.lit(":\n    y = '''"), body, F.lit("'''\n"))
-    return files(spark, sf_dir).select("doc_id", F.regexp_replace("file_path", "txt$", "py").alias("file_path"), content.alias("content"), F.lit("code").alias("source_type"), F.lit("python").alias("language"))
-
-
-def whole_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Python files of two definitions that hold the whole text, each on one line."""
     body = F.replace(F.col("content"), F.lit("\n"), F.lit(" "))
     name = F.col("doc_id").cast("string")
@@ -71,6 +63,14 @@ def whole_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("doc_id", F.regexp_replace("file_path", "txt$", "py").alias("file_path"), content.alias("content"), F.lit("code").alias("source_type"), F.lit("python").alias("language"))
 
 
+def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as Markdown files that hold a table, some with a second row, and a line after it."""
+    key, more = F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "\n|  | x |  |").otherwise("")
+    rest = F.when(F.col("p_partkey") % 3 == 0, "\n\nno | table").otherwise("\nend")
+    content = F.concat(F.lit("part "), "p_name", F.lit("\n| key | a |\n|:---|---:|\n| "), key, F.lit(" | "), "p_brand", F.lit(" |"), more, rest)
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("p/"), key, F.lit(".md")).alias("file_path"), content.alias("content"), F.lit("").alias("chunk_id"))
+
+
 # The same in DuckDB, each as a common table expression.
 _SCORES = """conv_id // 2 AS source_chunk_id, CAST(NULL AS VARCHAR) AS reasoning_trace,
   CASE WHEN conv_id % 5 <> 0 THEN (conv_id * 53 % 101) / 10.0::DOUBLE END AS judge_overall,
@@ -85,5 +85,4 @@ FILES = "files AS (SELECT doc_id, source || '/' || doc_id || '.txt' AS file_path
 HEADED = """headed AS (SELECT doc_id, source || '/' || doc_id || '.md' AS file_path, array_to_string(list_transform(string_split(text, chr(10)),
   lambda x, i: CASE WHEN i = 1 THEN '# ' || x WHEN (i - 1) % 5 = 0 THEN '## ' || x ELSE x END), chr(10)) AS content FROM documents)"""
 CODE = """code AS (SELECT doc_id, source || '/' || doc_id || '.py' AS file_path,
-  'def f_' || doc_id || '(x):' || chr(10) || '    ''''''' || replace(substr(text, 1, 200), chr(10), ' ') || '''''''' || chr(10) || chr(10) || 'class C_' || doc_id || ':' || chr(10) || '    y = ''''''' || replace(substr(text, 1, 200), chr(10), ' ') || '''''''' || chr(10) AS content FROM documents)"""
-WHOLE_CODE = CODE.replace("code AS", "whole_code AS", 1).replace("substr(text, 1, 200)", "text")
+  'def f_' || doc_id || '(x):' || chr(10) || '    ''''''' || replace(text, chr(10), ' ') || '''''''' || chr(10) || chr(10) || 'class C_' || doc_id || ':' || chr(10) || '    y = ''''''' || replace(text, chr(10), ' ') || '''''''' || chr(10) AS content FROM documents)"""

@@ -289,12 +289,20 @@ def fmt_rag_qa(spark, d):
     return X.rag_qa(A.conversations(spark, d)).select("query", F.size("contexts").alias("contexts"), "answer", "answerable", "source_chunk_id")
 
 
-@query(f"WITH {A.CONV}, {_DPO} SELECT 'dpo' AS layout, count(*) AS rows, 0::BIGINT AS invalid, true AS valid FROM answers UNION ALL SELECT 'chatml', count(*), 0, true FROM conv UNION ALL SELECT 'kto', sum(len(a))::BIGINT, 0, true FROM answers")
+_PROMPTED = f"{_OF['user']}[1] <> '' AND len({_OF['assistant']}) > 0"
+
+
+@query(f"""WITH {A.CONV}, {_DPO}, e AS (SELECT source_chunk_id, conv_id, {_OF['user']}[1] AS prompt, {_OF['assistant']}[1] AS completion FROM conv),
+g AS (SELECT source_chunk_id FROM e GROUP BY 1 HAVING count(completion) >= 2 AND list(prompt ORDER BY conv_id)[1] IS NOT NULL),
+n AS (SELECT unnest(['sharegpt', 'chatml', 'conversation', 'hf_messages', 'jsonl', 'parquet', 'agent']) AS layout, count(*) AS rows FROM conv
+  UNION ALL SELECT unnest(['dpo', 'orpo', 'preference', 'preference_scored', 'rag_qa']), count(*) FROM answers UNION ALL SELECT 'kto', sum(len(a))::BIGINT FROM answers
+  UNION ALL SELECT 'alpaca', count(*) FROM conv WHERE {_PROMPTED} UNION ALL SELECT 'grpo', count(*) FROM g)
+SELECT layout, rows, 0::BIGINT AS invalid, true AS valid FROM n""")
 def format_validate(spark, d):
     conv = A.conversations(spark, d)
     out = None
-    for layout in ("dpo", "chatml", "kto"):
-        one = X.format_valid(X.FORMATS[layout](conv), layout).select(F.lit(layout).alias("layout"), "rows", "invalid", "valid")
+    for layout, made in X.FORMATS.items():
+        one = X.format_valid(made(conv), layout).select(F.lit(layout).alias("layout"), "rows", "invalid", "valid")
         out = one if out is None else out.unionByName(one)
     return out
 

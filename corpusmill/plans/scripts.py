@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-# Adapter targets by model architecture.
-TARGETS = {
-    "llama": ("q_proj", "k_proj", "v_proj", "o_proj", "gate_proj", "up_proj", "down_proj"),
-    "mistral": ("q_proj", "k_proj", "v_proj", "o_proj", "gate_proj", "up_proj", "down_proj"),
-    "qwen": ("q_proj", "k_proj", "v_proj", "o_proj", "gate_proj", "up_proj", "down_proj"),
-    "gemma": ("q_proj", "k_proj", "v_proj", "o_proj", "gate_proj", "up_proj", "down_proj"),
-    "phi": ("qkv_proj", "o_proj", "gate_up_proj", "down_proj"),
-}
+# Layers that adapters are put on, and the architectures whose layers have these names.
+LAYERS = ("q_proj", "k_proj", "v_proj", "o_proj", "gate_proj", "up_proj", "down_proj")
+ARCHITECTURES = ("llama", "mistral", "mixtral", "qwen", "deepseek", "phi", "gemma", "gpt-oss")
+TARGETS = dict.fromkeys(ARCHITECTURES, LAYERS)
 _TRAINERS = {"sft": ("SFTTrainer", "SFTConfig"), "dpo": ("DPOTrainer", "DPOConfig"), "orpo": ("ORPOTrainer", "ORPOConfig"), "kto": ("KTOTrainer", "KTOConfig"), "grpo": ("GRPOTrainer", "GRPOConfig")}
 
 
 def targets(model: str) -> tuple[str, ...]:
     """Adapter targets of the architecture that the model's name contains; the most common ones else."""
-    return next((t for name, t in TARGETS.items() if name in model.lower()), TARGETS["llama"])
+    return next((t for name, t in TARGETS.items() if name in model.lower()), LAYERS)
 
 
 def training_script(method: str, model: str, data: str, rank: int = 16, epochs: int = 1) -> str:

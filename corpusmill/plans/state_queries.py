@@ -19,15 +19,15 @@ def message_tokens(spark, d):
     return A.conversations(spark, d).select("conv_id", K.message_tokens(F.col("turns")).alias("tokens"))
 
 
-_PRICES = "prices(model, input_price, output_price, status) AS (VALUES " + ", ".join(f"('{m}', {i}::DOUBLE, {o}::DOUBLE, '{s}')" for m, i, o, _, s in K.CATALOG) + ")"
-_MODEL = "(['gpt-4o', 'vendor/gpt-4.1', 'GPT-4O-mini', 'gpt-4o-my-deployment', 'x:o3-mini', 'nothing', 'team@mistral-large'])[user_id % 7 + 1]"
+_PRICES = "prices(model, input_price, output_price, status) AS (VALUES " + ", ".join(f"('{m}', {i}::DOUBLE, {o}::DOUBLE, '{s}')" for m, _, i, o, _, s in K.CATALOG) + ")"
+_MODEL = "(['gpt-4o', 'vendor/gpt-4.1', 'GPT-4O-mini', 'gpt-4o-my-deployment', 'x:o3-mini', 'nothing', 'team@mistral-large-latest'])[user_id % 7 + 1]"
 _USED = f"used AS (SELECT event_id, user_id, {_MODEL} AS model, CAST(floor(abs(value)) AS BIGINT) AS tokens_in, CAST(floor(abs(value) / 2) AS BIGINT) AS tokens_out FROM events)"
-_PRICED = f"""resolved(model, price_model) AS (VALUES ('gpt-4o', 'gpt-4o'), ('vendor/gpt-4.1', 'gpt-4.1'), ('GPT-4O-mini', 'gpt-4o-mini'), ('gpt-4o-my-deployment', 'gpt-4o'), ('x:o3-mini', 'o3-mini'), ('nothing', NULL), ('team@mistral-large', 'mistral-large')),
+_PRICED = f"""resolved(model, price_model) AS (VALUES ('gpt-4o', 'gpt-4o'), ('vendor/gpt-4.1', 'gpt-4.1'), ('GPT-4O-mini', 'gpt-4o-mini'), ('gpt-4o-my-deployment', 'gpt-4o'), ('x:o3-mini', 'o3-mini'), ('nothing', NULL), ('team@mistral-large-latest', 'mistral-large-latest')),
 priced AS (SELECT used.*, r.price_model, coalesce(p.input_price, 0) AS input_price, coalesce(p.output_price, 0) AS output_price FROM used LEFT JOIN resolved r ON r.model = used.model LEFT JOIN prices p ON p.model = r.price_model)"""
 
 
 def _used(spark, d):
-    names = F.array(*[F.lit(x) for x in ("gpt-4o", "vendor/gpt-4.1", "GPT-4O-mini", "gpt-4o-my-deployment", "x:o3-mini", "nothing", "team@mistral-large")])
+    names = F.array(*[F.lit(x) for x in ("gpt-4o", "vendor/gpt-4.1", "GPT-4O-mini", "gpt-4o-my-deployment", "x:o3-mini", "nothing", "team@mistral-large-latest")])
     return A.table(spark, d, "events").select("event_id", "user_id", F.get(names, (F.col("user_id") % 7).cast("int")).alias("model"), F.floor(F.abs("value")).cast("bigint").alias("tokens_in"), F.floor(F.abs("value") / 2).cast("bigint").alias("tokens_out"))
 
 

@@ -122,7 +122,7 @@ def parse_notebook(text: str, name: str) -> tuple[str, dict]:
             if title is None and counts["markdown"] == 1:
                 title = next((x.lstrip("#").strip() for x in source.split("\n") if x.startswith("#")), None)
         elif kind == "code":
-            parts.append(f"[Code Cell {i}]\n```{language}\n{source}\n```")
+            parts.append(f"[Code Cell {i}]\n```python\n{source}\n```")  # the fence says python whatever the kernel is
             for output in cell.get("outputs", []):
                 shown = joined(output.get("text") if output.get("output_type") == "stream" else output.get("data", {}).get("text/plain") if output.get("output_type") == "execute_result" else "")
                 if shown.strip():

@@ -5,6 +5,7 @@ from __future__ import annotations
 import socket
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 from typing import Any
 from urllib.parse import urljoin, urlparse
 
@@ -19,6 +20,11 @@ MAX_BODY_BYTES = 10 * 1024 * 1024
 MAX_TEXT = 100_000
 
 
+# What is put after a page that was cut.
+CUT_BODY = "\n\n[Content truncated due to download size limit...]"
+CUT_TEXT = "\n\n[Content truncated...]"
+
+
 class BlockedError(ValueError):
     """The address must not be fetched."""
 
@@ -44,8 +50,8 @@ def check(url: str, resolver: Callable[[str, int], list[str]] = resolve) -> None
             raise BlockedError(f"{parts.hostname} is at a blocked address")
 
 
-def open_url(url: str) -> Response:
-    """One request without following redirects."""
+def open_url(url: str, most: int = MAX_BODY_BYTES) -> Response:
+    """One request without following redirects; one byte more than ``most`` is read at most."""
     import http.client
 
     parts = urlparse(url)
@@ -54,31 +60,38 @@ def open_url(url: str) -> Response:
     try:
         connection.request("GET", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), headers={"User-Agent": "corpusmill"})
         answer = connection.getresponse()
-        return Response(answer.status, answer.read(MAX_BODY_BYTES + 1), answer.getheader("Location"))
+        return Response(answer.status, answer.read(most + 1), answer.getheader("Location"))
     finally:
         connection.close()
 
 
-def fetch(url: str, opener: Callable[[str], Response] = open_url, resolver: Callable[[str, int], list[str]] = resolve) -> str:
-    """A page's text, through redirects that are each checked, cut to ``MAX_TEXT``."""
-    from corpusmill.sources.html import Page
+def fetch(url: str, opener: Callable[[str], Response] = open_url, resolver: Callable[[str, int], list[str]] = resolve, selector: str | None = None, max_length: int = MAX_TEXT, max_body_bytes: int = MAX_BODY_BYTES) -> str:
+    """A page's text, through redirects that are each checked.
+
+    With a ``selector`` the text of the elements that it names, else that of the page's main
+    part.  Bodies beyond ``max_body_bytes`` and texts beyond ``max_length`` are cut and say so.
+    """
+    from corpusmill.sources.html import main_text, selected_text
 
+    ask = partial(open_url, most=max_body_bytes) if opener is open_url else opener
     for _ in range(MAX_REDIRECTS + 1):
         check(url, resolver)
-        answer = opener(url)
-        if answer.status in (301, 302, 303, 307, 308) and answer.location:
+        answer = ask(url)
+        if answer.status in (301, 302, 303, 307, 308):
+            if not answer.location:
+                raise ValueError("a redirect without a target")
             url = urljoin(url, answer.location)
             continue
         if answer.status >= 400:
             raise ValueError(f"status {answer.status}")
-        if len(answer.body) > MAX_BODY_BYTES:
-            raise ValueError("body too large")
-        return Page(answer.body.decode("utf-8", "replace")).text[:MAX_TEXT]
+        html = answer.body[:max_body_bytes].decode("utf-8", "replace") + (CUT_BODY if len(answer.body) > max_body_bytes else "")
+        text = selected_text(html, selector) if selector else main_text(html)
+        return text if len(text) <= max_length else text[:max_length] + CUT_TEXT
     raise ValueError("too many redirects")
 
 
-def load_urls(urls: DataFrame, url: str = "url", opener: Callable[[str], Response] = open_url, resolver: Callable[[str, int], list[str]] = resolve) -> DataFrame:
-    """``urls`` with content and error: one call a row, each failure its own row's."""
+def load_urls(urls: DataFrame, url: str = "url", opener: Callable[[str], Response] = open_url, resolver: Callable[[str, int], list[str]] = resolve, **limits: Any) -> DataFrame:
+    """``urls`` with content and error: one call a row, each failure its own row's; ``limits`` are those of ``fetch``."""
     importable(urls.sparkSession)
     kept = urls.withColumns({"content": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
     at, width = urls.columns.index(url), len(urls.columns)
@@ -90,7 +103,7 @@ def load_urls(urls: DataFrame, url: str = "url", opener: Callable[[str], Respons
             texts, errors = [], []
             for address in batch.column(at).to_pylist():
                 try:
-                    texts.append(fetch(address or "", opener, resolver))
+                    texts.append(fetch(address or "", opener, resolver, **limits))
                     errors.append(None)
                 except Exception as failure:  # noqa: BLE001 - reported in the row
                     texts.append(None)
