@@ -8,34 +8,24 @@ in the result.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from corpusmill.operators.shared import cut, drop_cut, importable, spent_tables, spread
+
+__all__ = ["cut", "drop_cut", "importable", "spent_tables", "spread"]
 
 #: Documents, and bytes of text, handled at once inside a batch, so that long texts do not add up.
 SLICE = 256
 SLICE_BYTES = 8_000_000
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from the path the driver has it at."""
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), _ROOT) if x)
-
-
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null is empty."""
     return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
@@ -120,85 +110,6 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, copies: str, total: in
     return rows.join(hot, key).unionByName(rest)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session gets a temporary folder of its own; on a cluster
-    there is none that all could read, which is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = _local_folder()
-    return folder
-
-
-@cache
-def _local_folder() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
-
-
-#: Paths of tables cut inside the open ``spent_tables`` blocks, the innermost last.
-_spent: list[list[str]] = []
-
-
-def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Later steps then start from files that survive a lost executor, and the work before is
-    done once.  A ``spent_tables`` block around this deletes the table, but where ``keep``.
-    """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/corpusmill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if _spent and not keep:
-        _spent[-1].append(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table.cut_path = path
-    return table
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a table made by ``cut`` that nothing reads any more."""
-    _delete(df.sparkSession, df.cut_path)
-    for paths in _spent:
-        if df.cut_path in paths:
-            paths.remove(df.cut_path)
-
-
-@contextmanager
-def spent_tables(spark: SparkSession) -> Iterator[None]:
-    """At the block's end, delete the tables cut inside it."""
-    _spent.append([])
-    try:
-        yield
-    finally:
-        for path in _spent.pop():
-            _delete(spark, path)
-
-
-#: A table of up to this many bytes may be dealt over all cores.
-SMALL_TABLE = 64_000_000
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt over all cores where it is a small table that its scan reads with fewer tasks than that.
-
-    A small file is one group of rows and cannot be read in parts.  What this
-    shuffles is bounded whatever the input; larger tables are split by their scan.
-    """
-    plan = df._jdf.queryExecution()
-    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > SMALL_TABLE:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a variant that ``df`` has no column of."""
     taken = {c.lower() for c in df.columns}

@@ -330,6 +330,6 @@ def drop_near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     suspected = F.coalesce(F.col("doc_id").isNotNull() & (F.col("filled").bitwiseAND(F.col("mark")) == F.col("mark")), F.lit(False))
     sure = hashed.where(~suspected).select(*plain.columns)
     looked_up = hashed.where(suspected).select(*plain.columns, "text_hash").join(suspects, ["doc_id", "text_hash"], "left").where("stays is null or stays")
-    single = looked_up.where("stays is null").select(*plain.columns)
-    repeated = looked_up.where("stays").groupBy("doc_id", "text_hash").agg(F.any_value(F.struct(*plain.columns)).alias("row")).select("row.*")
-    return sure.unionByName(single).unionByName(repeated).toDF(*docs.columns)
+    # A row that the table of suspects lacks is the only one of its id and hash.
+    single = looked_up.groupBy("doc_id", "text_hash").agg(F.any_value(F.struct(*plain.columns)).alias("row")).select("row.*")
+    return sure.unionByName(single).toDF(*docs.columns)
