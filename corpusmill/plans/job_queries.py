@@ -18,7 +18,7 @@ from corpusmill.operators.shared import shared_folder
 from corpusmill.plans import adapters as A
 from corpusmill.plans import jobs
 from corpusmill.plans import text_queries as Q
-from corpusmill.plans.conversation_queries import _CONFIG, _HASH, _SPLIT
+from corpusmill.plans.conversation_queries import _CLEANED, _CONFIG, _HASH, _SPLIT, _VALID
 from corpusmill.plans.registry import query
 from corpusmill.schema import ChunkConfig
 from corpusmill.sources.documents import read_folder
@@ -166,6 +166,18 @@ def synthesize_turns(spark, d):
     return made.select("conv_id", "source_chunk_id", F.size("turns").alias("n_turns"), turn(0).alias("question"), turn(1).alias("answer"), "reasoning_trace")
 
 
+_SYNTHESIZED = """conv AS (SELECT sha256(source || '/' || doc_id || '.txt' || '|teach') AS conv_id, source || '/' || doc_id || '.txt' AS source_chunk_id,
+  [{'role': 'user', 'content': 'What does this say?'}, {'role': 'assistant', 'content': substr(regexp_replace(substr(text, 1, 3000), '\\A\\s+|\\s+\\z', '', 'g'), 1, 500)}] AS turns FROM documents)"""
+
+
+@query(f"WITH {_SYNTHESIZED}, {_CLEANED} SELECT conv_id, source_chunk_id, len(pruned.turns)::INT AS n_turns, pruned.turns[2].content AS answer FROM pruned JOIN (SELECT conv_id, source_chunk_id FROM conv) USING (conv_id) WHERE len(turns) >= 2 AND {_VALID}")
+def offline_synthesize(spark, d):
+    """Chunks to conversations by the generator that needs no network, pruned."""
+    chunks = A.files(spark, d).select(F.col("file_path").alias("chunk_id"), "content", F.lit("").alias("title"), F.lit("text").alias("source_type"))
+    made, _ = jobs.synthesize(chunks)
+    return made.select("conv_id", "source_chunk_id", F.size("turns").alias("n_turns"), F.get("turns", F.lit(1))["content"].alias("answer"))
+
+
 # Jobs and export
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import conversations as V
 from corpusmill.operators import cost as K
 from corpusmill.operators import state as H
 from corpusmill.operators import synthesis as G
@@ -174,13 +173,6 @@ def judge_prompt(spark, d):
     return A.conversations(spark, d).select("conv_id", G.judge_prompt(F.lit("s"), F.col("turns")).alias("prompt"))
 
 
-@query()
-def offline_synthesize(spark, d):
-    chunks = A.files(spark, d).select(F.col("file_path").alias("chunk_id"), "content", F.lit("").alias("title"), F.lit("text").alias("source_type"))
-    made, _ = G.synthesize(chunks)
-    return V.prune(made).select("conv_id", "source_chunk_id", F.size("turns").alias("n_turns"), F.get("turns", F.lit(1))["content"].alias("answer"))
-
-
 # Streams
 
 

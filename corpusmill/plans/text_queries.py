@@ -192,7 +192,7 @@ def load_json_keys(spark, d):
     return A.table(spark, d, "events").select("event_id", F.array_join(F.json_object_keys("props"), ",").alias("keys"))
 
 
-@query()
+@query("""SELECT event_id, '{' || chr(10) || array_to_string(list_transform(json_keys(props), lambda k: '  "' || k || '": ' || CAST(json_extract(props, '$."' || k || '"') AS VARCHAR)), ',' || chr(10)) || chr(10) || '}' AS text FROM events""")
 def load_json_text(spark, d):
     from corpusmill.operators.shared import importable
 
@@ -231,7 +231,23 @@ def html_title(spark, d):
     return pages_to_text(A.table(spark, d, "pages")).select("page_id", "title")
 
 
-@query()
+def _plain(html: str) -> str:
+    """Entities of a piece of HTML read, in SQL."""
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        html = f"replace({html}, '{entity}', '{sign}')"
+    return html
+
+
+_BARE_HTML = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+for _tag in ("script", "style", "nav", "footer", "header"):
+    _BARE_HTML = f"regexp_replace({_BARE_HTML}, '(?s)<{_tag}\\b.*?</{_tag}\\s*>', '<x>', 'g')"
+
+
+@query(f"""WITH p AS (SELECT page_id, html, {_BARE_HTML} AS bare FROM pages), t AS (SELECT page_id, nullif(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '') AS title,
+  list_transform(regexp_extract_all(html, '(?s)<h[1-3][^>]*>(.*?)</h[1-3]>', 1), lambda h: {_STRIP.format(_plain("regexp_replace(h, '<[^>]*>', '', 'g')"))}) AS headers,
+  list_filter(list_transform(regexp_split_to_array(bare, '<[^>]*>'), lambda x: {_STRIP.format(_plain('x'))}), lambda x: x <> '') AS nodes,
+  nullif(trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), '') AS h1 FROM p)
+SELECT page_id, {_plain("coalesce(title, h1)")} AS title, array_to_string(headers, '|') AS headers, array_to_string(nodes, chr(10) || chr(10)) AS text FROM t""")
 def html_text(spark, d):
     return pages_to_text(A.table(spark, d, "pages")).select("page_id", "title", F.array_join("headers", "|").alias("headers"), "text")
 
@@ -254,6 +270,17 @@ def embed_cosine_pairs(spark, d):
     return V.similar_pairs(A.table(spark, d, "embeddings"), 0.35).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"""WITH g AS (SELECT doc_id, right(md5(lower(substr(text, i, 3))), 2) AS bucket FROM (SELECT doc_id, text, unnest(range(1, length(text) - 1)) AS i FROM documents WHERE length(text) >= 3)
+  UNION ALL SELECT doc_id, right(md5(lower(text)), 2) FROM documents WHERE length(text) BETWEEN 1 AND 2),
+c AS (SELECT doc_id, bucket, count(*)::DOUBLE AS n FROM g GROUP BY ALL), norm AS (SELECT doc_id, sqrt(sum(n * n)) AS s FROM c GROUP BY doc_id), u AS (SELECT doc_id, bucket, n / s AS x FROM c JOIN norm USING (doc_id)),
+dots AS (SELECT p.doc_id AS a, q.doc_id AS b, sum(p.x * q.x) AS similarity FROM u p JOIN u q ON p.bucket = q.bucket AND p.doc_id < q.doc_id GROUP BY ALL)
+SELECT a, b, round(similarity, 6) AS similarity FROM dots WHERE similarity >= 0.9985""")
+def hash_embed_pairs(spark, d):
+    """Documents whose hash embeddings are nearly the same."""
+    made = V.hash_embed(A.table(spark, d, "documents"), "doc_id", "text")
+    return V.similar_pairs(made, 0.9985, "doc_id").withColumn("similarity", F.round("similarity", 6))
+
+
 @query(f"""WITH RECURSIVE {_VEC}, pairs AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.35),
 ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r FROM v),
 walk AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS kept
