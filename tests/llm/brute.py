@@ -72,6 +72,37 @@ def private(text):
     return sorted(out, key=lambda s: (s[1], ("email", "ip", "card", "phone").index(s[0])))
 
 
+def private_more(text, iban, account):
+    """Web addresses, and numbers after a cue's word; ``iban`` and ``account`` match what may follow the word."""
+    out = []
+    for m in re.finditer(r"(?:https?|ftp)://([^\s<>\"'{}|\\^`]+)", text):
+        end = m.start(1) + len(m[1].rstrip(".,;:!?)]"))
+        out += [("url", m.start(), end)] * (end > m.start(1))
+    cues = "iban IBAN Iban account Account ACCOUNT ssn SSN passport Passport konto Konto compte Compte cuenta Cuenta"
+    for m in re.finditer(f"(?:{'|'.join(cues.split())})[A-Za-z]{{0,16}}", text):
+        if number := iban(text, m.end()):
+            digits = "".join(str(int(c, 36)) for c in (number[1][4:] + number[1][:4]).replace(" ", ""))
+            out += [("iban", *number.span(1))] * (15 <= len(number[1].replace(" ", "")) <= 34 and int(digits) % 97 == 1)
+        elif number := account(text, m.end()):
+            out.append(("account", *number.span(1)))
+    return sorted(out)
+
+
+def license_labels(text, rules):
+    """Labels and score of all rules, ungated; a detection goes if one that outranks it contains it."""
+    words = " ".join(re.findall(WORD, lower(text or "")))
+    found = [(r.priority, m.start(), m.end(), r) for r in rules for m in r.pattern.finditer(f" {words} ")]
+    found.sort(key=lambda d: (-d[0], d[1] - d[2], d[1]))
+    kept = []
+    for d in found:
+        if not any(k[1] <= d[1] and d[2] <= k[2] for k in kept):
+            kept.append(d)
+    left = 1.0
+    for d in kept:
+        left *= 1 - d[3].weight
+    return ",".join(sorted({d[3].label for d in kept} | {d[3].label for d in found if d[3].base})), 1 - left
+
+
 def simhash(text):
     words = re.findall(SPACE, lower(text or ""))
     shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])

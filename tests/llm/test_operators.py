@@ -235,6 +235,18 @@ def test_pii_adds_its_own_kinds():
     assert kinds == {"iban": "DE89370400440532013000", "account": "12345678", "url": "https://example.org/a?b=c"}
 
 
+def test_pii_own_kinds_equal_plain_matching_on_random_text():
+    scanner, draw = pii_scan.Scanner(), np.random.default_rng(8)
+    parts = ["iban", "IBAN:", "ibanaccount", "account", " no: ", "Kontonummer=", "passport", "12345678", "1234-567-890", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "GB82WEST12345698765433", "http://", "https://a.b/c?d=(e).", "ftp://x", "...", " ", "\n", "x" * 20, "# ", "9" * 45, ")"]
+    met = Counter()
+    for _ in range(4000):
+        text = "".join(parts[i] for i in draw.integers(0, len(parts), draw.integers(1, 10)))
+        got = sorted(tuple(s) for s in scanner.spans(text) if s.kind not in pii_scan.BASE)
+        assert got == brute.private_more(text, pii_scan._IBAN, pii_scan._ACCOUNT), text
+        met.update(s[0] for s in got)
+    assert min(met[k] for k in ("url", "iban", "account")) > 100
+
+
 # 5
 def with_components(documents):
     rows = [(d["doc_id"], brute.simhash(d["text"])) for d in documents]
@@ -583,6 +595,28 @@ def test_license_keywords_let_every_wording_through():
         assert scanner.detections(f" {w} ") == ungated(f" {w} ") != []
 
 
+def test_license_labels_equal_plain_matching_on_random_text():
+    from re import _parser
+
+    scanner, draw = license_scan.Scanner(), np.random.default_rng(3)
+    phrases = [w for r in scanner.rules for w in wordings(_parser.parse(r.pattern.pattern))[:2]] + ["some words", "license", "the gnu", "version 3", "x"] * 20
+    labelled = 0
+    for _ in range(300):
+        text = " ".join(phrases[i] for i in draw.integers(0, len(phrases), draw.integers(1, 7)))
+        labels, score = license_scan.scanned(scanner, text.encode())[-2:]
+        want = brute.license_labels(text, scanner.rules)
+        assert labels == want[0] and abs(score - want[1]) < 1e-12, text
+        labelled += bool(labels)
+    assert labelled > 200
+
+
+def test_license_rules_are_written_by_hand_in_their_hundreds():
+    from corpusmill.llm.license_clauses import ADDRESSES, CLAUSES
+
+    own = [p for *_, p in (*CLAUSES, *ADDRESSES)] + [x for _, _, title, spdx in license_scan.LICENSES for x in (title, spdx)]
+    assert len(set(own)) == len(own) >= 200
+
+
 def test_license_rules_by_priority_and_containment():
     scanner = license_scan.Scanner()
     assert 200 <= len(scanner.rules) < 1000
