@@ -1,7 +1,7 @@
 """Command line: ingest, synthesize, export, validate, evaluate, jobs.
 
     python -m corpusmill ingest FOLDER OUT [--size N --overlap N --prefix --embed --pii]
-    python -m corpusmill synthesize CHUNKS OUT [--mode MODE]
+    python -m corpusmill synthesize CHUNKS OUT [--mode MODE] [--provider NAME --model NAME --settings FILE] [--scaffold --judge]
     python -m corpusmill export CONVERSATIONS OUT --formats sharegpt,dpo [--split]
     python -m corpusmill validate CONVERSATIONS
     python -m corpusmill evaluate CONVERSATIONS [--references FOLDER]
@@ -19,9 +19,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators import conversations, formats
+from corpusmill.operators.clients import Providers
 from corpusmill.operators.jobs import JobLog
 from corpusmill.operators.state import list_jobs
-from corpusmill.operators.synthesis import MODES
+from corpusmill.operators.synthesis import MODES, get_generator
 from corpusmill.plans import jobs
 from corpusmill.schema import ChunkConfig, IngestConfig, SplitConfig
 
@@ -41,6 +42,11 @@ def parser() -> argparse.ArgumentParser:
     synthesize.add_argument("chunks")
     synthesize.add_argument("out")
     synthesize.add_argument("--mode", choices=sorted(MODES), default="teach")
+    synthesize.add_argument("--provider", default="offline")
+    synthesize.add_argument("--model")
+    synthesize.add_argument("--settings", help="TOML or JSON file with custom providers")
+    synthesize.add_argument("--scaffold", action="store_true")
+    synthesize.add_argument("--judge", action="store_true")
     export = commands.add_parser("export")
     export.add_argument("conversations")
     export.add_argument("out")
@@ -65,8 +71,12 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         chunks.write.mode("overwrite").parquet(a.out)
         failed.show(truncate=False)
     elif a.command == "synthesize":
-        chunks = spark.read.parquet(a.chunks)
-        made, _ = jobs.synthesize(chunks if "source_type" in chunks.columns else chunks.withColumn("source_type", F.lit("text")), a.mode)
+        chunks, providers = spark.read.parquet(a.chunks), Providers()
+        if a.settings:
+            providers.load(a.settings)
+        generator = get_generator(a.provider, providers, **({"model": a.model} if a.model else {}))
+        chunks = chunks if "source_type" in chunks.columns else chunks.withColumn("source_type", F.lit("text"))
+        made = jobs.synthesize_chain(chunks, a.mode, generator, a.scaffold, a.judge)
         made.write.mode("overwrite").parquet(a.out)
     elif a.command == "export":
         layouts = a.formats.split(",")

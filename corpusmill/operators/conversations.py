@@ -23,7 +23,7 @@ _FLAGS = "(?Ud"
 
 def assemble(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Rows of turns to one row per conversation: conv_id, turns in order of ``turn``."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), "role", F.col("text").alias("content"))))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("turn"), "role", F.col("text").alias("content"))))
     return rows.groupBy(conv_id).agg(F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("turns"))
 
 

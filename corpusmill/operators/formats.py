@@ -117,7 +117,7 @@ def grpo(conversations: DataFrame, default_reward: float = 0.5, order: str = "co
     wanted = sources.where("n >= 2 and prompt is not null").withColumn("parts", F.ceil(F.col("n") / most).cast("int"))
     dealt = each.where("completion is not null").drop("prompt").join(wanted.drop("n"), "source_chunk_id")
     part = F.pmod(F.xxhash64("ord", "completion"), F.col("parts"))
-    grouped = dealt.groupBy("source_chunk_id", "prompt", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("ord", "completion", "reward"))).alias("all"))
+    grouped = dealt.groupBy("source_chunk_id", "prompt", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("ord", "completion", "reward"))).alias("all"))
     return grouped.select("source_chunk_id", "prompt", F.transform("all", lambda e: e["completion"]).alias("completions"), F.transform("all", lambda e: e["reward"]).alias("rewards"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import strip_code_fences
-from corpusmill.operators.clients import Client, ClientError
+from corpusmill.operators.clients import Client, ClientError, Providers
 from corpusmill.operators.shared import cut, importable
 from corpusmill.operators.state import item_key, pause
 from corpusmill.schema import TURNS
@@ -113,11 +113,17 @@ def register_generator(name: str, factory: Callable[[], Generator], aliases: tup
     _ALIASES.update(dict.fromkeys(aliases, name))
 
 
-def get_generator(name: str) -> Generator:
+def get_generator(name: str, providers: Providers | None = None, **settings: Any) -> Generator:
+    """A registered generator, else a client of the provider of that name, made with ``settings`` (model, base_url, key)."""
     name = _ALIASES.get(name, name)
-    if name not in _REGISTRY:
-        raise ValueError(f"unknown generator: {name}; known: {', '.join(sorted(_REGISTRY))}")
-    return _REGISTRY[name]()
+    if name in _REGISTRY:
+        return _REGISTRY[name]()
+    providers = providers or Providers()
+    try:
+        provider = providers.get(name)
+    except ValueError:
+        raise ValueError(f"unknown generator: {name}; known: {', '.join([*sorted(_REGISTRY), *providers.names()])}") from None
+    return provider.client(**settings)
 
 
 register_generator("offline", OfflineGenerator, ("mock", "none"))
@@ -244,6 +250,14 @@ def conversation_turns(response: Column, content: Column) -> Column:
     return F.get(F.transform(F.array(parsed), lambda p: F.when(F.size(p["conversation"]) > 0, p["conversation"]).otherwise(fallback)), F.lit(0))
 
 
+def socratic(chunks: DataFrame, generator: Generator | None = None, attempts: int = 5) -> DataFrame:
+    """chunk_id, turns, reasoning_trace, error: a dialogue of questions on each chunk; null turns where the call or its JSON fails."""
+    replies = cut(generate(chunks, "chunk_id", F.lit("You teach by asking."), socratic_prompt(F.col("content"), F.col("source_type")), generator, attempts), "socratic")
+    parsed = F.from_json(extract_json_column(F.col("response")), f"conversation {TURNS}, reasoning string")
+    read = replies.select("chunk_id", "error", parsed.alias("p"))
+    return read.select("chunk_id", F.when(F.size("p.conversation") > 0, F.col("p.conversation")).alias("turns"), F.col("p.reasoning").alias("reasoning_trace"), "error")
+
+
 def synthesize(chunks: DataFrame, mode: str = "teach", model: str = "offline", generator: Generator | None = None, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(conversations, new cache entries) for chunks (chunk_id, content, title, source_type).
 

@@ -313,7 +313,7 @@ def breakpoints(sims: DataFrame, mode: str, threshold: float = 75.0, group: str
     if mode == "fixed":
         return sims.where(F.col(sim) < threshold / 100).select(group, index)
     if mode == "percentile":
-        ordered = F.array_sort(F.collect_list(sim).over(each))
+        ordered = F.sort_array(F.collect_list(sim).over(each))
         at = F.least(F.size(ordered) - 1, F.floor(F.size(ordered) * (threshold / 100)).cast("int"))
         return sims.withColumn("_cut", F.get(ordered, at)).where(F.col(sim) <= F.col("_cut")).select(group, index)
     if mode == "gradient":

@@ -350,6 +350,11 @@ def pref_to_grpo(spark, d):
     return P.to_grpo(P.in_source_pairs(A.conversations(spark, d))).select("prompt", F.array_join("completions", "|").alias("completions"), F.get("rewards", F.lit(0)).alias("first_reward"))
 
 
+@query(f"{_IN} SELECT prompt, chosen, rejected FROM pairs")
+def pref_to_orpo(spark, d):
+    return P.to_orpo(P.in_source_pairs(A.conversations(spark, d))).select("prompt", "chosen", "rejected")
+
+
 # Evaluation
 
 

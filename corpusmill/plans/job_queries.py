@@ -166,6 +166,38 @@ def synthesize_turns(spark, d):
     return made.select("conv_id", "source_chunk_id", F.size("turns").alias("n_turns"), turn(0).alias("question"), turn(1).alias("answer"), "reasoning_trace")
 
 
+class Asker:
+    """Answers a chunk by a dialogue, rewrites answers, rates; some chunks by nothing that can be read."""
+
+    def generate(self, system: str, user: str) -> str:
+        if user.startswith("Lead a learner"):
+            body = user.partition("\n\n")[2].rpartition("\n\nReply with JSON")[0]
+            turns = [{"role": "user", "content": "What is claimed in the text?"}, {"role": "assistant", "content": f"It has {len(body)} characters and claims this and that."}]
+            made = json.dumps({"conversation": turns, "reasoning": "asked"})
+            return f"```json\n{made}\n```" if len(body) % 3 else "no"
+        if user.startswith("Rewrite"):
+            return f"First, {user.partition(chr(10) + chr(10))[2]}"
+        return json.dumps({"accuracy": 9, "clarity": 8})
+
+
+_EACH = "chunk AS (SELECT source || '/' || doc_id || '.txt' AS chunk_id, text, length(text) AS n FROM documents)"
+
+
+@query(f"""WITH {_EACH} SELECT chunk_id, CASE WHEN n % 3 <> 0 THEN 'It has ' || n || ' characters and claims this and that.' END AS answer, CASE WHEN n % 3 <> 0 THEN 'asked' END AS reasoning_trace FROM chunk""")
+def socratic_turns(spark, d):
+    """Dialogues of questions; null where the reply cannot be read."""
+    chunks = A.files(spark, d).select(F.col("file_path").alias("chunk_id"), "content", F.lit("text").alias("source_type"))
+    return G.socratic(chunks, Asker()).select("chunk_id", F.get("turns", F.lit(1))["content"].alias("answer"), "reasoning_trace")
+
+
+@query(f"""WITH {_EACH} SELECT chunk_id AS source_chunk_id, 2::INT AS n_turns, CASE WHEN n % 3 <> 0 THEN 'First, It has ' || n || ' characters and claims this and that.' ELSE 'First,' END AS answer, CASE WHEN n % 3 <> 0 THEN 'asked' END AS reasoning_trace, 8.5::DOUBLE AS judge_overall FROM chunk""")
+def synthesis_chain(spark, d):
+    """The whole chain by questions: dialogue or fall-back, steps, pruning, rating."""
+    chunks = A.files(spark, d).select(F.col("file_path").alias("chunk_id"), "content", F.lit("").alias("title"), F.lit("text").alias("source_type"))
+    made = jobs.synthesize_chain(chunks, None, Asker(), scaffolded=True, judged=True)
+    return made.select("source_chunk_id", F.size("turns").alias("n_turns"), F.get("turns", F.lit(1))["content"].alias("answer"), "reasoning_trace", "judge_overall")
+
+
 _SYNTHESIZED = """conv AS (SELECT sha256(source || '/' || doc_id || '.txt' || '|teach') AS conv_id, source || '/' || doc_id || '.txt' AS source_chunk_id,
   [{'role': 'user', 'content': 'What does this say?'}, {'role': 'assistant', 'content': substr(regexp_replace(substr(text, 1, 3000), '\\A\\s+|\\s+\\z', '', 'g'), 1, 500)}] AS turns FROM documents)"""
 

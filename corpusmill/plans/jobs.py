@@ -36,6 +36,35 @@ def synthesize(chunks: DataFrame, mode: str = "teach", generator: synthesis.Gene
     return V.prune(made), entries
 
 
+def synthesize_chain(chunks: DataFrame, mode: str | None = None, generator: synthesis.Generator | None = None, scaffolded: bool = False, judged: bool = False) -> DataFrame:
+    """Conversations of chunks (chunk_id, content, title, source_type): built by ``mode`` or, without one, by questions;
+    answers set out in steps; what comes to nothing as two turns on the content; pruned; rated.
+
+    Each step that calls the generator is written before the next one reads it.
+    """
+    if mode is not None:
+        made, _ = synthesis.synthesize(chunks, mode, generator=generator)
+    else:
+        asked = synthesis.socratic(chunks, generator)
+        plain = synthesis.conversation_turns(F.lit(None).cast("string"), F.col("content"))
+        made = chunks.join(asked, "chunk_id").select(
+            F.sha2(F.concat_ws("|", "chunk_id", F.lit("socratic")), 256).alias("conv_id"),
+            F.col("chunk_id").alias("source_chunk_id"),
+            F.coalesce("turns", plain).alias("turns"),
+            "reasoning_trace",
+            F.lit(None).cast("double").alias("confidence_score"),
+            F.lit(None).cast("double").alias("judge_overall"),
+        )
+    if scaffolded:
+        made = cut(synthesis.scaffold(made, generator), "scaffold")
+    made = V.prune(made)
+    if not judged:
+        return made
+    sources = made.join(chunks.select(F.col("chunk_id").alias("source_chunk_id"), "content"), "source_chunk_id")
+    rated = cut(synthesis.judge(sources, F.col("content"), generator or synthesis.OfflineGenerator()), "judged")
+    return made.drop("judge_overall", "confidence_score").join(rated, "conv_id", "left")
+
+
 def export(conversations: DataFrame, layouts: list[str], folder: str, split: SplitConfig | None = None, order: str = "conv_id") -> DataFrame:
     """Deduplicate, split, write each layout; returns the validation report of what came in.
 

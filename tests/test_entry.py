@@ -24,6 +24,14 @@ def test_entry_imports_with_and_without_corpus_operators(tmp_path):
     assert _asked(ROOT)[0] >= queries
 
 
+def test_a_broken_dependency_is_not_taken_for_a_missing_folder(tmp_path):
+    if not os.path.isdir(os.path.join(ROOT, "corpusmill", "llm")):
+        return
+    (tmp_path / "public_tokenizers.py").write_text("import no_such_module_at_all\n")
+    run = subprocess.run([sys.executable, "-B", "-c", _ASK], cwd=ROOT, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": f"{tmp_path}{os.pathsep}{ROOT}"})
+    assert run.returncode != 0 and "no_such_module_at_all" in run.stderr
+
+
 def test_flagship_runs(spark):
     import __spark_entry__
 
