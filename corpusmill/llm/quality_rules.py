@@ -65,14 +65,13 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
     return F.array_compact(F.array(*[F.when(broken(r), F.lit(r.name)) for r in rules]))
 
 
-def _repeated(grams: Column) -> Column:
-    """Places of the strings that the list has twice or more, in order.
+def _repeated(keyed: Column) -> Column:
+    """The places of (key, place) structs whose key the list has twice or more, in order of keys.
 
-    Strings are sorted with their places; those equal to a neighbour are repeated.
+    Sorted by key, those are the ones equal to a neighbour.
     """
-    placed = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    same = lambda s, x, i: (x["g"] == F.get(s, i - 1)["g"]) | (x["g"] == F.get(s, i + 1)["g"])
-    return F.transform(F.array(placed), lambda s: F.array_sort(F.transform(F.filter(s, lambda x, i: F.coalesce(same(s, x, i), F.lit(False))), lambda x: x["i"])))[0]
+    same = lambda s, x, i: (x["key"] == F.get(s, i - 1)["key"]) | (x["key"] == F.get(s, i + 1)["key"])
+    return F.transform(F.array(F.sort_array(keyed)), lambda s: F.transform(F.filter(s, lambda x, i: F.coalesce(same(s, x, i), F.lit(False))), lambda x: x["place"]))[0]
 
 
 def repeat_words(words: Column, n: Column, size: int = 5) -> Column:
@@ -80,17 +79,21 @@ def repeat_words(words: Column, n: Column, size: int = 5) -> Column:
 
     A repeated window adds the words up to the next repeated one, at most ``size``.
     Texts whose windows all have different 64-bit hashes, by far the most, stop at a
-    count of these; the windows of others are compared as strings.
+    count of these; of others only windows with a repeated hash are compared as strings.
     """
-    places = F.sequence(F.lit(0), n - size)
-    hashes = F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
-    grams = F.transform(places, lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(size)]))
+    window = lambda i: [F.get(words, i + k) for k in range(size)]
+    hashes = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*window(i)))
 
     def covered(at: Column) -> Column:
         return F.aggregate(F.transform(at, lambda p, i: F.least(F.lit(size), F.coalesce(F.get(at, i + 1) - p, F.lit(size)))), F.lit(0), lambda a, b: a + b)
 
-    exact = F.transform(F.array(grams), lambda g: F.transform(F.array(_repeated(g)), covered)[0])[0]
-    return F.when((n >= size) & (F.size(F.array_distinct(hashes)) < n - size + 1), exact).otherwise(0).cast("long")
+    def exact(h: Column) -> Column:
+        likely = _repeated(F.transform(h, lambda x, i: F.struct(x.alias("key"), i.alias("place"))))
+        certain = _repeated(F.transform(likely, lambda i: F.struct(F.concat_ws(" ", *window(i)).alias("key"), i.alias("place"))))
+        return F.transform(F.array(F.sort_array(certain)), covered)[0]
+
+    counted = F.transform(F.array(hashes), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), exact(h)).otherwise(0))[0]
+    return F.when(n >= size, counted).otherwise(0).cast("long")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
