@@ -95,8 +95,8 @@ def test_token_counts(spark, sf_dir, documents, hard, hard_rows, empty):
 def test_frequent_table_is_measured_and_bounded(spark, hard):
     path = public_tokenizers.path("word_bpe_49k.json")
     table = token_counts.frequent_lengths(hard, path)
-    assert len(table) > 500 and table["the"] == 1
-    assert table == {w: len(brute.tokens(path, w)) for w in table} if len(table) < 500 else all(table[w] == len(brute.tokens(path, w)) for w in list(table)[:60])
+    assert len(table) > 100 and table["the"] == 1
+    assert all(table[w] == len(brute.tokens(path, w)) for w in list(table)[:60])
     assert len(token_counts.frequent_lengths(hard, path, most=7)) == 7
     # The table answers more or less, the counts are the same.
     for table in ({}, {"the": 1, "same": 1}):
@@ -363,6 +363,11 @@ def test_training_rows_are_bounded_and_one_for_each_id(spark):
     assert run(1000) == learnt
 
 
+def test_packed_numbers_come_back():
+    for numbers in ([], [0], [5, 6, 1 << 20], sorted(np.random.default_rng(1).choice(1 << 20, 3000, False).tolist())):
+        assert toxicity.unpacked(toxicity.packed(np.array(numbers, np.int32))).tolist() == numbers
+
+
 def plain_ftrl(rows, epochs, step):
     """FTRL-proximal from its definition, coordinate by coordinate; rows of (features, label), the constant named None."""
     import math
