@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -142,7 +142,7 @@ def learned(rows: list[tuple[np.ndarray, int]], bits: int = SPACE_BITS, epochs:
         places = [np.append(p[p >= 0], len(names)) for f, _ in some for p in (place_of[f],)]
         at, place = np.unique(np.concatenate(places), return_inverse=True)
         owner = np.repeat(np.arange(len(some), dtype=np.int16), list(map(len, places)))
-        steps.append((at, place.astype(np.int32), owner, np.array([y for _, y in some], float)))
+        steps.append((at.astype(np.int32), place.astype(np.int32), owner, np.array([y for _, y in some], float)))
     model = Ftrl(len(names), l1)
     for _ in range(epochs):
         for at, place, owner, label in steps:
@@ -151,6 +151,15 @@ def learned(rows: list[tuple[np.ndarray, int]], bits: int = SPACE_BITS, epochs:
     return names[live[:-1]], w[:-1], float(w[-1])
 
 
+def packed(rising: np.ndarray) -> bytes:
+    """Rising numbers as their compressed differences."""
+    return compress(np.diff(rising, prepend=0).astype("<u4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(decompress(data), "<u4"), dtype=np.int32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_TRAINING_ROWS, bits: int = SPACE_BITS, most_features: int = MOST_TRAINING_FEATURES) -> Model:
     """Fit on labelled documents outside the held-out third, one row each.
 
@@ -159,23 +168,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     features number at most ``most_features``.  With no such rows every score is 1/2.
     """
 
-    def measure(texts: list[bytes]) -> list[np.ndarray]:
-        return [np.unique(features([t], bits)[1]) for t in texts]
+    def measure(texts: list[bytes]) -> list[bytes]:
+        return [packed(np.unique(features([t], bits)[1])) for t in texts]
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[np.ndarray, int]] = []
         size = 0
         for batch in batches:
-            column = batch.column(0)
-            for i, y in enumerate(batch.column(1).to_pylist()):
-                at = column[i].values.to_numpy()
+            for data, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = unpacked(data)
                 size += len(at)
                 if size <= most_features:
                     rows.append((at, y))
         at, weight, constant = learned(rows, bits)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, 1 << bits), pa.int32()), pa.array(np.append(weight, constant))], names=["at", "weight"])
 
-    chosen = training_rows(docs, labels, label, most, "array<int>", measure).withColumn("turn", F.xxhash64("doc_id", F.lit(1)))
+    chosen = training_rows(docs, labels, label, most, "binary", measure).withColumn("turn", F.xxhash64("doc_id", F.lit(1)))
     found = chosen.repartition(1).sortWithinPartitions("turn", "doc_id").select("measured", "label").mapInArrow(train, "at int, weight double").toArrow()
     at, weight = found["at"].to_numpy(), found["weight"].to_numpy()
     constant = at == 1 << bits
