@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = _local_folder()
     return folder
@@ -37,7 +40,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 @cache
 def _local_folder() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+    folder = tempfile.mkdtemp(prefix="checkpoints-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
 
 
 #: Paths of tables cut inside the open ``spent_tables`` blocks, the innermost last.
