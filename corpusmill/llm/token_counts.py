@@ -66,10 +66,11 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.table = frequent
         self.entries = entries
-        self.pre_tokens: dict[str, int] = {}
+        self.pre_tokens = self._known()
         self.words: dict[str, int] = {}
         self.split_words = re.compile(f"[^{WHITE_SPACE}]+").findall
         self.split_word = regex.compile(PRE_TOKEN).findall
+        self.split_lines = regex.compile(f"{PRE_TOKEN}|\n").findall
         #: Up to here lower-casing and composition act on single characters, and classes are the same in every Unicode version.
         self.plain = re.compile("[\x00-ɏ]*").fullmatch
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())).search
@@ -78,20 +79,31 @@ class Counter:
         return [len(x) for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
-        """Put the counts of words without white space into the cache."""
+        """Put the counts of words without white space into the cache.
+
+        Words meet the splitting expression together, a line each, since most are short.
+        """
         if len(self.words) + len(words) > self.entries:
             self.words.clear()
-        parts = {w: self.split_word(w.lower()) for w in words if self.plain(w)}
-        odd = [w for w in words if w not in parts]
+        plain = [w for w in words if self.plain(w)]
+        odd = list(words.difference(plain))
         self.words.update(zip(odd, self._encode(odd), strict=True))
-        new = [p for p in set(chain.from_iterable(parts.values())) if p not in self.table and p not in self.pre_tokens]
+        parts = self.split_lines("\n".join(plain).lower())
+        distinct = set(parts)
+        new = list(distinct.difference(self.pre_tokens))
         if len(self.pre_tokens) + len(new) > self.entries:
-            self.pre_tokens.clear()
-            new = [p for p in set(chain.from_iterable(parts.values())) if p not in self.table]
+            self.pre_tokens = self._known()
+            new = list(distinct.difference(self.pre_tokens))
         self.pre_tokens.update(zip(new, self._encode(new), strict=True))
-        frequent, rare = self.table, self.pre_tokens
-        for word, split in parts.items():
-            self.words[word] = sum(frequent[p] if p in frequent else rare[p] for p in split)
+        sums = np.cumsum(np.fromiter(map(self.pre_tokens.__getitem__, parts), np.int64, len(parts)))
+        ends = np.append(np.flatnonzero(np.fromiter(map("\n".__eq__, parts), bool, len(parts))), len(parts)) - 1
+        if plain:
+            upto = np.where(ends >= 0, sums[ends], 0) if len(sums) else np.zeros(len(plain), np.int64)
+            self.words.update(zip(plain, np.diff(upto, prepend=0).tolist(), strict=True))
+
+    def _known(self) -> dict[str, int]:
+        """The pre-tokens that the table has, and the line break, which stands between words and counts nothing."""
+        return self.table | {"\n": 0}
 
     def count(self, texts: list[str]) -> list[int]:
         # A special string inside a text is one token by the library's default; such texts go to it whole.
