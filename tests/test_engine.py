@@ -19,6 +19,7 @@ from corpusmill.operators import preferences as P
 from corpusmill.operators import splits as S
 from corpusmill.operators import synthesis as G
 from corpusmill.operators import vectors as W
+from corpusmill.operators.clients import ClientError
 from corpusmill.operators.shared import cut
 from corpusmill.plans import jobs
 from corpusmill.schema import ChunkConfig, EvalThresholds, IngestConfig, SplitConfig
@@ -497,19 +498,21 @@ def test_ingest_synthesize_export(spark, folder, tmp_path):
 
 
 class Failing:
-    """Fails on every other call of a prompt, and always on some."""
+    """Fails on some prompts, as a client does or for good."""
 
     def generate(self, system, user):
         if "never" in user:
-            raise RuntimeError("down")
+            raise ClientError("down")
+        if "broken" in user:
+            raise RuntimeError("broken")
         return '```json\n{"conversation": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}\n```'
 
 
 def test_failures_of_the_generator_stay_with_their_rows(spark):
-    chunks = spark.createDataFrame([("1", "fine", "t", "text"), ("2", "never", "t", "text")], "chunk_id string, content string, title string, source_type string")
+    chunks = spark.createDataFrame([("1", "fine", "t", "text"), ("2", "never", "t", "text"), ("3", "broken", "t", "text")], "chunk_id string, content string, title string, source_type string")
     made, entries = G.synthesize(chunks, generator=Failing())
     assert [r["source_chunk_id"] for r in made.collect()] == ["1"]
-    assert {(r["error"] is None, r["attempts"]) for r in entries.collect()} == {(True, 1), (False, 5)}
+    assert {(r["error"] is None, r["attempts"]) for r in entries.collect()} == {(True, 1), (False, 5), (False, 1)}
 
 
 @pytest.mark.parametrize("text,expected", [('```json\n{"a": {"b": 1}}\n```', {"a": {"b": 1}}), ('so {"a": 1} it is', {"a": 1}), ('{"a": {"b": 1}}', {"b": 1}), ("none", None), (None, None)])
