@@ -88,18 +88,16 @@ def spent_tables(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
-#: A table of up to this many bytes may be dealt over all cores.
+#: A table of up to this many bytes is dealt over all cores.
 SMALL_TABLE = 64_000_000
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt over all cores where it is a small table that its scan reads with fewer tasks than that.
+    """``df``, dealt over all cores where it is a small table.
 
-    A small file is one group of rows and cannot be read in parts.  What this
-    shuffles is bounded whatever the input; larger tables are split by their scan.
+    A small file is one group of rows, which no scan reads in parts, however many tasks
+    are planned for it.  What this shuffles is bounded whatever the input; larger tables
+    are split by their scan.
     """
-    plan = df._jdf.queryExecution()
-    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > SMALL_TABLE:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_TABLE else df
