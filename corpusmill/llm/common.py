@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,6 +123,22 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
+def _smallest(rows: DataFrame, turn: Column, most: int) -> DataFrame:
+    """``rows``, less most of those that can't be among the ``most`` with the smallest hash ``turn``.
+
+    Few rows then reach the sort, however many partitions there are.  The bound doubles until
+    it lets at least ``most`` rows pass, so that none of those is lost.
+    """
+    n = rows.count()
+    share = (1.2 * most + 20) / max(n, 1)
+    while share < 1:
+        below = rows.where(turn < int(share * (1 << 64)) - (1 << 63))
+        if below.count() >= most:
+            return below
+        share *= 2
+    return rows
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, ddl: str, measure: Callable[[list[bytes]], list]) -> DataFrame:
     """(doc_id, label, measured) of at most ``most`` labelled documents outside the held-out third, one row each.
 
@@ -136,9 +152,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, ddl
     usable = pick(labels, "doc_id", label).toDF("doc_id", "label").where("label is not null and doc_id is not null")
     usable = usable.where(~held_out()).groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     turn = F.xxhash64("doc_id")
-    if (n := usable.count()) > most:
-        # Few rows beyond the smallest ``most`` reach the sort, however many partitions labels have.
-        usable = usable.where(turn < int((1.2 * most / n) * (1 << 64)) - (1 << 63))
+    usable = _smallest(usable, turn, most)
     chosen = usable.orderBy(turn, "doc_id").limit(most)
     source = id_and_text(docs).withColumn("order", F.xxhash64("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "order", "text")
     importable(docs.sparkSession)
@@ -153,3 +167,51 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, ddl
 
     first = F.min_by(F.struct("label", "measured"), "order").alias("first")
     return source.mapInArrow(run, fields).groupBy("doc_id").agg(first).select("doc_id", "first.label", "first.measured")
+
+
+#: 64-bit words that a broadcast filter may have.
+FILTER_WORDS = 1 << 19
+
+
+def key_filter(keys: DataFrame, n: int, *columns: str) -> tuple[DataFrame, list[Column]]:
+    """A filter of bounded size for ``n`` rows of ``keys``, and the columns that a table needs to be held against it.
+
+    The filter is a table (word, filled) to broadcast; a row of another table may have its
+    key among ``keys`` where ``filled & mark = mark``.  It lets none of ``keys`` slip.
+    """
+    words = max(1, min(FILTER_WORDS, n // 4))
+    word = F.pmod(F.xxhash64(*columns), F.lit(words)).alias("word")
+    other = F.xxhash64(*columns, F.lit(1))
+    one = F.lit(1).cast("long")
+    marks = [F.call_function("shiftleft", one, F.shiftright(other, 6 * i).bitwiseAND(F.lit(63).cast("long")).cast("int")) for i in range(3)]
+    mark = marks[0].bitwiseOR(marks[1]).bitwiseOR(marks[2]).alias("mark")
+    return keys.select(word, mark).groupBy("word").agg(F.bit_or("mark").alias("filled")), [word, mark]
+
+
+def may_be_in(rows: DataFrame, filled: DataFrame, marks: list[Column]) -> DataFrame:
+    """``rows`` with a boolean ``suspected``: whether the filter lets their keys pass."""
+    return rows.select("*", *marks).join(F.broadcast(filled), "word", "left").withColumn("suspected", F.coalesce(F.col("filled").bitwiseAND(F.col("mark")) == F.col("mark"), F.lit(False))).drop("word", "mark", "filled")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash")
+
+
+def drop_suspects(docs: DataFrame, suspects: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``suspects`` (doc_id, text_hash, stays) says must go.
+
+    ``suspects`` names each (doc_id, text_hash) that goes, or that several rows share: of
+    those, where it stays, the row with the smallest hash of all columns does.  Rows that a
+    broadcast filter rules out as suspects stay where they are; the others are looked up by
+    a join, which makes the result exact.  Rows with a null doc_id all stay.
+    """
+    plain = plain_names(docs)
+    filled, marks = key_filter(suspects, suspects.count(), "doc_id", "text_hash")
+    held = may_be_in(plain.select("*", text_hash()), filled, marks)
+    suspected = F.col("suspected") & F.col("doc_id").isNotNull()
+    sure = held.where(~suspected).select(*plain.columns)
+    looked_up = held.where(suspected).select(*plain.columns, "text_hash").join(suspects, ["doc_id", "text_hash"], "left").where("stays is null or stays")
+    # A row that the table of suspects lacks is the only one of its id and hash.
+    row = F.struct(*plain.columns)
+    single = looked_up.groupBy("doc_id", "text_hash").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
+    return sure.unionByName(single).toDF(*docs.columns)

@@ -26,6 +26,8 @@ WINDOW = 1024
 #: Rests of one length that are ranked in one group: at most this many, or a ``GROUPS``-th of all where that is less.
 RANKED = 50_000
 GROUPS = 1000
+#: Copies of one rest that become rows in one go.
+DEALT = 1024
 #: Sequence ids of packed rests start here; whole windows have ids below.
 PACKED = 1 << 62
 
@@ -166,16 +168,24 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     importable(spark)
     # Written once: ranks, histogram and result must come from the same rows.
     table = cut(pieces, "pieces")
-    rests = table.where("whole is null")
-    counts = {r["length"]: r["n"] for r in rests.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    names = [c for c in pieces.columns if c != "whole"]
+    # Equal rests are counted where they lie and ranked as one row, however many there are.
+    rests = table.where("whole is null").groupBy(*names).agg(F.count("*").alias("copies"))
+    counts = {r["length"]: r["n"] for r in rests.groupBy("length").agg(F.sum("copies").alias("n")).collect()}
     # A row for each length: fewer than the window has tokens.
     group = max(1, min(RANKED, -(-sum(counts.values()) // GROUPS)))
     salts = F.broadcast(spark.createDataFrame([(k, -(-n // group)) for k, n in counts.items()], "length bigint, salts bigint"))
     salted = rests.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts"))).drop("salts")
-    by_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    by_salt = salted.groupBy("length", "salt").agg(F.sum("copies").alias("n"))
     before = by_salt.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    local = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "ids_crc32", "doc_tokens")) - 1
-    ranked = salted.withColumn("local", local).join(before, ["length", "salt"]).select(*pieces.columns, (F.col("before") + F.col("local")).alias("rank"))
+    upto = F.sum("copies").over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens").rowsBetween(Window.unboundedPreceding, 0))
+    first = salted.withColumn("local", upto - F.col("copies")).join(before, ["length", "salt"]).select(*names, "copies", (F.col("before") + F.col("local")).alias("rank"))
+    # The copies of a row that has many are dealt out in runs before they become rows again.
+    run = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(DEALT).cast("bigint"))).alias("run")
+    runs = first.where(F.col("copies") > DEALT).select("*", run).select(*names, F.least(F.col("copies") - F.col("run"), F.lit(DEALT).cast("bigint")).alias("copies"), (F.col("rank") + F.col("run")).alias("rank"))
+    dealt = first.where(F.col("copies") <= DEALT).unionByName(runs.repartition("rank", *names))
+    nth = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("nth")
+    ranked = dealt.select("*", nth).select(*names, (F.col("rank") + F.col("nth")).alias("rank"))
     shared = spark.sparkContext.broadcast(slots(plan(counts, window)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,11 +198,9 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
                 at = segments[np.searchsorted(segments[:, 0], rank[own], "right") - 1]
                 copy, nth = np.divmod(rank[own] - at[:, 0], at[:, 1])
                 sequence[own], offset[own] = PACKED + at[:, 2] + copy, at[:, 3] + nth * k
-            kept = [batch.column(i) for i in range(batch.num_columns - 2)]
+            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    names = [c for c in pieces.columns if c != "whole"]
-    ranked = ranked.select(*names, "whole", "rank")
     fields = ranked.select(*names).schema.add("sequence_id", T.LongType()).add("offset", T.LongType())
     packed = ranked.mapInArrow(place, fields)
     return packed.unionByName(table.where("whole is not null").select(*names, F.col("whole").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")))

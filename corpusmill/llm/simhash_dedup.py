@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import as_bytes, cut, drop_cut, hot_join, importable, plain_names, text_pass
+from corpusmill.llm.common import as_bytes, cut, drop_cut, drop_suspects, hot_join, importable, text_pass
 from corpusmill.llm.components import components
 
 BYTES = 8
@@ -41,8 +41,6 @@ LIST = 32
 BLOCK = 4096
 #: Index hits that are tallied at once.
 HITS = 2_000_000
-#: Words of 64 bits in the filter of documents that may go; bounds what is broadcast.
-FILTER_WORDS = 1 << 19
 
 
 def fingerprints(texts: list[bytes], words: int = SHINGLE) -> np.ndarray:
@@ -298,8 +296,8 @@ def drop_near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id.
 
     Of a component's rows with that doc_id the one whose text has the smallest hash stays,
-    and of equal rows one, so a doc_id that repeats stays in every component of which it is
-    the smallest.  Rows with a null doc_id can't be told apart and all stay; null texts are
+    and of rows equal in both the one with the smallest hash of all its columns, so a doc_id
+    that repeats stays in every component of which it is the smallest.  Rows with a null doc_id can't be told apart and all stay; null texts are
     copies of empty ones.  Columns are as before, whatever their names; an empty table
     stays empty.
 
@@ -315,21 +313,4 @@ def drop_near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     suspects = cut(judged.select("doc_id", "text_hash", F.coalesce("stays", F.lit(False)).alias("stays")), "suspects")
     drop_cut(prints)
     drop_cut(rows)
-
-    words = max(1, min(FILTER_WORDS, suspects.count() // 4))
-    word = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(words)).alias("word")
-    other = F.xxhash64("doc_id", "text_hash", F.lit(1))
-    one = F.lit(1).cast("long")
-    marks = [F.call_function("shiftleft", one, F.shiftright(other, 6 * i).bitwiseAND(F.lit(63).cast("long")).cast("int")) for i in range(3)]
-    mark = marks[0].bitwiseOR(marks[1]).bitwiseOR(marks[2]).alias("mark")
-    filled = suspects.select(word, mark).groupBy("word").agg(F.bit_or("mark").alias("filled"))
-
-    plain = plain_names(docs)
-    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash")
-    hashed = plain.select("*", own).select("*", word, mark).join(F.broadcast(filled), "word", "left")
-    suspected = F.coalesce(F.col("doc_id").isNotNull() & (F.col("filled").bitwiseAND(F.col("mark")) == F.col("mark")), F.lit(False))
-    sure = hashed.where(~suspected).select(*plain.columns)
-    looked_up = hashed.where(suspected).select(*plain.columns, "text_hash").join(suspects, ["doc_id", "text_hash"], "left").where("stays is null or stays")
-    # A row that the table of suspects lacks is the only one of its id and hash.
-    single = looked_up.groupBy("doc_id", "text_hash").agg(F.any_value(F.struct(*plain.columns)).alias("row")).select("row.*")
-    return sure.unionByName(single).toDF(*docs.columns)
+    return drop_suspects(docs, suspects)

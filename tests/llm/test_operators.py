@@ -315,6 +315,13 @@ def test_drop_near_duplicates_keeps_every_component_where_ids_repeat(spark):
     assert got([(1, None), (1, ""), (None, a), (2, a)]) == sorted([(1, None), (None, a), (2, a)], key=str)
 
 
+def test_drop_near_duplicates_chooses_alike_however_rows_are_dealt(spark):
+    rows = [(1, "the same words", lang, n) for lang in ("en", "de", None) for n in (1, None)] + [(2, "the same words", "fr", 3)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n bigint")
+    got = [simhash_dedup.drop_near_duplicates(d).collect() for d in (frame.coalesce(1), frame.repartition(5), frame.orderBy("lang", "n").coalesce(2))]
+    assert len(got[0]) == 1 and got[0][0]["doc_id"] == 1 and got[0] == got[1] == got[2]
+
+
 # 6, 7
 def held_out_rows(df, sf_dir, label):
     labels = {r["doc_id"]: r[label] for r in pq.read_table(f"{sf_dir}/labels.parquet").to_pylist()}
@@ -359,10 +366,32 @@ def test_training_rows_are_bounded_and_one_for_each_id(spark):
     run = lambda most: {r["doc_id"]: (r["label"], r["measured"]) for r in training_rows(docs, labels, "toxic", most, "bigint", lambda texts: [len(t) for t in texts]).collect()}
     learnt = run(1000)
     assert set(learnt) == {i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1} and all(y == 1 for y, _ in learnt.values())
-    assert training_rows(docs, labels, "toxic", 4, "bigint", lambda texts: [1 for _ in texts]).count() <= 4
+    # Labelled ids that no document has are among the four.
+    assert len(run(4)) <= 4
     assert run(1000) == learnt
 
 
+@pytest.mark.parametrize("share", [0.9, 1.0, 1.01, 1.1, 1.2, 1.21, 2, 7, 40])
+def test_training_rows_are_exactly_as_many_as_allowed(spark, share):
+    from corpusmill.llm.common import training_rows
+
+    docs = spark.range(1700).selectExpr("id as doc_id", "'a text' as text").repartition(3)
+    labels = spark.range(1700).selectExpr("id as doc_id", "1 as toxic").repartition(3)
+    usable = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(1700))
+    most = int(usable / share)
+    got = [r["doc_id"] for r in training_rows(docs, labels, "toxic", most, "bigint", lambda texts: [1 for _ in texts]).collect()]
+    assert len(got) == len(set(got)) == min(most, usable)
+
+
+@pytest.mark.parametrize("share", [1.01, 1.1, 1.2])
+def test_classifiers_fit_where_labels_are_a_little_more_than_are_learnt_from(spark, sf_dir, share):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    usable = sum(zlib.crc32(str(r[0]).encode()) % 3 != 1 for r in labels.select("doc_id").distinct().collect())
+    most = int(usable / share)
+    assert toxicity.toxicity_scores(docs, toxicity.fit(docs, labels, most=most)).where("score between 0 and 1").count() == docs.count()
+    assert quality_classifier.quality_scores(docs, quality_classifier.fit(docs, labels, most=most)).where("score between 0 and 1").count() == docs.count()
+
+
 def test_packed_numbers_come_back():
     for numbers in ([], [0], [5, 6, 1 << 20], sorted(np.random.default_rng(1).choice(1 << 20, 3000, False).tolist())):
         assert toxicity.unpacked(toxicity.packed(np.array(numbers, np.int32))).tolist() == numbers
@@ -530,6 +559,19 @@ def test_packing_ranks_one_hot_length_over_several_groups(spark, monkeypatch):
     assert sum(map(len, sequences.values())) == 200
 
 
+def test_packing_deals_out_the_copies_of_one_row(spark):
+    copies = spark.range(30_000).selectExpr("cast(null as bigint) doc_id", "0L start", "1L length", "7L ids_crc32", "1L doc_tokens", "cast(null as bigint) whole")
+    other = spark.range(500).selectExpr("id doc_id", "0L start", "id % 5 + 1 length", "id ids_crc32", "id % 5 + 1 doc_tokens", "cast(null as bigint) whole")
+    both = copies.unionByName(other)
+    got = [sorted(map(tuple, packing.pack(d).select("sequence_id", "offset", "length", "doc_id").collect()), key=key) for d in (both.repartition(2), both.repartition(7))]
+    assert got[0] == got[1] and len({r[:2] for r in got[0]}) == 30_500
+    ends = defaultdict(int)
+    for sequence, offset, length, _ in got[0]:
+        assert offset == ends[sequence]
+        ends[sequence] += length
+    assert max(ends.values()) <= 1024
+
+
 def test_fullest_matches_exhaustive_search():
     import random
     from itertools import product
