@@ -197,20 +197,23 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash")
 
 
-def drop_suspects(docs: DataFrame, suspects: DataFrame) -> DataFrame:
+def drop_suspects(docs: DataFrame, suspects: DataFrame, null_ids: bool = False) -> DataFrame:
     """``docs`` without the rows that ``suspects`` (doc_id, text_hash, stays) says must go.
 
     ``suspects`` names each (doc_id, text_hash) that goes, or that several rows share: of
     those, where it stays, the row with the smallest hash of all columns does.  Rows that a
     broadcast filter rules out as suspects stay where they are; the others are looked up by
-    a join, which makes the result exact.  Rows with a null doc_id all stay.
+    a join, which makes the result exact.  Rows with a null doc_id all stay, unless
+    ``null_ids`` says that ``suspects`` judges them too.
     """
     plain = plain_names(docs)
     filled, marks = key_filter(suspects, suspects.count(), "doc_id", "text_hash")
     held = may_be_in(plain.select("*", text_hash()), filled, marks)
-    suspected = F.col("suspected") & F.col("doc_id").isNotNull()
+    suspected = F.col("suspected") if null_ids else F.col("suspected") & F.col("doc_id").isNotNull()
     sure = held.where(~suspected).select(*plain.columns)
-    looked_up = held.where(suspected).select(*plain.columns, "text_hash").join(suspects, ["doc_id", "text_hash"], "left").where("stays is null or stays")
+    names = suspects.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "stays")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    looked_up = held.where(suspected).select(*plain.columns, "text_hash").join(names, same, "left").where("stays is null or stays").drop("id", "hash", "stays")
     # A row that the table of suspects lacks is the only one of its id and hash.
     row = F.struct(*plain.columns)
     single = looked_up.groupBy("doc_id", "text_hash").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")

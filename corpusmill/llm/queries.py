@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontamination, license_scan, packing, pii_scan, quality_classifier, quality_rules, secret_scan, simhash_dedup, token_counts, toxicity
+from corpusmill.llm import decontamination, exact_dedup, license_scan, packing, periodic_runs, pii_scan, quality_classifier, quality_rules, secret_scan, simhash_dedup, token_alignment, token_counts, toxicity
 from corpusmill.llm.common import spread
 
 
@@ -59,10 +59,41 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), digest_all=True)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=True).drop("collapsed_text")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return token_alignment.token_alignment(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_secret_scan, op3_quality_rules, op4_pii, op5_simhash_dedup, op6_toxicity, op7_quality_classifier, op8_packing, op9_license_scan, op10_decontamination)
+    for f in (
+        op1_token_counts,
+        op2_secret_scan,
+        op3_quality_rules,
+        op4_pii,
+        op5_simhash_dedup,
+        op6_toxicity,
+        op7_quality_classifier,
+        op8_packing,
+        op9_license_scan,
+        op10_decontamination,
+        op11_exact_dedup,
+        op12_periodic_runs,
+        op13_token_alignment,
+    )
 }
 
 #: SQL where it can express the whole result; the other queries are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality_rules.oracle_sql(), "op10_decontamination": decontamination.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": quality_rules.oracle_sql(),
+    "op10_decontamination": decontamination.oracle_sql(),
+    "op11_exact_dedup": exact_dedup.oracle_sql(),
+}
