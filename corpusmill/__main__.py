@@ -1,7 +1,7 @@
 """Command line: ingest, synthesize, export, validate, evaluate, jobs.
 
     python -m corpusmill ingest FOLDER OUT [--size N --overlap N --prefix --embed --pii]
-    python -m corpusmill synthesize CHUNKS OUT [--mode MODE] [--provider NAME --model NAME --settings FILE] [--scaffold --judge]
+    python -m corpusmill synthesize CHUNKS OUT [--mode MODE] [--provider NAME --model NAME --settings FILE] [--scaffold --judge --concurrency N --rpm N --log FOLDER]
     python -m corpusmill export CONVERSATIONS OUT --formats sharegpt,dpo [--split]
     python -m corpusmill validate CONVERSATIONS
     python -m corpusmill evaluate CONVERSATIONS [--references FOLDER]
@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators import conversations, formats
 from corpusmill.operators.clients import Providers
+from corpusmill.operators.generation import limits_of
 from corpusmill.operators.jobs import JobLog
 from corpusmill.operators.state import list_jobs
 from corpusmill.operators.synthesis import MODES, get_generator
@@ -47,6 +49,9 @@ def parser() -> argparse.ArgumentParser:
     synthesize.add_argument("--settings", help="TOML or JSON file with custom providers")
     synthesize.add_argument("--scaffold", action="store_true")
     synthesize.add_argument("--judge", action="store_true")
+    synthesize.add_argument("--concurrency", type=int, help="calls in flight over all tasks; else the provider's limit")
+    synthesize.add_argument("--rpm", type=float, help="calls a minute over all tasks; else the provider's limit")
+    synthesize.add_argument("--log", help="folder of finished calls, to take a job up again")
     export = commands.add_parser("export")
     export.add_argument("conversations")
     export.add_argument("out")
@@ -76,7 +81,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             providers.load(a.settings)
         generator = get_generator(a.provider, providers, **({"model": a.model} if a.model else {}))
         chunks = chunks if "source_type" in chunks.columns else chunks.withColumn("source_type", F.lit("text"))
-        made = jobs.synthesize_chain(chunks, a.mode, generator, a.scaffold, a.judge)
+        own = limits_of(generator, None)
+        limits = replace(own, concurrency=a.concurrency or own.concurrency, rpm=a.rpm or own.rpm)
+        made = jobs.synthesize_chain(chunks, a.mode, generator, a.scaffold, a.judge, limits, a.log)
         made.write.mode("overwrite").parquet(a.out)
     elif a.command == "export":
         layouts = a.formats.split(",")

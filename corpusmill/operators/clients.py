@@ -203,6 +203,9 @@ class HttpClient(Client):
     wire: str = "openai"
     timeout: float = 120.0
     options: dict[str, Any] = field(default_factory=dict)
+    #: What the provider allows: calls in flight, and calls a minute.
+    concurrency: int = 10
+    rpm: float | None = None
 
     def chat(self, messages: Messages, temperature: float = 0.7, max_tokens: int | None = None, response_format: dict[str, Any] | None = None) -> Reply:
         wire = WIRES[self.wire]
@@ -226,6 +229,7 @@ class RecordingClient(Client):
 
     def __init__(self, client: Client) -> None:
         self.client = client
+        self.concurrency, self.rpm = getattr(client, "concurrency", 10), getattr(client, "rpm", None)
         self.requests = self.tokens_in = self.tokens_out = 0
 
     def chat(self, messages: Messages, temperature: float = 0.7, max_tokens: int | None = None, response_format: dict[str, Any] | None = None) -> Reply:
@@ -260,7 +264,8 @@ class Provider:
         key = key or next((os.environ[n] for n in self.key_names if os.environ.get(n)), None)
         if self.needs_key and not key:
             raise ValueError(f"{self.name} needs a key: set one of {', '.join(self.key_names) or 'its variables'}")
-        return HttpClient(base_url or self.base_url, model or self.model, key, self.wire if self.wire in WIRES else "gateway", options=options)
+        wire = self.wire if self.wire in WIRES else "gateway"
+        return HttpClient(base_url or self.base_url, model or self.model, key, wire, options=options, concurrency=self.concurrency, rpm=self.rpm)
 
 
 # Name, label, wire, address, default model, variables with a key (by spaces), concurrent calls, calls a minute.

@@ -64,6 +64,14 @@ def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return table
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared folder; a ``spent_tables`` block around this deletes it."""
+    path = f"{shared_folder(spark).rstrip('/')}/corpusmill/{name}-{uuid.uuid4().hex}"
+    if _spent:
+        _spent[-1].append(path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -9,16 +9,19 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
-from typing import Any, Protocol
+from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import strip_code_fences
-from corpusmill.operators.clients import Client, ClientError, Providers
-from corpusmill.operators.shared import cut, importable
-from corpusmill.operators.state import item_key, pause
+from corpusmill.operators import generation
+from corpusmill.operators.clients import Providers
+from corpusmill.operators.evaluation import agreement, confidence, normalize_scores
+from corpusmill.operators.generation import Generator, Limits
+from corpusmill.operators.shared import cut, scratch
+from corpusmill.operators.state import item_key
 from corpusmill.schema import TURNS
 
 #: Instructions by mode; pass your own table to change them.
@@ -91,10 +94,6 @@ def extract_json_column(text: Column) -> Column:
     return F.get(F.filter(F.concat(fenced, flat, F.array(text)), lambda c: F.try_parse_json(c).isNotNull()), F.lit(0))
 
 
-class Generator(Protocol):
-    def generate(self, system: str, user: str) -> str: ...
-
-
 class OfflineGenerator:
     """Answers with a two-turn conversation on the prompt's own content, as fenced JSON: only so is an object with inner ones read whole."""
 
@@ -129,112 +128,40 @@ def get_generator(name: str, providers: Providers | None = None, **settings: Any
 register_generator("offline", OfflineGenerator, ("mock", "none"))
 
 
-class Limiter:
-    """At least ``60 / rpm`` seconds between calls; one per partition, so give it a partition's share."""
-
-    def __init__(self, rpm: float | None) -> None:
-        self.gap, self.last = 60 / rpm if rpm else 0.0, float("-inf")
-
-    def wait(self) -> None:
-        import time
-
-        if self.gap:
-            time.sleep(max(0.0, self.last + self.gap - time.monotonic()))
-            self.last = time.monotonic()
-
+def generate(rows: DataFrame, key: str, system: Column, user: Column, generator: Generator | None = None, limits: Limits | None = None, log: str | None = None) -> DataFrame:
+    """``generation.generate``, by default with the generator that needs no network."""
+    return generation.generate(rows, key, system, user, generator or OfflineGenerator(), limits, log)
 
-def _called(generator: Generator, system: str, user: str) -> tuple[str, int, int]:
-    """(response, tokens in, tokens out); the tokens that a client reports, else estimates."""
-    if isinstance(generator, Client):
-        reply = generator.chat([{"role": "system", "content": system or ""}, {"role": "user", "content": user or ""}])
-        if reply.tokens_in or reply.tokens_out:
-            return reply.content, reply.tokens_in, reply.tokens_out
-        text = reply.content
-    else:
-        text = generator.generate(system, user)
-    return text, max(1, len((system or "") + (user or "")) // 4), max(1, len(text) // 4) if text else 0
 
+def call_log(spark: SparkSession, name: str) -> str:
+    """A folder for the results of one job's calls, deleted with the tables of an open ``spent_tables`` block."""
+    return scratch(spark, f"calls-{name}")
 
-def _answer(generator: Generator, limiter: Limiter, system: str, user: str, attempts: int, sleep: bool) -> tuple[str | None, str | None, int, int, int]:
-    """(response, error, attempts used, tokens in, tokens out).
-
-    A rate limit is waited out for 2^k seconds, another client error for half of that; any
-    other failure is final.
-    """
-    import time
-
-    error = None
-    for tried in range(1, attempts + 1):
-        limiter.wait()
-        try:
-            text, tokens_in, tokens_out = _called(generator, system, user)
-            return text, None, tried, tokens_in, tokens_out
-        except ClientError as failure:
-            error = f"{type(failure).__name__}: {failure}"
-            if sleep and (tried < attempts or failure.kind == "rate_limit"):
-                time.sleep(pause(tried - 1, failure.kind))
-        except Exception as failure:  # noqa: BLE001 - reported in the row
-            return None, f"{type(failure).__name__}: {failure}", tried, 0, 0
-    return None, error, attempts, 0, 0
-
-
-def generate(rows: DataFrame, key: str, system: Column, user: Column, generator: Generator | None = None, attempts: int = 5, sleep: bool = False, rpm: float | None = None) -> DataFrame:
-    """``key``, response, error, attempts, tokens_in, tokens_out: one call per row; an error is its row's own.
-
-    Tokens are those that a client reports, else estimates.  Each partition makes one call
-    at a time, ``rpm`` a minute at most.
-    """
-    importable(rows.sparkSession)
-    generator = generator or OfflineGenerator()
-    source = rows.select(key, system.alias("system"), user.alias("user"))
 
-    def run(batches: Iterator[Any]) -> Iterator[Any]:
-        import pyarrow as pa
-
-        limiter = Limiter(rpm)
-        names, kinds = ("response", "error", "attempts", "tokens_in", "tokens_out"), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
-        for batch in batches:
-            got = [_answer(generator, limiter, s, u, attempts, sleep) for s, u in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            columns = [pa.array([g[i] for g in got], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *names])
-
-    return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, response string, error string, attempts int, tokens_in bigint, tokens_out bigint")
-
-
-def scaffold(conversations: DataFrame, generator: Generator | None = None, attempts: int = 5) -> DataFrame:
+def scaffold(conversations: DataFrame, generator: Generator | None = None, limits: Limits | None = None, log: str | None = None) -> DataFrame:
     """Each assistant turn rewritten in steps by the generator; a turn whose call fails stays as it is.
 
     One pass over conversations; all other columns stay, scores included.
     """
-    importable(conversations.sparkSession)
-    generator = generator or OfflineGenerator()
-    at = conversations.columns.index("turns")
     ask = "Rewrite this answer so that each step is set out before its result:\n\n"
 
-    def run(batches: Iterator[Any]) -> Iterator[Any]:
-        import pyarrow as pa
+    def prompts(turns: list[dict] | None) -> list[tuple[int, str]]:
+        return [(i, ask + (t["content"] or "")) for i, t in enumerate(turns or ()) if t["role"] == "assistant"]
 
-        limiter = Limiter(None)
-        for batch in batches:
-            turns = batch.column(at).to_pylist()
-            for turn in (t for row in turns for t in row or () if t["role"] == "assistant"):
-                turn["content"] = _answer(generator, limiter, "", ask + (turn["content"] or ""), attempts, False)[0] or turn["content"]
-            columns = batch.columns
-            columns[at] = pa.array(turns, batch.column(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+    def put(turns: list[dict] | None, answers: dict[int, str]) -> list[dict] | None:
+        return turns and [{**t, "content": answers.get(i, t["content"])} for i, t in enumerate(turns)]
 
-    return conversations.mapInArrow(run, conversations.schema)
+    log = log or call_log(conversations.sparkSession, "scaffold")
+    return generation.rewritten(conversations, "turns", prompts, put, generator or OfflineGenerator(), limits, log)
 
 
-def judge(conversations: DataFrame, source: Column, generator: Generator, rubrics: tuple[str, ...] = LEGACY_RUBRICS) -> DataFrame:
+def judge(conversations: DataFrame, source: Column, generator: Generator, rubrics: tuple[str, ...] = LEGACY_RUBRICS, limits: Limits | None = None, log: str | None = None) -> DataFrame:
     """conv_id, judge_scores (map), judge_overall, confidence_score, judge_error.
 
     Scores are clamped and the overall is their mean where the judge gives none; a reply
     without scores is an error of its own row.
     """
-    from corpusmill.operators.evaluation import confidence, normalize_scores
-
-    replies = generate(conversations, "conv_id", F.lit("You rate conversations."), judge_prompt(source, F.col("turns"), rubrics), generator)
+    replies = generate(conversations, "conv_id", F.lit("You rate conversations."), judge_prompt(source, F.col("turns"), rubrics), generator, limits, log or call_log(conversations.sparkSession, "judge"))
     text = extract_json_column(F.col("response"))
     scores = F.map_filter(F.from_json(text, "map<string,string>"), lambda k, _: ~k.isin("explanation", "error"))
     numbers = normalize_scores(F.transform_values(scores, lambda _, v: v.try_cast("double")))
@@ -243,6 +170,21 @@ def judge(conversations: DataFrame, source: Column, generator: Generator, rubric
     return read.select("conv_id", "judge_scores", overall.alias("judge_overall"), confidence(overall).alias("confidence_score"), F.when(overall.isNull(), F.coalesce("error", "said", F.lit("no scores in the reply"))).alias("judge_error"))
 
 
+def judge_twice(conversations: DataFrame, source: Column, gate: Generator, audit: Generator, audited: Column | None = None, rubrics: tuple[str, ...] = LEGACY_RUBRICS, limits: Limits | None = None) -> DataFrame:
+    """``judge`` by ``gate``, and audit_scores, audit_overall, audit_error and judge_agreement of a second judge.
+
+    ``audited`` says of ``judge``'s columns which conversations the second, dearer judge
+    sees; without it, all.  Where it saw none or either gave no overall, the agreement is null.
+    """
+    rated = cut(judge(conversations, source, gate, rubrics, limits), "gate")
+    chosen = conversations.select("conv_id", source.alias("source_text"), "turns")
+    if audited is not None:
+        chosen = chosen.join(rated.where(audited).select("conv_id"), "conv_id", "left_semi")
+    again = judge(chosen, F.col("source_text"), audit, rubrics, limits)
+    second = again.select("conv_id", *[F.col(f"judge_{c}").alias(f"audit_{c}") for c in ("scores", "overall", "error")])
+    return rated.join(second, "conv_id", "left").withColumn("judge_agreement", agreement(F.col("judge_overall"), F.col("audit_overall")))
+
+
 def conversation_turns(response: Column, content: Column) -> Column:
     """Turns from a reply's JSON, or two turns that ask for the content to be explained."""
     parsed = F.from_json(extract_json_column(response), f"conversation {TURNS}, reasoning string")
@@ -250,25 +192,32 @@ def conversation_turns(response: Column, content: Column) -> Column:
     return F.get(F.transform(F.array(parsed), lambda p: F.when(F.size(p["conversation"]) > 0, p["conversation"]).otherwise(fallback)), F.lit(0))
 
 
-def socratic(chunks: DataFrame, generator: Generator | None = None, attempts: int = 5) -> DataFrame:
+def socratic(chunks: DataFrame, generator: Generator | None = None, limits: Limits | None = None, log: str | None = None) -> DataFrame:
     """chunk_id, turns, reasoning_trace, error: a dialogue of questions on each chunk; null turns where the call or its JSON fails."""
-    replies = cut(generate(chunks, "chunk_id", F.lit("You teach by asking."), socratic_prompt(F.col("content"), F.col("source_type")), generator, attempts), "socratic")
+    replies = cut(generate(chunks, "chunk_id", F.lit("You teach by asking."), socratic_prompt(F.col("content"), F.col("source_type")), generator, limits, log or call_log(chunks.sparkSession, "socratic")), "socratic")
     parsed = F.from_json(extract_json_column(F.col("response")), f"conversation {TURNS}, reasoning string")
     read = replies.select("chunk_id", "error", parsed.alias("p"))
     return read.select("chunk_id", F.when(F.size("p.conversation") > 0, F.col("p.conversation")).alias("turns"), F.col("p.reasoning").alias("reasoning_trace"), "error")
 
 
-def synthesize(chunks: DataFrame, mode: str = "teach", model: str = "offline", generator: Generator | None = None, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def synthesize(
+    chunks: DataFrame, mode: str = "teach", model: str = "offline", generator: Generator | None = None, cache: DataFrame | None = None, limits: Limits | None = None, log: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(conversations, new cache entries) for chunks (chunk_id, content, title, source_type).
 
     Items that the cache has are joined, the others generated.  Ids are hashes, so a run
     can be repeated.  Failed items have an error in the cache entries and no conversation.
+    ``log`` names a folder of results that outlives the job: a job that died is run again over the
+    same folder and calls only for what it had not finished.
     """
     keyed = chunks.withColumn("cache_key", item_key(F.struct("chunk_id", "content"), F.lit(model), F.lit(mode)))
     missing = keyed if cache is None else keyed.join(cache.select("cache_key"), "cache_key", "left_anti")
     prompt = mode_prompt(F.col("content"), F.col("title"), F.col("source_type"), F.lit(mode))
     # Written once: later steps must not call the generator again.
-    made = cut(generate(missing, "cache_key", F.lit(MODES[mode]), prompt, generator), "generated")
+    generator = generator or OfflineGenerator()
+    call = generation.resumed if log else generation.generate
+    log = log or call_log(chunks.sparkSession, "synthesize")
+    made = cut(call(missing, "cache_key", F.lit(MODES[mode]), prompt, generator, limits=limits, log=log), "generated")
     have = made.select("cache_key", "response", "error") if cache is None else made.select("cache_key", "response", "error").unionByName(cache.select("cache_key", "response", "error"))
     answered = keyed.join(have.where("error is null"), "cache_key")
     conversations = answered.select(

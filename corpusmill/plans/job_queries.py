@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import pii
 from corpusmill.operators import chunks as C
+from corpusmill.operators import generation
 from corpusmill.operators import splits as S
 from corpusmill.operators import synthesis as G
 from corpusmill.operators.clients import Client, ClientError, Messages, Reply
+from corpusmill.operators.generation import Limits
 from corpusmill.operators.jobs import JobLog
-from corpusmill.operators.shared import shared_folder
+from corpusmill.operators.shared import scratch, shared_folder
 from corpusmill.plans import adapters as A
 from corpusmill.plans import jobs
 from corpusmill.plans import text_queries as Q
@@ -153,7 +155,42 @@ class Metered(Client):
   CASE WHEN length(text) < 40 THEN 3 ELSE 1 END::INT AS attempts, CASE WHEN length(text) >= 60 THEN 3 + length(text) ELSE 0 END::BIGINT AS tokens_in, CASE WHEN length(text) >= 60 THEN 7 ELSE 0 END::BIGINT AS tokens_out FROM documents""")
 def generate_usage(spark, d):
     """Calls with reported usage; client errors are tried again, others not."""
-    return G.generate(A.table(spark, d, "documents"), "doc_id", F.lit("sys"), F.col("text"), Metered(), attempts=3)
+    return G.generate(A.table(spark, d, "documents"), "doc_id", F.lit("sys"), F.col("text"), Metered(), Limits(attempts=3, second=0))
+
+
+class Marking:
+    """Answers with its mark and the prompt's length; one of its kinds fails on long prompts."""
+
+    def __init__(self, mark: str, most: int | None = None) -> None:
+        self.mark, self.most = mark, most
+
+    def generate(self, system: str, user: str) -> str:
+        if self.most is not None and len(user) > self.most:
+            raise KeyError("too long")
+        return f"{self.mark}{len(user)}"
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 <> 0 AND length(text) <= 2000 THEN 'one' ELSE 'two' END || length(text) AS response FROM documents""")
+def generate_resumed(spark, d):
+    """A job that answered part of the documents, taken up again over the same log: answered ones are not called for again, failed ones are."""
+    docs, log = A.table(spark, d, "documents"), scratch(spark, "calls")
+    generation.generate(docs.where("doc_id % 3 <> 0"), "doc_id", F.lit(""), F.col("text"), Marking("one", 2000), log=log).write.format("noop").mode("overwrite").save()
+    return generation.resumed(docs, "doc_id", F.lit(""), F.col("text"), Marking("two"), log).select("doc_id", "response")
+
+
+class Auditor:
+    """A second judge with a mind of its own."""
+
+    def generate(self, system: str, user: str) -> str:
+        return json.dumps({"overall": len(user) % 11})
+
+
+@query(f"""WITH {A.CONV}, {_JUDGED}, gate AS (SELECT conv_id, n, CASE WHEN n % 7 <> 0 THEN round((least(10, n % 23 / 2.0::DOUBLE) + 8) / 2, 2) END AS judge_overall FROM asked)
+  SELECT conv_id, judge_overall, CASE WHEN judge_overall >= 6 THEN (n % 11)::DOUBLE END AS audit_overall, CASE WHEN judge_overall >= 6 THEN round(1 - abs(judge_overall - n % 11) / 10, 3) END AS judge_agreement FROM gate""")
+def judge_audit(spark, d):
+    """Conversations that one judge rates 6 or more, rated by a second one; how far the two agree."""
+    rated = G.judge_twice(A.conversations(spark, d), F.lit("s"), Rater(), Auditor(), F.col("judge_overall") >= 6)
+    return rated.select("conv_id", "judge_overall", "audit_overall", "judge_agreement")
 
 
 @query("""SELECT sha256(source || '/' || doc_id || '.txt' || '|teach') AS conv_id, source || '/' || doc_id || '.txt' AS source_chunk_id, 2::INT AS n_turns, 'What does this say?' AS question,

@@ -9,6 +9,7 @@ from corpusmill.functions.pii import PiiOptions
 from corpusmill.operators import chunks as C
 from corpusmill.operators import conversations as V
 from corpusmill.operators import evaluation, formats, splits, synthesis, vectors
+from corpusmill.operators.generation import Generator, Limits
 from corpusmill.operators.shared import cut
 from corpusmill.schema import EvalThresholds, IngestConfig, SplitConfig
 from corpusmill.sources.documents import read_folder
@@ -30,22 +31,25 @@ def ingest(spark: SparkSession, folder: str, config: IngestConfig | None = None,
     return made, files.where("error is not null").select("file_path", "error")
 
 
-def synthesize(chunks: DataFrame, mode: str = "teach", generator: synthesis.Generator | None = None, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(pruned conversations, new cache entries)."""
-    made, entries = synthesis.synthesize(chunks, mode, generator=generator, cache=cache)
+def synthesize(chunks: DataFrame, mode: str = "teach", generator: Generator | None = None, cache: DataFrame | None = None, limits: Limits | None = None, log: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pruned conversations, new cache entries); ``limits`` and ``log`` as in ``generation``."""
+    made, entries = synthesis.synthesize(chunks, mode, generator=generator, cache=cache, limits=limits, log=log)
     return V.prune(made), entries
 
 
-def synthesize_chain(chunks: DataFrame, mode: str | None = None, generator: synthesis.Generator | None = None, scaffolded: bool = False, judged: bool = False) -> DataFrame:
+def synthesize_chain(
+    chunks: DataFrame, mode: str | None = None, generator: Generator | None = None, scaffolded: bool = False, judged: bool = False, limits: Limits | None = None, log: str | None = None
+) -> DataFrame:
     """Conversations of chunks (chunk_id, content, title, source_type): built by ``mode`` or, without one, by questions;
     answers set out in steps; what comes to nothing as two turns on the content; pruned; rated.
 
-    Each step that calls the generator is written before the next one reads it.
+    Each step that calls the generator is written before the next one reads it.  All keep to
+    ``limits``, the provider's own where none are given; ``log`` lets a chain by ``mode`` be taken up again.
     """
     if mode is not None:
-        made, _ = synthesis.synthesize(chunks, mode, generator=generator)
+        made, _ = synthesis.synthesize(chunks, mode, generator=generator, limits=limits, log=log)
     else:
-        asked = synthesis.socratic(chunks, generator)
+        asked = synthesis.socratic(chunks, generator, limits)
         plain = synthesis.conversation_turns(F.lit(None).cast("string"), F.col("content"))
         made = chunks.join(asked, "chunk_id").select(
             F.sha2(F.concat_ws("|", "chunk_id", F.lit("socratic")), 256).alias("conv_id"),
@@ -56,12 +60,12 @@ def synthesize_chain(chunks: DataFrame, mode: str | None = None, generator: synt
             F.lit(None).cast("double").alias("judge_overall"),
         )
     if scaffolded:
-        made = cut(synthesis.scaffold(made, generator), "scaffold")
+        made = cut(synthesis.scaffold(made, generator, limits), "scaffold")
     made = V.prune(made)
     if not judged:
         return made
     sources = made.join(chunks.select(F.col("chunk_id").alias("source_chunk_id"), "content"), "source_chunk_id")
-    rated = cut(synthesis.judge(sources, F.col("content"), generator or synthesis.OfflineGenerator()), "judged")
+    rated = cut(synthesis.judge(sources, F.col("content"), generator or synthesis.OfflineGenerator(), limits=limits), "judged")
     return made.drop("judge_overall", "confidence_score").join(rated, "conv_id", "left")
 
 

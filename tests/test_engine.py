@@ -15,11 +15,13 @@ from corpusmill.functions.pii import Finder, PiiOptions, scan
 from corpusmill.operators import conversations as V
 from corpusmill.operators import evaluation as E
 from corpusmill.operators import formats as X
+from corpusmill.operators import generation as N
 from corpusmill.operators import preferences as P
 from corpusmill.operators import splits as S
 from corpusmill.operators import synthesis as G
 from corpusmill.operators import vectors as W
 from corpusmill.operators.clients import ClientError
+from corpusmill.operators.generation import Limits
 from corpusmill.operators.shared import cut
 from corpusmill.plans import jobs
 from corpusmill.schema import ChunkConfig, EvalThresholds, IngestConfig, SplitConfig
@@ -510,7 +512,7 @@ class Failing:
 
 def test_failures_of_the_generator_stay_with_their_rows(spark):
     chunks = spark.createDataFrame([("1", "fine", "t", "text"), ("2", "never", "t", "text"), ("3", "broken", "t", "text")], "chunk_id string, content string, title string, source_type string")
-    made, entries = G.synthesize(chunks, generator=Failing())
+    made, entries = G.synthesize(chunks, generator=Failing(), limits=Limits(second=0))
     assert [r["source_chunk_id"] for r in made.collect()] == ["1"]
     assert {(r["error"] is None, r["attempts"]) for r in entries.collect()} == {(True, 1), (False, 5), (False, 1)}
 
@@ -693,7 +695,7 @@ def test_pauses_follow_the_kind_of_error(monkeypatch):
 
     slept = []
     monkeypatch.setattr("time.sleep", slept.append)
-    run = lambda error, times: G._answer(Stumbling(error, times), G.Limiter(None), "", "u", 5, True)[:3]
+    run = lambda error, times: N.answer(Stumbling(error, times), N.Limiter(None), "", "u", Limits())[:3]
     assert run(RateLimitError("slow"), 3) == ("fine", None, 4) and slept == [1, 2, 4]
     slept.clear()
     assert run(ClientError("bad"), 9) == (None, "ClientError: bad", 5) and slept == [0.5, 1, 2, 4]
@@ -857,7 +859,7 @@ class Scripted:
 
 def test_scaffold_and_judge(spark):
     rows = conv(spark, (TRIPLE, 1, 9.0), ([("user", "q"), ("assistant", "will fail")], 2))
-    done = {r["conv_id"]: r for r in G.scaffold(rows, Scripted(), attempts=2).collect()}
+    done = {r["conv_id"]: r for r in G.scaffold(rows, Scripted(), Limits(attempts=2)).collect()}
     assert done[0]["turns"][2]["content"] == "step by step" and done[0]["judge_overall"] == 9.0
     assert done[1]["turns"][1]["content"] == "will fail"
     judged = {r["conv_id"]: r for r in G.judge(conv(spark, (TRIPLE,), ([("user", "q"), ("assistant", "a")],)), F.lit("s"), Scripted()).collect()}
@@ -872,7 +874,7 @@ def test_registry_and_limiter():
     assert isinstance(G.get_generator("s"), Scripted)
     with pytest.raises(ValueError):
         G.get_generator("none such")
-    limiter = G.Limiter(1200)
+    limiter = N.Limiter(1200)
     began = time.monotonic()
     for _ in range(3):
         limiter.wait()
