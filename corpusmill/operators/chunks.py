@@ -98,11 +98,14 @@ def chunk(files: DataFrame, config: ChunkConfig | None = None, embedder: Any = N
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, schema.field("pieces").type)], names=schema.names)
 
     split = source.mapInArrow(run, fields)
-    each = split.select("file_path", "title", F.col("content").alias("whole"), F.coalesce("section_headers", F.array().cast("array<string>")).alias("file_headers"), F.posexplode("pieces").alias("i", "p"))
+    # A document's prefix is made once, before its chunks part; they carry the prefix and not the text.
+    prefix = late_prefix(F.col("content"), F.col("title"), config.lead_chars) if config.mode == "late" else F.lit(None).cast("string")
+    whole = split.select("file_path", "title", prefix.alias("prefix"), F.coalesce("section_headers", F.array().cast("array<string>")).alias("file_headers"), "pieces")
+    each = whole.select("file_path", "title", "prefix", "file_headers", F.posexplode("pieces").alias("i", "p"))
     content = F.col("p.content")
     headers = F.concat("file_headers", "p.headers")
     if config.mode == "late":
-        content = F.when(content.startswith("[Context:"), content).otherwise(F.concat(late_prefix(F.col("whole"), F.col("title"), config.lead_chars), F.lit("\n\n"), content))
+        content = F.when(content.startswith("[Context:"), content).otherwise(F.concat("prefix", F.lit("\n\n"), content))
     parent = F.when(F.col("p.parent").isNotNull(), chunk_id(F.col("file_path"), F.lit(None).cast("int"), F.col("p.parent")))
     return each.select("file_path", "i", chunk_id(F.col("file_path"), F.lit(None).cast("int"), content).alias("chunk_id"), content.alias("content"), headers.alias("section_headers"), F.col("p.tags").alias("tags"), parent.alias("parent_id"), F.col("p.parent").alias("parent_text"), F.col("p.is_parent").alias("is_parent"), "title")
 

@@ -193,6 +193,23 @@ def test_large_groups_of_rewards_are_dealt_over_rows(spark):
     assert [r for r in dealt if r["source_chunk_id"] == "8"] == [whole["8"]]
 
 
+def test_late_chunks_take_linear_time(spark):
+    from time import monotonic
+
+    from corpusmill.operators.chunks import chunk
+
+    section = "# Head {}\n\n" + "Some words of a section that goes on for a while. " * 8 + "\n\n"
+    spent = []
+    for n in (100, 2_500, 10_000):
+        files = spark.createDataFrame([("a.md", "".join(section.format(i) for i in range(n)), "markdown")], "file_path string, content string, source_type string")
+        began = monotonic()
+        made = chunk(files, ChunkConfig(mode="late")).where("content like '[Context: Head 0 > Head 1 > Head 2 > Head 3 | # Head 0%'").count()
+        spent.append(monotonic() - began)
+        assert made >= n
+    # 1 MB, and 4 MB in at most four times that but for what each job costs.
+    assert spent[1] < 5 and spent[2] < 4 * spent[1] + 2
+
+
 def test_long_lines_and_texts_take_linear_time():
     import time
 
