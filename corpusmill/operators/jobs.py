@@ -8,17 +8,50 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.shared import cut, drop_cut
+from corpusmill.operators.versioned import VersionedTable
 
 EVENT = "job_id string, job_type string, event string, item_id string, error string, total bigint, ts timestamp"
 #: Events that set a job's status, and the status.
 STATUS = {"created": "pending", "started": "running", "paused": "paused", "completed": "completed", "failed": "failed", "cancelled": "cancelled", "deleted": "deleted"}
 
 
+def _item_turn() -> Column:
+    """Order of an item's results: by time; at one time success counts."""
+    return F.struct("ts", F.col("error").isNull().alias("ok"))
+
+
 class JobLog:
-    """The log of jobs below ``folder``; each call appends one file."""
+    """The log of jobs below ``folder``; each call appends one file.
+
+    Who works on a job is a versioned table beside it, so of several workers one gets it.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        self.owners = VersionedTable(spark, f"{folder}/owners", "job_id string, owner string", "job_id")
+
+    def take(self, job_id: str, owner: str) -> bool:
+        """Whether ``owner`` may work on the job from now on: nobody else does.  Its status is then running."""
+        taken = False
+
+        def claim(rows: DataFrame) -> DataFrame | None:
+            nonlocal taken
+            now = rows.where(F.col("job_id") == job_id).first()
+            taken = now is None or now["owner"] == owner
+            return self.spark.createDataFrame([(job_id, owner)], "job_id string, owner string") if taken else None
+
+        self.owners.update(claim)
+        if taken:
+            self.record(job_id, "started")
+        return taken
+
+    def release(self, job_id: str, owner: str, event: str = "paused") -> bool:
+        """End ``owner``'s work on the job with an event of its status; false where another has it."""
+        if self.owners.read().where((F.col("job_id") == job_id) & (F.col("owner") == owner)).isEmpty():
+            return False
+        self.record(job_id, event)
+        self.owners.delete(self.spark.createDataFrame([(job_id,)], "job_id string"))
+        return True
 
     def create(self, job_type: str, items: DataFrame, job_id: str | None = None) -> str:
         """A new job over the ids in ``items`` (item_id)."""
@@ -44,7 +77,7 @@ class JobLog:
     def items(self, job_id: str) -> DataFrame:
         """item_id, failed: last state of each item that was tried."""
         tried = self.events().where((F.col("job_id") == job_id) & (F.col("event") == "item"))
-        return tried.groupBy("item_id").agg(F.max_by(F.col("error").isNotNull(), "ts").alias("failed"))
+        return tried.groupBy("item_id").agg(F.max_by(F.col("error").isNotNull(), _item_turn()).alias("failed"))
 
     def todo(self, job_id: str, retry_failed: bool = True) -> DataFrame:
         """Items without a result; on resumption failed ones are tried again."""
@@ -54,12 +87,12 @@ class JobLog:
 
     def jobs(self) -> DataFrame:
         """job_id, job_type, status, created_at, total, processed, failed, progress."""
-        status: Column = F.lit(None).cast("string")
-        for event, name in STATUS.items():
-            status = F.when(F.col("event") == event, name).otherwise(status)
+        # Of events at one time the one that comes later in a job's life counts.
+        status = F.element_at(F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair]), F.col("event"))
+        order = F.array_position(F.array(*map(F.lit, STATUS)), F.col("event")).alias("order")
         log = self.events()
-        heads = log.where("event <> 'item'").groupBy("job_id").agg(F.max("job_type").alias("job_type"), F.max_by(status, "ts").alias("status"), F.min("ts").alias("created_at"), F.max("total").alias("total"))
-        tried = log.where("event = 'item'").groupBy("job_id", "item_id").agg(F.max_by(F.col("error").isNotNull(), "ts").alias("bad"))
+        heads = log.where("event <> 'item'").groupBy("job_id").agg(F.max("job_type").alias("job_type"), F.max_by(status, F.struct("ts", order)).alias("status"), F.min("ts").alias("created_at"), F.max("total").alias("total"))
+        tried = log.where("event = 'item'").groupBy("job_id", "item_id").agg(F.max_by(F.col("error").isNotNull(), _item_turn()).alias("bad"))
         counts = tried.groupBy("job_id").agg(F.count_if(~F.col("bad")).alias("processed"), F.count_if("bad").alias("failed"))
         joined = heads.where("status <> 'deleted'").join(counts, "job_id", "left").fillna(0, ["processed", "failed"])
         return joined.withColumn("progress", F.when(F.col("total") > 0, (F.col("processed") + F.col("failed")) * 100.0 / F.col("total")).otherwise(0.0))

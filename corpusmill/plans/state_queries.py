@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators import cost as K
 from corpusmill.operators import state as H
 from corpusmill.operators import synthesis as G
+from corpusmill.operators.shared import scratch
+from corpusmill.operators.versioned import ResultCache
 from corpusmill.plans import adapters as A
 from corpusmill.plans.registry import query
 
@@ -55,9 +58,34 @@ def usage_extract(spark, d):
     return A.table(spark, d, "events").select("event_id", *[c.alias(k) for k, c in K.usage(payload).items()])
 
 
-@query(f"WITH {_PRICES} SELECT model, input_price, output_price FROM prices WHERE status = 'current'")
+@query(f"""WITH {_PRICES}, {_USED}, {_PRICED} SELECT p.model, p.input_price, p.output_price, count(u.event_id) AS uses, coalesce(sum(u.tokens_in), 0)::BIGINT AS tokens_in
+  FROM prices p LEFT JOIN priced u ON u.price_model = p.model WHERE p.status = 'current' GROUP BY ALL""")
 def catalog_current(spark, d):
-    return K.current_models(K.catalog(spark)).select("model", "input_price", "output_price")
+    """Models that are current, with what the events used of them."""
+    used = K.resolve_prices(_used(spark, d), K.catalog(spark)).groupBy(F.col("price_model").alias("model")).agg(F.count("*").alias("uses"), F.sum("tokens_in").alias("tokens_in"))
+    current = K.current_models(K.catalog(spark)).select("model", "input_price", "output_price").join(used, "model", "left")
+    return current.fillna(0, ["uses", "tokens_in"])
+
+
+_CREATED = "1704067200 + doc_id % 60 * 86400"
+
+
+@query(f"""WITH d AS (SELECT DISTINCT doc_id FROM documents), e AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'old' END AS value, CASE WHEN doc_id % 5 = 0 THEN 1709251200 ELSE {_CREATED} END AS created,
+    CASE WHEN doc_id % 6 = 0 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS access_count FROM d WHERE doc_id % 7 <> 0)
+  SELECT CAST(doc_id AS VARCHAR) AS cache_key, value, CAST(created AS BIGINT) AS created, CAST(CASE WHEN access_count > 0 THEN 1709337600 ELSE created END AS BIGINT) AS accessed, CAST(access_count AS BIGINT) AS access_count FROM e WHERE created >= 1709596800 - 30 * 86400""")
+def cache_versions(spark, d):
+    """A cache of all documents: put, replaced in part, touched, deleted in part, pruned by age, compacted."""
+    cache = ResultCache(spark, scratch(spark, "cache"))
+    docs = A.table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("cache_key")).distinct()
+    entry = lambda value: (F.lit(value).alias("value"), F.lit("m").alias("model"), F.lit("p").alias("provider"), F.lit(1).alias("tokens_used"))
+    at = lambda seconds: F.timestamp_seconds(seconds)
+    cache.put(docs.select("doc_id", "cache_key", *entry("old")), at(F.expr(_CREATED)))
+    cache.put(docs.where("doc_id % 5 = 0").select("cache_key", *entry("new")), at(F.lit(1709251200)))
+    cache.touch(docs.where("doc_id % 3 = 0").unionByName(docs.where("doc_id % 6 = 0")), at(F.lit(1709337600)))
+    cache.delete(docs.where("doc_id % 7 = 0"))
+    cache.prune(at(F.lit(1709596800)))
+    cache.compact()
+    return cache.read().select("cache_key", "value", F.unix_timestamp("created_at").alias("created"), F.unix_timestamp("accessed_at").alias("accessed"), "access_count")
 
 
 # Cache and jobs, over the event log
@@ -144,10 +172,25 @@ def job_list_topk(spark, d):
     return H.list_jobs(log, status="error", limit=20).select("job_id", F.col("created_at").alias("created"))
 
 
-@query("SELECT k AS attempt, kind, CASE kind WHEN 'rate_limit' THEN pow(2.0, k) WHEN 'client_error' THEN 0.5 * pow(2.0, k) ELSE 0 END::DOUBLE AS seconds FROM range(5) a(k), (SELECT unnest(['rate_limit', 'client_error', 'other']) AS kind)")
+_TRIED = "tried AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS nth, ['rate_limit', 'client_error', 'other'][event_id % 3 + 1] AS kind FROM events WHERE event_type = 'error')"
+
+
+@query(f"WITH {_TRIED} SELECT event_id, nth % 5 AS attempt, kind, CASE kind WHEN 'rate_limit' THEN pow(2.0, nth % 5) WHEN 'client_error' THEN 0.5 * pow(2.0, nth % 5) ELSE 0 END::DOUBLE AS seconds FROM tried")
 def backoff_schedule(spark, d):
-    kinds = F.explode(F.array(*[F.lit(x) for x in ("rate_limit", "client_error", "other")])).alias("kind")
-    return spark.range(5).select(F.col("id").alias("attempt"), kinds).withColumn("seconds", H.backoff(F.col("attempt"), F.col("kind")))
+    """The pause after each error event, a user's errors being the attempts at a call."""
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    kinds = F.array(*map(F.lit, ("rate_limit", "client_error", "other")))
+    tried = A.table(spark, d, "events").where("event_type = 'error'").select("event_id", (nth % 5).cast("bigint").alias("attempt"), F.get(kinds, (F.col("event_id") % 3).cast("int")).alias("kind"))
+    return tried.withColumn("seconds", H.backoff(F.col("attempt"), F.col("kind")))
+
+
+@query("""WITH u AS (SELECT user_id, count(*) AS total, count(*) FILTER (event_type <> 'error') AS done, epoch(max(ts)) - epoch(min(ts)) AS elapsed FROM events GROUP BY user_id)
+  SELECT user_id, round(CASE WHEN done > 0 THEN elapsed / done * (total - done) END, 3) AS seconds FROM u""")
+def job_eta(spark, d):
+    """Seconds that each user's remaining events would take at the pace of those done."""
+    at = F.col("ts").cast("timestamp").cast("double")
+    each = A.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") != "error").alias("done"), (F.max(at) - F.min(at)).alias("elapsed"))
+    return each.select("user_id", F.round(H.eta_seconds(F.col("elapsed"), F.col("done"), F.col("total")), 3).alias("seconds"))
 
 
 # Prompts and synthesis
