@@ -23,6 +23,7 @@ from corpusmill.plans import text_queries as Q
 from corpusmill.plans.conversation_queries import _CLEANED, _CONFIG, _HASH, _SPLIT, _VALID
 from corpusmill.plans.registry import query
 from corpusmill.schema import ChunkConfig
+from corpusmill.sources import records
 from corpusmill.sources.documents import read_folder
 
 
@@ -46,6 +47,51 @@ def folder_load(spark, d):
     return read_folder(spark, at).select(F.substring_index("file_name", ".", -1).alias("kind"), "content", "source_type", F.col("error").isNotNull().alias("failed"))
 
 
+@query("""SELECT 'dat' AS kind, string_agg(n_nationkey || ',' || n_name, chr(10) ORDER BY n_nationkey) || chr(10) AS content, NULL AS error FROM nation UNION ALL SELECT 'parquet', NULL, 'unsupported format'""")
+def folder_sniff(spark, d):
+    """Nations written under a name that tells nothing and as a binary file: the one is found to be text, the other has an error."""
+    at = _folder(spark, "folder")
+    rows = A.table(spark, d, "nation").select("n_nationkey", "n_name").coalesce(1).sortWithinPartitions("n_nationkey")
+    rows.write.option("extension", "dat").csv(f"{at}/a")
+    rows.write.parquet(f"{at}/b")
+    return read_folder(spark, at, sniff=True).select(F.substring_index("file_name", ".", -1).alias("kind"), "content", "error")
+
+
+@query("""WITH f AS (SELECT DISTINCT source, doc_id FROM documents), p AS (SELECT source, doc_id, length(source) % 2 = 0 AS a, doc_id % 4 IN (1, 2) AS b FROM f)
+  SELECT 'src/' || source || '/p' || doc_id % 4 || '/m' || doc_id || '.py' AS file_path, CASE WHEN a THEN source || '.' ELSE '' END || CASE WHEN b THEN 'p' || doc_id % 4 || '.' ELSE '' END || 'm' || doc_id AS module_path FROM p""")
+def module_paths(spark, d):
+    """A tree of modules from the documents' sources, some of whose folders are packages."""
+    from corpusmill.sources import documents as L
+
+    docs = A.table(spark, d, "documents").select("source", "doc_id").distinct()
+    folder = F.concat(F.lit("src/"), "source")
+    inner = F.concat(folder, F.lit("/p"), (F.col("doc_id") % 4).cast("string"))
+    module = docs.select(F.concat(inner, F.lit("/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"))
+    outer = docs.where("length(source) % 2 = 0").select(F.concat(folder, F.lit("/__init__.py")).alias("file_path")).distinct()
+    inits = docs.where("doc_id % 4 in (1, 2)").select(F.concat(inner, F.lit("/__init__.py")).alias("file_path")).distinct()
+    files = module.unionByName(outer).unionByName(inits).withColumn("file_name", F.substring_index("file_path", "/", -1))
+    return L.module_paths(files).where("file_name <> '__init__.py'").select("file_path", "module_path")
+
+
+@query(f"""SELECT doc_id, 'doc_id: ' || doc_id || CASE WHEN regexp_matches(text, '\S') THEN chr(10) || 'text: ' || {Q._STRIP.format('text')} ELSE '' END AS row_text FROM documents""")
+def load_csv_records(spark, d):
+    """Documents written as CSV with their line breaks in quotes, the files cut over tasks at the borders of records and read back."""
+    at = scratch(spark, "records")
+    A.table(spark, d, "documents").select("doc_id", "text").write.option("header", "true").option("quoteAll", "true").option("escape", '"').option("emptyValue", "").option("lineSep", "\n").csv(at)
+    read = records.record_texts(records.read_records(spark, at, "csv"), "csv")
+    return read.select(F.regexp_extract("text", r"\ndoc_id: (\d+)", 1).cast("bigint").alias("doc_id"), F.regexp_replace("text", r"^\[Row \d+\]\n", "").alias("row_text"))
+
+
+@query("""SELECT event_id, '{' || chr(10) || '  "event_id": ' || event_id || ',' || chr(10) || '  "event_type": "' || event_type || '"' || chr(10) || '}' AS entry FROM events""")
+def load_json_records(spark, d):
+    """Events written as lines of JSON, the files cut over tasks and read back."""
+    at = scratch(spark, "records")
+    A.table(spark, d, "events").select("event_id", "event_type").write.json(at)
+    read = records.record_texts(records.read_records(spark, at, "jsonl"), "jsonl")
+    entry = F.regexp_replace("text", r"^\[Entry \d+\]\n", "")
+    return read.select(F.get_json_object(entry, "$.event_id").cast("bigint").alias("event_id"), entry.alias("entry"))
+
+
 @query("""SELECT doc_id, '[Markdown Cell 1]' || chr(10) || '# ' || source || chr(10) || chr(10) || '[Code Cell 2]' || chr(10) || '```python' || chr(10) || 'print(' || doc_id || ')' || chr(10) || '```' || chr(10) || chr(10) || '[Output]' || chr(10) || text AS content, source AS title FROM documents
 WHERE NOT regexp_matches(text, '\\A\\s*\\z')
 UNION ALL SELECT doc_id, '[Markdown Cell 1]' || chr(10) || '# ' || source || chr(10) || chr(10) || '[Code Cell 2]' || chr(10) || '```python' || chr(10) || 'print(' || doc_id || ')' || chr(10) || '```', source FROM documents WHERE regexp_matches(text, '\\A\\s*\\z')""")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.text import is_blank, strip
-from corpusmill.operators.shared import importable
+from corpusmill.operators.shared import cut, importable
 from corpusmill.sources import dispatch
 
 FILE = "file_path string, file_name string, source_type string, title string, author string, language string, section_headers array<string>, custom_tags map<string,string>, content string, error string"
@@ -261,10 +261,106 @@ def _csv_files(text: DataFrame, delimiter: str = ",") -> DataFrame:
     return read.select("file_path", "file_name", "p.content", "p.error", _tags(format=F.lit("csv"), columns=F.col("p.columns"), column_count=F.size(F.split("p.columns", ",")), row_count=F.col("p.rows"), delimiter=F.lit(delimiter)).alias("custom_tags"))
 
 
-def read_folder(spark: SparkSession, path: str, recursive: bool = True, kinds: tuple[str, ...] = tuple(dispatch.LOADERS)) -> DataFrame:
+def module_paths(files: DataFrame) -> DataFrame:
+    """``files`` with module_path: the names of the folders above a file that have an ``__init__.py``, and the file's own, by dots.
+
+    Folders are known by the files in the table; whether each is a package is looked up once a folder.
+    """
+    parent = F.regexp_replace("file_path", "/?[^/]*$", "")
+    placed = files.withColumn("_folder", parent)
+    packages = placed.where("file_name = '__init__.py'").select(F.col("_folder").alias("above")).distinct()
+    parts = F.split("_folder", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    each = placed.select("_folder").distinct().select("_folder", F.posexplode(above).alias("depth", "above"))
+    names = F.array_sort(F.collect_list(F.struct("depth", F.substring_index("above", "/", -1).alias("name"))))
+    inside = each.join(packages, "above").groupBy("_folder").agg(F.transform(names, lambda x: x["name"]).alias("_names"))
+    own = F.array(stem(F.col("file_name")))
+    return placed.join(inside, "_folder", "left").withColumn("module_path", F.array_join(F.concat(F.coalesce("_names", F.array().cast("array<string>")), own), ".")).drop("_folder", "_names")
+
+
+#: Bytes of a file of unknown kind that are looked at to tell whether it is text.
+SNIFFED = 8192
+
+
+def looks_like_text(head: bytes) -> bool:
+    """Whether the first bytes of a file are UTF-8 without null bytes; a character may be cut off at their end."""
+    import codecs
+
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(head)
+    except UnicodeDecodeError:
+        return False
+    return b"\0" not in head
+
+
+def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """uri, file_path, file_name, length of every file below a folder, those that Spark's readers pass over - empty ones, names that begin with _ - included.
+
+    Folders are listed by tasks, a level at a time; names that begin with a dot, ignored
+    folders and job markers are left out.
+    """
+    importable(spark)
+    root = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    ddl = "uri string, file_path string, file_name string, length bigint, folder boolean"
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                files, place = fs.FileSystem.from_uri(uri)
+                found = [x for x in files.get_file_info(fs.FileSelector(place)) if not x.base_name.startswith(".") and x.base_name not in (*dispatch.IGNORED, "_SUCCESS")]
+                columns = [f"{uri.rstrip('/')}/{x.base_name}" for x in found], [x.path for x in found], [x.base_name for x in found], [x.size for x in found], [x.type == fs.FileType.Directory for x in found]
+                kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["uri", "file_path", "file_name", "length", "folder"])
+
+    level, levels = spark.createDataFrame([(root,)], "uri string"), []
+    while True:
+        levels.append(cut(level.mapInArrow(run, ddl), "listing"))
+        level = levels[-1].where("folder").select("uri").repartition("uri")
+        if not recursive or level.isEmpty():
+            return reduce(DataFrame.unionByName, levels).where("not folder").drop("folder")
+
+
+def _opened(files: DataFrame) -> DataFrame:
+    """Files (uri, file_path, file_name, length, kind) with their content; one of unknown kind is text where its first bytes are, else an error, and no more of it is read."""
+    importable(files.sparkSession)
+    most = dispatch.MAX_FILE_BYTES
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for uri, path, name, length, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                content = error = None
+                try:
+                    files, place = fs.FileSystem.from_uri(uri)
+                    with files.open_input_stream(place, compression=None) as stream:
+                        head = stream.read(SNIFFED)
+                        if kind == "unknown" and not looks_like_text(head):
+                            error = "unsupported format"
+                        elif length > most:
+                            error = "file too large"
+                        else:
+                            content = head + stream.read()
+                except Exception as failure:  # noqa: BLE001 - reported in the row
+                    error = f"{type(failure).__name__}: {failure}"
+                columns = ([path], [name], ["text" if kind == "unknown" else kind], [content], [error])
+                kinds = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file_path", "file_name", "kind", "content", "error"])
+
+    return files.select("uri", "file_path", "file_name", "length", "kind").mapInArrow(run, "file_path string, file_name string, kind string, content binary, error string")
+
+
+def read_folder(spark: SparkSession, path: str, recursive: bool = True, kinds: tuple[str, ...] = tuple(dispatch.LOADERS), sniff: bool = False, modules: bool = False) -> DataFrame:
     """All supported files below a folder, loaded each by its kind.
 
-    Files over the size limit, and kinds whose parser is missing, become error rows.
+    Files over the size limit, and kinds whose parser is missing, become error rows.  With
+    ``sniff`` so do files of unknown kinds, but for those whose first bytes are text, which
+    are loaded as such, and files that Spark's readers pass over (empty ones, names that begin
+    with _): then every file has a row.  ``modules`` adds module_path, null but for code.
     """
     root = path.rstrip("/") + "/"
 
@@ -282,4 +378,15 @@ def read_folder(spark: SparkSession, path: str, recursive: bool = True, kinds: t
     for kind in kinds:
         files = found(kind)
         parts += [load(files.where(fits), kind), _shape(files.where(~fits).select("file_path", "file_name"), "text", error=F.lit("file too large"))]
-    return reduce(DataFrame.unionByName, parts)
+    every = list_files(spark, path, recursive).withColumn("kind", dispatch.loader(F.col("file_path"))) if sniff or modules else None
+    if sniff:
+        # Only files of unknown kinds, and those that the readers above pass over, are opened here.
+        passed = F.col("kind").isin("unknown", *kinds) & ((F.col("kind") == "unknown") | F.col("file_name").startswith("_") | (F.col("length") == 0))
+        told = cut(_opened(every.where(passed)), "opened")
+        parts += [load(told.where((F.col("kind") == kind) & F.col("error").isNull()), kind) for kind in kinds]
+        parts.append(_shape(told.where("error is not null").select("file_path", "file_name", "error"), "text"))
+    loaded = reduce(DataFrame.unionByName, parts)
+    if not modules:
+        return loaded
+    named = module_paths(every.where("kind = 'code'").select("file_path", "file_name"))
+    return loaded.join(named.select("file_path", "module_path"), "file_path", "left")

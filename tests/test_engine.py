@@ -498,6 +498,29 @@ def test_folder_is_loaded_and_failures_stay_apart(spark, folder):
     assert all(not r["error"] for n, r in rows.items() if n != "bad.json")
 
 
+def test_every_file_is_a_row_when_unknown_kinds_are_sniffed(spark, tmp_path):
+    from corpusmill.sources.documents import SNIFFED
+
+    (tmp_path / "pkg" / "sub").mkdir(parents=True)
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "a.weird").write_text("héllo")
+    (tmp_path / "noext").write_text("x" * (SNIFFED - 1) + "é" + "y")
+    (tmp_path / "b.bin").write_bytes(b"ab\0c")
+    (tmp_path / "c.dat").write_bytes(b"\xff\xfe")
+    (tmp_path / "late.dat").write_bytes(b"x" * SNIFFED + b"\xff")
+    (tmp_path / "empty.zzz").write_text("")
+    (tmp_path / "pkg" / "__init__.py").write_text("")
+    (tmp_path / "pkg" / "sub" / "m.py").write_text("x = 1")
+    (tmp_path / "plain" / "m.py").write_text("x = 1")
+    rows = {r["file_path"].removeprefix(str(tmp_path) + "/"): r for r in read_folder(spark, str(tmp_path), sniff=True, modules=True).collect()}
+    assert len(rows) == 9
+    assert {n: r["error"] for n, r in rows.items() if r["error"]} == {"b.bin": "unsupported format", "c.dat": "unsupported format"}
+    assert rows["a.weird"]["content"] == "héllo" and rows["noext"]["content"].endswith("éy") and rows["late.dat"]["content"].endswith("ÿ") and rows["empty.zzz"]["content"] == ""
+    assert {n: r["module_path"] for n, r in rows.items() if r["module_path"]} == {"pkg/__init__.py": "pkg.__init__", "pkg/sub/m.py": "pkg.m", "plain/m.py": "m"}
+    # Without it there are files of known kinds only, less the one whose name Spark's readers pass over.
+    assert sorted(r["file_path"].rpartition("/")[2] for r in read_folder(spark, str(tmp_path)).collect()) == ["m.py", "m.py"]
+
+
 def test_ingest_synthesize_export(spark, folder, tmp_path):
     chunks, failed = jobs.ingest(spark, folder, IngestConfig(context_prefix=True, embed=True, pii=True))
     assert failed.count() == 1
