@@ -110,14 +110,6 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, copies: str, total: in
     return rows.join(hot, key).unionByName(rest)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """``name``, or a variant that ``df`` has no column of."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def held_out() -> F.Column:
     """Rows whose labels are never learnt from: crc32 of doc_id as text leaves 1 modulo 3."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
@@ -197,14 +189,15 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash")
 
 
-def drop_suspects(docs: DataFrame, suspects: DataFrame, null_ids: bool = False) -> DataFrame:
+def drop_suspects(docs: DataFrame, suspects: DataFrame, null_ids: bool = False, repeated: bool = False) -> DataFrame:
     """``docs`` without the rows that ``suspects`` (doc_id, text_hash, stays) says must go.
 
     ``suspects`` names each (doc_id, text_hash) that goes, or that several rows share: of
     those, where it stays, the row with the smallest hash of all columns does.  Rows that a
     broadcast filter rules out as suspects stay where they are; the others are looked up by
     a join, which makes the result exact.  Rows with a null doc_id all stay, unless
-    ``null_ids`` says that ``suspects`` judges them too.
+    ``null_ids`` says that ``suspects`` judges them too.  With ``repeated``, ``suspects`` names only
+    what goes, and rows that share an id and a text stay or go together.
     """
     plain = plain_names(docs)
     filled, marks = key_filter(suspects, suspects.count(), "doc_id", "text_hash")
@@ -214,6 +207,8 @@ def drop_suspects(docs: DataFrame, suspects: DataFrame, null_ids: bool = False)
     names = suspects.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "stays")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
     looked_up = held.where(suspected).select(*plain.columns, "text_hash").join(names, same, "left").where("stays is null or stays").drop("id", "hash", "stays")
+    if repeated:
+        return sure.unionByName(looked_up.drop("text_hash")).toDF(*docs.columns)
     # A row that the table of suspects lacks is the only one of its id and hash.
     row = F.struct(*plain.columns)
     single = looked_up.groupBy("doc_id", "text_hash").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")

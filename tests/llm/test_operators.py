@@ -679,13 +679,22 @@ def test_license_rules_by_priority_and_containment():
 TEN = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-def test_decontamination(spark, sf_dir, documents, empty):
+def test_decontamination(spark, sf_dir, documents, empty, monkeypatch):
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{sf_dir}/benchmark.parquet").to_pylist()]
     want = each(documents, lambda t: brute.contamination(t, items))
     assert sum(r[-1] for r in want) > 0
     same(Q.op10_decontamination(spark, sf_dir), TEN, want)
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
     assert decontamination.contamination(empty, benchmark).count() == 0
+    # A benchmark that is no longer broadcast, and a filter that lets nearly all pass.
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    same(decontamination.contamination(docs, benchmark, 1000), TEN, want)
+    monkeypatch.setattr(decontamination, "FILTER_WORDS", 64)
+    same(decontamination.contamination(docs.repartition(3), benchmark, 1000), TEN, want)
+    twice = docs.select("doc_id", "text", "lang").unionByName(docs.selectExpr("cast(null as bigint) doc_id", "text", "'x' lang"))
+    kept = [decontamination.drop_contaminated(twice, benchmark, n) for n in (1000, 1 << 30)]
+    assert kept[0].columns == twice.columns
+    assert sorted(map(tuple, kept[0].collect()), key=str) == sorted(map(tuple, kept[1].collect()), key=str)
 
 
 @pytest.mark.parametrize("block_bytes", [100, 16_000_000])
