@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from corpusmill.operators import synthesis as G
 from corpusmill.operators.clients import Client, ClientError, Messages, Reply
 from corpusmill.operators.generation import Limits
 from corpusmill.operators.jobs import JobLog
-from corpusmill.operators.shared import scratch, shared_folder
+from corpusmill.operators.shared import importable, scratch, shared_folder
 from corpusmill.plans import adapters as A
 from corpusmill.plans import jobs
 from corpusmill.plans import text_queries as Q
@@ -57,6 +58,40 @@ def folder_sniff(spark, d):
     return read_folder(spark, at, sniff=True).select(F.substring_index("file_name", ".", -1).alias("kind"), "content", "error")
 
 
+def as_pdf(title: str, pages: list[str]) -> bytes:
+    """A PDF file of pages of text, a line shown for each, whose font's codes are UTF-16."""
+    character_map = b"1 begincodespacerange <0000> <FFFF> endcodespacerange\n1 beginbfrange <0000> <FFFF> <0000> endbfrange"
+    hexed = lambda t: b"<" + t.encode("utf-16-be").hex().encode() + b">"
+    kids = " ".join(f"{6 + 2 * i} 0 R" for i in range(len(pages)))
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R >>",
+        f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} /Resources << /Font << /F1 4 0 R >> >> >>".encode(),
+        b"<< /Title " + hexed("\ufeff" + title) + b" >>",
+        b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 5 0 R >>",
+        b"<< /Length %d >>\nstream\n%s\nendstream" % (len(character_map), character_map),
+    ]
+    for i, page in enumerate(pages):
+        shown = zlib.compress(b"BT /F1 10 Tf 12 TL 50 800 Td " + b" T* ".join(hexed(line) + b" Tj" for line in page.split("\n")) + b" ET")
+        objects += [f"<< /Type /Page /Parent 2 0 R /Contents {7 + 2 * i} 0 R >>".encode(), b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(shown), shown)]
+    body = b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1))
+    return b"%PDF-1.7\n" + body + b"trailer\n<< /Root 1 0 R /Info 3 0 R >>\n%%EOF\n"
+
+
+@query("""SELECT doc_id, source || CASE WHEN text = '' THEN '' ELSE chr(10) || chr(10) || text END AS content, source AS title, '2' AS pages FROM documents""")
+def load_pdf(spark, d):
+    """Each document written as a PDF file of two pages, its source and its text, and loaded."""
+    from corpusmill.sources import documents as L
+
+    importable(spark)
+
+    @F.pandas_udf("binary")
+    def made(sources, texts):
+        return sources.combine(texts, lambda s, t: as_pdf(s, [s, t]))
+
+    files = A.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.lit("x.pdf").alias("file_name"), made("source", "text").alias("content"))
+    return L.load(files, "pdf").select(F.col("file_path").cast("bigint").alias("doc_id"), "content", "title", F.element_at("custom_tags", "pages").alias("pages"))
+
+
 @query("""WITH f AS (SELECT DISTINCT source, doc_id FROM documents), p AS (SELECT source, doc_id, length(source) % 2 = 0 AS a, doc_id % 4 IN (1, 2) AS b FROM f)
   SELECT 'src/' || source || '/p' || doc_id % 4 || '/m' || doc_id || '.py' AS file_path, CASE WHEN a THEN source || '.' ELSE '' END || CASE WHEN b THEN 'p' || doc_id % 4 || '.' ELSE '' END || 'm' || doc_id AS module_path FROM p""")
 def module_paths(spark, d):

@@ -159,15 +159,13 @@ def parse_docx(data: bytes, name: str) -> tuple[str, dict]:
     return "\n\n".join([*paragraphs, *rows]), {"title": core.get("title") or None, "author": core.get("creator") or None, "custom_tags": tags}
 
 
-def parse_pdf(data: bytes, name: str, password: str | None = None) -> tuple[str, dict]:
-    import io
-
-    from pypdf import PdfReader  # optional: without it PDF files get an error row
+def parse_pdf(data: bytes, name: str) -> tuple[str, dict]:
+    """The texts of the pages that have any, with an empty line between."""
+    from corpusmill.sources.pdf import read_pdf
 
-    reader = PdfReader(io.BytesIO(data), password=password)
-    info = reader.metadata or {}
-    tags = {"format": "pdf", "pages": str(len(reader.pages)), "creator": info.get("/Creator") or "", "producer": info.get("/Producer") or ""}
-    return "\n\n".join(filter(None, (page.extract_text() for page in reader.pages))), {"title": info.get("/Title"), "author": info.get("/Author"), "custom_tags": tags}
+    pages, info = read_pdf(data)
+    tags = {"format": "pdf", "pages": str(len(pages)), "creator": info.get("Creator", ""), "producer": info.get("Producer", "")}
+    return "\n\n".join(filter(None, pages)), {"title": info.get("Title"), "author": info.get("Author"), "custom_tags": tags}
 
 
 PARSERS: dict[str, Callable[..., tuple[str, dict]]] = {"json": parse_json, "jupyter": parse_notebook, "html": parse_html, "docx": parse_docx, "pdf": parse_pdf}
