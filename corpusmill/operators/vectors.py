@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -174,13 +175,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _similar(table: Any, threshold: float) -> Any:
-    """Similar pairs of rows of two blocks, or of any two where the pair of blocks is one: ids, the smaller first, and similarity."""
+    """Similar pairs of rows of two blocks, or of any two where the pair of blocks is one: ids, the smaller first, and similarity.
+
+    Two visitors (a column that may be missing) are not compared: they meet elsewhere or are known to be far apart.
+    """
     import numpy as np
     import pyarrow as pa
 
     ids, rows = table["id"].to_numpy(), table["v"].to_pylist()
     same = table["low"][0].as_py() == table["high"][0].as_py()
     home = table["own"].to_numpy() == table["low"][0].as_py()
+    guest = table["visitor"].to_numpy() if "visitor" in table.column_names else np.zeros(len(ids), bool)
     widths = np.array([len(r) if r is not None else 0 for r in rows])
     out = [(ids[:0], ids[:0], np.zeros(0))]
     # Vectors of unequal width have similarity 0: each width is a matrix of its own.
@@ -191,33 +196,147 @@ def _similar(table: Any, threshold: float) -> Any:
         ok = norm > 0
         matrix, at = matrix[ok] / norm[ok, None], at[ok]
         left, right = home[at], home[at] if same else ~home[at]
-        sims = matrix[left] @ matrix[right].T
-        i, j = np.nonzero(sims >= threshold)
-        a, b, s = ids[at][left][i], ids[at][right][j], sims[i, j]
-        if same:
-            once = a < b
-            a, b, s = a[once], b[once], s[once]
-        out.append((np.minimum(a, b), np.maximum(a, b), s))
+        # Hosts of the one block meet all of the other, its guests the other's hosts.
+        for one, other in ((left & ~guest[at], right), (left & guest[at], right & ~guest[at])):
+            if not one.any() or not other.any():
+                continue
+            sims = matrix[one] @ matrix[other].T
+            i, j = np.nonzero(sims >= threshold)
+            a, b, s = ids[at][one][i], ids[at][other][j], sims[i, j]
+            if same:
+                # Within a block hosts meet each other twice and guests once from either side.
+                once = (a < b) & ~guest[at][other][j] if not guest[at][one].any() else np.ones(len(a), bool)
+                a, b, s = a[once], b[once], s[once]
+            out.append((np.minimum(a, b), np.maximum(a, b), s))
     return pa.table(dict(zip(("a", "b", "similarity"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """a, b (a < b), similarity of all pairs at ``threshold`` or more: exact, by blocks.
+#: Vectors that pivots are chosen from, and pivots at most: both bound what the driver holds.
+PIVOT_SAMPLE = 4096
+MOST_PIVOTS = 512
+#: Added to angles that are compared, for what rounding takes off.
+SLACK = 1e-6
+
+
+def _pivots(sample: list[list[float]], most: int) -> Any:
+    """Directions far from one another: each next one is the farthest from those before."""
+    import numpy as np
+
+    matrix = np.array(sample, float)
+    matrix = matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    chosen = [0]
+    nearest = matrix @ matrix[0]
+    while len(chosen) < min(most, len(matrix)):
+        following = int(nearest.argmin())
+        if nearest[following] > 1 - 1e-9:
+            break
+        chosen.append(following)
+        nearest = np.maximum(nearest, matrix @ matrix[following])
+    return matrix[chosen]
+
+
+def _angles(rows: list, pivots: Any) -> Any:
+    import numpy as np
+
+    matrix = np.array(rows, float)
+    matrix = matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    return np.arccos(np.clip(matrix @ pivots.T, -1, 1))
+
 
-    Vectors are dealt to blocks by hash; each pair of blocks meets in one task as two
-    matrices, so a task's memory is two blocks and only similar pairs leave it.  Groups of
-    very similar vectors spread over all blocks.  All blocks meet all others: for tables
-    too large for that there is ``approximate_pairs``.
+def placed(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """id, v, cell, visitor: each vector in the cell of its nearest pivot, and as a visitor in each later cell that may hold a similar one.
+
+    Angles keep the triangle inequality, so a cell holds nothing within t of a vector whose
+    angle to its pivot exceeds the cell's largest by more than t, nor if that angle
+    exceeds the one to the vector's own pivot by more than 2 t.  The cells of one vector
+    follow from its own angles and a radius for each pivot, which are broadcast.  Vectors
+    that are null, empty or zero are similar to none and left out.
     """
+    from math import acos
+
     spark = vectors.sparkSession
     importable(spark)
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    own = vectors.select(F.col(key).alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
-    dealt = own.withColumn("mate", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", "own", F.least("own", "mate").alias("low"), F.greatest("own", "mate").alias("high"))
     kind = vectors.schema[key].dataType.simpleString()
+    own = vectors.select(F.col(key).alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")).where(F.exists("v", lambda x: x != 0))
+    n = own.count()
+    most = min(MOST_PIVOTS, -(-2 * n // block))
+    # The smallest hashes are a sample that does not depend on how rows are dealt.
+    sample = [r["v"] for r in own.select("v", F.xxhash64("id").alias("turn")).orderBy("turn").limit(PIVOT_SAMPLE).collect()] if most > 1 else []
+    by_width = {w: _pivots([x for x in sample if len(x) == w], most) for w in {len(x) for x in sample}}
+    shared = spark.sparkContext.broadcast(by_width)
+    limit = acos(max(-1.0, min(1.0, threshold))) + SLACK
+
+    def each_width(batch: Any) -> Iterator[tuple[int, Any, Any]]:
+        """(width, places in the batch, angles to that width's pivots or None where it has none)."""
+        import numpy as np
 
-    return dealt.groupBy("low", "high").applyInArrow(lambda table: _similar(table, threshold), f"a {kind}, b {kind}, similarity double")
+        rows = batch.column(1).to_pylist()
+        widths = np.array([len(r) for r in rows])
+        for width in np.unique(widths).tolist():
+            at = np.flatnonzero(widths == width)
+            pivots = shared.value.get(width)
+            yield width, at, None if pivots is None else _angles([rows[i] for i in at], pivots)
+
+    def measured(batches: Iterator[Any]) -> Iterator[Any]:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for width, _, angles in each_width(batch):
+                if angles is not None:
+                    home = angles.argmin(axis=1)
+                    cells, at = np.unique(home, return_inverse=True)
+                    far = np.zeros(len(cells))
+                    np.maximum.at(far, at, angles[np.arange(len(home)), home])
+                    yield pa.RecordBatch.from_arrays([pa.array([width] * len(cells), pa.int64()), pa.array(cells.astype(np.int64)), pa.array(far)], names=["width", "cell", "far"])
+
+    # A row for each pivot.
+    radii: dict[int, dict[int, float]] = {}
+    for r in own.mapInArrow(measured, "width bigint, cell bigint, far double").groupBy("width", "cell").agg(F.max("far").alias("far")).collect() if by_width else ():
+        radii.setdefault(r["width"], {})[r["cell"]] = r["far"]
+
+    def dealt(batches: Iterator[Any]) -> Iterator[Any]:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for width, at, angles in each_width(batch):
+                row, cell, visitor = at, np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+                if angles is not None:
+                    home = angles.argmin(axis=1)
+                    nearest = angles[np.arange(len(home)), home]
+                    # A cell that no vector has for home has no radius and no visitors.
+                    radius = np.array([radii.get(width, {}).get(i, -np.inf) for i in range(angles.shape[1])])
+                    later = np.arange(angles.shape[1]) > home[:, None]
+                    near = later & (angles - radius <= limit) & (angles - nearest[:, None] <= 2 * limit)
+                    i, j = np.nonzero(near)
+                    row, cell, visitor = np.concatenate((at, at[i])), np.concatenate((home, j)), np.concatenate((visitor, np.ones(len(i), bool)))
+                taken = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(width * MOST_PIVOTS + cell, pa.int64()), pa.array(visitor)], names=["id", "v", "cell", "visitor"])
+
+    return own.mapInArrow(dealt, f"id {kind}, v array<double>, cell bigint, visitor boolean")
+
+
+def similar_pairs(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """a, b (a < b), similarity of all pairs at ``threshold`` or more: exact.
+
+    Vectors meet in the cells of ``placed``, so a pair is compared in one cell and far cells
+    never meet.  A cell over a block is dealt to blocks by hash; each pair of its blocks is
+    compared in one task as two matrices, and only similar pairs leave it.
+    How much is saved follows the threshold: at low ones, as between unrelated vectors of
+    many dimensions, no cell is far and all meet all.
+    """
+    kind = vectors.schema[key].dataType.simpleString()
+    cells = placed(vectors, threshold, key, vector, block)
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    met = _met(cells, sizes, "cell", "visitor")
+    return met.groupBy("cell", "low", "high").applyInArrow(lambda table: _similar(table, threshold), f"a {kind}, b {kind}, similarity double")
+
+
+def _met(rows: DataFrame, sizes: DataFrame, group: str, *more: str) -> DataFrame:
+    """Rows of a group dealt to its ``blocks`` by hash, a copy for each pair of blocks they are in."""
+    dealt = rows.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("id", "v", group, *more, "own", F.least("own", "mate").alias("low"), F.greatest("own", "mate").alias("high"))
 
 
 #: Part of the pairs at the threshold that ``approximate_pairs`` aims to find; pairs above it are found more often.
@@ -264,9 +383,7 @@ def approximate_pairs(vectors: DataFrame, threshold: float = 0.9, key: str = "ve
 
     exploded = own.mapInArrow(listed, f"id {kind}, v array<double>, buckets array<bigint>").select("id", "v", F.explode("buckets").alias("bucket"))
     sizes = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = exploded.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = dealt.select("id", "v", "bucket", "own", F.least("own", "mate").alias("low"), F.greatest("own", "mate").alias("high"))
-
+    met = _met(exploded, sizes, "bucket")
     pairs = met.groupBy("bucket", "low", "high").applyInArrow(lambda table: _similar(table, threshold), f"a {kind}, b {kind}, similarity double")
     return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
@@ -295,9 +412,23 @@ def greedy_keep(vectors: DataFrame, pairs: DataFrame, key: str = "vec_id", most_
     else:
         raise RuntimeError(f"not decided after {most_rounds} rounds")
     result = vectors.select(key)
-    for out in dropped:
-        result = result.join(out, result[key] == out.n, "left_anti")
-    return result
+    if not dropped:
+        return result
+    gone = reduce(DataFrame.unionByName, dropped)
+    return result.join(gone, result[key] == gone.n, "left_anti")
+
+
+def distinct_keep(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """Keys that are kept when each vector in turn goes that is similar to a kept one before it.
+
+    Identical vectors are one: the smallest key stands for all and the others go with it or
+    because of it.  A null, empty or zero vector is similar to none, so each is kept.
+    """
+    alone = ~F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
+    first = vectors.where(~alone).groupBy(vector).agg(F.min(key).alias(key)).select(key, vector)
+    first = cut(first, "distinct")
+    kept = greedy_keep(first, similar_pairs(first, threshold, key, vector, block), key)
+    return kept.unionByName(vectors.where(alone).select(key))
 
 
 def breakpoints(sims: DataFrame, mode: str, threshold: float = 75.0, group: str = "doc_id", index: str = "i", sim: str = "sim") -> DataFrame:

@@ -287,8 +287,7 @@ walk AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS kept
   UNION ALL SELECT ids.r, CASE WHEN len(list_intersect(w.kept, coalesce((SELECT list(a) FROM pairs WHERE b = ids.vec_id), []))) > 0 THEN w.kept ELSE list_append(w.kept, ids.vec_id) END FROM walk w JOIN ids ON ids.r = w.r + 1)
 SELECT unnest(kept) AS vec_id FROM walk WHERE r = (SELECT max(r) FROM walk)""")
 def vector_dedup_keep(spark, d):
-    vectors = A.table(spark, d, "embeddings")
-    return V.greedy_keep(vectors, V.similar_pairs(vectors, 0.35))
+    return V.distinct_keep(A.table(spark, d, "embeddings"), 0.35)
 
 
 # A text under 3 characters is one gram, an empty one has none.

@@ -183,6 +183,50 @@ def test_approximate_pairs_find_most_and_only_similar_ones(spark, n):
     assert {(r["a"], r["b"]) for r in W.similar_pairs(frame, 0.9, block=200).collect()} == want
 
 
+@pytest.mark.parametrize("threshold", [0.97, 0.9, 0.5, -0.2])
+def test_pruned_pairs_are_exact(spark, threshold):
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(30, 24))
+    rows = [(centres[i % 30] + draw.choice([0.02, 0.15, 0.4]) * draw.normal(size=24)).tolist() for i in range(500)] + draw.normal(size=(80, 24)).tolist()
+    rows += [rows[0], [2 * x for x in rows[1]], [-x for x in rows[2]], [1.0, 2.0], [1.0, 2.1], [], [0.0] * 24, None]
+    frame = spark.createDataFrame(list(enumerate(rows)), "vec_id bigint, embedding array<double>").repartition(5)
+    got = {(r["a"], r["b"]): r["similarity"] for r in W.similar_pairs(frame, threshold, block=60).collect()}
+    want = {}
+    for width in (24, 2):
+        ids = [i for i, r in enumerate(rows) if r and len(r) == width and any(r)]
+        matrix = np.array([rows[i] for i in ids])
+        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+        sims = matrix @ matrix.T
+        a, b = np.nonzero(np.triu(sims >= threshold, 1))
+        want |= {(ids[i], ids[j]): sims[i, j] for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    assert set(got) == set(want) and len(want) > 100
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_far_cells_do_not_meet(spark):
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(60, 48))
+    frame = spark.createDataFrame([(i, (centres[i % 60] + 0.1 * draw.normal(size=48)).tolist()) for i in range(3000)], "vec_id bigint, embedding array<double>")
+    cells = W.placed(frame, 0.9, block=100).groupBy("cell").agg(F.count_if(~F.col("visitor")).alias("home"), F.count_if("visitor").alias("visitors")).collect()
+    compared = sum(r["home"] * (r["home"] - 1) // 2 + r["home"] * r["visitors"] for r in cells)
+    assert sum(r["home"] for r in cells) == 3000 and compared < 0.1 * 3000 * 2999 / 2
+
+
+def test_distinct_keep_equals_one_after_another(spark):
+    draw = np.random.default_rng(5)
+    rows = draw.normal(size=(150, 6)).tolist()
+    rows += [rows[i] for i in (3, 3, 70)] + [[0.0] * 6, [], None, [0.0] * 6]
+    order = draw.permutation(len(rows)).tolist()
+    frame = spark.createDataFrame([(order[i], r) for i, r in enumerate(rows)], "vec_id bigint, embedding array<double>")
+    by_id = {order[i]: r for i, r in enumerate(rows)}
+    cos = lambda a, b: np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)) if a and b and any(a) and any(b) else 0.0
+    kept = []
+    for i in sorted(by_id):
+        if all(cos(by_id[i], by_id[k]) < 0.6 for k in kept):
+            kept.append(i)
+    assert sorted(r["vec_id"] for r in W.distinct_keep(frame, 0.6, block=40).collect()) == kept
+
+
 def test_large_groups_of_rewards_are_dealt_over_rows(spark):
     rows = conv(spark, *[([("user", f"q{i}"), ("assistant", f"a{i}")], 7, float(i % 10), None) for i in range(40)], *[([("user", "x"), ("assistant", f"b{i}")], 8) for i in range(3)])
     whole = {r["source_chunk_id"]: r for r in X.grpo(rows).collect()}
