@@ -29,7 +29,11 @@ def gram_buckets(text: Column, dim: int = DIM) -> Column:
 
 
 def embed(rows: DataFrame, key: str, text: str, embedder: Any) -> DataFrame:
-    """``key``, embedding, tokens, by any embedder: an Arrow pass, one call a batch, no shuffle."""
+    """``key``, embedding, tokens, embedder, by any embedder: an Arrow pass, one call a batch, no shuffle.
+
+    ``embedder`` names what made a row's vector, so that those of a service that failed can be
+    told from its own, made anew or left out: vectors of two embedders are not comparable.
+    """
     importable(rows.sparkSession)
     source = rows.select(key, F.col(text).alias("text"))
 
@@ -39,9 +43,10 @@ def embed(rows: DataFrame, key: str, text: str, embedder: Any) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             vectors = [[float(x) for x in v] for v in embedder.embed(texts)] if texts else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float64())), pa.array([max(1, len(t) // 4) for t in texts], pa.int32())], names=[key, "embedding", "tokens"])
+            made_by = pa.array([getattr(embedder, "made_by", type(embedder).__name__)] * len(texts), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float64())), pa.array([max(1, len(t) // 4) for t in texts], pa.int32()), made_by], names=[key, "embedding", "tokens", "embedder"])
 
-    return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, embedding array<double>, tokens int")
+    return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, embedding array<double>, tokens int, embedder string")
 
 
 def hash_embed(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
@@ -140,8 +145,9 @@ class RemoteEmbedder:
 
     def __init__(self, model: str = "text-embedding-3-small", base_url: str = "https://api.openai.com/v1", key: str | None = None, timeout: float = 60.0) -> None:
         self.model, self.base_url, self.key, self.timeout = model, base_url.rstrip("/"), key, timeout
-        #: Calls that failed so far.
+        #: Calls that failed so far, and what made the last call's vectors.
         self.failures = 0
+        self.made_by = self.model
 
     def embed(self, texts: list[str]) -> Any:
         import logging
@@ -153,9 +159,12 @@ class RemoteEmbedder:
         headers = {"Authorization": f"Bearer {self.key}"} if self.key else {}
         try:
             data = post(f"{self.base_url}/embeddings", {"model": self.model, "input": texts}, headers, self.timeout)["data"]
-            return np.array([row["embedding"] for row in sorted(data, key=lambda row: row.get("index", 0))], float).reshape(len(texts), -1)
+            made = np.array([row["embedding"] for row in sorted(data, key=lambda row: row.get("index", 0))], float).reshape(len(texts), -1)
+            self.made_by = self.model
+            return made
         except Exception as failure:  # noqa: BLE001 - the fall-back is the contract
             self.failures += 1
+            self.made_by = "hash"
             logging.getLogger(__name__).warning("embeddings failed (%s): hashed ones are used", failure)
             return HashEmbedder().embed(texts)
 

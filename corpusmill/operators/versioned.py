@@ -35,9 +35,9 @@ class Conflict(RuntimeError):
 class VersionedTable:
     """Rows of ``schema``, one for each value of ``key``, below ``folder``; a folder without versions is an empty table."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str) -> None:
+    def __init__(self, spark: SparkSession, folder: str, schema: str | T.StructType, key: str) -> None:
         self.spark, self.folder, self.key = spark, folder.rstrip("/"), key
-        self.schema = T.StructType.fromDDL(schema)
+        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         path = self._path(self.folder)
         self.files = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self.local = self.files.getUri().getScheme() == "file"

@@ -69,6 +69,19 @@ def dedup_conversations(spark, d):
     return V.deduplicate(A.duplicated(spark, d)).select("conv_id", _said().alias("said"))
 
 
+@query(f"WITH {A.DUPLICATED} SELECT min(conv_id) AS conv_id, count(*) AS copies FROM conv GROUP BY {_HASH}")
+def stream_keep_first(spark, d):
+    """Conversations read as a stream of files, a few at a time: the first of each content, and its copies."""
+    from corpusmill import streaming
+    from corpusmill.operators.shared import cut, scratch
+
+    # Dealt so that copies lie in other files than what they are copies of.
+    rows = cut(A.duplicated(spark, d).repartition(6, "conv_id"), "stream-in")
+    folder, at = rows.inputFiles()[0].rpartition("/")[0], scratch(spark, "stream")
+    streaming.keep_first(streaming.read(spark, folder, rows.schema, files_per_trigger=3), f"{at}/kept", f"{at}/checkpoint").awaitTermination()
+    return streaming.kept_first(spark, f"{at}/kept", rows.schema).read().select("conv_id", "copies")
+
+
 @query(f"WITH {A.DUPLICATED} SELECT conv_id, {_HASH} AS content_hash FROM conv QUALIFY row_number() OVER (PARTITION BY {_HASH} ORDER BY conv_id) > 1")
 def duplicate_ids(spark, d):
     return V.duplicates(A.duplicated(spark, d)).select("conv_id", "content_hash")
