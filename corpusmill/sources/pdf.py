@@ -240,6 +240,7 @@ class Font:
 
     def __init__(self, document: Document, font: Any) -> None:
         self.characters: dict[int, str] = {}
+        self.ranges: list[tuple[int, int, bytes]] = []
         self.width = 2 if document.entry(font, "Subtype") == "Type0" else 1
         mapped = document.entry(font, "ToUnicode")
         encoding = document.entry(font, "Encoding")
@@ -280,14 +281,24 @@ class Font:
                 for low, high, to in zip(held[::3], held[1::3], held[2::3], strict=False):
                     if not isinstance(low, bytes) or not isinstance(high, bytes):
                         continue
-                    for i, code in enumerate(range(number(low), min(number(high), number(low) + 0xFFFF) + 1)):
-                        self.characters[code] = text(to[i]) if isinstance(to, list) and i < len(to) else text((number(to) + i).to_bytes(len(to), "big")) if isinstance(to, bytes) else ""
+                    if isinstance(to, list):
+                        self.characters |= {number(low) + i: text(x) for i, x in enumerate(to) if isinstance(x, bytes)}
+                    elif isinstance(to, bytes):
+                        self.ranges.append((number(low), number(high), to))
             held = []
 
+    def _character(self, code: int) -> str:
+        """What a code stands for; those of ranges are worked out when they are met."""
+        if (known := self.characters.get(code)) is None:
+            to = next(((low, to) for low, high, to in self.ranges if low <= code <= high), None)
+            known = (int.from_bytes(to[1], "big") + code - to[0]).to_bytes(len(to[1]), "big").decode("utf-16-be", "surrogatepass") if to else ""
+            self.characters[code] = known
+        return known
+
     def text(self, data: bytes) -> str:
         codes = (int.from_bytes(data[i : i + self.width], "big") for i in range(0, len(data), self.width))
         # Halves of characters beyond the first plane may come as two codes.
-        return "".join(self.characters.get(c, "") for c in codes).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+        return "".join(map(self._character, codes)).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 class Page:
