@@ -198,6 +198,12 @@ def pattern_hits(text: Column, type: str) -> Column:
     return F.regexp_extract_all(text, F.lit(flags + pattern.regex), F.lit(0))
 
 
+def pattern_count(text: Column, type: str) -> Column:
+    """How many matches of one pattern, native; texts without what every match holds are not searched for it."""
+    low = F.translate(F.lower(text), "\u017f\u0131", "si")
+    return F.when(F.regexp_like(low, F.lit(GATES[type])), F.size(pattern_hits(text, type))).otherwise(0)
+
+
 def safe_line(line: Column) -> Column:
     """Whether findings on this line would be suppressed."""
     return F.regexp_like(line, F.lit("(?iU)" + "|".join(FALSE_POSITIVES)))

@@ -360,7 +360,7 @@ def _sql_pattern(type: str) -> str:
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS type, coalesce(sum(len(regexp_extract_all(text, '{_sql_pattern(t)}'))), 0)::BIGINT AS hits FROM documents" for t in _COUNTED))
 def pii_pattern_counts(spark, d):
-    summed = A.table(spark, d, "documents").agg(*[F.coalesce(F.sum(F.size(pii.pattern_hits(F.col("text"), t))), F.lit(0)).cast("bigint").alias(t) for t in _COUNTED])
+    summed = A.table(spark, d, "documents").agg(*[F.coalesce(F.sum(pii.pattern_count(F.col("text"), t)), F.lit(0)).cast("bigint").alias(t) for t in _COUNTED])
     return summed.select(F.inline(F.array(*[F.struct(F.lit(t).alias("type"), F.col(t).alias("hits")) for t in _COUNTED])))
 
 
