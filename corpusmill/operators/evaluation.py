@@ -101,14 +101,31 @@ def _shared(docs: DataFrame, references: list[str], n: int, short: list[int]) ->
     return source.mapInArrow(run, fields)
 
 
+#: 64-bit words of the filter of reference n-grams: what is broadcast, however many there are.
+FILTER_WORDS = 1 << 20
+
+
+def _sifted(docs: DataFrame, ref: DataFrame) -> DataFrame:
+    """Rows (k, g) of the documents less most that no reference has, by a filter where they lie; rows that one has all stay."""
+    key, bits = F.xxhash64("k", "g"), F.xxhash64("g", "k")
+    word = F.pmod(key, F.lit(FILTER_WORDS)).alias("word")
+    one = F.lit(1).cast("long")
+    marks = [F.call_function("shiftleft", one, F.shiftright(bits, 6 * i).bitwiseAND(F.lit(63).cast("long")).cast("int")) for i in range(3)]
+    mark = marks[0].bitwiseOR(marks[1]).bitwiseOR(marks[2]).alias("mark")
+    filled = ref.select(word, mark).groupBy("word").agg(F.bit_or("mark").alias("filled"))
+    kept = docs.select("*", word, mark).join(F.broadcast(filled), "word").where(F.col("filled").bitwiseAND(F.col("mark")) == F.col("mark"))
+    return kept.drop("word", "mark", "filled")
+
+
 def ngram_overlap(docs: DataFrame, references: DataFrame, n: int = 8) -> DataFrame:
     """doc_id, ref_id, overlap: the share of a document's distinct n-grams that a reference has; pairs with some only.
 
     ``docs`` has doc_id and text, ``references`` ref_id and text.  The n of a pair is the
     least of n and both numbers of words, so a document has its n-grams at its own size and
     at those of shorter references.  Where the references are small, which is counted, their
-    n-grams are broadcast and only shared ones leave the documents; beyond that all meet in
-    a join.
+    n-grams are broadcast and only shared ones leave the documents; beyond that they meet in
+    a join, and a filter of bounded size says which documents' n-grams may be shared, so
+    that few others are shuffled until it fills up.
     """
     r = _counted(references, "ref_id")
     size = r.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.array_sort(F.collect_set(F.when(F.col("words") < n, F.col("words")))).alias("short")).first()
@@ -117,7 +134,7 @@ def ngram_overlap(docs: DataFrame, references: DataFrame, n: int = 8) -> DataFra
     if size["chars"] <= REFERENCE_CHARS:
         doc = _shared(docs, [row["text"] for row in r.select("text").collect()], n, size["short"])
     else:
-        doc = _exploded(docs, n, size["short"])
+        doc = _sifted(_exploded(docs, n, size["short"]), ref)
     pairs = doc.join(ref, ["k", "g"]).where(F.col("k") == F.least(F.lit(n), F.col("d_words"), F.col("r_words")))
     return pairs.groupBy("doc_id", "ref_id").agg((F.count("*") / F.max("n_grams")).alias("overlap"))
 
