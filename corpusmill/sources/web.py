@@ -5,7 +5,6 @@ from __future__ import annotations
 import socket
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import partial
 from typing import Any
 from urllib.parse import urljoin, urlparse
 
@@ -40,24 +39,37 @@ def resolve(host: str, port: int) -> list[str]:
     return sorted({info[4][0] for info in socket.getaddrinfo(host, port, type=socket.SOCK_STREAM)})
 
 
-def check(url: str, resolver: Callable[[str, int], list[str]] = resolve) -> None:
-    """Raise unless the scheme is http or https and no address of the host is blocked."""
+def check(url: str, resolver: Callable[[str, int], list[str]] = resolve) -> list[str]:
+    """The host's addresses; raises unless the scheme is http or https, the host has addresses and none is blocked."""
     parts = urlparse(url)
     if parts.scheme not in ("http", "https") or not parts.hostname:
         raise BlockedError(f"not an http address with a host: {url}")
-    for address in resolver(parts.hostname, parts.port or (443 if parts.scheme == "https" else 80)):
-        if address_blocked(address):
-            raise BlockedError(f"{parts.hostname} is at a blocked address")
+    addresses = resolver(parts.hostname, parts.port or (443 if parts.scheme == "https" else 80))
+    if not addresses or any(map(address_blocked, addresses)):
+        raise BlockedError(f"{parts.hostname} is at a blocked address" if addresses else f"{parts.hostname} has no address")
+    return addresses
 
 
-def open_url(url: str, most: int = MAX_BODY_BYTES) -> Response:
-    """One request without following redirects; one byte more than ``most`` is read at most."""
+def open_url(url: str, most: int = MAX_BODY_BYTES, address: str | None = None) -> Response:
+    """One request without following redirects; one byte more than ``most`` is read at most.
+
+    With an ``address`` the connection goes there, and the name is not resolved again: what
+    was checked is what is asked.
+    """
     import http.client
+    import ssl
 
     parts = urlparse(url)
-    kind = http.client.HTTPSConnection if parts.scheme == "https" else http.client.HTTPConnection
-    connection = kind(parts.hostname or "", parts.port, timeout=30)
+    host = parts.hostname or ""
+    if parts.scheme == "https":
+        context = ssl.create_default_context()
+        connection: http.client.HTTPConnection = http.client.HTTPSConnection(host, parts.port, timeout=30, context=context)
+    else:
+        context, connection = None, http.client.HTTPConnection(host, parts.port, timeout=30)
     try:
+        if address is not None:
+            plain = socket.create_connection((address, connection.port), 30)
+            connection.sock = context.wrap_socket(plain, server_hostname=host) if context else plain
         connection.request("GET", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), headers={"User-Agent": "corpusmill"})
         answer = connection.getresponse()
         return Response(answer.status, answer.read(most + 1), answer.getheader("Location"))
@@ -73,10 +85,9 @@ def fetch(url: str, opener: Callable[[str], Response] = open_url, resolver: Call
     """
     from corpusmill.sources.html import main_text, selected_text
 
-    ask = partial(open_url, most=max_body_bytes) if opener is open_url else opener
     for _ in range(MAX_REDIRECTS + 1):
-        check(url, resolver)
-        answer = ask(url)
+        addresses = check(url, resolver)
+        answer = open_url(url, max_body_bytes, addresses[0]) if opener is open_url else opener(url)
         if answer.status in (301, 302, 303, 307, 308):
             if not answer.location:
                 raise ValueError("a redirect without a target")

@@ -884,6 +884,30 @@ def test_cache_and_job_upkeep(spark, tmp_path):
     assert log.clean_up(30) == 0 and log.clean_up(-1) == 1 and log.jobs().count() == 0
 
 
+def test_a_fetch_goes_to_the_address_that_was_checked(model_server, monkeypatch):
+    import socket
+
+    from corpusmill.sources import web
+
+    url, _, _ = model_server
+    port = int(url.rpartition(":")[2])
+    # The name has no address of its own; this server knows no GET.
+    assert web.open_url(f"http://name.invalid:{port}/", address="127.0.0.1").status == 501
+    asked = []
+
+    def connect(target, *_):
+        asked.append(target)
+        raise OSError("no network")
+
+    monkeypatch.setattr(socket, "create_connection", connect)
+    for scheme, at in (("http", 80), ("https", 443), ("http", 8080)):
+        with pytest.raises(OSError, match="no network"):
+            web.fetch(f"{scheme}://name.example{'' if at < 1000 else f':{at}'}/x", resolver=lambda *_: ["93.184.216.34"])
+    assert asked == [("93.184.216.34", 80), ("93.184.216.34", 443), ("93.184.216.34", 8080)]
+    with pytest.raises(web.BlockedError, match="no address"):
+        web.fetch("http://name.example/", resolver=lambda *_: [])
+
+
 def test_fetch_checks_every_hop(spark):
     from corpusmill.sources import web
 
