@@ -133,9 +133,9 @@ def generate(rows: DataFrame, key: str, system: Column, user: Column, generator:
     return generation.generate(rows, key, system, user, generator or OfflineGenerator(), limits, log)
 
 
-def call_log(spark: SparkSession, name: str) -> str:
-    """A folder for the results of one job's calls, deleted with the tables of an open ``spent_tables`` block."""
-    return scratch(spark, f"calls-{name}")
+def call_log(spark: SparkSession, name: str, generator: Generator | None) -> str | None:
+    """A folder for the results of one job's calls, deleted with the tables of an open ``spent_tables`` block; none where calls cost nothing."""
+    return None if generator is None or isinstance(generator, OfflineGenerator) else scratch(spark, f"calls-{name}")
 
 
 def scaffold(conversations: DataFrame, generator: Generator | None = None, limits: Limits | None = None, log: str | None = None) -> DataFrame:
@@ -151,7 +151,7 @@ def scaffold(conversations: DataFrame, generator: Generator | None = None, limit
     def put(turns: list[dict] | None, answers: dict[int, str]) -> list[dict] | None:
         return turns and [{**t, "content": answers.get(i, t["content"])} for i, t in enumerate(turns)]
 
-    log = log or call_log(conversations.sparkSession, "scaffold")
+    log = log or call_log(conversations.sparkSession, "scaffold", generator)
     return generation.rewritten(conversations, "turns", prompts, put, generator or OfflineGenerator(), limits, log)
 
 
@@ -161,7 +161,7 @@ def judge(conversations: DataFrame, source: Column, generator: Generator, rubric
     Scores are clamped and the overall is their mean where the judge gives none; a reply
     without scores is an error of its own row.
     """
-    replies = generate(conversations, "conv_id", F.lit("You rate conversations."), judge_prompt(source, F.col("turns"), rubrics), generator, limits, log or call_log(conversations.sparkSession, "judge"))
+    replies = generate(conversations, "conv_id", F.lit("You rate conversations."), judge_prompt(source, F.col("turns"), rubrics), generator, limits, log or call_log(conversations.sparkSession, "judge", generator))
     text = extract_json_column(F.col("response"))
     scores = F.map_filter(F.from_json(text, "map<string,string>"), lambda k, _: ~k.isin("explanation", "error"))
     numbers = normalize_scores(F.transform_values(scores, lambda _, v: v.try_cast("double")))
@@ -194,7 +194,7 @@ def conversation_turns(response: Column, content: Column) -> Column:
 
 def socratic(chunks: DataFrame, generator: Generator | None = None, limits: Limits | None = None, log: str | None = None) -> DataFrame:
     """chunk_id, turns, reasoning_trace, error: a dialogue of questions on each chunk; null turns where the call or its JSON fails."""
-    replies = cut(generate(chunks, "chunk_id", F.lit("You teach by asking."), socratic_prompt(F.col("content"), F.col("source_type")), generator, limits, log or call_log(chunks.sparkSession, "socratic")), "socratic")
+    replies = cut(generate(chunks, "chunk_id", F.lit("You teach by asking."), socratic_prompt(F.col("content"), F.col("source_type")), generator, limits, log or call_log(chunks.sparkSession, "socratic", generator)), "socratic")
     parsed = F.from_json(extract_json_column(F.col("response")), f"conversation {TURNS}, reasoning string")
     read = replies.select("chunk_id", "error", parsed.alias("p"))
     return read.select("chunk_id", F.when(F.size("p.conversation") > 0, F.col("p.conversation")).alias("turns"), F.col("p.reasoning").alias("reasoning_trace"), "error")
@@ -216,7 +216,7 @@ def synthesize(
     # Written once: later steps must not call the generator again.
     generator = generator or OfflineGenerator()
     call = generation.resumed if log else generation.generate
-    log = log or call_log(chunks.sparkSession, "synthesize")
+    log = log or call_log(chunks.sparkSession, "synthesize", generator)
     made = cut(call(missing, "cache_key", F.lit(MODES[mode]), prompt, generator, limits=limits, log=log), "generated")
     have = made.select("cache_key", "response", "error") if cache is None else made.select("cache_key", "response", "error").unionByName(cache.select("cache_key", "response", "error"))
     answered = keyed.join(have.where("error is null"), "cache_key")

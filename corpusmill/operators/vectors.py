@@ -268,7 +268,8 @@ def placed(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: st
     kind = vectors.schema[key].dataType.simpleString()
     own = vectors.select(F.col(key).alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")).where(F.exists("v", lambda x: x != 0))
     n = own.count()
-    most = min(MOST_PIVOTS, -(-2 * n // block))
+    # What fits into one block is one cell.
+    most = min(MOST_PIVOTS, -(-2 * n // block)) if n > block else 1
     # The smallest hashes are a sample that does not depend on how rows are dealt.
     sample = [r["v"] for r in own.select("v", F.xxhash64("id").alias("turn")).orderBy("turn").limit(PIVOT_SAMPLE).collect()] if most > 1 else []
     by_width = {w: _pivots([x for x in sample if len(x) == w], most) for w in {len(x) for x in sample}}
