@@ -1,6 +1,6 @@
 """Command line: ingest, synthesize, export, validate, evaluate, jobs.
 
-    python -m corpusmill ingest FOLDER OUT [--size N --overlap N --prefix --embed --pii]
+    python -m corpusmill ingest FOLDER OUT [--size N --overlap N --prefix --embed --pii --structured]
     python -m corpusmill synthesize CHUNKS OUT [--mode MODE] [--provider NAME --model NAME --settings FILE] [--scaffold --judge --concurrency N --rpm N --log FOLDER]
     python -m corpusmill export CONVERSATIONS OUT --formats sharegpt,dpo [--split]
     python -m corpusmill validate CONVERSATIONS
@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     ingest.add_argument("--size", type=int, default=1000)
     ingest.add_argument("--overlap", type=int, default=200)
     ingest.add_argument("--chunker", default="auto")
-    for flag in ("prefix", "embed", "pii"):
+    for flag in ("prefix", "embed", "pii", "structured"):
         ingest.add_argument(f"--{flag}", action="store_true")
     synthesize = commands.add_parser("synthesize")
     synthesize.add_argument("chunks")
@@ -72,7 +72,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     a = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName("corpusmill").getOrCreate()
     if a.command == "ingest":
-        chunks, failed = jobs.ingest(spark, a.folder, IngestConfig(ChunkConfig(a.size, a.overlap, a.chunker), context_prefix=a.prefix, embed=a.embed, pii=a.pii))
+        chunks, failed = jobs.ingest(spark, a.folder, IngestConfig(ChunkConfig(a.size, a.overlap, a.chunker), context_prefix=a.prefix, embed=a.embed, pii=a.pii, structured=a.structured))
         chunks.write.mode("overwrite").parquet(a.out)
         failed.show(truncate=False)
     elif a.command == "synthesize":

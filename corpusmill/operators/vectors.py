@@ -79,6 +79,8 @@ class HashEmbedder:
     their three code points, others in a dictionary.
     """
 
+    made_by = "hash"
+
     def __init__(self, dim: int = DIM) -> None:
         import numpy as np
 

@@ -18,7 +18,7 @@ from corpusmill.sources.documents import read_folder
 def ingest(spark: SparkSession, folder: str, config: IngestConfig | None = None, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
     """(chunks, failed files) of a folder: load, chunk, then tables, prefix, embeddings, redaction in that order."""
     config = config or IngestConfig()
-    files = read_folder(spark, folder, recursive)
+    files = read_folder(spark, folder, recursive, structured=config.structured)
     made = C.chunk(files.where("error is null"), config.chunk)
     made = C.serialize_tables(made, config.tables)
     if config.context_prefix:

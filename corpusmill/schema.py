@@ -49,6 +49,7 @@ class IngestConfig:
     embed: bool = False
     pii: bool = False
     redact: bool = True
+    structured: bool = False
 
     def __post_init__(self) -> None:
         _need(self.tables in ("markdown", "sentences", "both"), f"unknown table mode: {self.tables}")

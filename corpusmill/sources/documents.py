@@ -140,23 +140,17 @@ def parse_html(text: str, name: str) -> tuple[str, dict]:
 
 
 def parse_docx(data: bytes, name: str) -> tuple[str, dict]:
-    """Paragraphs, then table rows joined by " | ", from the archive's own XML."""
-    import io
-    import zipfile
-    from xml.etree import ElementTree
-
-    word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-    archive = zipfile.ZipFile(io.BytesIO(data))
-    body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{word}body")
-    said = lambda node: "".join(t.text or "" for t in node.iter(f"{word}t"))
-    paragraphs = [p for p in map(said, body.findall(f"{word}p")) if p.strip()]
-    tables = body.findall(f"{word}tbl")
-    rows = [" | ".join(said(c).strip() for c in row.findall(f"{word}tc")) for table in tables for row in table.findall(f"{word}tr")]
-    core: dict[str, str] = {}
-    if "docProps/core.xml" in archive.namelist():
-        core = {node.tag.rpartition("}")[2]: node.text or "" for node in ElementTree.fromstring(archive.read("docProps/core.xml"))}
+    """Paragraphs, then rows of the tables, their filled cells joined by " | "; blank ones go."""
+    from corpusmill.sources.docx import Docx, said, table_rows
+
+    document = Docx(data)
+    nodes = list(document.blocks())
+    paragraphs = [said(n).strip() for n in nodes if n.tag.endswith("}p")]
+    tables = [n for n in nodes if n.tag.endswith("}tbl")]
+    rows = [" | ".join(filter(None, row)) for table in tables for row in table_rows(table)]
+    core = document.core
     tags = {"format": "docx", "subject": core.get("subject", ""), "keywords": core.get("keywords", ""), "created": core.get("created", ""), "modified": core.get("modified", ""), "paragraphs": str(len(paragraphs)), "tables": str(len(tables))}
-    return "\n\n".join([*paragraphs, *rows]), {"title": core.get("title") or None, "author": core.get("creator") or None, "custom_tags": tags}
+    return "\n\n".join(filter(None, [*paragraphs, *rows])), {"title": core.get("title") or None, "author": core.get("creator") or None, "custom_tags": tags}
 
 
 def parse_pdf(data: bytes, name: str) -> tuple[str, dict]:
@@ -170,9 +164,26 @@ def parse_pdf(data: bytes, name: str) -> tuple[str, dict]:
 
 PARSERS: dict[str, Callable[..., tuple[str, dict]]] = {"json": parse_json, "jupyter": parse_notebook, "html": parse_html, "docx": parse_docx, "pdf": parse_pdf}
 _BINARY = ("docx", "pdf")
+#: Kinds that can be read with their structure.
+STRUCTURED = ("docx", "html")
 
 
-def _parsed(files: DataFrame, kind: str) -> DataFrame:
+def parse_structured(data: Any, name: str, kind: str) -> tuple[str, dict]:
+    """The plain parse with Markdown of headings, lists and tables in reading order as its content; the plain content where that finds none."""
+    from corpusmill.sources import structure
+
+    content, more = PARSERS[kind](data, name)
+    try:
+        found = structure.READERS[kind](data)
+    except Exception:  # noqa: BLE001 - what the plain loader can read is read plainly
+        found = []
+    if found:
+        content = structure.markdown(found)
+        more = more | {"section_headers": [b.text for b in found if b.kind == "heading"]}
+    return content, more | {"custom_tags": more["custom_tags"] | {"parser": "structured" if found else "fallback"}}
+
+
+def _parsed(files: DataFrame, kind: str, structured: bool = False) -> DataFrame:
     """One Arrow pass over (file_path, file_name, data); a file's failure is its own row's error."""
     importable(files.sparkSession)
     ddl = "file_path string, file_name string, content string, title string, author string, language string, section_headers array<string>, custom_tags map<string,string>, error string"
@@ -194,7 +205,7 @@ def _parsed(files: DataFrame, kind: str) -> DataFrame:
                             data = data.decode()
                         except UnicodeDecodeError:
                             data = data.decode("latin-1")
-                    row["content"], more = parse(data, name)
+                    row["content"], more = parse_structured(data, name, kind) if structured else parse(data, name)
                     row |= {k: list(v.items()) if k == "custom_tags" else v for k, v in more.items()}
                 except Exception as failure:  # noqa: BLE001 - reported in the row
                     row["error"] = f"{type(failure).__name__}: {failure}"
@@ -214,8 +225,10 @@ def _shape(rows: DataFrame, source_type: str, **columns: Column) -> DataFrame:
     return full.select("file_path", "file_name", F.lit(source_type).alias("source_type"), F.coalesce(F.nullif("title", F.lit("")), stem(F.col("file_name"))).alias("title"), "author", "language", "section_headers", "custom_tags", "content", "error")
 
 
-def load(files: DataFrame, kind: str) -> DataFrame:
-    """Files (file_path, file_name, content as bytes) of one kind, loaded."""
+def load(files: DataFrame, kind: str, structured: bool = False) -> DataFrame:
+    """Files (file_path, file_name, content as bytes) of one kind, loaded; ``structured`` gives HTML and DOCX as Markdown."""
+    if structured and kind in STRUCTURED:
+        return _shape(_parsed(files, kind, structured=True), "markdown")
     if kind in PARSERS:
         return _shape(_parsed(files, kind), {"jupyter": "code", "pdf": "pdf"}.get(kind, "text"))
     text = files.select("file_path", "file_name", decoded(F.col("content")).alias("content"))
@@ -321,10 +334,9 @@ def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
             return reduce(DataFrame.unionByName, levels).where("not folder").drop("folder")
 
 
-def _opened(files: DataFrame) -> DataFrame:
+def _opened(files: DataFrame, most: int = dispatch.MAX_FILE_BYTES) -> DataFrame:
     """Files (uri, file_path, file_name, length, kind) with their content; one of unknown kind is text where its first bytes are, else an error, and no more of it is read."""
     importable(files.sparkSession)
-    most = dispatch.MAX_FILE_BYTES
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
@@ -352,13 +364,14 @@ def _opened(files: DataFrame) -> DataFrame:
     return files.select("uri", "file_path", "file_name", "length", "kind").mapInArrow(run, "file_path string, file_name string, kind string, content binary, error string")
 
 
-def read_folder(spark: SparkSession, path: str, recursive: bool = True, kinds: tuple[str, ...] = tuple(dispatch.LOADERS), sniff: bool = False, modules: bool = False) -> DataFrame:
+def read_folder(spark: SparkSession, path: str, recursive: bool = True, kinds: tuple[str, ...] = tuple(dispatch.LOADERS), sniff: bool = False, modules: bool = False, structured: bool = False, max_bytes: int = dispatch.MAX_FILE_BYTES) -> DataFrame:
     """All supported files below a folder, loaded each by its kind.
 
-    Files over the size limit, and kinds whose parser is missing, become error rows.  With
+    Files over ``max_bytes``, and kinds whose parser is missing, become error rows.  With
     ``sniff`` so do files of unknown kinds, but for those whose first bytes are text, which
     are loaded as such, and files that Spark's readers pass over (empty ones, names that begin
     with _): then every file has a row.  ``modules`` adds module_path, null but for code.
+    ``structured`` reads HTML and DOCX as Markdown of their headings, lists and tables.
     """
     root = path.rstrip("/") + "/"
 
@@ -371,17 +384,17 @@ def read_folder(spark: SparkSession, path: str, recursive: bool = True, kinds: t
         below = F.when(base.startswith(root), F.substring(base, F.lit(len(root) + 1), F.length(base))).otherwise(base)
         return files.select(base.alias("file_path"), F.substring_index("path", "/", -1).alias("file_name"), "length", "content", below.alias("below")).where(~dispatch.ignored(F.col("below")))
 
-    fits = F.col("length") <= dispatch.MAX_FILE_BYTES
+    fits = F.col("length") <= max_bytes
     parts = []
     for kind in kinds:
         files = found(kind)
-        parts += [load(files.where(fits), kind), _shape(files.where(~fits).select("file_path", "file_name"), "text", error=F.lit("file too large"))]
+        parts += [load(files.where(fits), kind, structured), _shape(files.where(~fits).select("file_path", "file_name"), "text", error=F.lit("file too large"))]
     every = list_files(spark, path, recursive).withColumn("kind", dispatch.loader(F.col("file_path"))) if sniff or modules else None
     if sniff:
         # Only files of unknown kinds, and those that the readers above pass over, are opened here.
         passed = F.col("kind").isin("unknown", *kinds) & ((F.col("kind") == "unknown") | F.col("file_name").startswith("_") | (F.col("length") == 0))
-        told = cut(_opened(every.where(passed)), "opened")
-        parts += [load(told.where((F.col("kind") == kind) & F.col("error").isNull()), kind) for kind in kinds]
+        told = cut(_opened(every.where(passed), max_bytes), "opened")
+        parts += [load(told.where((F.col("kind") == kind) & F.col("error").isNull()), kind, structured) for kind in kinds]
         parts.append(_shape(told.where("error is not null").select("file_path", "file_name", "error"), "text"))
     loaded = reduce(DataFrame.unionByName, parts)
     if not modules:
