@@ -11,10 +11,14 @@ import json
 import os
 import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+from pyspark.sql import DataFrame
+
+from corpusmill.operators.shared import importable
+
 Messages = list[dict[str, str]]
 
 
@@ -117,7 +121,8 @@ def _azure_payload(client: HttpClient, messages: Messages, temperature: float, m
 
 
 def _split_system(messages: Messages) -> tuple[str, Messages]:
-    return next((m["content"] for m in messages if m["role"] == "system"), ""), [m for m in messages if m["role"] != "system"]
+    """The last system message, and all others."""
+    return next((m["content"] for m in reversed(messages) if m["role"] == "system"), ""), [m for m in messages if m["role"] != "system"]
 
 
 def _anthropic_payload(client: HttpClient, messages: Messages, temperature: float, most: int | None, wanted: dict[str, Any] | None) -> dict[str, Any]:
@@ -331,3 +336,60 @@ class Providers:
                     row.get("rpm_limit", 60),
                 )
             )
+
+
+# Batches: calls written as a table and answers read from one, for vendors that take them as files
+
+
+def requests(rows: DataFrame, clients: dict[str, HttpClient], key: str, temperature: float = 0.7, max_tokens: int | None = None) -> DataFrame:
+    """``key``, provider, url, body of rows (``key``, provider, messages as array of role and content).
+
+    ``clients`` are by provider; their keys are left out of what is written.  A row of another
+    provider, or without messages, has a null url and body.
+    """
+    importable(rows.sparkSession)
+    bare = {name: replace(client, key=None) for name, client in clients.items()}
+    source = rows.select(key, "provider", "messages")
+
+    def made(provider: str | None, messages: Messages | None) -> tuple[str | None, str | None]:
+        client = bare.get(provider or "")
+        if client is None or not messages:
+            return None, None
+        said = [{"role": m["role"], "content": m["content"] or ""} for m in messages]
+        body = WIRES[client.wire].payload(client, said, temperature, max_tokens, None)
+        return client.base_url.rstrip("/") + WIRES[client.wire].path(client), json.dumps(body, ensure_ascii=False, separators=(",", ":"))
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+
+        for batch in batches:
+            pairs = [made(p, m) for p, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[i] for x in pairs], pa.string()) for i in (0, 1))], names=[key, "provider", "url", "body"])
+
+    return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, provider string, url string, body string")
+
+
+def replies(rows: DataFrame, wires: dict[str, str], key: str) -> DataFrame:
+    """``key``, provider, content, model, tokens_in, tokens_out, finish, error of answers (``key``, provider, body as JSON).
+
+    ``wires`` has the wire by provider.  What is no answer of that wire is an error and has nothing else.
+    """
+    importable(rows.sparkSession)
+    source = rows.select(key, "provider", "body")
+
+    def read(provider: str | None, body: str | None) -> tuple[Any, ...]:
+        try:
+            got = WIRES[wires[provider or ""]].read(json.loads(body or ""))
+            return got.content, got.model, got.tokens_in, got.tokens_out, got.finish, None
+        except Exception as failure:  # noqa: BLE001 - reported in the row
+            return None, None, None, None, None, type(failure).__name__
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+
+        kinds = (("content", pa.string()), ("model", pa.string()), ("tokens_in", pa.int64()), ("tokens_out", pa.int64()), ("finish", pa.string()), ("error", pa.string()))
+        for batch in batches:
+            found = [read(p, b) for p, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[i] for x in found], kind) for i, (_, kind) in enumerate(kinds))], names=[key, "provider", *(name for name, _ in kinds)])
+
+    return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, provider string, content string, model string, tokens_in bigint, tokens_out bigint, finish string, error string")

@@ -7,6 +7,7 @@ import os
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -45,8 +46,14 @@ def _local_folder() -> str:
     return f"file://{folder}"
 
 
-#: Paths of tables cut inside the open ``spent_tables`` blocks, the innermost last.
-_spent: list[list[str]] = []
+class _Spent(threading.local):
+    """Paths of tables cut inside the open ``spent_tables`` blocks of a thread, the innermost last."""
+
+    def __init__(self) -> None:
+        self.paths: list[list[str]] = []
+
+
+_spent = _Spent()
 
 
 def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -57,8 +64,8 @@ def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/corpusmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _spent and not keep:
-        _spent[-1].append(path)
+    if _spent.paths and not keep:
+        _spent.paths[-1].append(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.cut_path = path
     return table
@@ -67,8 +74,8 @@ def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """The path of a new folder in the shared folder; a ``spent_tables`` block around this deletes it."""
     path = f"{shared_folder(spark).rstrip('/')}/corpusmill/{name}-{uuid.uuid4().hex}"
-    if _spent:
-        _spent[-1].append(path)
+    if _spent.paths:
+        _spent.paths[-1].append(path)
     return path
 
 
@@ -80,7 +87,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table made by ``cut`` that nothing reads any more."""
     _delete(df.sparkSession, df.cut_path)
-    for paths in _spent:
+    for paths in _spent.paths:
         if df.cut_path in paths:
             paths.remove(df.cut_path)
 
@@ -88,11 +95,11 @@ def drop_cut(df: DataFrame) -> None:
 @contextmanager
 def spent_tables(spark: SparkSession) -> Iterator[None]:
     """At the block's end, delete the tables cut inside it."""
-    _spent.append([])
+    _spent.paths.append([])
     try:
         yield
     finally:
-        for path in _spent.pop():
+        for path in _spent.paths.pop():
             _delete(spark, path)
 
 

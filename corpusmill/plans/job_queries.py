@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from corpusmill.operators import chunks as C
 from corpusmill.operators import generation
 from corpusmill.operators import splits as S
 from corpusmill.operators import synthesis as G
-from corpusmill.operators.clients import Client, ClientError, Messages, Reply
+from corpusmill.operators.clients import Client, ClientError, HttpClient, Messages, Reply, replies, requests
+from corpusmill.operators.conversations import assemble
 from corpusmill.operators.generation import Limits
 from corpusmill.operators.jobs import JobLog
 from corpusmill.operators.shared import importable, scratch, shared_folder
@@ -394,3 +396,51 @@ def card_lines(spark, d):
     lines = jobs.dataset_card(A.conversations(spark, d), "set", ["sharegpt"]).split("\n")
     wanted = ("pretty_name", "- n", "- 1", "| conversations", "| turns |", "Layouts")
     return spark.createDataFrame([(x,) for x in lines if x.startswith(wanted)], "line string")
+
+
+# Batches of calls
+
+_PROVIDERS = ("openai", "gateway", "vllm", "azure", "anthropic", "gemini", "ollama")
+_WIRED = {p: HttpClient("http://host/v1/", "m", wire=p) for p in _PROVIDERS}
+_BRIEF = "Be brief."
+_OPEN = "'model', 'm', 'messages', messages, 'temperature', 0.7::DOUBLE"
+
+
+@query(f"""WITH c AS (SELECT conv_id, list({{'role': role, 'content': text}} ORDER BY turn) AS said FROM conversations GROUP BY conv_id),
+m AS (SELECT *, ({list(_PROVIDERS)})[conv_id % 7 + 1] AS provider, list_prepend({{'role': 'system', 'content': '{_BRIEF}'}}, said) AS messages, list_filter(said, lambda x: x.role <> 'system') AS rest,
+  coalesce(list_filter(said, lambda x: x.role = 'system')[-1].content, '{_BRIEF}') AS system FROM c)
+SELECT conv_id, provider, 'http://host/v1' || CASE provider WHEN 'azure' THEN '/openai/deployments/m/chat/completions?api-version=2024-10-21' WHEN 'anthropic' THEN '/messages' WHEN 'gemini' THEN '/models/m:generateContent?key=' WHEN 'ollama' THEN '/api/chat' ELSE '/chat/completions' END AS url,
+  CAST(CASE provider WHEN 'gateway' THEN json_object({_OPEN}, 'max_tokens', 256, 'max_completion_tokens', 256) WHEN 'azure' THEN json_object('messages', messages, 'temperature', 0.7::DOUBLE, 'max_tokens', 256)
+  WHEN 'anthropic' THEN json_object('model', 'm', 'messages', rest, 'temperature', 0.7::DOUBLE, 'max_tokens', 256, 'system', system)
+  WHEN 'gemini' THEN json_object('contents', list_transform(rest, lambda x: {{'role': CASE WHEN x.role = 'assistant' THEN 'model' ELSE 'user' END, 'parts': [{{'text': x.content}}]}}), 'generationConfig', json_object('temperature', 0.7::DOUBLE, 'maxOutputTokens', 256), 'system_instruction', {{'parts': [{{'text': system}}]}})
+  WHEN 'ollama' THEN json_object('model', 'm', 'messages', messages, 'stream', false, 'options', json_object('temperature', 0.7::DOUBLE, 'num_predict', 256)) ELSE json_object({_OPEN}, 'max_tokens', 256) END AS VARCHAR) AS body FROM m""")
+def client_requests(spark, d):
+    """Each conversation as a call of one of the seven wire formats."""
+    system = F.array(F.struct(F.lit("system").alias("role"), F.lit(_BRIEF).alias("content")))
+    said = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    provider = F.element_at(F.array(*map(F.lit, _PROVIDERS)), (F.col("conv_id") % 7 + 1).cast("int"))
+    rows = assemble(A.table(spark, d, "conversations")).select("conv_id", provider.alias("provider"), F.concat(system, said).alias("messages"))
+    return requests(rows, _WIRED, "conv_id", max_tokens=256)
+
+
+@query(f"""WITH r AS (SELECT conv_id * 100 + turn AS id, ({list(_PROVIDERS)})[(conv_id + turn) % 7 + 1] AS provider, text, turn, (conv_id + turn) % 11 = 0 AS broken FROM conversations)
+SELECT id, provider, CASE WHEN NOT broken THEN text END AS content, CASE WHEN NOT broken THEN 'm' END AS model, CASE WHEN NOT broken THEN turn::BIGINT END AS tokens_in, CASE WHEN NOT broken THEN length(text) END AS tokens_out,
+  CASE WHEN NOT broken THEN CASE provider WHEN 'anthropic' THEN 'end_turn' WHEN 'gemini' THEN 'STOP' ELSE 'stop' END END AS finish, CASE WHEN broken THEN 'JSONDecodeError' END AS error FROM r""")
+def client_replies(spark, d):
+    """Each turn as an answer in one of the seven wire formats, read; every eleventh is cut off."""
+    text, used = F.col("text"), (F.col("turn").cast("long"), F.length("text").cast("long"))
+    counts = lambda *names: F.struct(*(u.alias(n) for u, n in zip(used, names, strict=True)))
+    model = F.lit("m").alias("model")
+    choice = F.struct(F.struct(text.alias("content")).alias("message"), F.lit("stop").alias("finish_reason"))
+    plain = F.to_json(F.struct(model, F.array(choice).alias("choices"), counts("prompt_tokens", "completion_tokens").alias("usage")))
+    parts = F.array(F.struct(F.substring(text, 1, 3).alias("text")), F.struct(F.substring(text, F.lit(4), F.length(text)).alias("text")))
+    bodies = {
+        "anthropic": F.to_json(F.struct(model, parts.alias("content"), F.lit("end_turn").alias("stop_reason"), counts("input_tokens", "output_tokens").alias("usage"))),
+        "gemini": F.to_json(F.struct(F.lit("m").alias("modelVersion"), F.array(F.struct(F.struct(parts.alias("parts")).alias("content"), F.lit("STOP").alias("finishReason"))).alias("candidates"), counts("promptTokenCount", "candidatesTokenCount").alias("usageMetadata"))),
+        "ollama": F.to_json(F.struct(model, F.struct(text.alias("content")).alias("message"), F.lit(True).alias("done"), used[0].alias("prompt_eval_count"), used[1].alias("eval_count"))),
+    }
+    n = F.col("conv_id") + F.col("turn")
+    provider = F.element_at(F.array(*map(F.lit, _PROVIDERS)), (n % 7 + 1).cast("int"))
+    body = reduce(lambda made, name: F.when(provider == name, bodies[name]).otherwise(made), bodies, plain)
+    rows = A.table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), provider.alias("provider"), F.when(n % 11 == 0, F.left(body, F.lit(9))).otherwise(body).alias("body"))
+    return replies(rows, {p: p for p in _PROVIDERS}, "id")

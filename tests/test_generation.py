@@ -184,3 +184,40 @@ def test_two_judges(spark):
     assert row["audit_overall"] is None and row["judge_agreement"] is None and row["audit_error"]
     row = G.judge_twice(rows, F.lit("s"), Rates(3), Rates(5), F.col("judge_overall") > 6).first()
     assert row["judge_overall"] == 3 and row["audit_overall"] is None and row["audit_error"] is None
+
+
+def test_calls_as_tables(spark):
+    from corpusmill.operators.clients import HttpClient, replies, requests
+
+    ddl = "id int, provider string, messages array<struct<role:string,content:string>>"
+    rows = spark.createDataFrame([(1, "a", [("system", "s"), ("user", None), ("system", "t")]), (2, "b", []), (3, "b", None), (4, "x", [("user", "u")]), (5, None, [("user", "u")]), (6, "b", [("user", "é")])], ddl)
+    clients = {"a": HttpClient("http://h/", "m", key="secret", wire="anthropic"), "b": HttpClient("http://h", "o1-x", wire="openai")}
+    got = {r["id"]: (r["url"], r["body"]) for r in requests(rows, clients, "id", max_tokens=5).collect()}
+    assert got[1] == ("http://h/messages", '{"model":"m","messages":[{"role":"user","content":""}],"temperature":0.7,"max_tokens":5,"system":"t"}')
+    assert got[6] == ("http://h/chat/completions", '{"model":"o1-x","messages":[{"role":"user","content":"é"}],"temperature":0.7,"max_completion_tokens":5}')
+    assert all(got[i] == (None, None) for i in (2, 3, 4, 5)) and "secret" not in str(got)
+
+    bodies = [(1, "a", '{"content":[{"text":"x"},{"type":"tool"},{"text":"y"}],"usage":{"input_tokens":2}}'), (2, "b", '{"choices":[]}'), (3, "b", None), (4, "x", "{}"), (5, "b", '{"choices":[{"message":null}]}')]
+    read = {r["id"]: (r["content"], r["tokens_in"], r["finish"], r["error"]) for r in replies(spark.createDataFrame(bodies, "id int, provider string, body string"), {"a": "anthropic", "b": "openai"}, "id").collect()}
+    assert read == {1: ("xy", 2, "stop", None), 2: (None, None, None, "IndexError"), 3: (None, None, None, "JSONDecodeError"), 4: (None, None, None, "KeyError"), 5: ("", 0, "stop", None)}
+
+
+def test_spent_tables_are_a_threads_own(spark):
+    import threading
+
+    from corpusmill.operators.shared import cut, spent_tables
+
+    begun, go = threading.Event(), threading.Event()
+
+    def other():
+        with spent_tables(spark):
+            begun.set()
+            go.wait(60)
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    assert begun.wait(60)
+    kept = cut(spark.range(3), "kept")
+    go.set()
+    thread.join()
+    assert kept.count() == 3
