@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -29,6 +30,8 @@ _BLOCKS = frozenset("address article aside blockquote body caption dd details di
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
+#: Blocks that leave a task together.
+BATCH = 1_000
 #: Lists deeper than this are set in no further.
 MOST_INDENT = 20
 
@@ -300,24 +303,26 @@ def blocks(files: DataFrame, kind: str) -> DataFrame:
     ``error`` whose text tells why; one without text has no row, nor has one whose content is null.
     """
     importable(files.sparkSession)
-    shape = "array<struct<kind:string,text:string,level:int,number:int,rows:array<array<string>>,headers:array<string>>>"
-    fields = T.StructType.fromDDL(f"file_path string, blocks {shape}")
+    fields = T.StructType.fromDDL("file_path string, i int, kind string, level int, number int, text string, rows array<array<string>>, headers array<string>")
+
+    def told(path: str, data: Any) -> Iterator[tuple]:
+        try:
+            found = READERS[kind](data if kind == "docx" else decoded_text(data))
+        except Exception as failure:  # noqa: BLE001 - reported in the row
+            found = [Block("error", f"{type(failure).__name__}: {failure}")]
+        for i, b in enumerate(found):
+            yield path, i, b.kind, b.level, b.number, b.text, b.rows, b.headers
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema, read = to_arrow_schema(fields), READERS[kind]
-        for batch in batches:
-            for path, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    found = read(data if kind == "docx" else decoded_text(data))
-                except Exception as failure:  # noqa: BLE001 - reported in the row
-                    found = [Block("error", f"{type(failure).__name__}: {failure}")]
-                yield pa.RecordBatch.from_pylist([{"file_path": path, "blocks": [asdict(b) for b in found]}], schema=schema)
-
-    read = files.where("content IS NOT NULL").select("file_path", F.col("content").cast("binary").alias("content")).mapInArrow(run, fields)
-    return read.select("file_path", F.posexplode("blocks").alias("i", "b")).select("file_path", "i", "b.kind", "b.level", "b.number", "b.text", "b.rows", "b.headers")
+        schema = to_arrow_schema(fields)
+        made = (row for batch in batches for path, data in zip(*batch.columns, strict=True) for row in told(path.as_py(), data.as_py()))
+        while some := list(islice(made, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+    return files.where("content IS NOT NULL").select("file_path", F.col("content").cast("binary").alias("content")).mapInArrow(run, fields)
 
 
 def table_sentences(found: DataFrame) -> DataFrame:
