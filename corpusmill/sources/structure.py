@@ -318,11 +318,12 @@ def blocks(files: DataFrame, kind: str) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(fields)
-        made = (row for batch in batches for path, data in zip(*batch.columns, strict=True) for row in told(path.as_py(), data.as_py()))
+        # Null contents are left out here: a filter in the plan would work the contents out twice.
+        made = (row for batch in batches for path, data in zip(*batch.columns, strict=True) if data.is_valid for row in told(path.as_py(), data.as_py()))
         while some := list(islice(made, BATCH)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
 
-    return files.where("content IS NOT NULL").select("file_path", F.col("content").cast("binary").alias("content")).mapInArrow(run, fields)
+    return files.select("file_path", F.col("content").cast("binary").alias("content")).mapInArrow(run, fields)
 
 
 def table_sentences(found: DataFrame) -> DataFrame:
