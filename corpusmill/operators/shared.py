@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,31 @@ def _local_folder() -> str:
     return f"file://{folder}"
 
 
+#: Rows and bytes that a pass works on at once: what it makes of them, which may be many times as much, is held together.
+PASS_ROWS = 256
+PASS_BYTES = 2_000_000
+
+
+def bounded(batches: Iterator[Any], rows: int = PASS_ROWS, most: int = PASS_BYTES) -> Iterator[Any]:
+    """Parts of Arrow batches with at most ``rows`` rows and ``most`` bytes in texts and binaries, or one row."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            n = max(1, min(int(np.searchsorted(ends, before + most, "right")) - at, rows))
+            yield batch.slice(at, n)
+            at += n
+
+
 class _Spent(threading.local):
     """Paths of tables cut inside the open ``spent_tables`` blocks of a thread, the innermost last."""
 

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.shared import cut, drop_cut, importable
+from corpusmill.operators.shared import bounded, cut, drop_cut, importable
 
 DIM = 256
 #: Vectors a block holds; a task compares two blocks.
@@ -40,7 +40,7 @@ def embed(rows: DataFrame, key: str, text: str, embedder: Any) -> DataFrame:
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in bounded(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             vectors = [[float(x) for x in v] for v in embedder.embed(texts)] if texts else []
             made_by = pa.array([getattr(embedder, "made_by", type(embedder).__name__)] * len(texts), pa.string())
@@ -58,7 +58,7 @@ def hash_embed(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFram
         import pyarrow as pa
 
         embed = HashEmbedder(dim).embed
-        for batch in batches:
+        for batch in bounded(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             vectors = pa.ListArray.from_arrays(pa.array(range(0, (len(texts) + 1) * dim, dim), pa.int32()), pa.array(embed(texts).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), vectors, pa.array([max(1, len(t) // 4) for t in texts], pa.int32())], names=[key, "embedding", "tokens"])
@@ -254,29 +254,71 @@ def _angles(rows: list, pivots: Any) -> Any:
     return np.arccos(np.clip(matrix @ pivots.T, -1, 1))
 
 
-def placed(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+def _sampled(vectors: DataFrame, key: str, vector: str, block: int) -> tuple[DataFrame, int, int, dict[int, list]]:
+    """(id, v) without null, empty and zero vectors; their number; pivots to choose; a sample by width, empty where one cell will do."""
+    own = vectors.select(F.col(key).alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")).where(F.exists("v", lambda x: x != 0))
+    n = own.count()
+    # What fits into one block is one cell.
+    most = min(MOST_PIVOTS, -(-2 * n // block)) if n > block else 1
+    # The smallest hashes are a sample that does not depend on how rows are dealt.
+    # Each task sends its smallest ones, so those that cannot be among them by far are left out before.
+    turn = own.select("v", F.xxhash64("id").alias("turn"))
+    few = turn.where(F.col("turn") <= -(2**63) + 2**64 * 2 * PIVOT_SAMPLE // n) if n > 2 * PIVOT_SAMPLE else turn
+    sample = [r["v"] for r in few.orderBy("turn").limit(PIVOT_SAMPLE).collect()] if most > 1 else []
+    return own, n, most, {w: [x for x in sample if len(x) == w] for w in {len(x) for x in sample}}
+
+
+def _limit(threshold: float) -> float:
+    """The angle of two vectors at the threshold."""
+    from math import acos
+
+    return acos(max(-1.0, min(1.0, threshold))) + SLACK
+
+
+def _visited(angles: Any, radius: Any, limit: float) -> tuple[Any, Any]:
+    """The home of each vector, and as a matrix the later cells that it visits."""
+    import numpy as np
+
+    home = angles.argmin(axis=1)
+    nearest = angles[np.arange(len(home)), home]
+    later = np.arange(angles.shape[1]) > home[:, None]
+    return home, later & (angles - radius <= limit) & (angles - nearest[:, None] <= 2 * limit)
+
+
+def _copies(sample: dict[int, list], most: int, n: int, limit: float, block: int) -> float:
+    """How often a vector would be copied, by the sample: once for each block of each of its cells."""
+    import numpy as np
+
+    total = sum(map(len, sample.values()))
+    made = 0.0
+    for rows in sample.values():
+        pivots = _pivots(rows, most)
+        angles = _angles(rows, pivots)
+        radius = np.full(len(pivots), -np.inf)
+        np.maximum.at(radius, angles.argmin(axis=1), angles.min(axis=1))
+        home, near = _visited(angles, radius, limit)
+        held = (near.sum(axis=0) + np.bincount(home, minlength=len(pivots))) * n / total
+        made += float((held * np.ceil(held / block)).sum())
+    return made / max(1, n)
+
+
+def placed(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, known: tuple | None = None) -> DataFrame:
     """id, v, cell, visitor: each vector in the cell of its nearest pivot, and as a visitor in each later cell that may hold a similar one.
 
     Angles keep the triangle inequality, so a cell holds nothing within t of a vector whose
     angle to its pivot exceeds the cell's largest by more than t, nor if that angle
     exceeds the one to the vector's own pivot by more than 2 t.  The cells of one vector
     follow from its own angles and a radius for each pivot, which are broadcast.  Vectors
-    that are null, empty or zero are similar to none and left out.
+    that are null, empty or zero are similar to none and left out.  ``known`` is what
+    ``_sampled`` gave, if it was called before.
     """
-    from math import acos
-
     spark = vectors.sparkSession
     importable(spark)
     kind = vectors.schema[key].dataType.simpleString()
-    own = vectors.select(F.col(key).alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")).where(F.exists("v", lambda x: x != 0))
-    n = own.count()
-    # What fits into one block is one cell.
-    most = min(MOST_PIVOTS, -(-2 * n // block)) if n > block else 1
-    # The smallest hashes are a sample that does not depend on how rows are dealt.
-    sample = [r["v"] for r in own.select("v", F.xxhash64("id").alias("turn")).orderBy("turn").limit(PIVOT_SAMPLE).collect()] if most > 1 else []
-    by_width = {w: _pivots([x for x in sample if len(x) == w], most) for w in {len(x) for x in sample}}
+    own, _, most, sample = known or _sampled(vectors, key, vector, block)
+    by_width = {w: _pivots(rows, most) for w, rows in sample.items()}
     shared = spark.sparkContext.broadcast(by_width)
-    limit = acos(max(-1.0, min(1.0, threshold))) + SLACK
+    limit = _limit(threshold)
 
     def each_width(batch: Any) -> Iterator[tuple[int, Any, Any]]:
         """(width, places in the batch, angles to that width's pivots or None where it has none)."""
@@ -315,12 +357,9 @@ def placed(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: st
             for width, at, angles in each_width(batch):
                 row, cell, visitor = at, np.zeros(len(at), np.int64), np.zeros(len(at), bool)
                 if angles is not None:
-                    home = angles.argmin(axis=1)
-                    nearest = angles[np.arange(len(home)), home]
                     # A cell that no vector has for home has no radius and no visitors.
                     radius = np.array([radii.get(width, {}).get(i, -np.inf) for i in range(angles.shape[1])])
-                    later = np.arange(angles.shape[1]) > home[:, None]
-                    near = later & (angles - radius <= limit) & (angles - nearest[:, None] <= 2 * limit)
+                    home, near = _visited(angles, radius, limit)
                     i, j = np.nonzero(near)
                     row, cell, visitor = np.concatenate((at, at[i])), np.concatenate((home, j)), np.concatenate((visitor, np.ones(len(i), bool)))
                 taken = batch.take(pa.array(row))
@@ -329,6 +368,10 @@ def placed(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: st
     return own.mapInArrow(dealt, f"id {kind}, v array<double>, cell bigint, visitor boolean")
 
 
+#: Copies of a vector that cells may make on average; where they would make more, blocks are compared without copies.
+MOST_COPIES = 2.0
+
+
 def similar_pairs(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """a, b (a < b), similarity of all pairs at ``threshold`` or more: exact.
 
@@ -336,15 +379,181 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id
     never meet.  A cell over a block is dealt to blocks by hash; each pair of its blocks is
     compared in one task as two matrices, and only similar pairs leave it.
     How much is saved follows the threshold: at low ones, as between unrelated vectors of
-    many dimensions, no cell is far and all meet all.
+    many dimensions, no cell is far, and each vector would be copied to all.  Where a sample
+    tells so, ``_by_blocks`` compares them: the work is the square, what is moved is not.
     """
     kind = vectors.schema[key].dataType.simpleString()
-    cells = placed(vectors, threshold, key, vector, block)
+    known = _sampled(vectors, key, vector, block)
+    own, n, most, sample = known
+    if _copies(sample, most, n, _limit(threshold), block) > MOST_COPIES:
+        return _by_blocks(own, n, sample, threshold, block)
+    cells = placed(vectors, threshold, key, vector, block, known)
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     met = _met(cells, sizes, "cell", "visitor")
     return met.groupBy("cell", "low", "high").applyInArrow(lambda table: _similar(table, threshold), f"a {kind}, b {kind}, similarity double")
 
 
+#: Directions that vectors are projected on to tell far ones cheaply, bytes of a file of blocks, and of a block.
+DIRECTIONS = 16
+BLOCK_FILE = 16_000_000
+BLOCK_BYTES = 2_000_000
+#: Bytes of blocks that a task is sent at once.
+SENT_BYTES = "8m"
+
+
+def _unit(lists: Any, width: int) -> Any:
+    """Vectors of one width, an Arrow array of lists, as a matrix with rows of length 1."""
+    import numpy as np
+
+    matrix = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+
+
+def _basis(rows: list, width: int) -> tuple[Any, Any]:
+    """The directions in which a sample differs most, and for three of them seven borders that part it evenly."""
+    import numpy as np
+
+    matrix = np.array(rows, float).reshape(-1, width)
+    matrix = matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    directions = np.zeros((DIRECTIONS, width))
+    found = np.linalg.svd(matrix - matrix.mean(axis=0), full_matrices=False)[2][:DIRECTIONS] if len(matrix) else directions[:0]
+    directions[: len(found)] = found
+    return directions, np.quantile(matrix @ directions[:3].T, np.arange(1, 8) / 8, axis=0).T if len(matrix) else np.zeros((3, 7))
+
+
+def _compared(a: Any, b: Any, threshold: float, directions: Any, same: bool) -> tuple[Any, Any, Any]:
+    """Places of similar rows of two matrices of unit rows, and their similarity; of one block, each pair once."""
+    import numpy as np
+
+    near = np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+    i = j = None
+    if near < 1:
+        # A projection shortens a distance; 32 bits tell it to within the slack that is added.
+        p, q = a @ directions.T, b @ directions.T
+        left = np.flatnonzero((np.maximum(0, np.maximum(q.min(axis=0) - p, p - q.max(axis=0))) ** 2).sum(axis=1) <= near * near)
+        right = np.flatnonzero((np.maximum(0, np.maximum(p.min(axis=0) - q, q - p.max(axis=0))) ** 2).sum(axis=1) <= near * near)
+        p, q = p[left].astype(np.float32), q[right].astype(np.float32)
+        far = p @ q.T
+        far *= -2
+        far += (p * p).sum(axis=1)[:, None]
+        far += (q * q).sum(axis=1)
+        hit = np.flatnonzero(far.ravel() <= near * near + 1e-5)
+        if len(hit) * 20 <= len(a) * len(b):
+            i, j = left[hit // max(1, len(right))], right[hit % max(1, len(right))]
+            if same:
+                i, j = i[i < j], j[i < j]
+            s = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", a[i[x : x + BLOCK]], b[j[x : x + BLOCK]]) for x in range(0, len(i), BLOCK))])
+    if i is None:
+        sims = a @ b.T
+        i, j = np.nonzero(sims >= threshold)
+        if same:
+            i, j = i[i < j], j[i < j]
+        s = sims[i, j]
+    ok = s >= threshold
+    return i[ok], j[ok], s[ok]
+
+
+def _by_blocks(own: DataFrame, n: int, sample: dict[int, list], threshold: float, block: int) -> DataFrame:
+    """a, b, similarity of all pairs of (id, v): every block of vectors with every other, but those whose bounds are apart.
+
+    Vectors are ordered by where they lie and packed into a table of blocks.  Its cartesian product reads that table
+    again for each of its parts and copies nothing to disk.
+    """
+    spark = own.sparkSession
+    importable(spark)
+    kind = own.schema["id"].dataType.simpleString()
+    width = max([1, *sample])
+    block = max(1, min(block, BLOCK_BYTES // (8 * width)))
+    shared = spark.sparkContext.broadcast({w: _basis(rows, w) for w, rows in sample.items()})
+
+    def turned(batches: Iterator[Any]) -> Iterator[Any]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            widths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            turn = np.zeros(len(widths), np.int64)
+            for w in np.unique(widths).tolist():
+                at = np.flatnonzero(widths == w)
+                if w in shared.value:
+                    directions, borders = shared.value[w]
+                    p = _unit(batch.column(1).take(pa.array(at)), w) @ directions[:3].T
+                    turn[at] = sum(np.searchsorted(borders[k], p[:, k]) * 8 ** (2 - k) for k in range(3))
+                turn[at] += w * 512
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(turn)], names=["id", "v", "turn"])
+
+    def packed(batches: Iterator[Any]) -> Iterator[Any]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        names = ["block", "width", "ids", "v", "low", "high"]
+
+        def row(waiting: list[Any], w: int) -> Any:
+            nonlocal number
+            number += 1
+            ids = pa.concat_arrays([x.column(0) for x in waiting])
+            unit = _unit(pa.concat_arrays([x.column(1) for x in waiting]), w)
+            p = unit @ shared.value[w][0].T if w in shared.value else np.zeros((1, DIRECTIONS))
+            bounds = [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (p.min(axis=0), p.max(axis=0))]
+            held = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([w], pa.int64()), held, pa.array([unit.tobytes()], pa.binary()), *bounds], names=names)
+
+        waiting: list[Any] = []
+        held, of = 0, -1
+        for batch in batches:
+            widths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < batch.num_rows:
+                if waiting and (widths[at] != of or held == block):
+                    yield row(waiting, of)
+                    waiting, held = [], 0
+                of = int(widths[at])
+                other = np.flatnonzero(widths[at : at + block - held] != of)
+                part = batch.slice(at, int(other[0]) if len(other) else block - held)
+                waiting.append(part)
+                held, at = held + part.num_rows, at + part.num_rows
+        if waiting:
+            yield row(waiting, of)
+
+    def compare(batches: Iterator[Any]) -> Iterator[Any]:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                w, same = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                ids = [batch.column(c)[k].values for c in (2, 4)]
+                a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), float).reshape(-1, w) for c in (3, 5))
+                directions = shared.value[w][0] if w in shared.value else np.zeros((1, w))
+                i, j, s = _compared(a, b, threshold, directions, same)
+                one, two = (x.take(pa.array(at)).to_numpy(zero_copy_only=False) for x, at in zip(ids, (i, j), strict=True))
+                ok = one != two
+                low, high = np.minimum(one, two)[ok], np.maximum(one, two)[ok]
+                for at in range(0, len(low), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(low[at : at + 100_000], ids[0].type), pa.array(high[at : at + 100_000], ids[0].type), pa.array(s[ok][at : at + 100_000])], names=["a", "b", "similarity"])
+
+    parts = max(-(-n * width * 8 // BLOCK_FILE), min(spark.sparkContext.defaultParallelism, -(-n // block)), 1)
+    ordered = own.mapInArrow(turned, f"id {kind}, v array<double>, turn bigint").repartitionByRange(parts, "turn", F.xxhash64("id")).sortWithinPartitions("turn").select("id", "v")
+    blocks = cut(ordered.mapInArrow(packed, f"block bigint, width bigint, ids array<{kind}>, v binary, low array<double>, high array<double>"), "blocks")
+    one, two = (blocks.toDF(*[f"{side}_{c}" for c in blocks.columns]).hint("shuffle_replicate_nl") for side in "ab")
+    gap = lambda low, high: F.zip_with(low, high, lambda x, y: F.greatest(F.lit(0.0), x - y))
+    apart = F.aggregate(F.zip_with(gap("a_low", "b_high"), gap("b_low", "a_high"), lambda x, y: F.greatest(x, y)), F.lit(0.0), lambda s, x: s + x * x)
+    pairs = one.join(two, (F.col("a_block") <= F.col("b_block")) & (F.col("a_width") == F.col("b_width")) & (apart <= max(0.0, 2 - 2 * threshold) + SLACK))
+    found = pairs.select("a_width", (F.col("a_block") == F.col("b_block")).alias("same"), "a_ids", "a_v", "b_ids", "b_v").mapInArrow(compare, f"a {kind}, b {kind}, similarity double")
+    # A row holds two blocks: as many as Spark sends at once by default would take the memory of a worker.
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, SENT_BYTES)
+    try:
+        return cut(found, "pairs")
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _met(rows: DataFrame, sizes: DataFrame, group: str, *more: str) -> DataFrame:
     """Rows of a group dealt to its ``blocks`` by hash, a copy for each pair of blocks they are in."""
     dealt = rows.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

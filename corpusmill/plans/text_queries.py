@@ -9,6 +9,7 @@ from corpusmill.functions import pii
 from corpusmill.functions.text import chunk_id, lines, luhn_valid, token_estimate
 from corpusmill.operators import chunks as C
 from corpusmill.operators import vectors as V
+from corpusmill.operators.shared import cut
 from corpusmill.plans import adapters as A
 from corpusmill.plans.registry import query
 from corpusmill.schema import ChunkConfig
@@ -277,7 +278,7 @@ dots AS (SELECT p.doc_id AS a, q.doc_id AS b, sum(p.x * q.x) AS similarity FROM
 SELECT a, b, round(similarity, 6) AS similarity FROM dots WHERE similarity >= 0.9985""")
 def hash_embed_pairs(spark, d):
     """Documents whose hash embeddings are nearly the same."""
-    made = V.hash_embed(A.table(spark, d, "documents"), "doc_id", "text")
+    made = cut(V.hash_embed(A.table(spark, d, "documents"), "doc_id", "text").select("doc_id", "embedding"), "hashed")
     return V.similar_pairs(made, 0.9985, "doc_id").withColumn("similarity", F.round("similarity", 6))
 
 
