@@ -639,17 +639,57 @@ def greedy_keep(vectors: DataFrame, pairs: DataFrame, key: str = "vec_id", most_
     return result.join(gone, result[key] == gone.n, "left_anti")
 
 
+def _unlike(vectors: DataFrame, kept: DataFrame, threshold: float) -> DataFrame:
+    """(key, vector) of vectors that are similar to none of ``kept``, a table that is bounded and broadcast."""
+    import numpy as np
+
+    spark = vectors.sparkSession
+    importable(spark)
+    by_width: dict[int, list] = {}
+    for row in kept.collect():
+        by_width.setdefault(len(row[1]), []).append(row[1])
+    unit = lambda m: m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+    shared = spark.sparkContext.broadcast({w: unit(np.array(rows, float)) for w, rows in by_width.items()})
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in (whole.slice(at, BLOCK) for whole in batches for at in range(0, whole.num_rows, BLOCK)):
+            widths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            stays = np.ones(len(widths), bool)
+            for w in set(np.unique(widths).tolist()) & set(shared.value):
+                at = np.flatnonzero(widths == w)
+                rows = _unit(batch.column(1).take(pa.array(at)).cast(pa.list_(pa.float64())), w)
+                stays[at] = (rows @ shared.value[w].T).max(axis=1) < threshold
+            yield batch.filter(pa.array(stays))
+
+    return vectors.mapInArrow(run, vectors.schema)
+
+
 def distinct_keep(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """Keys that are kept when each vector in turn goes that is similar to a kept one before it.
 
     Identical vectors are one: the smallest key stands for all and the others go with it or
     because of it.  A null, empty or zero vector is similar to none, so each is kept.
+
+    In rounds: a bounded number of vectors with the smallest keys is decided by ``greedy_keep``, and all later ones that
+    are similar to those kept go in one pass.  So pairs are held for one round's vectors only, never for all; the table
+    of those left is written anew each round and the one before deleted.
     """
     alone = ~F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
     first = vectors.where(~alone).groupBy(vector).agg(F.min(key).alias(key)).select(key, vector)
-    first = cut(first, "distinct")
-    kept = greedy_keep(first, similar_pairs(first, threshold, key, vector, block), key)
-    return kept.unionByName(vectors.where(alone).select(key))
+    left, size = cut(first, "distinct"), max(1, block // 2)
+    result = vectors.where(alone).select(key)
+    while (last := left.select(key).orderBy(key).limit(size).agg(F.max(key)).first()[0]) is not None:
+        head = cut(left.where(F.col(key) <= F.lit(last)), "head")
+        kept = cut(greedy_keep(head, similar_pairs(head, threshold, key, vector, block), key), "kept")
+        rest = cut(_unlike(left.where(F.col(key) > F.lit(last)), head.join(kept, key, "left_semi").select(key, vector), threshold), "distinct")
+        drop_cut(head)
+        drop_cut(left)
+        result, left, size = result.unionByName(kept), rest, min(2 * size, 4 * block)
+    drop_cut(left)
+    return result
 
 
 def breakpoints(sims: DataFrame, mode: str, threshold: float = 75.0, group: str = "doc_id", index: str = "i", sim: str = "sim") -> DataFrame:

@@ -27,6 +27,20 @@ def test_pairs_at_a_low_threshold_copy_no_vectors(spark, monkeypatch):
     assert sorted(held) == [f"v{i:03}" for i in range(700)]
 
 
+def test_greedy_rounds_hold_a_bounded_number_of_vectors(spark, monkeypatch):
+    draw = np.random.default_rng(7)
+    rows = draw.normal(size=(600, 8))
+    seen = []
+    monkeypatch.setattr(W, "greedy_keep", lambda vectors, *more, real=W.greedy_keep: seen.append(vectors.count()) or real(vectors, *more))
+    frame = spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id bigint, embedding array<double>")
+    unit, kept = rows / np.linalg.norm(rows, axis=1, keepdims=True), []
+    for i in range(600):
+        if not kept or (unit[kept] @ unit[i]).max() < 0.8:
+            kept.append(i)
+    assert sorted(r["vec_id"] for r in W.distinct_keep(frame, 0.8, block=40).collect()) == kept
+    assert len(seen) > 1 and max(seen) <= 160
+
+
 def test_the_sample_of_pivots_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(W, "PIVOT_SAMPLE", 50)
     frame = spark.range(3000).selectExpr("id AS vec_id", "array(1.0D + id % 7, id % 11, id % 13) AS embedding")
