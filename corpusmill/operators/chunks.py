@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions import chunking
 from corpusmill.functions.text import chunk_id, collapse_space, strip
-from corpusmill.operators.shared import importable
+from corpusmill.operators.shared import bounded, importable
 from corpusmill.schema import ChunkConfig
 
 PIECES = "array<struct<content:string,headers:array<string>,tags:map<string,string>,parent:string,is_parent:boolean>>"
@@ -92,7 +92,7 @@ def chunk(files: DataFrame, config: ChunkConfig | None = None, embedder: Any = N
 
         schema, splitter = to_arrow_schema(fields), Splitter(config, embedder)
         names = ("content", "headers", "tags", "parent", "is_parent")
-        for batch in batches:
+        for batch in bounded(batches):
             texts, types, languages = (batch.column(i).to_pylist() for i in (1, 2, 3))
             pieces = [[dict(zip(names, p, strict=True)) for p in splitter.split(*args)] for args in zip(texts, types, languages, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, schema.field("pieces").type)], names=schema.names)
