@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.conversations import assemble
-from corpusmill.operators.shared import spread
+from corpusmill.operators.shared import bounded, importable, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(rows) if name in ("documents", "pages") else rows
 
 
+def written(rows: DataFrame, name: str, make: Callable[..., bytes]) -> DataFrame:
+    """A file (file_path, file_name, content) for each row, of that name, made of the row's values; the first is its path."""
+    importable(rows.sparkSession)
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+
+        for batch in bounded(batches):
+            made = [make(*values) for values in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(made), pa.string()), pa.array(made, pa.binary())], names=["file_path", "file_name", "content"])
+
+    return rows.mapInArrow(run, "file_path string, file_name string, content binary")
+
+
 def _scored(conv: DataFrame) -> DataFrame:
     return conv.withColumns(
         {

@@ -19,7 +19,7 @@ from corpusmill.operators.clients import Client, ClientError, HttpClient, Messag
 from corpusmill.operators.conversations import assemble
 from corpusmill.operators.generation import Limits
 from corpusmill.operators.jobs import JobLog
-from corpusmill.operators.shared import importable, scratch, shared_folder
+from corpusmill.operators.shared import scratch, shared_folder
 from corpusmill.plans import adapters as A
 from corpusmill.plans import jobs
 from corpusmill.plans import text_queries as Q
@@ -84,13 +84,8 @@ def load_pdf(spark, d):
     """Each document written as a PDF file of two pages, its source and its text, and loaded."""
     from corpusmill.sources import documents as L
 
-    importable(spark)
-
-    @F.pandas_udf("binary")
-    def made(sources, texts):
-        return sources.combine(texts, lambda s, t: as_pdf(s, [s, t]))
-
-    files = A.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.lit("x.pdf").alias("file_name"), made("source", "text").alias("content"))
+    rows = A.table(spark, d, "documents").select(F.col("doc_id").cast("string"), "source", "text")
+    files = A.written(rows, "x.pdf", lambda _, s, t: as_pdf(s, [s, t]))
     return L.load(files, "pdf").select(F.col("file_path").cast("bigint").alias("doc_id"), "content", "title", F.element_at("custom_tags", "pages").alias("pages"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.text import is_blank, strip
-from corpusmill.operators.shared import cut, importable
+from corpusmill.operators.shared import PASS_BYTES, bounded, cut, importable
 from corpusmill.sources import dispatch
 
 FILE = "file_path string, file_name string, source_type string, title string, author string, language string, section_headers array<string>, custom_tags map<string,string>, content string, error string"
@@ -164,6 +164,8 @@ def parse_pdf(data: bytes, name: str) -> tuple[str, dict]:
 
 PARSERS: dict[str, Callable[..., tuple[str, dict]]] = {"json": parse_json, "jupyter": parse_notebook, "html": parse_html, "docx": parse_docx, "pdf": parse_pdf}
 _BINARY = ("docx", "pdf")
+#: Bytes of such files that are read at once.
+PACKED_BYTES = 500_000
 #: Kinds that can be read with their structure.
 STRUCTURED = ("docx", "html")
 
@@ -195,7 +197,8 @@ def _parsed(files: DataFrame, kind: str, structured: bool = False) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema, parse = to_arrow_schema(fields), PARSERS[kind]
-        for batch in batches:
+        # Packed files unfold to many times their bytes.
+        for batch in bounded(batches, most=PACKED_BYTES if kind in _BINARY else PASS_BYTES):
             rows = []
             for path, name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 row: dict[str, Any] = {"file_path": path, "file_name": name}
