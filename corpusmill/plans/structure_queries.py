@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import chunks as C
 from corpusmill.operators import vectors as V
-from corpusmill.operators.shared import importable, scratch
+from corpusmill.operators.shared import scratch
 from corpusmill.plans import adapters as A
 from corpusmill.plans.registry import query
 from corpusmill.plans.text_queries import _ID, _STRIP, _TEXT_MARKS, _plain, _windows
@@ -115,17 +115,8 @@ def as_docx(heading: str, lines: list[str], rows: list[list[str]]) -> bytes:
 
 
 def _docx_files(spark: SparkSession, d: str) -> DataFrame:
-    importable(spark)
-
-    @F.pandas_udf("binary")
-    def made(ids, sources, languages, texts):
-        import pandas as pd
-
-        rows = zip(ids, sources, languages, texts, strict=True)
-        return pd.Series([as_docx(s, t.split("\n"), [["id", "", "language"], [str(i), "", k]]) for i, s, k, t in rows])
-
-    documents = A.table(spark, d, "documents")
-    return documents.select(F.col("doc_id").cast("string").alias("file_path"), F.lit("x.docx").alias("file_name"), made("doc_id", "source", "lang", "text").alias("content"))
+    rows = A.table(spark, d, "documents").select(F.col("doc_id").cast("string"), "source", "lang", "text")
+    return A.written(rows, "x.docx", lambda i, s, k, t: as_docx(s, t.split("\n"), [["id", "", "language"], [i, "", k]]))
 
 
 _DOC_LINES = f"SELECT doc_id, source, lang, list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format('x')}) AS xs FROM documents"
