@@ -16,18 +16,6 @@ DIM = 256
 BLOCK = 2048
 
 
-def gram_buckets(text: Column, dim: int = DIM) -> Column:
-    """Bucket of each character trigram of the lower-cased text, native; a text of under 3 characters is one gram."""
-    low = F.lower(text)
-    # Split once: a substring would walk the text from its start for every gram.
-    chars = F.split(low, "")
-    made = F.transform(F.array(chars), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2))))
-    grams = F.when(F.length(low) >= 3, F.get(made, F.lit(0))).when(F.length(low) > 0, F.array(low)).otherwise(F.array().cast("array<string>"))
-    if dim != 256:
-        raise ValueError("the native form has 256 buckets: the last byte of the hash")
-    return F.transform(grams, lambda g: F.conv(F.right(F.md5(g), F.lit(2)), 16, 10).cast("int"))
-
-
 def embed(rows: DataFrame, key: str, text: str, embedder: Any) -> DataFrame:
     """``key``, embedding, tokens, embedder, by any embedder: an Arrow pass, one call a batch, no shuffle.
 
@@ -66,6 +54,24 @@ def hash_embed(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFram
     return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, embedding array<double>, tokens int")
 
 
+def hash_counts(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
+    """``key``, bucket, n: how many trigrams of the lower-cased text fall into each bucket; an Arrow pass, no shuffle."""
+    importable(rows.sparkSession)
+    source = rows.select(key, F.lower(text).alias("text"))
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import numpy as np
+        import pyarrow as pa
+
+        embedder = HashEmbedder(dim)
+        for batch in bounded(batches):
+            counts = embedder._counts([t or "" for t in batch.column(1).to_pylist()])
+            row, bucket = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(bucket.astype(np.int32)), pa.array(counts[row, bucket].astype(np.int64))], names=[key, "bucket", "n"])
+
+    return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, bucket int, n bigint")
+
+
 #: Code points below this have their trigrams' buckets in one table.
 NARROW = 256
 #: Characters that are embedded at once.

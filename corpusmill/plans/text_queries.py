@@ -298,8 +298,7 @@ _ALL_GRAMS = """g AS (SELECT doc_id, right(md5(lower(substr(text, i, 3))), 2) AS
 
 @query(f"WITH {_ALL_GRAMS} SELECT doc_id, CAST(('0x' || bucket) AS INT) AS bucket, count(*) AS n FROM g GROUP BY ALL")
 def hash_embed_nonzero(spark, d):
-    docs = A.table(spark, d, "documents").select("doc_id", F.explode(V.gram_buckets(F.col("text"))).alias("bucket"))
-    return docs.groupBy("doc_id", "bucket").agg(F.count("*").alias("n"))
+    return V.hash_counts(A.table(spark, d, "documents"), "doc_id", "text").groupBy("doc_id", "bucket").agg(F.sum("n").alias("n"))
 
 
 @query(f"""WITH {_ALL_GRAMS}, c AS (SELECT doc_id, bucket, count(*)::DOUBLE AS n FROM g GROUP BY ALL), made AS (SELECT doc_id, count(*) AS filled, round(max(n) / sqrt(sum(n * n)), 6) AS largest FROM c GROUP BY doc_id)

@@ -7,6 +7,7 @@ import pyarrow as pa
 
 from corpusmill.operators import vectors as W
 from corpusmill.operators.shared import bounded
+from corpusmill.sources import structure
 
 
 def test_pairs_at_a_low_threshold_copy_no_vectors(spark, monkeypatch):
@@ -55,3 +56,23 @@ def test_batches_are_cut_by_rows_and_bytes():
     assert [p.num_rows for p in parts] == [3, 2, 1, 2]
     assert [x for p in parts for x in p.column(1).to_pylist()] == texts
     assert [p.num_rows for p in bounded(iter([pa.RecordBatch.from_arrays([pa.array(range(600))], names=["id"])]))] == [256, 256, 88]
+
+
+def test_blocks_leave_by_amount_of_text():
+    rows = iter([("p", i, "paragraph", 0, None, "x" * 900_000, None, []) for i in range(7)] + [("p", 7, "table", 0, None, "", [["a", "b"]], [])])
+    some = []
+    while part := structure._some(rows):
+        some.append([r[1] for r in part])
+    assert some == [[0, 1, 2], [3, 4, 5], [6, 7]]
+
+
+def test_counts_of_grams(spark):
+    rows = [(1, "ABCabc\u20ac"), (2, "xy"), (3, ""), (4, None)]
+    got = {}
+    for r in W.hash_counts(spark.createDataFrame(rows, "id bigint, text string"), "id", "text").collect():
+        got.setdefault(r["id"], {})[r["bucket"]] = r["n"]
+    bucket = W.HashEmbedder().bucket
+    want = {}
+    for gram in ("abc", "bca", "cab", "abc", "bc\u20ac"):
+        want[bucket(gram)] = want.get(bucket(gram), 0) + 1
+    assert got == {1: want, 2: {bucket("xy"): 1}}
