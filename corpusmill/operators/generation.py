@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators.clients import Client, ClientError
-from corpusmill.operators.shared import importable
+from corpusmill.operators.shared import bounded, importable
 from corpusmill.operators.state import pause
 
 
@@ -234,7 +234,7 @@ def generate(rows: DataFrame, key: str, system: Column, user: Column, generator:
 
         def items() -> Iterator[tuple[Any, str, str]]:
             nonlocal kind
-            for batch in batches:
+            for batch in bounded(batches):
                 kind = batch.schema.field(0).type
                 yield from zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
 
@@ -258,7 +258,7 @@ def generate(rows: DataFrame, key: str, system: Column, user: Column, generator:
 def rewritten(rows: DataFrame, column: str, texts: Callable[[Any], list[tuple[Any, str]]], put: Callable[[Any, dict[Any, str]], Any], generator: Generator, limits: Limits | None = None, log: str | None = None) -> DataFrame:
     """``rows`` with ``column`` rewritten by calls: ``texts`` gives a value's prompts by place, ``put`` puts the answers in.
 
-    All other columns stay.  Equal prompts of a batch are called for once; where a
+    All other columns stay.  Equal prompts of up to a thousand rows are called for once; where a
     call fails, ``put`` gets no answer for its place.
     """
     importable(rows.sparkSession)
@@ -269,7 +269,7 @@ def rewritten(rows: DataFrame, column: str, texts: Callable[[Any], list[tuple[An
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         caller = Caller(generator, limits, tasks, run_folder)
-        for batch in batches:
+        for batch in bounded(batches, 1_000):
             values = batch.column(at).to_pylist()
             asked = [texts(v) for v in values]
             prompts = {hashlib.sha256(p.encode()).hexdigest(): p for own in asked for _, p in own}
