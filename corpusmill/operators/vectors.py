@@ -399,12 +399,16 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id
     return met.groupBy("cell", "low", "high").applyInArrow(lambda table: _similar(table, threshold), f"a {kind}, b {kind}, similarity double")
 
 
-#: Directions that vectors are projected on to tell far ones cheaply, bytes of a file of blocks, and of a block.
-DIRECTIONS = 16
+#: Directions that vectors are projected on to tell far ones cheaply; vectors that lie together and are told apart as one;
+#: bytes of a file of blocks, and of a block; halvings of the sample that order vectors over files.
+DIRECTIONS = 32
+TOGETHER = 64
 BLOCK_FILE = 16_000_000
 BLOCK_BYTES = 2_000_000
-#: Bytes of blocks that a task is sent at once.
-SENT_BYTES = "8m"
+HALVINGS = 9
+#: Pairs that are compared, and that leave a task, at once.
+PAIRS = 4096
+SENT_PAIRS = 100_000
 
 
 def _unit(lists: Any, width: int) -> Any:
@@ -415,8 +419,8 @@ def _unit(lists: Any, width: int) -> Any:
     return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
 
 
-def _basis(rows: list, width: int) -> tuple[Any, Any]:
-    """The directions in which a sample differs most, and for three of them seven borders that part it evenly."""
+def _basis(rows: list, width: int) -> tuple[Any, Any, Any]:
+    """The directions in which a sample differs most, and a tree that halves it: of each node the direction and the border."""
     import numpy as np
 
     matrix = np.array(rows, float).reshape(-1, width)
@@ -424,52 +428,149 @@ def _basis(rows: list, width: int) -> tuple[Any, Any]:
     directions = np.zeros((DIRECTIONS, width))
     found = np.linalg.svd(matrix - matrix.mean(axis=0), full_matrices=False)[2][:DIRECTIONS] if len(matrix) else directions[:0]
     directions[: len(found)] = found
-    return directions, np.quantile(matrix @ directions[:3].T, np.arange(1, 8) / 8, axis=0).T if len(matrix) else np.zeros((3, 7))
+    along, border = np.zeros(2**HALVINGS, np.int64), np.zeros(2**HALVINGS)
+    parts = {1: matrix @ directions.T}
+    for node in range(1, 2**HALVINGS):
+        p = parts.pop(node)
+        if len(p):
+            along[node] = p.var(axis=0).argmax()
+            border[node] = np.median(p[:, along[node]])
+        above = p[:, along[node]] > border[node]
+        parts[2 * node], parts[2 * node + 1] = p[~above], p[above]
+    return directions, along, border
+
+
+def _together(p: Any, size: int) -> Any:
+    """An order of rows in which each ``size`` that follow one another lie together: halved where they differ most."""
+    import numpy as np
+
+    waiting, out = [np.arange(len(p))], []
+    while waiting:
+        at = waiting.pop()
+        if len(at) <= size:
+            out.append(at)
+            continue
+        q = p[at]
+        half = -(-len(at) // (2 * size)) * size
+        halved = np.argpartition(q[:, q.var(axis=0).argmax()], half - 1)
+        waiting += [at[halved[half:]], at[halved[:half]]]
+    return np.concatenate(out)
+
+
+def _gaps(p: Any, q: Any) -> Any:
+    """Squared distances between the bounds of each ``TOGETHER`` rows of two projections."""
+    import numpy as np
+
+    bounds = [[f.reduceat(x, np.arange(0, len(x), TOGETHER)) for f in (np.minimum, np.maximum)] for x in (p, q)]
+    (low, high), (other_low, other_high) = bounds
+    total = np.zeros((len(low), len(other_low)))
+    for k in range(p.shape[1]):
+        gap = np.maximum(low[:, k, None] - other_high[:, k], other_low[:, k] - high[:, k, None])
+        total += np.maximum(gap, 0) ** 2
+    return total
+
+
+def _near(p: Any, q: Any, near: float, same: bool) -> Iterator[tuple[Any, Any, bool]]:
+    """Places of rows of two projections that are within ``near``, for some rows of the first at a time, and whether most of them are.
+
+    A projection shortens a distance; 32 bits tell it to within the slack that is added.
+    """
+    import numpy as np
+
+    one = lambda x: np.ones((len(x), 1), np.float32)
+    square = lambda x: (x * x).sum(axis=1, keepdims=True)
+    # The product of these is the squared distance, its sign turned.
+    a, b = np.hstack([2 * p, -square(p), one(p)]), np.hstack([q, one(q), -square(q)])
+    close = _gaps(p, q) <= near * near + 1e-5
+    if same:
+        close = np.triu(close)
+    for x in np.flatnonzero(close.any(axis=1)).tolist():
+        rows = (np.flatnonzero(close[x])[:, None] * TOGETHER + np.arange(TOGETHER)).ravel()
+        rows = rows[rows < len(q)]
+        for at in range(0, len(rows), PAIRS):
+            some = rows[at : at + PAIRS]
+            hit = np.flatnonzero((a[x * TOGETHER : (x + 1) * TOGETHER] @ b[some].T >= -near * near - 1e-5).ravel())
+            if len(hit):
+                yield x * TOGETHER + hit // len(some), some[hit % len(some)], len(hit) * 20 > TOGETHER * len(some)
+
+
+class _File:
+    """A file of blocks: projections first, vectors when they are asked for."""
+
+    def __init__(self, path: str) -> None:
+        import numpy as np
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        self.files, self.path = fs.FileSystem.from_uri(path)
+        with self.files.open_input_file(self.path) as stream:
+            table = pq.ParquetFile(stream).read(columns=["width", "ids", "p"]).combine_chunks()
+        widths, sizes = table["width"].to_numpy(), table["ids"].combine_chunks().value_lengths().to_numpy()
+        ends = np.cumsum(sizes)
+        self.ids = table["ids"].combine_chunks().flatten()
+        p = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x.as_buffer(), np.float32) for x in table["p"])]).reshape(-1, DIRECTIONS)
+        #: By width: first row, projections, first block and the block after the last.
+        self.parts = {}
+        for w in np.unique(widths).tolist():
+            at = np.flatnonzero(widths == w)
+            first = int(ends[at[0]] - sizes[at[0]])
+            self.parts[w] = (first, p[first : ends[at[-1]]], int(at[0]), int(at[-1]) + 1)
+        self._vectors: dict[int, Any] = {}
+
+    def vectors(self, width: int) -> Any:
+        import numpy as np
+        import pyarrow.parquet as pq
+
+        if width not in self._vectors:
+            with self.files.open_input_file(self.path) as stream:
+                held = pq.ParquetFile(stream).read(columns=["v"])["v"]
+            _, _, first, after = self.parts[width]
+            self._vectors[width] = np.concatenate([np.frombuffer(held[k].as_buffer(), float) for k in range(first, after)]).reshape(-1, width)
+        return self._vectors[width]
 
 
-def _compared(a: Any, b: Any, threshold: float, directions: Any, same: bool) -> tuple[Any, Any, Any]:
-    """Places of similar rows of two matrices of unit rows, and their similarity; of one block, each pair once."""
+def _met_files(one: _File, other: _File, threshold: float, same: bool) -> Iterator[tuple[Any, Any, Any]]:
+    """Ids of similar vectors of two files, and their similarity; of one file, each pair once."""
     import numpy as np
+    import pyarrow as pa
 
     near = np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
-    i = j = None
-    if near < 1:
-        # A projection shortens a distance; 32 bits tell it to within the slack that is added.
-        p, q = a @ directions.T, b @ directions.T
-        left = np.flatnonzero((np.maximum(0, np.maximum(q.min(axis=0) - p, p - q.max(axis=0))) ** 2).sum(axis=1) <= near * near)
-        right = np.flatnonzero((np.maximum(0, np.maximum(p.min(axis=0) - q, q - p.max(axis=0))) ** 2).sum(axis=1) <= near * near)
-        p, q = p[left].astype(np.float32), q[right].astype(np.float32)
-        far = p @ q.T
-        far *= -2
-        far += (p * p).sum(axis=1)[:, None]
-        far += (q * q).sum(axis=1)
-        hit = np.flatnonzero(far.ravel() <= near * near + 1e-5)
-        if len(hit) * 20 <= len(a) * len(b):
-            i, j = left[hit // max(1, len(right))], right[hit % max(1, len(right))]
-            if same:
-                i, j = i[i < j], j[i < j]
-            s = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", a[i[x : x + BLOCK]], b[j[x : x + BLOCK]]) for x in range(0, len(i), BLOCK))])
-    if i is None:
-        sims = a @ b.T
-        i, j = np.nonzero(sims >= threshold)
-        if same:
-            i, j = i[i < j], j[i < j]
-        s = sims[i, j]
-    ok = s >= threshold
-    return i[ok], j[ok], s[ok]
+    for w in one.parts.keys() & other.parts.keys():
+        (start, p, *_), (other_start, q, *_) = one.parts[w], other.parts[w]
+        if near < 1:
+            found = _near(p, q, near, same)
+        else:
+            found = ((np.arange(x, min(x + BLOCK, len(p))), np.arange(y, min(y + BLOCK, len(q))), True) for x in range(0, len(p), BLOCK) for y in range(x if same else 0, len(q), BLOCK))
+        for i, j, many in found:
+            a, b = one.vectors(w), other.vectors(w)
+            if many:
+                rows, columns = np.unique(i), np.unique(j)
+                sims = a[rows] @ b[columns].T
+                at, to = np.nonzero(sims >= threshold)
+                i, j, s = rows[at], columns[to], sims[at, to]
+            else:
+                s = np.concatenate([np.einsum("ij,ij->i", a[i[x : x + PAIRS]], b[j[x : x + PAIRS]]) for x in range(0, len(i), PAIRS)])
+            ok = (s >= threshold) & (i < j) if same else s >= threshold
+            if ok.any():
+                left, right = (f.ids.take(pa.array(first + x[ok])).to_numpy(zero_copy_only=False) for f, first, x in ((one, start, i), (other, other_start, j)))
+                ok_ids = left != right
+                yield np.minimum(left, right)[ok_ids], np.maximum(left, right)[ok_ids], s[ok][ok_ids]
 
 
 def _by_blocks(own: DataFrame, n: int, sample: dict[int, list], threshold: float, block: int) -> DataFrame:
-    """a, b, similarity of all pairs of (id, v): every block of vectors with every other, but those whose bounds are apart.
+    """a, b, similarity of all pairs of (id, v): every file of vectors with every other, group by group where their bounds are not apart.
 
-    Vectors are ordered by where they lie and packed into a table of blocks.  Its cartesian product reads that table
-    again for each of its parts and copies nothing to disk.
+    Vectors are ordered by where they lie and packed into a table of blocks, with what projects them.  Its files are
+    paired in a table of their names; a task reads the projections of its pairs, and the vectors where some are near.
+    Nothing is copied to disk, and a task holds two files.
     """
     spark = own.sparkSession
     importable(spark)
     kind = own.schema["id"].dataType.simpleString()
     width = max([1, *sample])
     block = max(1, min(block, BLOCK_BYTES // (8 * width)))
+    block = block // TOGETHER * TOGETHER or block
+    in_file = max(1, BLOCK_FILE // (8 * width) // block) * block
     shared = spark.sparkContext.broadcast({w: _basis(rows, w) for w, rows in sample.items()})
 
     def turned(batches: Iterator[Any]) -> Iterator[Any]:
@@ -483,30 +584,30 @@ def _by_blocks(own: DataFrame, n: int, sample: dict[int, list], threshold: float
             for w in np.unique(widths).tolist():
                 at = np.flatnonzero(widths == w)
                 if w in shared.value:
-                    directions, borders = shared.value[w]
-                    p = _unit(batch.column(1).take(pa.array(at)), w) @ directions[:3].T
-                    turn[at] = sum(np.searchsorted(borders[k], p[:, k]) * 8 ** (2 - k) for k in range(3))
-                turn[at] += w * 512
+                    directions, along, border = shared.value[w]
+                    p = _unit(batch.column(1).take(pa.array(at)), w) @ directions.T
+                    node = np.ones(len(at), np.int64)
+                    for _ in range(HALVINGS):
+                        node = 2 * node + (p[np.arange(len(at)), along[node]] > border[node])
+                    turn[at] = node - 2**HALVINGS
+                turn[at] += w * 2**HALVINGS
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(turn)], names=["id", "v", "turn"])
 
     def packed(batches: Iterator[Any]) -> Iterator[Any]:
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
-        from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
-        names = ["block", "width", "ids", "v", "low", "high"]
-
-        def row(waiting: list[Any], w: int) -> Any:
-            nonlocal number
-            number += 1
+        def rows(waiting: list[Any], w: int) -> Iterator[Any]:
             ids = pa.concat_arrays([x.column(0) for x in waiting])
             unit = _unit(pa.concat_arrays([x.column(1) for x in waiting]), w)
-            p = unit @ shared.value[w][0].T if w in shared.value else np.zeros((1, DIRECTIONS))
-            bounds = [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (p.min(axis=0), p.max(axis=0))]
-            held = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([w], pa.int64()), held, pa.array([unit.tobytes()], pa.binary()), *bounds], names=names)
+            p = unit @ shared.value[w][0].T if w in shared.value else np.zeros((len(unit), DIRECTIONS))
+            order = _together(p, TOGETHER)
+            for x in range(0, len(order), block):
+                at = order[x : x + block]
+                held = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), ids.take(pa.array(at)))
+                binary = [pa.array([m.tobytes()], pa.binary()) for m in (unit[at], p[at].astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([pa.array([w], pa.int64()), held, *binary], names=["width", "ids", "v", "p"])
 
         waiting: list[Any] = []
         held, of = 0, -1
@@ -514,50 +615,52 @@ def _by_blocks(own: DataFrame, n: int, sample: dict[int, list], threshold: float
             widths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
             at = 0
             while at < batch.num_rows:
-                if waiting and (widths[at] != of or held == block):
-                    yield row(waiting, of)
+                if waiting and (widths[at] != of or held == in_file):
+                    yield from rows(waiting, of)
                     waiting, held = [], 0
                 of = int(widths[at])
-                other = np.flatnonzero(widths[at : at + block - held] != of)
-                part = batch.slice(at, int(other[0]) if len(other) else block - held)
+                other = np.flatnonzero(widths[at : at + in_file - held] != of)
+                part = batch.slice(at, int(other[0]) if len(other) else in_file - held)
                 waiting.append(part)
                 held, at = held + part.num_rows, at + part.num_rows
         if waiting:
-            yield row(waiting, of)
+            yield from rows(waiting, of)
 
     def compare(batches: Iterator[Any]) -> Iterator[Any]:
         import numpy as np
         import pyarrow as pa
 
+        one: tuple[str, Any] = ("", None)
+        waiting: list[tuple[Any, Any, Any]] = []
+        held = 0
+
+        def given() -> Any:
+            a, b, s = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            kind = one[1].ids.type
+            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(s)], names=["a", "b", "similarity"])
+
         for batch in batches:
-            for k in range(batch.num_rows):
-                w, same = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                ids = [batch.column(c)[k].values for c in (2, 4)]
-                a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), float).reshape(-1, w) for c in (3, 5))
-                directions = shared.value[w][0] if w in shared.value else np.zeros((1, w))
-                i, j, s = _compared(a, b, threshold, directions, same)
-                one, two = (x.take(pa.array(at)).to_numpy(zero_copy_only=False) for x, at in zip(ids, (i, j), strict=True))
-                ok = one != two
-                low, high = np.minimum(one, two)[ok], np.maximum(one, two)[ok]
-                for at in range(0, len(low), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(low[at : at + 100_000], ids[0].type), pa.array(high[at : at + 100_000], ids[0].type), pa.array(s[ok][at : at + 100_000])], names=["a", "b", "similarity"])
-
-    parts = max(-(-n * width * 8 // BLOCK_FILE), min(spark.sparkContext.defaultParallelism, -(-n // block)), 1)
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if one[0] != a:
+                    one = (a, _File(a))
+                for found in _met_files(one[1], one[1] if a == b else _File(b), threshold, a == b):
+                    waiting.append(found)
+                    held += len(found[0])
+                    if held >= SENT_PAIRS:
+                        yield given()
+                        waiting, held = [], 0
+        if waiting:
+            yield given()
+
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(-(-n // in_file), min(cores, -(-n // block)), 1)
     ordered = own.mapInArrow(turned, f"id {kind}, v array<double>, turn bigint").repartitionByRange(parts, "turn", F.xxhash64("id")).sortWithinPartitions("turn").select("id", "v")
-    blocks = cut(ordered.mapInArrow(packed, f"block bigint, width bigint, ids array<{kind}>, v binary, low array<double>, high array<double>"), "blocks")
-    one, two = (blocks.toDF(*[f"{side}_{c}" for c in blocks.columns]).hint("shuffle_replicate_nl") for side in "ab")
-    gap = lambda low, high: F.zip_with(low, high, lambda x, y: F.greatest(F.lit(0.0), x - y))
-    apart = F.aggregate(F.zip_with(gap("a_low", "b_high"), gap("b_low", "a_high"), lambda x, y: F.greatest(x, y)), F.lit(0.0), lambda s, x: s + x * x)
-    pairs = one.join(two, (F.col("a_block") <= F.col("b_block")) & (F.col("a_width") == F.col("b_width")) & (apart <= max(0.0, 2 - 2 * threshold) + SLACK))
-    found = pairs.select("a_width", (F.col("a_block") == F.col("b_block")).alias("same"), "a_ids", "a_v", "b_ids", "b_v").mapInArrow(compare, f"a {kind}, b {kind}, similarity double")
-    # A row holds two blocks: as many as Spark sends at once by default would take the memory of a worker.
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, SENT_BYTES)
-    try:
-        return cut(found, "pairs")
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    blocks = cut(ordered.mapInArrow(packed, f"width bigint, ids array<{kind}>, v binary, p binary"), "blocks")
+    files = blocks.select(F.col("_metadata.file_path").alias("path")).distinct()
+    pairs = files.select(F.col("path").alias("one")).join(files.select(F.col("path").alias("other")), F.col("one") <= F.col("other"))
+    # Some of a file's pairs in one task, which reads it once for them.
+    dealt = pairs.repartition(max(4 * cores, parts), "one", F.pmod(F.xxhash64("other"), F.lit(8))).sortWithinPartitions("one")
+    return dealt.mapInArrow(compare, f"a {kind}, b {kind}, similarity double")
 
 
 def _met(rows: DataFrame, sizes: DataFrame, group: str, *more: str) -> DataFrame:

@@ -76,3 +76,29 @@ def test_counts_of_grams(spark):
     for gram in ("abc", "bca", "cab", "abc", "bc\u20ac"):
         want[bucket(gram)] = want.get(bucket(gram), 0) + 1
     assert got == {1: want, 2: {bucket("xy"): 1}}
+
+
+def test_files_of_vectors_that_are_apart_are_not_read(spark, monkeypatch):
+    """Projections tell which files hold near vectors: only of those vectors are read, and all pairs are found."""
+    draw = np.random.default_rng(9)
+    centres = draw.normal(size=(8, 48))
+    rows = np.array([centres[i % 8] + (0.002 if i % 3 else 0.3) * draw.normal(size=48) for i in range(1200)])
+    tables = {}
+    monkeypatch.setattr(W, "MOST_COPIES", -1.0)
+    monkeypatch.setattr(W, "BLOCK_FILE", 64 * 48 * 8)
+    monkeypatch.setattr(W, "cut", lambda df, name, real=W.cut: tables.setdefault(name, real(df, name)))
+    got = {(r["a"], r["b"]): r["similarity"] for r in W.similar_pairs(spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id bigint, embedding array<double>"), 0.999, block=64).collect()}
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    a, b = np.nonzero(np.triu(sims >= 0.999, 1))
+    assert set(got) == set(zip(a.tolist(), b.tolist(), strict=True)) and len(got) > 1000
+    assert all(abs(s - sims[pair]) < 1e-9 for pair, s in got.items())
+    paths = sorted(r[0] for r in tables["blocks"].select("_metadata.file_path").distinct().collect())
+    assert len(paths) > 8
+    read = 0
+    for one in paths:
+        for other in paths:
+            files = W._File(one), W._File(other)
+            list(W._met_files(*files, 0.999, False))
+            read += bool(files[1]._vectors)
+    assert len(paths) <= read < len(paths) ** 2 / 2
