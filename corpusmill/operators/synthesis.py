@@ -50,7 +50,7 @@ def mode_prompt(content: Column, title: Column, source_type: Column, mode: Colum
     for name, text in MODES.items():
         instruction = F.when(mode == name, text).otherwise(instruction)
     line = lambda label, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"{label}: "), value))
-    return F.concat_ws("\n", instruction, line("Source", source_type), line("Title", title), F.lit("Content:"), F.substring(content, 1, CONTENT_LIMIT))
+    return F.concat_ws("\n", instruction, line("Source", source_type), line("Title", title), F.lit("Content:"), F.coalesce(F.substring(content, 1, CONTENT_LIMIT), F.lit("")))
 
 
 def socratic_prompt(content: Column, source_type: Column) -> Column:
@@ -98,8 +98,11 @@ class OfflineGenerator:
     """Answers with a two-turn conversation on the prompt's own content, as fenced JSON: only so is an object with inner ones read whole."""
 
     def generate(self, system: str, user: str) -> str:
-        content = user.partition("Content:\n")[2] or user
-        answer = json.dumps({"conversation": [{"role": "user", "content": "What does this say?"}, {"role": "assistant", "content": content.strip()[:FALLBACK_LIMIT]}], "reasoning": "offline"})
+        _, found, content = user.partition("Content:\n")
+        said = (content if found else user).strip(" \t\n\f\r")[:FALLBACK_LIMIT]
+        answer = json.dumps({"conversation": [{"role": "user", "content": "What does this say?"}, {"role": "assistant", "content": said}], "reasoning": "offline"})
+        # A fence in the content would end the answer's own.
+        answer = answer.replace("`", "\\u0060")
         return f"```json\n{answer}\n```"
 
 
@@ -219,7 +222,8 @@ def synthesize(
     log = log or call_log(chunks.sparkSession, "synthesize", generator)
     made = cut(call(missing, "cache_key", F.lit(MODES[mode]), prompt, generator, limits=limits, log=log), "generated")
     have = made.select("cache_key", "response", "error") if cache is None else made.select("cache_key", "response", "error").unionByName(cache.select("cache_key", "response", "error"))
-    answered = keyed.join(have.where("error is null"), "cache_key")
+    # Rows that are repeated have one key and an answer each: one of them is taken, so each row is one conversation.
+    answered = keyed.join(have.where("error is null").groupBy("cache_key").agg(F.min("response").alias("response")), "cache_key")
     conversations = answered.select(
         F.sha2(F.concat_ws("|", "chunk_id", F.lit(mode)), 256).alias("conv_id"),
         F.col("chunk_id").alias("source_chunk_id"),

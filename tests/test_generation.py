@@ -221,3 +221,18 @@ def test_spent_tables_are_a_threads_own(spark):
     go.set()
     thread.join()
     assert kept.count() == 3
+
+
+def test_offline_conversations_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
+    """Fences in a text, empty texts, wide spaces at its ends, rows that are repeated: one conversation a row, on the row's own text."""
+    import duckdb
+
+    from corpusmill.plans.queries import ORACLE_SQL, QUERIES
+
+    texts = ["plain", "  ends \n", 'code ```json\n{"a": 1}\n``` after', "a ``` b", "```", "", "   ", "x ", "\x0bv\x0b", "\x85n\x85", "　wide", '{"conversation": 1}', "Content:\nabc", "\\ \"q\" \x01", "\U0001f600" * 600, " " * 3500 + "late"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, "twice")] * 2 + [(101, "three times")] * 3 + [(102, "one"), (102, "other")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["synthesize_turns"](spark, str(tmp_path)).collect())
+    assert got == sorted(connection.execute(ORACLE_SQL["synthesize_turns"]).fetchall()) and len(got) == len(rows)
